@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language_id, license_scan, mixing, quality_model, quality_rules, token_counts, url_filters
+from . import language_id, license_scan, mixing, neighbours, quality_model, quality_rules, token_counts, url_filters
 from .common import table
 
 
@@ -33,9 +34,13 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scan, op5_mixing, op6_token_counts, op7_quality_model, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scan, op5_mixing, op6_token_counts, op7_quality_model, op8_neighbours, op9_quality_rules, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
