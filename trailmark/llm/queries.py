@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, mixing, near_duplicates, neighbours, quality_model, quality_rules, token_counts, url_filters
+from . import language_id, license_scan, mixing, near_duplicates, neighbours, pieces, quality_model, quality_rules, token_counts, url_filters
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.resolve(table(spark, sf_dir, "documents"))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), pieces.load())
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scan, op3_near_duplicates, op5_mixing, op6_token_counts, op7_quality_model, op8_neighbours, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scan, op3_near_duplicates, op4_pieces, op5_mixing, op6_token_counts, op7_quality_model, op8_neighbours, op9_quality_rules, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
