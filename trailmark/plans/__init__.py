@@ -1 +1,6 @@
-"""plans of the sighting engine."""
+"""Registered queries of the sighting engine, each with the SQL that it has to agree with."""
+
+from . import joins, lists
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "joins", "lists"]
