@@ -32,7 +32,8 @@ SAMPLE = 20_000
 LEAF, TREES = 512, 6
 #: The recall that the number of leaves a query visits is chosen for, on queries from the sample against the sample.
 RECALL, TRIED = 0.96, 100
-LEAVES_IN_BLOCK = 32
+#: Bytes of vectors, in double precision, that the leaves of one block hold, and queries that meet them at once.
+BLOCK_BYTES, BLOCK_QUERIES = 48_000_000, 50_000
 
 
 @dataclass
@@ -147,6 +148,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "emb
     while n / 2**depth > leaf and len(points) / 2 ** (depth + 1) >= 4:
         depth += 1
     rng = np.random.default_rng(seed)
+    in_block = 2 ** max(0, int(np.log2(BLOCK_BYTES / (leaf * points.shape[1] * 8))))
+    parts = 1 + rows.where(is_query).count() // BLOCK_QUERIES
     rows_of = lifted(points)
     forest = [plant(rows_of, depth, rng) for _ in range(trees if depth else 1)]
     probes = calibrated(points, rows_of, forest, k, rng)
@@ -161,7 +164,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "emb
                 x = lifted(matrix(b.column("v")))
                 for t, tree in enumerate(forest):
                     at = tree.leaves(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(at // LEAVES_IN_BLOCK), pa.array(at), b.column("cid"), b.column("v")], ["tree", "block", "leaf", "cid", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(at // in_block), pa.array(at), b.column("cid"), b.column("v")], ["tree", "block", "leaf", "cid", "v"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,7 +174,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "emb
                 blocks: dict[tuple[int, int, int], list[int]] = {}
                 for i, leaves in enumerate(found):
                     for t, leaf_no in leaves:
-                        blocks.setdefault((i, t, leaf_no // LEAVES_IN_BLOCK), []).append(leaf_no)
+                        blocks.setdefault((i, t, leaf_no // in_block), []).append(leaf_no)
                 at, t, block = np.array(list(blocks), np.int64).T
                 at = pa.array(at)
                 yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(block), pa.array(blocks.values(), pa.list_(pa.int64())), b.column("vec_id").take(at), b.column("v").take(at)], ["tree", "block", "leaves", "query_id", "v"])
@@ -187,11 +190,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "emb
             cid = right["cid"].to_numpy()
             by_id = np.argsort(cid, kind="stable")
             v, vl, cid = matrix(right["v"])[by_id], right["leaf"].to_numpy()[by_id], cid[by_id]
-            visits = np.zeros((len(q), LEAVES_IN_BLOCK), bool)
+            visits = np.zeros((len(q), in_block), bool)
             own = left["leaves"].combine_chunks()
-            visits[np.repeat(np.arange(len(q)), own.value_lengths().to_numpy()), own.flatten().to_numpy() % LEAVES_IN_BLOCK] = True
+            visits[np.repeat(np.arange(len(q)), own.value_lengths().to_numpy()), own.flatten().to_numpy() % in_block] = True
             for part in np.array_split(np.arange(len(q)), 1 + len(q) * len(v) // 4_000_000):
-                near = np.where(visits[part][:, vl % LEAVES_IN_BLOCK], q[part] @ v.T, -np.inf)
+                near = np.where(visits[part][:, vl % in_block], q[part] @ v.T, -np.inf)
                 # Ids are in order, so a stable sort breaks ties by id; rounding here is far below what the spare places leave.
                 top = np.argsort(-near, axis=1, kind="stable")[:, : k + 5]
                 met = np.take_along_axis(near, top, 1).ravel() > -np.inf
@@ -200,7 +203,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "emb
         a, c, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         return pa.table({"query_id": a, "cid": c, "score": s})
 
-    met = asked.groupBy("tree", "block").cogroup(indexed.groupBy("tree", "block")).applyInArrow(meet, "query_id long, cid long, score double")
+    # Queries are dealt in parts so that no block meets too many at once; each part reads its leaves.
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+    indexed = indexed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
+    key = ("tree", "block", "part")
+    met = asked.groupBy(*key).cogroup(indexed.groupBy(*key)).applyInArrow(meet, "query_id long, cid long, score double")
     # The same class comes from several trees with the same score.
     best = met.groupBy("query_id", "cid").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "cid")
