@@ -1,6 +1,6 @@
 """Registered queries of the sighting engine, each with the SQL that it has to agree with."""
 
-from . import joins, lists
+from . import joins, lists, retention
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "joins", "lists"]
+__all__ = ["ORACLE_SQL", "QUERIES", "joins", "lists", "retention"]
