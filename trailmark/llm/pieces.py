@@ -38,7 +38,9 @@ UNIGRAM, BPE = 1, 2
 #: The table of folded units has at most so many units of at most so many characters.
 MOST_UNITS, LONGEST_UNIT = 300_000, 24
 #: Units that a task remembers besides.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
+#: Documents that a task holds as text and ids at once.
+TOGETHER = 250
 
 
 @dataclass
@@ -180,7 +182,7 @@ def unit_counts(docs: DataFrame, model: Model) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 if text:
                     found.update(find(marked(text, model)))
-                if len(found) > 400_000:
+                if len(found) > 200_000:
                     yield give()
                     found.clear()
         yield give()
@@ -206,7 +208,7 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
     spark = units.sparkSession
     table = spark.createDataFrame([(p, s, i) for p, (s, i) in model.pieces.items()], "piece string, score double, id int")  # bounded: the model's vocabulary
     # One deal of the units; their substrings stay where they are until they are grouped.
-    at = units.repartition("unit").select("unit", F.length("unit").alias("n_chars"), F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
+    at = units.repartition(4 * spark.sparkContext.defaultParallelism, "unit").select("unit", F.length("unit").alias("n_chars"), F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
     at = at.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n_chars") - F.col("start")))).alias("size"))
     at = at.withColumn("piece", F.expr("substring(unit, start + 1, size)"))
     edges = at.join(F.broadcast(table), "piece")
@@ -244,8 +246,14 @@ def folded(edges: DataFrame, model: Model) -> DataFrame:
 _tables: dict[int, dict[str, bytes]] = {}
 
 
+def decoded(ids: list[int] | np.ndarray, model: Model) -> str:
+    """The text that ids stand for; bytes that are no UTF-8 become replacement characters."""
+    said = b"".join([model.raw[i] for i in ids]).decode("utf-8", "replace")
+    return said[1:] if model.prefix and said[:1] == " " else said
+
+
 def encode(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_tokens, ids; one row for each row of docs."""
+    """keep, n_tokens, ids, exact: whether the ids decode to the text (with U+2581 as a blank); one row for each row of docs."""
     counts = stored(unit_counts(docs, model), "pieces-units")
     table = folded(lattice(frequent(counts), model), model).toPandas()
     sent = docs.sparkSession.sparkContext.broadcast((table["unit"].tolist(), [np.asarray(x, np.int32).tobytes() for x in table["ids"]]))
@@ -271,39 +279,25 @@ def encode(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
             return ids
 
         get = table.get
-        for batch in batches:
-            each = [b"".join([get(u) or other(u) for u in find(marked(t, model))]) if t else b"" for t in batch.column("__text").to_pylist()]
+        for batch in (whole.slice(lo, TOGETHER) for whole in batches for lo in range(0, whole.num_rows, TOGETHER)):
+            texts = [t or "" for t in batch.column("__text").to_pylist()]
+            each = [b"".join([get(u) or other(u) for u in find(marked(t, model))]) for t in texts]
+            exact = [decoded(np.frombuffer(x, np.int32).tolist(), model) == t.replace(BLANK, " ") for x, t in zip(each, texts, strict=True)]
             sizes = np.array([len(x) // 4 for x in each], np.int32)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.frombuffer(b"".join(each), np.int32)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(sizes), ids], [*keep, "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(sizes), ids, pa.array(exact, pa.bool_())], [*keep, "n_tokens", "ids", "exact"])
 
-    schema = docs.select(*keep).schema.add("n_tokens", "integer").add("ids", ArrayType(IntegerType()))
+    schema = docs.select(*keep).schema.add("n_tokens", "integer").add("ids", ArrayType(IntegerType())).add("exact", "boolean")
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, decoded: the text that ids stand for; bytes that are no UTF-8 become replacement characters."""
-    raw = model.raw
-
-    def text_of(ids: list[int] | None) -> str | None:
-        if ids is None:
-            return None
-        said = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
-        return said[1:] if model.prefix and said[:1] == " " else said
+    """keep, decoded; null ids decode to null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [text_of(x) for x in batch.column("__ids").to_pylist()]
+        for batch in (whole.slice(lo, TOGETHER) for whole in batches for lo in range(0, whole.num_rows, TOGETHER)):
+            out = [None if x is None else decoded(x, model) for x in batch.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(out, pa.string())], [*keep, "decoded"])
 
     schema = encoded.select(*keep).schema.add("decoded", "string")
     return encoded.select(*keep, F.col("ids").alias("__ids")).mapInArrow(run, schema)
-
-
-def round_trip(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_tokens, ids, exact: whether decoding the ids gives the text again (with U+2581 as a blank)."""
-    carried = tuple(dict.fromkeys((*keep, "text")))
-    encoded = encode(docs, model, carried)
-    both = decode(encoded, model, (*carried, "n_tokens", "ids"))
-    exact = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), BLANK, " ")
-    return both.select(*keep, "n_tokens", "ids", exact.alias("exact"))

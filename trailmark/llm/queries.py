@@ -27,7 +27,7 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.round_trip(table(spark, sf_dir, "documents"), pieces.load())
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.load())
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
