@@ -42,7 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, with whether they decode to its text."""
-    return pieces.round_trip(docs, pieces.load())
+    return pieces.encode(docs, pieces.load())
 
 
 STAGES = [
