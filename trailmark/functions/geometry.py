@@ -87,7 +87,7 @@ def square_around(box: Box, width: int, height: int, size: int, padding: float)
     return F.when(fits, left).otherwise(0), F.when(fits, top).otherwise(0), F.when(fits, side)
 
 
-def has_moved(origin: Box, now: Box, least: float, border: float = 0.01, balanced: float = 0.5) -> Column:
+def has_moved(origin: Box, now: Box, least: float, border: float = 0.01, balanced: float = 0.3) -> Column:
     """Whether a box has really moved: both edges of an axis shifted one way by more than a share of the diagonal, or the
     box grew or shrank a lot on both sides alike in its shape. Edges at the picture's border tell nothing."""
     inside = lambda c: c.between(border, 1 - border)
