@@ -62,7 +62,7 @@ def blocked(rules: DataFrame, country: str | None, region: str | None) -> DataFr
     if country is None:
         return rules.select("taxon").limit(0)
     allowed, refused = F.try_element_at("allow", F.lit(country)), F.try_element_at("block", F.lit(country))
-    here = F.lit(region)
+    here = F.lit(region).cast("string")
     outside = (F.size("allow") > 0) & (allowed.isNull() | (F.lit(region is not None) & (F.size(allowed) > 0) & ~F.array_contains(allowed, here)))
     inside = refused.isNotNull() & ((F.size(refused) == 0) | (F.lit(region is not None) & F.array_contains(refused, here)))
     return rules.where(F.coalesce(outside, F.lit(False)) | F.coalesce(inside, F.lit(False))).select("taxon")
