@@ -1,6 +1,6 @@
 """Registered queries of the sighting engine, each with the SQL that it has to agree with."""
 
-from . import joins, lists, retention, scalars, species, stateful
+from . import evaluation, joins, lists, retention, scalars, species, stateful
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "joins", "lists", "retention", "scalars", "species", "stateful"]
+__all__ = ["ORACLE_SQL", "QUERIES", "evaluation", "joins", "lists", "retention", "scalars", "species", "stateful"]
