@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, license_scan, mixing, near_duplicates, neighbours, pieces, quality_model, quality_rules, token_counts, url_filters
 from .common import table
+from .oracles import ORACLE_SQL
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,4 +52,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scan, op3_near_duplicates, op4_pieces, op5_mixing, op6_token_counts, op7_quality_model, op8_neighbours, op9_quality_rules, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -84,7 +84,7 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, depth: int = 4, min_s
     names = [f"t{i}" for i in range(depth + 1)]
     template = F.concat(F.lit("/"), F.array_join(F.filter(F.array(*names), lambda x: x != ""), "/"))
     tree = tree.withColumn("template", template)
-    leaves = tree.groupBy("host", "template", F.col("t0").alias("branch")).agg(*(F.sum(c).alias(c) for c in ("n", "b", "a")))
+    leaves = tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "b", "a")))
 
     # Prior rates: of the template in all hosts, smoothed towards the rate of all. Rates start from one URL of either kind.
     overall = leaves.agg(F.sum("b").alias("gb"), F.sum("a").alias("ga"))
@@ -108,4 +108,4 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, depth: int = 4, min_s
     decided = tree.select("host", *cells, "template").join(rates, ["host", "template"])
     out = urls.join(decided, ["host", *cells])
     learned = F.when(F.col("block_rate") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return out.select("page_id", "host", "path", "rule", F.coalesce("listed", learned).alias("verdict"), "template", "block_rate")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("listed", learned).alias("verdict"), "template", F.round("block_rate", 6).alias("block_rate"))
