@@ -101,3 +101,32 @@ def test_marks_correct_animals(spark):
     events = spark.createDataFrame([(i, lab, f, s, c, n, dt.datetime(2024, 1, 1), 3) for i, lab, f, s, c, n in rows], "id long, label string, feedback string, feedback_species string, common_name string, scientific_name string, started_at timestamp_ntz, local_hour int")
     assert {r["id"]: r["animal"] for r in stats.corrected(events).collect()} == {1: "fox", 3: None, 4: "Moose", 5: None}
     assert tuple(stats.unidentified(events).first()) == (2, 4)
+
+
+def test_objects_of_overlapping_regions_are_merged(spark):
+    rows = [
+        (1, 1, "person", 0.9, 0.1, 0.1, 0.5, 0.5),
+        (1, 2, "person", 0.8, 0.3, 0.1, 0.6, 0.5),  # half of it inside the first: by IoU neither
+        (1, 3, "person", 0.7, 0.15, 0.15, 0.3, 0.3),  # inside the first
+        (1, 4, "animal", 0.6, 0.1, 0.1, 0.5, 0.5),  # the first's place by another label
+        (1, 5, "animal", 0.5, 0.7, 0.7, 0.9, 0.9),
+        (2, 1, "person", 0.5, 0.0, 0.0, 0.2, 0.2),
+    ]
+    table = spark.createDataFrame(rows, "frame long, det int, label string, score double, x1 double, y1 double, x2 double, y2 double")
+    got = {(r["frame"], r["det"]): (r["x1"], r["y1"], r["x2"], r["y2"]) for r in joins.merged_regions(table).collect()}
+    # 0.08 of the second's 0.12 is inside the first, more than 60 %: it widens it.
+    assert got == {(1, 1): (0.1, 0.1, 0.6, 0.5), (1, 5): (0.7, 0.7, 0.9, 0.9), (2, 1): (0.0, 0.0, 0.2, 0.2)}
+
+
+def test_segments_begin_with_key_frames(spark):
+    # Ten packets a second, a key frame each second but the first packet, two cameras.
+    rows = [(c, i * 100_000 + 7, i * 9000, i % 10 == 3, 10) for c in ("a", "b") for i in range(60)]
+    got = sorted(map(tuple, ordered.recorded(spark.createDataFrame(rows, "camera_id string, arrived_us long, ts90 long, key_frame boolean, size long"), 2).collect()))
+    want = [(c, s * 100_000 + 7, e * 100_000 + 7, e - s, 10 * (e - s)) for c in ("a", "b") for s, e in ((3, 23), (23, 43), (43, 60))]
+    assert got == want
+
+
+def test_a_clock_that_drifts_is_anchored_anew(spark):
+    rows = [("a", i * 100_000 + (900_000 if i >= 5 else 0), i * 9000, i == 0, 1) for i in range(10)]
+    [one] = ordered.recorded(spark.createDataFrame(rows, "camera_id string, arrived_us long, ts90 long, key_frame boolean, size long"), 60).collect()
+    assert (one["started_us"], one["ended_us"], one["n"]) == (0, 1_900_000, 10)

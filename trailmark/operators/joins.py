@@ -106,3 +106,32 @@ def suppressed(detections: DataFrame, most: float = 0.45) -> DataFrame:
         lambda acc, r: F.when(F.exists(acc, lambda k: (k["label"] == r["label"]) & (iou(k, r) > most)), acc).otherwise(F.concat(acc, F.array(r))),
     )
     return detections.groupBy("frame").agg(kept.alias("kept")).select("frame", F.explode("kept.det").alias("det"))
+
+
+def merged_regions(detections: DataFrame, same: float = 0.45, contained: float = 0.6, other: float = 0.7) -> DataFrame:
+    """Detections of overlapping regions as objects, frame by frame: by falling score, a box that meets a kept one of its
+    label (by IoU, or by the share of the smaller one inside) widens it, and one at the place of another label's goes."""
+    area = lambda b: F.greatest(b["x2"] - b["x1"], F.lit(0.0)) * F.greatest(b["y2"] - b["y1"], F.lit(0.0))
+
+    def shared(a: Column, b: Column) -> Column:
+        side = lambda lo, hi: F.greatest(F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]), F.lit(0.0))
+        return side("x1", "x2") * side("y1", "y2")
+
+    def meets(k: Column, d: Column) -> Column:
+        both = shared(k, d)
+        union = area(k) + area(d) - both
+        iou = F.when(union > 0, both / union).otherwise(0.0)
+        inside = both / F.greatest(F.least(area(k), area(d)), F.lit(1e-7))
+        return F.when(k["label"] == d["label"], (iou > same) | (inside > contained)).otherwise(iou > other)
+
+    def widened(k: Column, d: Column) -> Column:
+        return F.struct(k["order"].alias("order"), k["det"].alias("det"), k["label"].alias("label"), F.least(k["x1"], d["x1"]).alias("x1"), F.least(k["y1"], d["y1"]).alias("y1"), F.greatest(k["x2"], d["x2"]).alias("x2"), F.greatest(k["y2"], d["y2"]).alias("y2"))
+
+    def step(kept: Column, d: Column) -> Column:
+        first = F.array_position(F.transform(kept, lambda k: meets(k, d)), True)
+        return F.when(first == 0, F.concat(kept, F.array(d))).otherwise(F.transform(kept, lambda k, i: F.when((i + 1 == first) & (k["label"] == d["label"]), widened(k, d)).otherwise(k)))
+
+    row = F.struct((-F.col("score")).alias("order"), "det", "label", "x1", "y1", "x2", "y2")
+    rows = F.sort_array(F.collect_list(row))
+    objects = F.aggregate(rows, F.filter(F.collect_list(row), lambda r: F.lit(False)), step)
+    return detections.groupBy("frame").agg(objects.alias("o")).select("frame", F.explode("o").alias("o")).select("frame", "o.det", "o.label", "o.x1", "o.y1", "o.x2", "o.y2")

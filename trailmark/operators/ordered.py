@@ -29,23 +29,85 @@ def sessions(rows: DataFrame, key: str, at: str, gap: str) -> DataFrame:
     return numbered.groupBy(key, "run").agg(F.min(at).alias("run_start"), F.max(at).alias("run_end"), F.count("*").alias("n"))
 
 
-def throttled(rows: DataFrame, key: str, every: float) -> DataFrame:
-    """Rows of a key (id, at in seconds) that come at least 0.9 of the interval after the last row that was kept."""
+def throttled(rows: DataFrame, key: str, every: float, share: float = 0.9, most: int | None = None) -> DataFrame:
+    """Rows of a key (id, at in seconds) that come at least a share of the interval after the last row that was kept; most
+    of a key at most, if given (as pictures of one event are limited)."""
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Batches are sorted by key and time, so one kept time for the current key is all the state there is.
-        now, last = None, 0.0
+        now, last, n = None, 0.0, 0
         for part in batches:
             kept = []
             for k, at in zip(part[key], part["at"], strict=True):
-                hit = k != now or at - last >= 0.9 * every
-                now, last = k, at if hit else last
+                n = 0 if k != now else n
+                hit = (n == 0 or at - last >= share * every) and (most is None or n < most)
+                now, last, n = k, at if hit else last, n + hit
                 kept.append(hit)
             yield part[pd.Series(kept, index=part.index, dtype=bool)]
 
     return rows.repartition(key).sortWithinPartitions(key, "at", "id").mapInPandas(keep, rows.schema)
 
 
+SEGMENT = "camera_id string, started_us long, ended_us long, n long, bytes long"
+
+
+def recorded(packets: DataFrame, seconds: int, most_bytes: int = 64 << 20, usual: int = 9000, drift_us: int = 500_000) -> DataFrame:
+    """Segments from a camera's packets (arrived_us, ts90, key_frame, size): each begins with a key frame and ends before
+    the first key frame at which it is long or large enough. A packet lasts until the next (the usual time if that is no
+    time or over five seconds); its wall time runs with the 90 kHz clock from an anchor, which is set anew where it drifts
+    from the arrival. The last packet lasts as long as the one before. Only the open segment is held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        camera, before, anchor, seg, out = None, None, None, None, []
+
+        def wall(arrived: int, ts: int) -> int:
+            nonlocal anchor
+            at = arrived if anchor is None else anchor[0] + (ts - anchor[1]) * 100 // 9
+            if anchor is None or abs(at - arrived) > drift_us:
+                anchor, at = (arrived, ts), arrived
+            return at
+
+        def put(lasts: int) -> None:
+            """The packet before joins the open segment: start, end of its last packet, packets, bytes, last duration."""
+            nonlocal seg
+            at = wall(before[0], before[1])
+            start, _, n, size, _ = seg or (at, at, 0, 0, 0)
+            seg = (start, at + lasts * 100 // 9, n + 1, size + before[3], lasts)
+
+        def close() -> None:
+            nonlocal seg
+            if seg is not None:
+                out.append((camera, *seg[:4]))
+            seg = None
+
+        def flush() -> None:
+            nonlocal before
+            if before is not None:
+                put(seg[4] if seg is not None else usual)
+            before = None
+            close()
+
+        for part in batches:
+            for k, arrived, ts, key, size in zip(part["camera_id"], part["arrived_us"], part["ts90"], part["key_frame"], part["size"], strict=True):
+                if k != camera:
+                    flush()
+                    camera, anchor = k, None
+                if before is None and seg is None and not key:
+                    continue
+                if before is not None:
+                    step = ts - before[1]
+                    put(step if 0 < step <= 5 * 90_000 else usual)
+                    if key and (seg[1] - seg[0] >= seconds * 1_000_000 or seg[3] > most_bytes):
+                        close()
+                before = (arrived, ts, key, size)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENT.split(", ")])
+            out.clear()
+        flush()
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENT.split(", ")])
+
+    return packets.select("camera_id", "arrived_us", "ts90", "key_frame", "size").repartition("camera_id").sortWithinPartitions("camera_id", "ts90", "arrived_us").mapInPandas(run, SEGMENT)
+
+
 def unwrapped(rows: DataFrame, key: str, order: str, clock: str) -> DataFrame:
     """A clock of 32 bits without its wraps: the first value, then the sum of signed differences."""
     w = Window.partitionBy(key).orderBy(order)

@@ -103,3 +103,8 @@ def jn_best_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def jn_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.suppressed(detections(spark, sf_dir))
+
+
+@query()
+def jn_merged_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.merged_regions(detections(spark, sf_dir))

@@ -122,3 +122,24 @@ def ag_merged_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select user_id, time_bucket(interval 2 hour, ts) as start, count(*) as frames, round(sum(value), 6) as amount from events group by user_id, time_bucket(interval 2 hour, ts)")
 def ag_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy("user_id", F.window("ts", "2 hours").alias("w")).agg(F.count("*").alias("frames"), F.round(F.sum("value"), 6).alias("amount")).select("user_id", F.col("w.start").alias("start"), "frames", "amount")
+
+
+@query(
+    "select user_id, id, \"at\" from kept",
+    "recursive o as (select user_id, event_id as id, cast(epoch_us(ts) as double) / 1000000 as \"at\", row_number() over (partition by user_id order by ts, event_id) as n from events)",
+    "walk as (select user_id, id, \"at\", n, \"at\" as last, true as hit, 1 as k from o where n = 1 union all select o.user_id, o.id, o.\"at\", o.n, case when o.\"at\" - walk.last >= 14400 and k < 3 then o.\"at\" else walk.last end, o.\"at\" - walk.last >= 14400 and k < 3, case when o.\"at\" - walk.last >= 14400 and k < 3 then k + 1 else k end from walk join o on o.user_id = walk.user_id and o.n = walk.n + 1)",
+    "kept as (select * from walk where hit)",
+)
+def wn_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pictures of a user at most, four hours apart."""
+    at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")).cast("double") / 1_000_000
+    return ordered.throttled(read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), at.alias("at")), "user_id", 14_400.0, 1.0, 3)
+
+
+@query()
+def wn_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of a user as a packet 0.1 s after the one before."""
+    e = read(spark, sf_dir, "events")
+    n = F.floor(F.col("event_id") / 50)
+    packets = e.select(F.concat(F.lit("camera"), F.col("user_id").cast("string")).alias("camera_id"), (n * 100_000 + F.col("event_id") % 977).alias("arrived_us"), (n * 9000).alias("ts90"), (F.col("event_type") == "view").alias("key_frame"), (F.col("event_id") % 5000).alias("size"))
+    return ordered.recorded(packets, 2)
