@@ -5,8 +5,9 @@ allowed epochs, goes first to its siblings in proportion to their weights, and o
 siblings of its parent. Each leaf then gives whole epochs, and of the last one the documents that come first in an order
 seeded by the epoch, as long as their tokens fit the leaf's budget.
 
-The order is a hash of document and epoch. Tokens are summed by the hash's leading bits, so the cut is found from those
-sums; rows are put in order only within the one slot of hashes where a leaf's budget ends, never a whole leaf.
+The order is a hash of document and epoch. Tokens are summed by the hash's leading bits to find the slot of hashes where a
+leaf's budget ends, then by the next bits within that slot. Only rows of the last slot, one in a million of a leaf, are put
+in order, never a whole leaf.
 
 Cases: null sources and languages are nodes named "" of their own; null or empty texts have no tokens and go with any
 prefix that reaches them; ties of the hash go by id and text, and rows equal in both are selected together or not at all;
@@ -15,7 +16,6 @@ without documents, or with a budget of 0, nothing is selected. Extra columns are
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import space_words, stored
 
-#: Leading bits of the hash by which tokens are summed.
-SLOT_BITS = 14
+#: Tokens are summed by so many bits of the hash at a time, in so many rounds.
+SLOT_BITS, ROUNDS = 10, 2
 #: More leaves than this don't fit the driver's plan of the tree.
 MOST_LEAVES = 200_000
 
@@ -111,20 +111,25 @@ def select(docs: DataFrame, fraction: float = 0.5, epochs: int = 2, weights: dic
     def ordered(df: DataFrame) -> DataFrame:
         """With the place in the seeded order of the epoch that the leaf uses in part."""
         df = df.join(F.broadcast(plan_df), key).withColumn("__order", F.xxhash64("__doc", "whole"))
-        return df.withColumn("__slot", F.shiftrightunsigned("__order", 64 - SLOT_BITS).cast("int")).withColumn("__place", F.struct("__order", "__doc", "__text"))
-
-    slim_ordered = ordered(slim).where("rest > 0")
-    sums = slim_ordered.groupBy(*key, "rest", "__slot").agg(F.sum("n_tokens").alias("n"))
-    before = Window.partitionBy(*key).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    ends = sums.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest"))).select(*key, F.col("__slot").alias("__end"), "before")
-    ends = stored(ends, "mixing-ends")  # a row for each leaf at most, as is cuts
+        return df.withColumn("__place", F.struct("__order", "__doc", "__text"))
+
+    def slot(rounds: int) -> Column:
+        return F.shiftrightunsigned("__order", 64 - SLOT_BITS * rounds)
+
+    inside = ordered(slim).where("rest > 0").withColumn("before", F.lit(0).cast("long"))
+    for k in range(1, ROUNDS + 1):
+        sums = inside.groupBy(*key, "rest", "before", slot(k).alias("__end")).agg(F.sum("n_tokens").alias("n"))
+        earlier = Window.partitionBy(*key).orderBy("__end").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        ends = sums.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest"))).select(*key, "__end", "before")
+        ends = stored(ends, "mixing-ends")  # a row for each leaf at most, as is cuts
+        inside = ordered(slim).join(F.broadcast(ends), key).where(slot(k) == F.col("__end"))
     running = Window.partitionBy(*key).orderBy("__place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = slim_ordered.join(F.broadcast(ends), key).where("__slot = __end").withColumn("upto", F.col("before") + F.sum("n_tokens").over(running))
+    edge = inside.withColumn("upto", F.col("before") + F.sum("n_tokens").over(running))
     cuts = stored(edge.groupBy(*key, "__end").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("__place"))).alias("__cut")), "mixing-cuts")
 
     rows = ordered(slim if keep == ("doc_id",) else named).join(F.broadcast(cuts), key, "left")
-    last = (F.col("__slot") < F.col("__end")) | (F.col("__slot") == F.col("__end")) & F.coalesce(F.col("__place") <= F.col("__cut"), F.lit(False))
+    last = (slot(ROUNDS) < F.col("__end")) | (slot(ROUNDS) == F.col("__end")) & F.coalesce(F.col("__place") <= F.col("__cut"), F.lit(False))
     rows = rows.withColumn("__n", F.col("whole") + F.coalesce(last, F.lit(False)).cast("long")).where("__n > 0")
     named_too = [F.col(f"__{c}").alias(c) for c in ("domain", "lang", "source") if c not in keep]
     return rows.select(*keep, *named_too, "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("epoch"))
