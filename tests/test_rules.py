@@ -59,6 +59,16 @@ def test_tiles_cover_a_picture():
     assert geometry.tiles(300, 500) == [(0, 0, 300), (0, 200, 300)]
 
 
+def test_pixels_there_and_back(spark):
+    row = spark.createDataFrame([(101, 51, 33, 700)], "x int, y int, w int, h int")
+    x, y, w, h = (F.col(c) for c in "xywh")
+    assert tuple(row.select(*geometry.aligned(x, y, w, h, 640, 360)).first()) == (100, 50, 32, 310)
+    assert tuple(row.select(*geometry.of_pixels(x, y, w, h, 1000, 100).columns()).first()) == (0.101, 0.51, 0.134, 7.51)
+    fit = geometry.letterbox(640, 360, 320)
+    assert fit == (0.5, 0.0, 70.0)
+    assert tuple(row.select(*geometry.from_letterbox(*geometry.to_letterbox(x, y, fit), fit)).first()) == (101.0, 51.0)
+
+
 def test_patches_keep_set_and_clear(spark):
     events = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, path string")
     patches = spark.createDataFrame([(1, 1, (True, "x")), (1, 2, (False, None)), (2, 1, (True, "y")), (2, 2, (True, None)), (9, 1, (True, "z"))], "id long, seq int, path struct<is_set:boolean,value:string>")

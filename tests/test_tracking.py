@@ -90,3 +90,16 @@ def test_a_stream_tells_what_a_batch_tells(spark, sf_dir, tmp_path):
     ended = [r for r in batch if r not in streamed]
     assert streamed and set(streamed) <= set(batch)
     assert all(r["kind"] == "ended" for r in ended)
+
+
+def test_clips_meet_their_segments_in_a_stream(spark, tmp_path):
+    at = "timestamp'2024-01-01 00:00:00'"
+    events = spark.range(40).selectExpr("concat('c', cast(id % 2 as string)) as camera_id", "id", f"{at} + make_interval(0, 0, 0, 0, cast(id as int)) as from_at", f"{at} + make_interval(0, 0, 0, 0, cast(id as int), 1) as to_at")
+    segments = spark.range(20).selectExpr("concat('c', cast(id % 2 as string)) as camera_id", "id as segment_id", f"{at} + make_interval(0, 0, 0, 0, cast(id as int), 0, 30) as seg_start", f"{at} + make_interval(0, 0, 0, 0, cast(id as int), 2) as seg_end")
+    for name, rows in (("e", events), ("s", segments)):
+        rows.where("id < 30" if name == "e" else "segment_id < 15").coalesce(1).write.parquet(str(tmp_path / name))
+        rows.where("id >= 30" if name == "e" else "segment_id >= 15").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    read = lambda name, rows: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    got = pipeline.drained(pipeline.clips_with_segments(read("e", events), read("s", segments)), "clips").where("segment_id is not null")
+    want = events.join(segments.withColumnRenamed("camera_id", "k")).where("camera_id = k and seg_start < to_at and seg_end > from_at")
+    assert sorted((r["id"], r["segment_id"]) for r in got.collect()) == sorted((r["id"], r["segment_id"]) for r in want.collect())

@@ -75,6 +75,31 @@ class Box:
         return Box((left + self.x1 * size) / width, (top + self.y1 * size) / height, (left + self.x2 * size) / width, (top + self.y2 * size) / height)
 
 
+def aligned(left: Column, top: Column, wide: Column, high: Column, width: int, height: int) -> tuple[Column, Column, Column, Column]:
+    """A pixel rectangle within the picture, with even edges and two pixels at least, as chroma planes need it."""
+    even = lambda c: c - c % 2
+    x, y = even(F.least(left, F.lit(max(width - 2, 0)))), even(F.least(top, F.lit(max(height - 2, 0))))
+    return x, y, F.greatest(even(F.least(wide, width - x)), F.lit(2)), F.greatest(even(F.least(high, height - y)), F.lit(2))
+
+
+def of_pixels(left: Column, top: Column, wide: Column, high: Column, width: int, height: int) -> Box:
+    return Box(left / width, top / height, (left + wide) / width, (top + high) / height)
+
+
+def letterbox(width: int, height: int, size: int) -> tuple[float, float, float]:
+    """Scale and offsets that fit a picture into a square of that size, centred."""
+    scale = size / max(width, height)
+    return scale, (size - width * scale) / 2, (size - height * scale) / 2
+
+
+def to_letterbox(x: Column, y: Column, fit: tuple[float, float, float]) -> tuple[Column, Column]:
+    return x * fit[0] + fit[1], y * fit[0] + fit[2]
+
+
+def from_letterbox(x: Column, y: Column, fit: tuple[float, float, float]) -> tuple[Column, Column]:
+    return (x - fit[1]) / fit[0], (y - fit[2]) / fit[0]
+
+
 def square_around(box: Box, width: int, height: int, size: int, padding: float) -> tuple[Column, Column, Column]:
     """Left, top and side of a square of pixels about a padded box: the model's size at least, all of a picture it doesn't fit."""
     short = min(width, height)
