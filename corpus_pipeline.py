@@ -27,7 +27,9 @@ def quality_model_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose 5-word shingles link at a similarity of 0.8; rows without id stay."""
     resolved = stored(near_duplicates.resolve(docs, percent=80).select("doc_id", "kept"), "near-resolved")
-    left = docs.select(*COLUMNS).join(resolved.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    # The ids to leave out grow with the corpus: they are merged at every size, never broadcast.
+    gone = resolved.where("not kept").select("doc_id").distinct().hint("merge")
+    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
     if resolved.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
     # Of rows with one id, the first in an order over their whole content.
