@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -76,6 +77,31 @@ def test_near_duplicates_of_blocks_too_large_for_a_task(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 80)
 
 
+def test_linked_pairs_far_apart_in_a_block_too_large_for_a_task(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", 200)
+    monkeypatch.setattr(near_duplicates, "HOT", 7, raising=False)
+    # Workers import the module anew, so slices are made small by their partitions.
+    frame = type(spark.range(0))
+    by_range = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, *cols: by_range(self, 160, *cols))
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    # Two places of ten: every text differs from the others in so much that only the two of a pair are linked.
+    for i, places in enumerate(itertools.combinations(range(5, 55, 5), 2)):
+        own = list(base)
+        for at in places:
+            own[at] = f"z{i}"
+        rows.append((2 * i, " ".join(own)))
+        for at in places:
+            own[at + 55] = f"y{i}"
+        own[-2:] = [f"x{i}"] * 2
+        rows.append((2 * i + 1, " ".join(own)))
+    want = brute_components(rows, 80)
+    assert len(set(want.values())) == len(rows) // 2
+    got = near_duplicates.resolve(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r["node"]: r["comp"] for r in components.components(edges).collect()}

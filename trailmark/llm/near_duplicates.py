@@ -4,12 +4,12 @@ Documents with equal sets are one class at once. Each class has a signature; a t
 rows of the signature, and classes that share the tree's first DEPTH rows are neighbours. Where such a region of a tree is
 dense, its depth grows. Neighbours whose signatures agree well enough are put into one block. Then each block gets its
 texts once, and every pair within it that could pass is decided on the full sets; links are searched, not sampled, until
-the block's components are known. Blocks too large for one task are read in several sorted signature orders, in slices
-that overlap by half.
+the block's components are known. Blocks too large for one task are first read in several sorted signature orders, in
+slices, which links most of what belongs together; every pair that could join two of the groups left is then decided by a
+join on the rarest shingles of its sets.
 
 What can be missed: a pair at the threshold t shares a region of one tree with probability t ** DEPTH, so that
-(1 - t ** DEPTH) ** TREES is missed, 1e-8 at 0.85 and 3e-6 at 0.8; and what its overlapping slices don't bring together of
-a block above BLOCK_SHINGLES shingles.
+(1 - t ** DEPTH) ** TREES is missed, 1e-8 at 0.85 and 3e-6 at 0.8.
 
 Cases: documents without words or text have no shingles and link with nothing; with fewer words than a shingle has, all
 words are the only shingle; rows with one id are one document, linked by whichever of their texts; rows without id are
@@ -36,6 +36,10 @@ DENSE = 4_000
 #: Shingles of a block that one task takes.
 BLOCK_SHINGLES = 6_000_000
 ORDERS = 4
+#: Slots in which shingles of large blocks are counted, to take the rarest first.
+SLOTS = 1 << 18
+#: Sets that one task takes of a shingle that many have.
+HOT = 4_000
 SEED = 11
 _random = np.random.default_rng(SEED)
 FACTORS = _random.integers(0, 2**63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -233,7 +237,8 @@ def confirm_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
 
 
 def confirm_slices(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of large blocks in one order: slices of up to BLOCK_SHINGLES shingles, each begun by the later half of the one before."""
+    """Of large blocks in one order: slices of up to BLOCK_SHINGLES shingles, each begun by the later half of the one before
+    in its partition. What lies in other slices or partitions is left to joined_groups."""
     words = Words()
     for table in runs(batches, "part"):
         ids, sets, size, old = [], [], 0, 0
@@ -258,6 +263,79 @@ def pairs(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def large_sets(rows: DataFrame) -> DataFrame:
+    """rep, comp, grp, outside and the set of each text that has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            sets = [shingles(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
+            some = pa.array([i for i, s in enumerate(sets) if len(s)], pa.int64())
+            kept = [batch.column(c).take(some) for c in ("rep", "comp", "grp", "outside")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([s for s in sets if len(s)], pa.list_(pa.int64()))], ["rep", "comp", "grp", "outside", "set"])
+
+    return rows.select("rep", "comp", "grp", "outside", "text").mapInArrow(run, "rep long, comp long, grp long, outside boolean, set array<long>")
+
+
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each slot come up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            values = batch.column("set").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            counts += np.bincount((values % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
+
+    counts = np.zeros(SLOTS, np.int64)
+    got = sets.select("set").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts[got["slot"]] = got["n"]
+    return counts
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """The shingles of each set that a set linked with it must share one of, rarest first; the order is the same for all sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                keys, n = [], []
+                for s in part.column("set"):
+                    values = s.values.to_numpy(zero_copy_only=False)
+                    order = np.lexsort((values, counts[(values.view(np.uint64) % np.uint64(SLOTS)).astype(np.int64)]))
+                    n.append(len(values))
+                    keys.append(values[order[: len(values) - -(-percent * len(values) // 100) + 1]])
+                width = np.array([len(k) for k in keys])
+                at = pa.array(np.repeat(np.arange(len(keys)), width))
+                place = np.concatenate([np.arange(w) for w in width])
+                columns = [part.column(c).take(at) for c in ("rep", "comp", "grp", "outside")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(n, width)), pa.array(place), pa.array(np.concatenate(keys))], ["rep", "comp", "grp", "outside", "n", "place", "key"])
+
+    return sets.mapInArrow(run, "rep long, comp long, grp long, outside boolean, n long, place long, key long")
+
+
+def joined_groups(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges a, b: all pairs of a block that are linked and belong to different groups. Such a pair has a member outside the
+    block's largest group. It shares one of the rarest shingles of both, and at the first of them as many others are left as
+    it needs; what passes is decided on full sets."""
+    keys = stored(prefixes(sets, slot_counts(sets), percent), "near-prefixes")
+    # Of a key that many sets have, these are dealt to several tasks, and those outside go to each of them.
+    hot = keys.groupBy("comp", "key").agg(F.count_if("outside").alias("out"), F.count("*").alias("m")).where("out > 0 and m > 1")
+    hot = stored(hot.select("comp", "key", F.ceil(F.col("m") / HOT).alias("salts")), "near-keys")
+    of_key = keys.join(hot, ["comp", "key"])
+    side = lambda rows, x: rows.select("comp", "key", "salt", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "grp", "outside", "n", "place")))
+    a = side(of_key.where("outside").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))), "a")
+    b = side(of_key.withColumn("salt", F.pmod(F.xxhash64("rep"), "salts")), "b")
+    met = a.join(b, ["comp", "key", "salt"]).where("grp_a != grp_b and (not outside_b or rep_a < rep_b)")
+    met = met.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {100 + percent} * least(n_a - place_a, n_b - place_b) >= {percent} * (n_a + n_b)")
+    met = met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    of = lambda x: sets.select(F.col("rep").alias(x), F.col("set").alias(f"set_{x}"))
+    both = met.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
+    return both.where(f"100L * both >= {percent} * (n_a + n_b - both)").select("a", "b")
+
+
 def resolve(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept. percent: documents whose sets have that Jaccard similarity or more are linked."""
     feats = stored(features(docs), "near-features")
@@ -291,7 +369,15 @@ def resolve(docs: DataFrame, percent: int = 85) -> DataFrame:
         turned = F.substring(F.concat("sig", "sig"), F.col("order") * (2 * ROWS // ORDERS) + 1, F.lit(2 * ROWS))
         rows = rows.select("doc_id", "order", "comp", turned.alias("place")).join(texts, "doc_id")
         sliced = rows.repartitionByRange("order", "comp", "place").sortWithinPartitions("order", "comp", "place").select("doc_id", "text", F.xxhash64("order", "comp").alias("part"))
-        found.append(sliced.mapInArrow(lambda b: confirm_slices(b, percent), "a long, b long"))
+        first = stored(sliced.mapInArrow(lambda b: confirm_slices(b, percent), "a long, b long").distinct(), "near-slices")
+        found.append(first)
+        groups = components(first).select(F.col("node").alias("rep"), F.col("comp").alias("grp"))
+        grouped = sized.join(large, "comp").select("rep", "comp").join(groups, "rep", "left").select("rep", "comp", F.coalesce("grp", "rep").alias("grp")).distinct()
+        most = grouped.groupBy("comp", "grp").agg(F.count("*").alias("m")).groupBy("comp").agg(F.max_by("grp", F.struct("m", "grp")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
+        unsettled = grouped.join(most, "comp").select(F.col("rep").alias("doc_id"), "rep", "comp", "grp", (F.col("grp") != F.col("most")).alias("outside"))
+        sets = stored(large_sets(unsettled.join(texts, "doc_id")), "near-large-sets")
+        if not sets.isEmpty():
+            found.append(joined_groups(sets, percent))
 
     # Rows with one id are one document, whatever their texts.
     own = named.select("doc_id", "set_key").join(classes.select("set_key", "rep"), "set_key")
