@@ -102,6 +102,24 @@ def test_linked_pairs_far_apart_in_a_block_too_large_for_a_task(spark, monkeypat
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_neighbours_in_a_dense_region(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "DENSE", 4)
+    rng = np.random.default_rng(5)
+    docs, feats = [], []
+    # All share the first tree's prefix and little else; the two of a pair differ in one row of each tree, in the first one behind its prefix.
+    for i in range(150):
+        one = rng.integers(0, 2**16, near_duplicates.ROWS).astype(np.uint16)
+        one[: near_duplicates.DEPTH] = 7
+        other = one.copy()
+        other[near_duplicates.DEPTH :: near_duplicates.DEPTH] += 1
+        for k, sig in enumerate((one, other)):
+            docs.append((2 * i + k, " ".join([f"w{i}_{j}" for j in range(60)] + [f"end{k}"])))
+            feats.append((2 * i + k, 57, bytes([i, k]), sig.tobytes()))
+    monkeypatch.setattr(near_duplicates, "features", lambda _: spark.createDataFrame(feats, "doc_id long, n_shingles long, set_key binary, sig binary"))
+    got = near_duplicates.resolve(spark.createDataFrame(docs, "doc_id long, text string"), 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in docs}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r["node"]: r["comp"] for r in components.components(edges).collect()}

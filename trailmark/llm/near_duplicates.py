@@ -1,8 +1,9 @@
 """MinHash near-duplicates with an LSH forest, confirmed on full shingle sets.
 
 Documents with equal sets are one class at once. Each class has a signature; a tree of the forest orders classes by its own
-rows of the signature, and classes that share the tree's first DEPTH rows are neighbours. Where such a region of a tree is
-dense, its depth grows. Neighbours whose signatures agree well enough are put into one block. Then each block gets its
+rows of the signature, and classes that share the tree's first DEPTH rows are neighbours. Neighbours whose signatures
+agree well enough are put into one block. Where such a region of a tree is dense, it is split into parts that share some
+leaders; then whatever isn't in the region's largest component is compared with all of the region. Then each block gets its
 texts once, and every pair within it that could pass is decided on the full sets; links are searched, not sampled, until
 the block's components are known. Blocks too large for one task are first read in several sorted signature orders, in
 slices, which links most of what belongs together; every pair that could join two of the groups left is then decided by a
@@ -31,8 +32,9 @@ from .components import components
 
 SHINGLE, DEPTH, TREES = 5, 4, 24
 ROWS = DEPTH * TREES
-#: Members of a region from which the tree goes deeper there.
+#: Members of a region, or of one part of it, that one task compares; and members that are in all parts, about.
 DENSE = 4_000
+LEADERS = 16
 #: Shingles of a block that one task takes.
 BLOCK_SHINGLES = 6_000_000
 ORDERS = 4
@@ -125,8 +127,6 @@ def regions(classes: DataFrame) -> DataFrame:
                 key = np.zeros(prefix.shape[:2], np.uint64) + np.arange(TREES, dtype=np.uint64)
                 for i in range(DEPTH):
                     key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + prefix[:, :, i])
-                # Eight bits tell the tree, for where a dense region has to look on.
-                key = (key << np.uint64(8)) | np.arange(TREES, dtype=np.uint64)
                 reps = np.repeat(batch.column("rep").to_numpy(), TREES)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(reps)], ["bucket", "rep"])
 
@@ -182,6 +182,48 @@ def block_edges(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found).T.copy()], ["a", "b"])
 
 
+def part_edges(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Of the members of a part and the outsiders that are held against it: edges between components that are alike."""
+    for table in runs(batches, "key"):
+        outside = table["outside"].to_numpy()
+        rep, comp, sigs = table["rep"].to_numpy(), table["comp"].to_numpy(), matrix(table["sig"].combine_chunks(), np.uint16)
+        part = np.flatnonzero(~outside)
+        now = np.unique(comp, return_inverse=True)[1]
+        found = []
+        for i in np.flatnonzero(outside):
+            left = part[now[part] != now[i]]
+            for j in left[(sigs[left] == sigs[i]).sum(1) >= least]:
+                if now[j] != now[i]:
+                    found.append((rep[i], rep[j]))
+                    now[now == now[j]] = now[i]
+        yield from pairs(found)
+
+
+def neighbours(members: DataFrame, least: int, some_dense: bool) -> DataFrame:
+    """Edges a, b that give the components of what is alike in each region (bucket, n of its members, rep, sig);
+    some_dense: whether any n is above DENSE."""
+    parts = F.ceil(F.col("n") / DENSE)
+    dealt = F.pmod(F.xxhash64("rep"), parts)
+    leads = F.pmod(F.xxhash64("rep", "bucket"), "n") < LEADERS
+    at = F.explode(F.when(leads, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(dealt)))
+    rows = members.select("bucket", "rep", "sig", at.alias("part")).select(F.xxhash64("bucket", "part").alias("key"), "rep", "sig")
+    edges = rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(lambda b: block_edges(b, least), "a long, b long").distinct()
+    if not some_dense:
+        return edges
+    edges = stored(edges, "near-edges")
+    known = components(edges).withColumnRenamed("node", "rep")
+    dense = stored(members.where(F.col("n") > DENSE).join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "near-dense")
+    sizes = dense.groupBy("bucket", "comp").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), (F.sum("m") - F.max("m")).alias("out")).where("out > 0")
+    rows = dense.join(sizes, "bucket")
+    # Tiles of outsiders by parts of all members: every pair with an outsider is in one of them.
+    tiles = F.ceil(F.col("out") / DENSE)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    inside = rows.select("bucket", "rep", "comp", "sig", F.lit(False).alias("outside"), dealt.alias("part"), each(tiles).alias("tile"))
+    outside = rows.where("comp != most").select("bucket", "rep", "comp", "sig", F.lit(True).alias("outside"), each(parts).alias("part"), F.pmod(F.xxhash64("rep"), tiles).alias("tile"))
+    met = inside.unionByName(outside).select(F.xxhash64("bucket", "part", "tile").alias("key"), "rep", "comp", "sig", "outside")
+    return edges.unionByName(met.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(lambda b: part_edges(b, least), "a long, b long"))
+
+
 def verified(sets: list[np.ndarray], percent: int) -> list[int]:
     """For each set the root of its component under links on full sets; every pair that could join two components is decided."""
     parent = list(range(len(sets)))
@@ -342,18 +384,14 @@ def resolve(docs: DataFrame, percent: int = 85) -> DataFrame:
     named = feats.where("n_shingles > 0 and doc_id is not null")
     classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig")), "near-classes")
 
-    # Regions with more than one class; the deeper the denser they are.
+    # Regions with more than one class.
     where = regions(classes)
-    counts = where.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = where.join(counts, "bucket").join(classes.select("rep", "sig"), "rep")
-    tree = F.pmod("bucket", F.lit(256))
-    wide = lambda k: F.substring(F.concat("sig", "sig"), (tree * 2 * DEPTH + 1 + 2 * DEPTH).cast("int"), F.lit(2 * k))
-    deep = F.when(F.col("n") <= DENSE, F.lit(b"")).when(F.col("n") <= DENSE * 50, wide(2)).when(F.col("n") <= DENSE * 2500, wide(6)).otherwise(wide(16))
-    members = members.select(F.xxhash64("bucket", deep).alias("key"), "rep", "sig")
+    counts = stored(where.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-regions")
+    members = where.join(counts, "bucket").join(classes.select("rep", "sig"), "rep").select("bucket", "n", "rep", "sig")
     # Five standard errors below the threshold's expected number of agreeing rows.
     t = percent / 100
     least = int(ROWS * (t - 5 * (t * (1 - t) / ROWS) ** 0.5))
-    edges = members.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(lambda b: block_edges(b, least), "a long, b long").distinct()
+    edges = neighbours(members, least, not counts.where(F.col("n") > DENSE).isEmpty())
     blocks = components(edges)
 
     # Texts meet in their blocks; of blocks too large for a task, in several sorted orders.
