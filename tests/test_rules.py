@@ -140,3 +140,23 @@ def test_a_clock_that_drifts_is_anchored_anew(spark):
     rows = [("a", i * 100_000 + (900_000 if i >= 5 else 0), i * 9000, i == 0, 1) for i in range(10)]
     [one] = ordered.recorded(spark.createDataFrame(rows, "camera_id string, arrived_us long, ts90 long, key_frame boolean, size long"), 60).collect()
     assert (one["started_us"], one["ended_us"], one["n"]) == (0, 1_900_000, 10)
+
+
+def test_clip_rows_against_brute_force_and_for_every_event(spark, sf_dir):
+    import __spark_entry__
+
+    at = lambda hours: dt.datetime(2024, 1, 1) + dt.timedelta(hours=hours)
+    frames = [("a", at(h), h % 9 == 4) for h in range(0, 200, 5)] + [("b", at(7), False), ("c", None, True)]
+    windows = [(k, 100 * n + h, at(h), at(h + 30)) for n, k in enumerate("abcd") for h in (-60, 0, 4, 5, 40, 41, 190, 400)] + [("a", 999, None, None)]
+    f = spark.createDataFrame(frames, "k string, at timestamp_ntz, key_frame boolean")
+    w = spark.createDataFrame(windows, "k string, window_id long, from_at timestamp_ntz, to_at timestamp_ntz")
+    want = {}
+    for k, i, start, end in windows:
+        own = [(t, key) for x, t, key in frames if x == k]
+        if own:
+            keys = [t for t, key in own if key and t]
+            early = [t for t in keys if start and t <= start]
+            want[k, i] = (max(early) if early else min(keys, default=None), max((t for t, _ in own if t and end and t <= end), default=None))
+    assert {(r["k"], r["window_id"]): (r["first_at"], r["last_at"]) for r in ordered.clip_rows(f, w, "k").collect()} == want
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert __spark_entry__.queries()["wn_clip_rows_all"](spark, sf_dir).count() == events

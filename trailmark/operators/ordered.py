@@ -130,13 +130,26 @@ def nearest_rank(rows: DataFrame, key: str, value: str, percent: int = 95) -> Da
     return ranked.groupBy(key).agg(F.avg(value).alias("mean"), F.max(F.when(F.col("__i") == at, F.col(value))).alias("p"), F.count("*").alias("n"))
 
 
-def clip_rows(frames: DataFrame, windows: DataFrame, key: str) -> DataFrame:
+def clip_rows(frames: DataFrame, windows: DataFrame, key: str, slot: str = "day") -> DataFrame:
     """For each window (from_at, to_at) of a key: the last key frame at or before it begins, else the first one there is,
-    and the last frame within it."""
-    both = frames.join(windows, key)
-    early = F.col("key_frame") & (F.col("at") <= F.col("from_at"))
-    first = F.coalesce(F.max(F.when(early, F.col("at"))), F.min(F.when(F.col("key_frame"), F.col("at"))))
-    return both.groupBy(key, "window_id").agg(first.alias("first_at"), F.max(F.when(F.col("at") <= F.col("to_at"), F.col("at"))).alias("last_at"))
+    and the last frame within it; keys without frames have no rows.
+
+    Frames and the bounds of windows are put in one order by time. Each slot of a key is ordered for itself, and what the
+    slots before it had last comes from one row a slot, so a key with most of the rows is dealt out by time."""
+    slot_of = F.date_trunc(slot, "at").alias("slot")
+    rows = frames.select(key, "at", slot_of, F.lit(0).alias("kind"), F.lit(None).cast("long").alias("window_id"), F.coalesce("key_frame", F.lit(False)).alias("key_frame"))
+    for kind, bound in ((1, "from_at"), (2, "to_at")):
+        rows = rows.unionByName(windows.select(key, F.col(bound).alias("at"), F.lit(kind).alias("kind"), F.col("window_id").cast("long").alias("window_id"), F.lit(False).alias("key_frame")).select(key, "at", slot_of, "kind", "window_id", "key_frame"))
+    at_frame, at_key = F.when(F.col("kind") == 0, F.col("at")), F.when(F.col("key_frame"), F.col("at"))
+    # Frames come before bounds of the same time.
+    within = Window.partitionBy(key, "slot").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = rows.groupBy(key, "slot").agg(F.max(at_frame).alias("__f"), F.max(at_key).alias("__k"), F.min(at_key).alias("__least"), F.count_if(F.col("kind") == 0).alias("__frames"))
+    carried = slots.select(F.col(key).alias("__key"), F.col("slot").alias("__slot"), F.max("__f").over(before).alias("__f"), F.max("__k").over(before).alias("__k"), F.min("__least").over(Window.partitionBy(key)).alias("__least"), F.sum("__frames").over(Window.partitionBy(key)).alias("__frames"))
+    seen = rows.withColumn("frame", F.last(at_frame, ignorenulls=True).over(within)).withColumn("keyed", F.last(at_key, ignorenulls=True).over(within)).where("kind > 0")
+    known = seen.join(carried, (F.col(key) == F.col("__key")) & F.col("slot").eqNullSafe(F.col("__slot"))).where("__frames > 0")
+    first = F.coalesce(F.max(F.when((F.col("kind") == 1) & F.col("at").isNotNull(), F.coalesce("keyed", "__k"))), F.max("__least"))
+    return known.groupBy(key, "window_id").agg(first.alias("first_at"), F.max(F.when((F.col("kind") == 2) & F.col("at").isNotNull(), F.coalesce("frame", "__f"))).alias("last_at"))
 
 
 def merged_recordings(updates: DataFrame) -> DataFrame:

@@ -109,8 +109,19 @@ def ag_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select user_id, window_id, coalesce(max(ts) filter (where key_frame and ts <= from_at), min(ts) filter (where key_frame)) as first_at, max(ts) filter (where ts <= from_at + interval 2 day) as last_at from (select user_id, ts, event_type = 'view' as key_frame from events) join (select user_id, event_id as window_id, ts as from_at from events where event_id % 50 = 0) using (user_id) group by user_id, window_id")
 def wn_clip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
+    return _clip_rows(e, e.where("event_id % 50 = 0"))
+
+
+@query("select user_id, window_id, coalesce((select max(ts) from events f where f.user_id = w.user_id and event_type = 'view' and ts <= from_at), (select min(ts) from events f where f.user_id = w.user_id and event_type = 'view')) as first_at, (select max(ts) from events f where f.user_id = w.user_id and ts <= from_at + interval 2 day) as last_at from (select user_id, event_id as window_id, ts as from_at from events) w")
+def wn_clip_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As wn_clip_rows, with every event as a window."""
+    e = read(spark, sf_dir, "events")
+    return _clip_rows(e, e)
+
+
+def _clip_rows(e: DataFrame, of: DataFrame) -> DataFrame:
     frames = e.select("user_id", F.col("ts").alias("at"), (F.col("event_type") == "view").alias("key_frame"))
-    windows = e.where("event_id % 50 = 0").select("user_id", F.col("event_id").alias("window_id"), F.col("ts").alias("from_at"), F.expr("ts + interval 2 days").alias("to_at"))
+    windows = of.select("user_id", F.col("event_id").alias("window_id"), F.col("ts").alias("from_at"), F.expr("ts + interval 2 days").alias("to_at"))
     return ordered.clip_rows(frames, windows, "user_id")
 
 
