@@ -160,3 +160,11 @@ def test_clip_rows_against_brute_force_and_for_every_event(spark, sf_dir):
     assert {(r["k"], r["window_id"]): (r["first_at"], r["last_at"]) for r in ordered.clip_rows(f, w, "k").collect()} == want
     events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     assert __spark_entry__.queries()["wn_clip_rows_all"](spark, sf_dir).count() == events
+
+
+def test_spots_of_the_whole_page_of_marks(spark, sf_dir):
+    import __spark_entry__
+
+    base = sf_dir.rsplit("/", 1)[0] + "/sf0.01"
+    few, page = ({r["id"] for r in __spark_entry__.queries()[name](spark, base).collect()} for name in ("jn_newest_marked_spot", "jn_newest_marked_spot_page"))
+    assert few < page

@@ -23,6 +23,12 @@ def jn_newest_marked_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.in_marked_spot(sightings(spark, sf_dir), newest=5)
 
 
+@query(f"select distinct a.id, a.camera_id from sightings a, (select *, row_number() over (partition by camera_id order by id desc) as r from sightings where feedback = 'nothing') b where b.r <= 500 and a.camera_id = b.camera_id and a.id <> b.id and {IOU} >= 0.5", SIGHTINGS)
+def jn_newest_marked_spot_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As jn_newest_marked_spot, with the whole page of the newest 500 marks."""
+    return joins.in_marked_spot(sightings(spark, sf_dir), newest=500)
+
+
 @query("select id, segment_id from (select e.id, g.segment_id, row_number() over (partition by e.id order by seg_start desc, segment_id desc) as r from sightings e join segments g on e.camera_id = g.camera_id and e.started_at >= seg_start - interval 2 second and e.started_at <= seg_end + interval 2 second) where r = 1", SIGHTINGS, SEGMENTS)
 def jn_recording_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.containing(sightings(spark, sf_dir), segments(spark, sf_dir))
