@@ -147,11 +147,38 @@ def test_pieces_equal_the_library(spark, docs):
     assert pieces.encode(table.limit(0), model).count() == 0
 
 
+def test_pieces_in_small_chunks_and_dealt_buckets(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = [*TEXTS, "x" * 200_000 + " é" * 70_000, " ".join(f"word{i}" for i in range(3000)), *TEXTS[5:8]]
+    table = spark.createDataFrame([(i % 9, t, i, "clash", -i) for i, t in enumerate(texts)], "doc_id long, text string, n long, ids string, unit long")
+    got = pieces.encode(table, pieces.load(), ("doc_id", "n"), pieces.Limits(chunk_units=40, chunk_places=500, bucket_entries=0.01)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r["doc_id"] == r["n"] % 9
+        assert r["ids"] == library.encode(texts[r["n"]] or "")
+        assert r["exact"]
+
+
+def test_models_that_are_not_supported_are_refused(tmp_path):
+    text = lambda n, b: bytes([n << 3 | 2, len(b)]) + b
+    number = lambda n, v: bytes([n << 3, v])
+    piece = text(1, text(1, b"a") + number(3, 1))
+    plain = text(3, number(4, 0))
+    (tmp_path / "plain").write_bytes(piece + text(2, number(3, 2)) + plain)
+    assert pieces.load(str(tmp_path / "plain")).kind == pieces.BPE
+    for i, bad in enumerate((piece + text(3, number(4, 1)), piece + text(3, text(2, b"map") + number(4, 0)), text(1, text(1, b"u") + number(3, 4)) + plain)):
+        (tmp_path / str(i)).write_bytes(bad)
+        with pytest.raises(ValueError):
+            pieces.load(str(tmp_path / str(i)))
+
+
 def test_folds_agree_in_spark_and_python(spark):
     bpe = pieces.load()
     units = ["▁Hello", "▁the", "ation", "x", "▁▁▁▁", "▁internationalization", "-----", "aaaaaaa"]
-    got = {r["unit"]: r["ids"] for r in pieces.folded(pieces.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), bpe), bpe).collect()}
-    assert got == {u: pieces.merge(u, bpe) for u in units}
+    fold = lambda units, model: {r["unit"]: pieces.pieces_of(r["unit"], r["cuts"], model) for r in pieces.folded(pieces.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), model), model).collect()}
+    assert fold(units, bpe) == {u: pieces.merge(u, bpe) for u in units if u != "x"}
     toy = {"▁": -4.0, "a": -3.0, "b": -3.2, "ab": -4.5, "▁a": -5.0, "ba": -4.0, "aba": -8.0, "▁ab": -6.5}
     model = pieces.Model(pieces.UNIGRAM, {p: (s, i) for i, (p, s) in enumerate(toy.items())}, None, 99, [p.replace("▁", " ").encode() for p in toy])
 
@@ -162,7 +189,7 @@ def test_folds_agree_in_spark_and_python(spark):
         return max(ways, key=lambda w: w[0])
 
     units = ["▁abab", "ba", "▁a", "abbaab", "b"]
-    got = {r["unit"]: r["ids"] for r in pieces.folded(pieces.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), model), model).collect()}
+    got = fold(units, model)
     for u in units:
         for ids in (got[u], pieces.best_path(u, model)):
             named = [list(toy)[i] for i in ids]

@@ -19,22 +19,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (a local run, a test) is one made here."""
+    """The folder that driver and executors share. Only where a local session names none (a test) is one made here."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="trailmark-", dir=os.environ.get("TRAILMARK_TMP"))
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Paths of the tables written by stored() and not discarded yet.
+written: list[str] = []
+
+
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written once as Parquet to the shared folder and read back: later steps don't compute it again, and an executor's loss costs them nothing."""
     spark = df.sparkSession
     at = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.parquet(at, compression=compression)
+    written.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of stored() that nothing will read any more."""
+    for at in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        written.remove(at)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else."""
     return F.translate(text, UPPER, LOWER)

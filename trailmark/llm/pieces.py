@@ -1,18 +1,24 @@
 """SentencePiece encoding and decoding with a given model.
 
-A text becomes units that no piece crosses: a run of blanks with what follows it up to the next blank. The lattice is
-relational: the units that make up most of the corpus are exploded into substrings no longer than the longest piece,
+A text becomes units that no piece crosses: a run of blanks with a run of letters of one kind, where two letters are of one
+kind if a piece has them side by side. Documents are cut once, in chunks with a dictionary of units each. All distinct
+units of the corpus then pass a relational lattice: they are exploded into substrings no longer than the longest piece,
 joined to the piece table, grouped by unit into edges, and folded into pieces by Spark's higher-order aggregate. For a
 unigram model the fold is Viterbi's best path. In a BPE model scores are merge ranks, and the path with the best sum isn't
 what such a model means; its fold merges the best-scored edge that spans two neighbours (the leftmost of equals) until
 none is left, which gives the ids that the model's own library gives.
 
-The folded units are a table of bounded size that goes to all tasks. Each task encodes documents with it, and folds the
-units that are too rare, too long or hold characters without a piece by the same rule as it meets them.
+Dictionaries travel as packed lists of units by hash bucket, so that what is shuffled is a part of the text. The folded
+units come back to the chunks' dictionaries, bucket by bucket, and each chunk's documents are put together from its own
+dictionary. Nothing of this passes the driver, and no step depends on how large the corpus is. Only a unit that holds a
+character without a piece (it is a unit of its own), no piece of two characters, or more than LONGEST_UNIT characters is
+folded by the same rule in Python, where the folded units come back.
 
 Cases: null and empty texts have no ids; characters without a piece become byte pieces, or the unknown piece in a model
 without those; U+2581 in a text reads as a blank, as in the library; long texts and units count whole (merging n characters
-takes n log n steps); repeated rows give repeated results. Extra columns are kept only where keep names them.
+takes n log n steps); repeated rows give repeated results; an empty table gives no rows. Extra columns are kept only where
+keep names them. Models with a character map, with white space removed or as suffix, with user-defined or unused pieces
+aren't read: load() raises.
 """
 
 from __future__ import annotations
@@ -20,29 +26,41 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from .common import stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
-#: The table of folded units has at most so many units of at most so many characters.
-MOST_UNITS, LONGEST_UNIT = 300_000, 24
-#: Units that a task remembers besides.
-REMEMBERED = 100_000
-#: Documents that a task holds as text and ids at once.
+#: Cuts of a unit of so many characters are the bits of a long.
+LONGEST_UNIT = 61
+#: Buckets of units by hash.
+BUCKETS = 2048
+#: Documents that a task holds as text or ids at once.
 TOGETHER = 250
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Units of a chunk's dictionary, and their places in its documents, at which the next chunk begins; and entries of
+    dictionaries that one group of a bucket takes. They bound the memory of tasks and change no result."""
+
+    chunk_units: int = 250_000
+    chunk_places: int = 6_000_000
+    bucket_entries: float = 500_000
+
+
 @dataclass
 class Model:
     """The pieces that text can match, with scores and ids; ids of single bytes; every id's bytes for decoding."""
@@ -54,19 +72,34 @@ class Model:
     raw: list[bytes]
     prefix: bool = True
     longest: int = field(init=False)
-    separators: str = field(init=False)
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.pieces), default=1)
-        inside = {c for p in self.pieces if len(p) > 1 for c in p}
         if any(BLANK in p.lstrip(BLANK) for p in self.pieces):
             raise ValueError("a piece crosses from a word into the next")
-        self.separators = "".join(c for c in "\n\t\v\f" if c not in inside)
+
+    def kinds(self) -> list[str]:
+        """The characters that pieces have side by side, in groups none of whose characters is beside one of another group."""
+        kind: dict[str, str] = {}
+
+        def top(c: str) -> str:
+            while kind.setdefault(c, c) != c:
+                kind[c] = c = kind[kind[c]]
+            return c
+
+        for piece in self.pieces:
+            said = piece.lstrip(BLANK)
+            for a, b in zip(said, said[1:], strict=False):
+                kind[top(a)] = top(b)
+        groups: dict[str, list[str]] = {}
+        for c in sorted(kind):
+            groups.setdefault(top(c), []).append(c)
+        return ["".join(g) for g in groups.values()]
 
     def pattern(self) -> str:
         """A regular expression for the units of a text with marked blanks."""
-        cut = "".join(map(re.escape, self.separators))
-        return f"{BLANK}+[^{BLANK}{cut}]*|[^{BLANK}{cut}]+" + (f"|[{cut}]" if cut else "")
+        one_kind = "".join(f"[{re.escape(g)}]+|" for g in sorted(self.kinds(), key=len, reverse=True))
+        return f"(?s:{BLANK}*(?:{one_kind}[^{BLANK}])|{BLANK}+)"
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -103,7 +136,9 @@ def load(path: str = MODEL) -> Model:
         if number == 1:
             own = dict(_fields(value))
             text, score, what = own[1].decode(), struct.unpack("<f", own.get(2, b"\0\0\0\0"))[0], own.get(3, normal)
-            if what in (normal, user_defined, unused):
+            if what in (user_defined, unused):
+                raise ValueError("user-defined and unused pieces are not supported")
+            if what == normal:
                 pieces[text] = (score, len(raw))
             if what == byte:
                 byte_ids[int(text[3:5], 16)] = len(raw)
@@ -111,9 +146,15 @@ def load(path: str = MODEL) -> Model:
                 unknown = len(raw)
             raw.append(bytes([int(text[3:5], 16)]) if what == byte else b"" if what == control else " ⁇ ".encode() if what == unknown_kind else text.replace(BLANK, " ").encode())
         elif number == 2:
-            kind = dict(_fields(value)).get(3, UNIGRAM)
+            trained = dict(_fields(value))
+            kind = trained.get(3, UNIGRAM)
+            if trained.get(24, 0):
+                raise ValueError("blanks as suffixes are not supported")
         elif number == 3:
-            prefix = bool(dict(_fields(value)).get(3, 1))
+            normalizer = dict(_fields(value))
+            prefix = bool(normalizer.get(3, 1))
+            if normalizer.get(2) or normalizer.get(4, 1) or not normalizer.get(5, 1):
+                raise ValueError("character maps, removed white space and unmarked blanks are not supported")
     if kind not in (UNIGRAM, BPE):
         raise ValueError("only unigram and BPE models are folded")
     return Model(kind, pieces, [byte_ids[i] for i in range(256)] if len(byte_ids) == 256 else None, unknown, raw, prefix)
@@ -171,124 +212,226 @@ def best_path(unit: str, model: Model) -> list[int]:
     return ids
 
 
-def unit_counts(docs: DataFrame, model: Model) -> DataFrame:
-    """unit, n over all documents."""
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers of up to 32 bits, all lowest bytes first, then all second ones and so on, compressed."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
+class Places(dict):
+    """The units met so far, numbered in order of appearance."""
+
+    def __missing__(self, unit: str) -> int:
+        found = self[unit] = len(self)
+        return found
+
+
+def bucket_of(unit: str) -> int:
+    return zlib.crc32(unit.encode()) % BUCKETS
+
+
+def cut(docs: DataFrame, model: Model, keep: tuple[str, ...], limits: Limits) -> DataFrame:
+    """One row for each document (keep, __chunk, __cut: its units' numbers), for each chunk (__order: the buckets of its
+    units by number), and for each bucket of its units (__bucket, __units: those units in order, __n of them)."""
     find = re.compile(model.pattern()).findall
+    inner = StructType([StructField(f.name, f.dataType) for f in docs.select(*keep).schema])
+    schema = StructType(list(inner)).add("__chunk", "long").add("__cut", "binary").add("__order", "binary").add("__bucket", "integer").add("__units", "string").add("__n", "integer")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[str] = Counter()
-        give = lambda: pa.RecordBatch.from_pydict({"unit": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())})
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    found.update(find(marked(text, model)))
-                if len(found) > 200_000:
-                    yield give()
-                    found.clear()
-        yield give()
-
-    return docs.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-
-
-def frequent(counts: DataFrame) -> DataFrame:
-    """unit: the most frequent units of LONGEST_UNIT characters or fewer, MOST_UNITS at most. counts is read twice."""
-    short = counts.where(F.length("unit") <= LONGEST_UNIT)
-    # How many units have a count, by eighths of its power of two: a few hundred rows.
-    step = lambda c: F.floor(F.log2(c) * 8).cast("int")
-    left, least = MOST_UNITS, 10**6
-    for row in sorted(short.groupBy(step("n").alias("s")).count().collect(), reverse=True):
-        if row["count"] > left:
-            break
-        left, least = left - row["count"], row["s"]
-    return short.where(step("n") >= least).select("unit")
-
-
-def lattice(units: DataFrame, model: Model) -> DataFrame:
-    """unit, n_chars, edges: a map from start * 64 + length to (score, id), for units whose every character has a piece."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, places, used = TaskContext.get().partitionId() << 32, Places(), 0
+        none = lambda n, kind: pa.nulls(n, kind)
+
+        def dictionary(kept: pa.Schema) -> pa.RecordBatch:
+            units: dict[int, list[str]] = {}
+            order = np.fromiter(map(bucket_of, places), np.int32, len(places))
+            for unit, b in zip(places, order.tolist(), strict=True):
+                units.setdefault(b, []).append(unit)
+            # Units hold no blank, which is marked.
+            said = [" ".join(u) for u in units.values()]
+            n = 1 + len(units)
+            lists = [[packed(order), *[None] * len(units)], [None, *units], [None, *said], [None, *map(len, units.values())]]
+            columns = [pa.array(x, k) for x, k in zip(lists, (pa.binary(), pa.int32(), pa.string(), pa.int32()), strict=True)]
+            return pa.RecordBatch.from_arrays([*(none(n, f.type) for f in kept), pa.array([chunk] * n, pa.int64()), none(n, pa.binary()), *columns], schema.names)
+
+        kept = None
+        for batch in (whole.slice(lo, TOGETHER) for whole in batches for lo in range(0, whole.num_rows, TOGETHER)):
+            kept = pa.schema([batch.schema.field(k) for k in keep])
+            cuts = []
+            for text in batch.column("__text").to_pylist():
+                found = find(marked(text, model)) if text else []
+                used += len(found)
+                cuts.append(packed(np.fromiter(map(places.__getitem__, found), np.uint32, len(found))))
+            n = len(cuts)
+            rest = [none(n, k) for k in (pa.binary(), pa.int32(), pa.string(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([chunk] * n, pa.int64()), pa.array(cuts, pa.binary()), *rest], schema.names)
+            if len(places) >= limits.chunk_units or used >= limits.chunk_places:
+                yield dictionary(kept)
+                chunk, places, used = chunk + 1, Places(), 0
+        if kept is not None:
+            yield dictionary(kept)
+
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+
+
+def lattice(units: DataFrame, model: Model, within: tuple[str, ...] = ()) -> DataFrame:
+    """within, unit, n_chars, edges: the pieces found in each unit, for units whose every character has a piece. Of an edge
+    the key holds the rank of its score, its start and its length, so that better edges, and of equals the leftmost, come
+    first. A BPE fold needs no edges of one character; units without longer ones are left out there, having nothing to fold.
+
+    within: columns by which the units lie together already; grouping by them and the unit doesn't shuffle again."""
     spark = units.sparkSession
-    table = spark.createDataFrame([(p, s, i) for p, (s, i) in model.pieces.items()], "piece string, score double, id int")  # bounded: the model's vocabulary
-    # One deal of the units; their substrings stay where they are until they are grouped.
-    at = units.repartition(4 * spark.sparkContext.defaultParallelism, "unit").select("unit", F.length("unit").alias("n_chars"), F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
-    at = at.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n_chars") - F.col("start")))).alias("size"))
+    rank = {s: r for r, s in enumerate(sorted({s for s, _ in model.pieces.values()}, reverse=True))}
+    least = 2 if model.kind == BPE else 1
+    rows = [(p, s, rank[s] << 12 | len(p)) for p, (s, _) in model.pieces.items() if len(p) >= least]
+    table = spark.createDataFrame(rows, "piece string, score double, key long")  # bounded: the model's vocabulary
+    letters = "".join(p for p in model.pieces if len(p) == 1)
+    whole = units.where((F.length("unit") <= LONGEST_UNIT) & (F.translate("unit", letters, "") == ""))
+    at = whole.select(*within, "unit", F.length("unit").alias("n_chars"), F.explode(F.sequence(F.lit(0), F.greatest(F.length("unit") - least, F.lit(0)))).alias("start"))
+    sizes = F.expr(f"sequence({least}, greatest({least}, least({model.longest}, n_chars - start)))")
+    at = at.select(*within, "unit", "n_chars", "start", F.explode(sizes).alias("size"))
     at = at.withColumn("piece", F.expr("substring(unit, start + 1, size)"))
-    edges = at.join(F.broadcast(table), "piece")
-    entry = F.struct((F.col("start") * 64 + F.col("size")).alias("key"), F.struct("score", "id").alias("value"))
-    grouped = edges.groupBy("unit", "n_chars").agg(F.map_from_entries(F.collect_list(entry)).alias("edges"), F.count_if(F.col("size") == 1).alias("singles"))
-    return grouped.where(F.col("singles") == F.col("n_chars")).drop("singles")
+    edges = at.join(F.broadcast(table), "piece").withColumn("key", F.col("key") + F.col("start").cast("long") * 64)
+    edge = F.col("key") if model.kind == BPE else F.struct("key", "score")
+    return edges.groupBy(*within, "unit").agg(F.first("n_chars").alias("n_chars"), F.collect_list(edge).alias("edges"))
 
 
 def folded(edges: DataFrame, model: Model) -> DataFrame:
-    """unit, ids: the lattice of each unit folded into its pieces."""
-    over = lambda a, b: F.try_element_at("edges", a * 64 + b - a)
+    """edges' other columns, unit, cuts: the lattice of each unit folded into its pieces. Where they begin and end are the bits
+    of a long."""
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
+    start = lambda key: F.shiftright(key, 6).bitwiseAND(63).cast("int")
+    size = lambda key: key.bitwiseAND(63).cast("int")
+    others = [c for c in edges.columns if c not in ("n_chars", "edges")]
+
+    def spanned(key: Column) -> Column:
+        """The edge's ends, and these with everything between them, as bits."""
+        ends = F.call_function("shiftleft", bit(size(key)) + 1, start(key))
+        whole = F.call_function("shiftleft", bit(size(key) + 1) - 1, start(key))
+        return F.struct(ends.alias("ends"), whole.alias("whole"))
 
     def merge_step(cuts: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), lambda i: F.struct(over(F.get(cuts, i), F.get(cuts, i + 2))["score"].alias("score"), (-i).alias("i")))
-        best = F.array_max(F.filter(pairs, lambda p: p["score"].isNotNull()))
-        gone = F.coalesce(1 - best["i"], F.lit(-1))
-        return F.when(F.size(cuts) < 3, cuts).otherwise(F.filter(cuts, lambda c, j: j != gone))
+        """The first edge over two neighbours loses the cut between them."""
+        fits = lambda e: (F.bit_count(cuts.bitwiseAND(e["whole"])) == 3) & (cuts.bitwiseAND(e["ends"]) == e["ends"])
+        first = F.get(F.filter("spans", fits), F.lit(0))
+        return F.coalesce(cuts - cuts.bitwiseAND(first["whole"] - first["ends"]), cuts)
 
     def path_step(best: Column, end: Column) -> Column:
         """best: for each end so far (score, cuts up to it)."""
-        ways = F.transform(F.sequence(F.lit(0), end - 1), lambda at: F.struct((F.get(best, at)["score"] + over(at, end)["score"]).alias("score"), (-at).alias("at")))
-        top = F.array_max(F.filter(ways, lambda w: w["score"].isNotNull()))
-        return F.concat(best, F.array(F.struct(top["score"].alias("score"), F.concat(F.get(best, -top["at"])["cuts"], F.array(end)).alias("cuts"))))
+        ways = F.transform(F.filter("edges", lambda e: start(e["key"]) + size(e["key"]) == end), lambda e: F.struct((F.get(best, start(e["key"]))["score"] + e["score"]).alias("score"), (-start(e["key"])).alias("at")))
+        top = F.array_max(ways)
+        return F.concat(best, F.array(F.struct(top["score"].alias("score"), (F.get(best, -top["at"])["cuts"] + bit(end)).alias("cuts"))))
 
     ends = F.sequence(F.lit(1), F.col("n_chars"))
     if model.kind == BPE:
-        cuts = F.aggregate(F.slice(ends, 1, F.col("n_chars") - 1), F.sequence(F.lit(0), F.col("n_chars")), merge_step)
+        edges = edges.select(*others, "n_chars", F.transform(F.sort_array("edges"), spanned).alias("spans"))
+        cuts = F.aggregate(F.slice(ends, 2, LONGEST_UNIT), bit(F.col("n_chars") + 1) - 1, merge_step)
     else:
-        cuts = F.element_at(F.aggregate(ends, F.array(F.struct(F.lit(0.0).alias("score"), F.array(F.lit(0)).alias("cuts"))), path_step), -1)["cuts"]
-    rows = edges.withColumn("cuts", cuts)
-    ids = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda i: over(F.get("cuts", i), F.get("cuts", i + 1))["id"])
-    return rows.select("unit", ids.alias("ids"))
+        begin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("cuts")))
+        cuts = F.element_at(F.aggregate(ends, begin, path_step), -1)["cuts"]
+    return edges.select(*others, cuts.alias("cuts"))
+
+
+def pieces_of(unit: str, cuts: int, model: Model) -> list[int]:
+    """The ids of the pieces between the cuts."""
+    at = [i for i in range(len(unit) + 1) if cuts >> i & 1]
+    return [model.pieces[unit[a:b]][1] for a, b in zip(at, at[1:], strict=False)]
 
 
-_tables: dict[int, dict[str, bytes]] = {}
+def spelled(ids: list[int], model: Model) -> str:
+    """The characters that ids stand for; bytes that are no UTF-8 become replacement characters."""
+    return b"".join([model.raw[i] for i in ids]).decode("utf-8", "replace")
 
 
 def decoded(ids: list[int] | np.ndarray, model: Model) -> str:
-    """The text that ids stand for; bytes that are no UTF-8 become replacement characters."""
-    said = b"".join([model.raw[i] for i in ids]).decode("utf-8", "replace")
+    """The text that ids stand for."""
+    said = spelled(ids, model)
     return said[1:] if model.prefix and said[:1] == " " else said
 
 
-def encode(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_tokens, ids, exact: whether the ids decode to the text (with U+2581 as a blank); one row for each row of docs."""
-    counts = stored(unit_counts(docs, model), "pieces-units")
-    table = folded(lattice(frequent(counts), model), model).toPandas()
-    sent = docs.sparkSession.sparkContext.broadcast((table["unit"].tolist(), [np.asarray(x, np.int32).tobytes() for x in table["ids"]]))
+def answers(dictionaries: DataFrame, folds: DataFrame, model: Model, parts: int) -> DataFrame:
+    """__chunk, __bucket, __widths, __ids, __bad: of each unit of a chunk's dictionary, in order, how many ids it has, the
+    ids, and which units don't decode to themselves."""
     fold = merge if model.kind == BPE else best_path
-    find = re.compile(model.pattern()).findall
 
-    def known() -> dict[str, bytes]:
-        if id(sent.value) not in _tables:
-            _tables.clear()
-            _tables[id(sent.value)] = dict(zip(*sent.value, strict=True))
-        return _tables[id(sent.value)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, memory = known(), {}
-
-        def other(unit: str) -> bytes:
-            if (ids := memory.get(unit)) is None:
-                if len(memory) >= REMEMBERED:
-                    memory.clear()
-                ids = np.array(fold(unit, model), np.int32).tobytes()
-                if len(unit) <= 64:
-                    memory[unit] = ids
-            return ids
-
-        get = table.get
-        for batch in (whole.slice(lo, TOGETHER) for whole in batches for lo in range(0, whole.num_rows, TOGETHER)):
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
-            each = [b"".join([get(u) or other(u) for u in find(marked(t, model))]) for t in texts]
-            exact = [decoded(np.frombuffer(x, np.int32).tolist(), model) == t.replace(BLANK, " ") for x, t in zip(each, texts, strict=True)]
-            sizes = np.array([len(x) // 4 for x in each], np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.frombuffer(b"".join(each), np.int32)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(sizes), ids, pa.array(exact, pa.bool_())], [*keep, "n_tokens", "ids", "exact"])
-
-    schema = docs.select(*keep).schema.add("n_tokens", "integer").add("ids", ArrayType(IntegerType())).add("exact", "boolean")
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        cuts = dict(zip(right["unit"].to_pylist(), right["cuts"].to_pylist(), strict=True))
+        known: dict[str, list[int]] = {}
+        bad: dict[str, bool] = {}
+
+        def ids(unit: str) -> list[int]:
+            if unit not in known:
+                known[unit] = pieces_of(unit, cuts[unit], model) if unit in cuts else fold(unit, model)
+            return known[unit]
+
+        def wrong(unit: str) -> bool:
+            if unit not in bad:
+                bad[unit] = spelled(ids(unit), model) != unit.replace(BLANK, " ")
+            return bad[unit]
+
+        out: list[tuple[bytes, bytes, bytes]] = []
+        for said in left["__units"].to_pylist():
+            units = said.split(" ")
+            each = [ids(u) for u in units]
+            out.append((packed(np.array([len(x) for x in each], np.uint32)), packed(np.array([i for x in each for i in x], np.uint32)), packed(np.array([wrong(u) for u in units], np.uint32))))
+        columns = [pa.array(x, pa.binary()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.binary())] * 3
+        return pa.table([left["__chunk"], left["__bucket"], *columns], ["__chunk", "__bucket", "__widths", "__ids", "__bad"])
+
+    folds = folds.withColumnRenamed("__bucket", "__of")
+    key, of = ["__bucket"], ["__of"]
+    if parts > 1:
+        # A bucket with more entries than a task should take: its chunks are dealt, and each part gets the bucket's folds.
+        key, of = [*key, "__part"], [*of, "__of_part"]
+        dictionaries = dictionaries.withColumn("__part", F.pmod(F.xxhash64("__chunk"), F.lit(parts)).cast("int"))
+        folds = folds.withColumn("__of_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dictionaries.groupBy(*key).cogroup(folds.groupBy(*of)).applyInArrow(run, "__chunk long, __bucket int, __widths binary, __ids binary, __bad binary")
+
+
+def encode(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), limits: Limits = Limits()) -> DataFrame:  # noqa: B008
+    """keep, n_tokens, ids, exact: whether the ids decode to the text (with U+2581 as a blank); one row for each row of docs."""
+    spark = docs.sparkSession
+    chunks = stored(cut(docs, model, keep, limits), "pieces-chunks", "zstd")
+    dictionaries = chunks.where("__units is not null").select("__chunk", "__bucket", "__units", "__n")
+    entries = dictionaries.agg(F.sum("__n")).first()[0] or 0
+    # A fixed number of tasks, as the packed dictionaries are small for what is done with them.
+    by_bucket = dictionaries.select("__bucket", "__units").repartition(8 * spark.sparkContext.defaultParallelism, "__bucket")
+    distinct = by_bucket.select("__bucket", F.explode(F.split("__units", " ")).alias("unit")).distinct()
+    folds = folded(lattice(distinct, model, ("__bucket",)), model)
+    found = answers(dictionaries, folds, model, 1 + int(entries / (BUCKETS * limits.bucket_entries)))
+
+    inner = StructType([StructField(f.name, f.dataType) for f in docs.select(*keep).schema])
+    schema = StructType(list(inner)).add("n_tokens", IntegerType()).add("ids", ArrayType(IntegerType())).add("exact", BooleanType())
+
+    def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = next((unpacked(x) for x in left["__order"].to_pylist() if x is not None), np.empty(0, np.int32))
+        by_bucket = np.argsort(right["__bucket"].to_numpy(), kind="stable")
+        joined = lambda name: np.concatenate([unpacked(b) for b in right[name].take(pa.array(by_bucket)).to_pylist()]) if right.num_rows else np.empty(0, np.int32)
+        flat, widths = joined("__ids"), joined("__widths")
+        number = np.argsort(order, kind="stable")
+        begin, width, bad = (np.empty(len(order), np.int64) for _ in range(3))
+        begin[number], width[number], bad[number] = np.cumsum(widths) - widths, widths, joined("__bad")
+        docs_of = left.filter(pa.compute.is_valid(left["__cut"]))
+        parts = []
+        for lo in range(0, docs_of.num_rows, TOGETHER):
+            some = docs_of.slice(lo, TOGETHER)
+            cuts = [unpacked(c) for c in some["__cut"].to_pylist()]
+            ends = np.cumsum([0, *map(len, cuts)])
+            at = np.concatenate(cuts)
+            places = np.concatenate(([0], np.cumsum(width[at])))
+            ids = flat[np.repeat(begin[at] - places[:-1], width[at]) + np.arange(places[-1])]
+            wrong = np.concatenate(([0], np.cumsum(bad[at])))
+            lists = pa.ListArray.from_arrays(pa.array(places[ends].astype(np.int32)), pa.array(ids.astype(np.int32)))
+            exact = pa.array(wrong[ends[1:]] == wrong[ends[:-1]])
+            parts.append(pa.table([*(some[k] for k in keep), pa.array(np.diff(places[ends]).astype(np.int32)), lists, exact], [*keep, "n_tokens", "ids", "exact"]))
+        if parts:
+            return pa.concat_tables(parts)
+        return pa.table([*(docs_of[k] for k in keep), pa.array([], pa.int32()), pa.array([], pa.list_(pa.int32())), pa.array([], pa.bool_())], [*keep, "n_tokens", "ids", "exact"])
+
+    own = chunks.where("__cut is not null or __order is not null").select(*keep, "__chunk", "__cut", "__order")
+    return own.groupBy("__chunk").cogroup(found.groupBy("__chunk")).applyInArrow(put_together, schema)
 
 
 def decode(encoded: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
