@@ -42,6 +42,17 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Like stored(), with the rows of one value of column in one of so many buckets: a group by that column reads them in place.
+    Also the same table as plain files."""
+    spark = df.sparkSession
+    called = f"{name}_{uuid.uuid4().hex}"
+    at = f"{scratch_dir(spark)}/{called}"
+    df.write.bucketBy(buckets, column).option("path", at).option("compression", "zstd").saveAsTable(called)
+    written.append(at)
+    return spark.table(called), spark.read.schema(df.schema).parquet(at)
+
+
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Deletes tables of stored() that nothing will read any more."""
     for at in paths:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from .common import stored
+from .common import bucketed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -56,8 +56,8 @@ class Limits:
     """Units of a chunk's dictionary, and their places in its documents, at which the next chunk begins; and entries of
     dictionaries that one group of a bucket takes. They bound the memory of tasks and change no result."""
 
-    chunk_units: int = 250_000
-    chunk_places: int = 6_000_000
+    chunk_units: int = 600_000
+    chunk_places: int = 12_000_000
     bucket_entries: float = 500_000
 
 
@@ -393,12 +393,15 @@ def answers(dictionaries: DataFrame, folds: DataFrame, model: Model, parts: int)
 def encode(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """keep, n_tokens, ids, exact: whether the ids decode to the text (with U+2581 as a blank); one row for each row of docs."""
     spark = docs.sparkSession
-    chunks = stored(cut(docs, model, keep, limits), "pieces-chunks", "zstd")
-    dictionaries = chunks.where("__units is not null").select("__chunk", "__bucket", "__units", "__n")
-    entries = dictionaries.agg(F.sum("__n")).first()[0] or 0
-    # A fixed number of tasks, as the packed dictionaries are small for what is done with them.
-    by_bucket = dictionaries.select("__bucket", "__units").repartition(8 * spark.sparkContext.defaultParallelism, "__bucket")
-    distinct = by_bucket.select("__bucket", F.explode(F.split("__units", " ")).alias("unit")).distinct()
+    tasks = 8 * spark.sparkContext.defaultParallelism
+    # Bucketed by chunk, so that a chunk's documents don't move again.
+    chunks, files = bucketed(cut(docs, model, keep, limits), "pieces_chunks", "__chunk", tasks)
+    entries = files.agg(F.sum("__n")).first()[0] or 0
+    # A fixed number of tasks, as the dictionaries are small for what is done with them. Both that read this shuffle ask for
+    # the same columns, so that it is done once.
+    dictionaries = files.where("__units is not null").select("__chunk", "__bucket", "__units").repartition(tasks, "__bucket")
+    each = dictionaries.select("__chunk", "__bucket", F.explode(F.split("__units", " ")).alias("unit"))
+    distinct = each.groupBy("__bucket", "unit").agg(F.min("__chunk").alias("first")).where("first is not null").drop("first")
     folds = folded(lattice(distinct, model, ("__bucket",)), model)
     found = answers(dictionaries, folds, model, 1 + int(entries / (BUCKETS * limits.bucket_entries)))
 
