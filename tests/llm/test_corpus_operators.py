@@ -70,17 +70,15 @@ def test_near_duplicates_against_brute_force(spark, docs, percent):
     assert near_duplicates.resolve(odd.limit(0)).count() == 0
 
 
-def test_near_duplicates_of_blocks_too_large_for_a_task(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", 600)
+@pytest.mark.parametrize("limits", [near_duplicates.Limits(block_shingles=600), near_duplicates.Limits(block_bytes=3000), near_duplicates.Limits(dense=5, leaders=2, block_shingles=900, hot=3)])
+def test_near_duplicates_under_small_limits(spark, limits):
     rows = near_rows()[9:69]
-    got = near_duplicates.resolve(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
+    got = near_duplicates.resolve(spark.createDataFrame(rows, "doc_id long, text string"), 80, limits).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 80)
 
 
 def test_linked_pairs_far_apart_in_a_block_too_large_for_a_task(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", 200)
-    monkeypatch.setattr(near_duplicates, "HOT", 7, raising=False)
-    # Workers import the module anew, so slices are made small by their partitions.
+    limits = near_duplicates.Limits(block_shingles=200, hot=7)
     frame = type(spark.range(0))
     by_range = frame.repartitionByRange
     monkeypatch.setattr(frame, "repartitionByRange", lambda self, *cols: by_range(self, 160, *cols))
@@ -98,12 +96,26 @@ def test_linked_pairs_far_apart_in_a_block_too_large_for_a_task(spark, monkeypat
         rows.append((2 * i + 1, " ".join(own)))
     want = brute_components(rows, 80)
     assert len(set(want.values())) == len(rows) // 2
-    got = near_duplicates.resolve(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
+    got = near_duplicates.resolve(spark.createDataFrame(rows, "doc_id long, text string"), 80, limits).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_prefix_neighbours_over_the_borders_of_ranges(spark, ranges):
+    rng = np.random.default_rng(ranges)
+    sigs = rng.integers(0, 3, (300, near_duplicates.ROWS)).astype(np.uint16)
+    classes = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sigs)], "rep long, sig binary")
+    lying = near_duplicates.orders(classes).repartitionByRange(ranges, "tree", "head", "deep", "rep").sortWithinPartitions("tree", "head", "deep", "rep")
+    got = lying.mapInArrow(near_duplicates.prefix_neighbours, "tree int, head long, deep long, rep long").groupBy("tree", "head").agg(F.collect_list("rep").alias("reps")).where("size(reps) > 1").collect()
+    want = defaultdict(set)
+    for i, s in enumerate(sigs):
+        for t in range(near_duplicates.TREES):
+            want[t, s[t * near_duplicates.DEPTH : (t + 1) * near_duplicates.DEPTH].tobytes()].add(i)
+    assert sorted((t, *sorted(r)) for (t, _), r in want.items() if len(r) > 1) == sorted((r["tree"], *sorted(r["reps"])) for r in got)
+
+
 def test_neighbours_in_a_dense_region(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "DENSE", 4)
+    limits = near_duplicates.Limits(dense=4)
     rng = np.random.default_rng(5)
     docs, feats = [], []
     # All share the first tree's prefix and little else; the two of a pair differ in one row of each tree, in the first one behind its prefix.
@@ -115,8 +127,8 @@ def test_neighbours_in_a_dense_region(spark, monkeypatch):
         for k, sig in enumerate((one, other)):
             docs.append((2 * i + k, " ".join([f"w{i}_{j}" for j in range(60)] + [f"end{k}"])))
             feats.append((2 * i + k, 57, bytes([i, k]), sig.tobytes()))
-    monkeypatch.setattr(near_duplicates, "features", lambda _: spark.createDataFrame(feats, "doc_id long, n_shingles long, set_key binary, sig binary"))
-    got = near_duplicates.resolve(spark.createDataFrame(docs, "doc_id long, text string"), 80).collect()
+    monkeypatch.setattr(near_duplicates, "features", lambda _: spark.createDataFrame(feats, "doc_id long, n_shingles long, set_key binary, sig binary").withColumn("n_bytes", F.lit(300).cast("long")))
+    got = near_duplicates.resolve(spark.createDataFrame(docs, "doc_id long, text string"), 80, limits).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in docs}
 
 

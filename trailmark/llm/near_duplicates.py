@@ -1,25 +1,31 @@
 """MinHash near-duplicates with an LSH forest, confirmed on full shingle sets.
 
-Documents with equal sets are one class at once. Each class has a signature; a tree of the forest orders classes by its own
-rows of the signature, and classes that share the tree's first DEPTH rows are neighbours. Neighbours whose signatures
-agree well enough are put into one block. Where such a region of a tree is dense, it is split into parts that share some
-leaders; then whatever isn't in the region's largest component is compared with all of the region. Then each block gets its
-texts once, and every pair within it that could pass is decided on the full sets; links are searched, not sampled, until
-the block's components are known. Blocks too large for one task are first read in several sorted signature orders, in
-slices, which links most of what belongs together; every pair that could join two of the groups left is then decided by a
-join on the rarest shingles of its sets.
-
-What can be missed: a pair at the threshold t shares a region of one tree with probability t ** DEPTH, so that
-(1 - t ** DEPTH) ** TREES is missed, 1e-8 at 0.85 and 3e-6 at 0.8.
+Documents with equal sets are one class at once. Each class has a signature, and the forest is TREES sorted orders of the
+classes, each by the signature's rows from another row on. In an order, the neighbours of a class are those that it shares
+a longest common prefix of DEPTH rows or more with: they lie next to it, before and behind, over the borders of range
+partitions too. Such a region's members are compared with each other by their whole signatures. Where a region is dense,
+the depth grows, row by row, until the parts are small enough for a task; parts that no further row splits are dealt and
+share some leaders. What that leaves apart is then held against all of the dense region, so that depth decides only in
+which order pairs are looked at, not which.
+
+Neighbours whose signatures agree well enough are put into one block. Each block gets its texts once, and every pair within
+it that could pass is decided on the full sets; links are searched, not sampled, until the block's components are known.
+Blocks too large for one task are first read in several sorted signature orders, in slices, which links most of what belongs
+together; every pair that could join two of the groups left is then decided by a join on the rarest shingles of its sets.
+
+What can be missed: a pair at the threshold t has no common prefix of DEPTH rows in any order with a probability of
+(1 - t ** DEPTH) ** TREES, 2e-8 at 0.85 and 3e-6 at 0.8, and agrees in too few rows of the signature with one of 2e-6 at
+0.85 and 1e-6 at 0.8. Such a pair is still found if its documents are linked by way of others. No other step loses a link.
 
 Cases: documents without words or text have no shingles and link with nothing; with fewer words than a shingle has, all
 words are the only shingle; rows with one id are one document, linked by whichever of their texts; rows without id are
-kept and have no component; long texts count whole. Extra columns aren't read.
+kept and have no component; long texts count whole; an empty table gives no rows. Extra columns aren't read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,22 +38,31 @@ from .components import components
 
 SHINGLE, DEPTH, TREES = 5, 4, 24
 ROWS = DEPTH * TREES
-#: Members of a region, or of one part of it, that one task compares; and members that are in all parts, about.
-DENSE = 4_000
-LEADERS = 16
-#: Shingles of a block that one task takes.
-BLOCK_SHINGLES = 6_000_000
+#: Rows of an order that are sorted by: a region can be split down to so many.
+DEEPEST = 2 * DEPTH
 ORDERS = 4
 #: Slots in which shingles of large blocks are counted, to take the rarest first.
 SLOTS = 1 << 18
-#: Sets that one task takes of a shingle that many have.
-HOT = 4_000
 SEED = 11
 _random = np.random.default_rng(SEED)
 FACTORS = _random.integers(0, 2**63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 TERMS = _random.integers(0, 2**63, ROWS, np.uint64)
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What one task takes. These bound memory and change no result.
+
+    dense: members of a region, or of one part of it, that one task compares; leaders: members that are in all parts, about.
+    block_shingles, block_bytes: shingles, and bytes of text, of a block. hot: sets that have one shingle."""
+
+    dense: int = 4_000
+    leaders: int = 16
+    block_shingles: int = 6_000_000
+    block_bytes: int = 64_000_000
+    hot: int = 4_000
+
+
 class Words(dict):
     """Hashes of words; forgets all when full."""
 
@@ -97,7 +112,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (of the whole set), sig: one row for each row of docs."""
+    """doc_id, n_shingles, n_bytes, set_key (of the whole set), sig: one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -108,29 +123,49 @@ def features(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), batch.column("n_bytes"), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "n_bytes", "set_key", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
+    slim = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return slim.mapInArrow(run, "doc_id long, n_shingles long, n_bytes long, set_key binary, sig binary")
 
 
 def matrix(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def regions(classes: DataFrame) -> DataFrame:
-    """bucket, rep: the region of each tree that a class is in at DEPTH."""
+def orders(classes: DataFrame) -> DataFrame:
+    """tree, head, deep, rep: of each class and order, the first DEPTH rows and the next ones up to DEEPEST, as numbers that
+    sort like them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                prefix = matrix(batch.column("sig"), np.uint16).reshape(-1, TREES, DEPTH).astype(np.uint64)
-                key = np.zeros(prefix.shape[:2], np.uint64) + np.arange(TREES, dtype=np.uint64)
-                for i in range(DEPTH):
-                    key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + prefix[:, :, i])
-                reps = np.repeat(batch.column("rep").to_numpy(), TREES)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(reps)], ["bucket", "rep"])
+                sigs = matrix(batch.column("sig"), np.uint16)
+                for tree in range(TREES):
+                    rows = np.take(sigs, range(tree * DEPTH, tree * DEPTH + DEEPEST), axis=1, mode="wrap").astype(">u2")
+                    head, deep = np.ascontiguousarray(rows).view(">i8").astype(np.int64).T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(head), tree, np.int32)), pa.array(head), pa.array(deep), batch.column("rep")], ["tree", "head", "deep", "rep"])
 
-    return classes.select("rep", "sig").mapInArrow(run, "bucket long, rep long")
+    return classes.select("rep", "sig").mapInArrow(run, "tree int, head long, deep long, rep long")
+
+
+def prefix_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one range of an order: the rows that share DEPTH rows with the one before or behind them, and those at the ends of
+    the range, whose neighbours may lie in the next range."""
+    held, own, joins = None, None, None
+    before = True  # whether the row before the held batch is alike, or there is none
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.column_stack((batch.column("tree").to_numpy(), batch.column("head").to_numpy()))
+        same = (at[1:] == at[:-1]).all(1)
+        if held is not None:
+            meets = bool((own[-1] == at[0]).all())
+            yield held.filter(pa.array(np.concatenate(([before], joins)) | np.concatenate((joins, [meets]))))
+            before = meets
+        held, own, joins = batch, at, same
+    if held is not None:
+        yield held.filter(pa.array(np.concatenate(([before], joins)) | np.concatenate((joins, [True]))))
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -199,26 +234,41 @@ def part_edges(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
         yield from pairs(found)
 
 
-def neighbours(members: DataFrame, least: int, some_dense: bool) -> DataFrame:
-    """Edges a, b that give the components of what is alike in each region (bucket, n of its members, rep, sig);
-    some_dense: whether any n is above DENSE."""
-    parts = F.ceil(F.col("n") / DENSE)
-    dealt = F.pmod(F.xxhash64("rep"), parts)
-    leads = F.pmod(F.xxhash64("rep", "bucket"), "n") < LEADERS
-    at = F.explode(F.when(leads, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(dealt)))
-    rows = members.select("bucket", "rep", "sig", at.alias("part")).select(F.xxhash64("bucket", "part").alias("key"), "rep", "sig")
-    edges = rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(lambda b: block_edges(b, least), "a long, b long").distinct()
+def deeper(rows: DataFrame, dense: int) -> DataFrame:
+    """rows with the key of the smallest depth at which at most so many share it, and how many do (size), from key and size at DEPTH."""
+    for k in range(1, DEEPEST - DEPTH + 1):
+        prefix = F.shiftright("deep", 16 * (DEEPEST - DEPTH - k))
+        rows = rows.withColumn("key", F.when(F.col("size") > dense, F.xxhash64("key", prefix)).otherwise(F.col("key")))
+        sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
+        rows = rows.drop("size").join(sizes, "key")
+    return rows
+
+
+def neighbours(members: DataFrame, least: int, limits: Limits, some_dense: bool) -> DataFrame:
+    """Edges a, b that give the components of what is alike in each region (tree, head, n of its members, deep, rep, sig);
+    some_dense: whether any n is above limits.dense."""
+    slim = members.select(F.xxhash64("tree", "head").alias("key"), F.col("n").alias("size"), "deep", "rep", "sig")
+    rows = slim.where(F.col("size") <= limits.dense).select("key", "deep", "rep", "sig")
+    if some_dense:
+        split = stored(deeper(slim.where(F.col("size") > limits.dense), limits.dense), "near-parts")
+        # Parts that no row splits any further are dealt, and share some leaders.
+        parts = F.ceil(F.col("size") / limits.dense)
+        leads = F.pmod(F.xxhash64("rep", "key"), "size") < limits.leaders
+        at = F.explode(F.when(leads, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), parts))))
+        rows = rows.unionByName(split.select("key", "deep", "rep", "sig", at.alias("part")).select(F.xxhash64("key", "part").alias("key"), "deep", "rep", "sig"))
+    edges = rows.repartition("key").sortWithinPartitions("key", "deep", "rep").mapInArrow(lambda b: block_edges(b, least), "a long, b long").distinct()
     if not some_dense:
         return edges
     edges = stored(edges, "near-edges")
     known = components(edges).withColumnRenamed("node", "rep")
-    dense = stored(members.where(F.col("n") > DENSE).join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "near-dense")
+    region = members.select(F.xxhash64("tree", "head").alias("bucket"), "n", "rep", "sig").where(F.col("n") > limits.dense)
+    dense = stored(region.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "near-dense")
     sizes = dense.groupBy("bucket", "comp").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), (F.sum("m") - F.max("m")).alias("out")).where("out > 0")
     rows = dense.join(sizes, "bucket")
     # Tiles of outsiders by parts of all members: every pair with an outsider is in one of them.
-    tiles = F.ceil(F.col("out") / DENSE)
+    tiles, parts = F.ceil(F.col("out") / limits.dense), F.ceil(F.col("n") / limits.dense)
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    inside = rows.select("bucket", "rep", "comp", "sig", F.lit(False).alias("outside"), dealt.alias("part"), each(tiles).alias("tile"))
+    inside = rows.select("bucket", "rep", "comp", "sig", F.lit(False).alias("outside"), F.pmod(F.xxhash64("rep"), parts).alias("part"), each(tiles).alias("tile"))
     outside = rows.where("comp != most").select("bucket", "rep", "comp", "sig", F.lit(True).alias("outside"), each(parts).alias("part"), F.pmod(F.xxhash64("rep"), tiles).alias("tile"))
     met = inside.unionByName(outside).select(F.xxhash64("bucket", "part", "tile").alias("key"), "rep", "comp", "sig", "outside")
     return edges.unionByName(met.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(lambda b: part_edges(b, least), "a long, b long"))
@@ -278,23 +328,24 @@ def confirm_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def confirm_slices(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of large blocks in one order: slices of up to BLOCK_SHINGLES shingles, each begun by the later half of the one before
-    in its partition. What lies in other slices or partitions is left to joined_groups."""
+def confirm_slices(batches: Iterator[pa.RecordBatch], percent: int, limits: Limits) -> Iterator[pa.RecordBatch]:
+    """Of large blocks in one order: slices as large as a task may take, each begun by the later half of the one before in
+    its partition. What lies in other slices or partitions is left to joined_groups."""
     words = Words()
     for table in runs(batches, "part"):
-        ids, sets, size, old = [], [], 0, 0
+        ids, sets, size, read = [], [], 0, 0
         for i, text in zip(table["doc_id"].to_pylist(), table["text"], strict=True):
-            s = shingles(text.as_py(), words)
+            said = text.as_py()
+            s = shingles(said, words)
+            read += len(said or "")
             if len(s):
                 ids.append(i)
                 sets.append(s)
                 size += len(s)
-            if size >= BLOCK_SHINGLES:
+            if size >= limits.block_shingles or read >= limits.block_bytes:
                 yield from pairs(links(np.array(ids), sets, percent))
-                old = len(ids) // 2
-                ids, sets = ids[old:], sets[old:]
-                size = sum(map(len, sets))
+                ids, sets = ids[len(ids) // 2 :], sets[len(ids) // 2 :]
+                size, read = sum(map(len, sets)), 0
         if len(ids) > 1:
             yield from pairs(links(np.array(ids), sets, percent))
 
@@ -358,14 +409,14 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     return sets.mapInArrow(run, "rep long, comp long, grp long, outside boolean, n long, place long, key long")
 
 
-def joined_groups(sets: DataFrame, percent: int) -> DataFrame:
+def joined_groups(sets: DataFrame, percent: int, hot_sets: int) -> DataFrame:
     """Edges a, b: all pairs of a block that are linked and belong to different groups. Such a pair has a member outside the
     block's largest group. It shares one of the rarest shingles of both, and at the first of them as many others are left as
     it needs; what passes is decided on full sets."""
     keys = stored(prefixes(sets, slot_counts(sets), percent), "near-prefixes")
     # Of a key that many sets have, these are dealt to several tasks, and those outside go to each of them.
     hot = keys.groupBy("comp", "key").agg(F.count_if("outside").alias("out"), F.count("*").alias("m")).where("out > 0 and m > 1")
-    hot = stored(hot.select("comp", "key", F.ceil(F.col("m") / HOT).alias("salts")), "near-keys")
+    hot = stored(hot.select("comp", "key", F.ceil(F.col("m") / hot_sets).alias("salts")), "near-keys")
     of_key = keys.join(hot, ["comp", "key"])
     side = lambda rows, x: rows.select("comp", "key", "salt", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "grp", "outside", "n", "place")))
     a = side(of_key.where("outside").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))), "a")
@@ -378,36 +429,39 @@ def joined_groups(sets: DataFrame, percent: int) -> DataFrame:
     return both.where(f"100L * both >= {percent} * (n_a + n_b - both)").select("a", "b")
 
 
-def resolve(docs: DataFrame, percent: int = 85) -> DataFrame:
+def resolve(docs: DataFrame, percent: int = 85, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id, kept. percent: documents whose sets have that Jaccard similarity or more are linked."""
     feats = stored(features(docs), "near-features")
     named = feats.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig")), "near-classes")
-
-    # Regions with more than one class.
-    where = regions(classes)
-    counts = stored(where.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-regions")
-    members = where.join(counts, "bucket").join(classes.select("rep", "sig"), "rep").select("bucket", "n", "rep", "sig")
+    one = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("size"), F.max("n_bytes").alias("n_bytes"), F.first("sig").alias("sig"))
+    classes = stored(one, "near-classes")
+
+    # The forest's orders; what has neighbours in one, with the size of its region there.
+    order = ("tree", "head", "deep", "rep")
+    lying = orders(classes).repartitionByRange(*order).sortWithinPartitions(*order)
+    near = stored(lying.mapInArrow(prefix_neighbours, "tree int, head long, deep long, rep long"), "near-neighbours")
+    counts = stored(near.groupBy("tree", "head").agg(F.count("*").alias("n")).where("n > 1"), "near-regions")
+    members = near.join(counts, ["tree", "head"]).join(classes.select("rep", "sig"), "rep")
     # Five standard errors below the threshold's expected number of agreeing rows.
     t = percent / 100
     least = int(ROWS * (t - 5 * (t * (1 - t) / ROWS) ** 0.5))
-    edges = neighbours(members, least, not counts.where(F.col("n") > DENSE).isEmpty())
+    edges = neighbours(members, least, limits, not counts.where(F.col("n") > limits.dense).isEmpty())
     blocks = components(edges)
 
     # Texts meet in their blocks; of blocks too large for a task, in several sorted orders.
-    sized = blocks.join(classes.select("rep", "size", "sig"), F.col("node") == F.col("rep"))
-    large = stored(sized.groupBy("comp").agg(F.sum("size").alias("shingles")).where(F.col("shingles") > BLOCK_SHINGLES), "near-large")
+    sized = blocks.join(classes.select("rep", "size", "n_bytes", "sig"), F.col("node") == F.col("rep"))
+    large = stored(sized.groupBy("comp").agg(F.sum("size").alias("shingles"), F.sum("n_bytes").alias("read")).where((F.col("shingles") > limits.block_shingles) | (F.col("read") > limits.block_bytes)).select("comp"), "near-large")
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     usual = blocks.join(large, "comp", "left_anti").select(F.col("node").alias("doc_id"), "comp")
     confirmed = texts.join(usual, "doc_id").repartition("comp").sortWithinPartitions("comp", "doc_id").mapInArrow(lambda b: confirm_blocks(b, percent), "a long, b long")
     found = [confirmed]
     if not large.isEmpty():
-        orders = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))
-        rows = sized.join(large, "comp").select(F.col("node").alias("doc_id"), "comp", "sig", orders.alias("order"))
+        turns = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))
+        rows = sized.join(large, "comp").select(F.col("node").alias("doc_id"), "comp", "sig", turns.alias("order"))
         turned = F.substring(F.concat("sig", "sig"), F.col("order") * (2 * ROWS // ORDERS) + 1, F.lit(2 * ROWS))
         rows = rows.select("doc_id", "order", "comp", turned.alias("place")).join(texts, "doc_id")
         sliced = rows.repartitionByRange("order", "comp", "place").sortWithinPartitions("order", "comp", "place").select("doc_id", "text", F.xxhash64("order", "comp").alias("part"))
-        first = stored(sliced.mapInArrow(lambda b: confirm_slices(b, percent), "a long, b long").distinct(), "near-slices")
+        first = stored(sliced.mapInArrow(lambda b: confirm_slices(b, percent, limits), "a long, b long").distinct(), "near-slices")
         found.append(first)
         groups = components(first).select(F.col("node").alias("rep"), F.col("comp").alias("grp"))
         grouped = sized.join(large, "comp").select("rep", "comp").join(groups, "rep", "left").select("rep", "comp", F.coalesce("grp", "rep").alias("grp")).distinct()
@@ -415,7 +469,7 @@ def resolve(docs: DataFrame, percent: int = 85) -> DataFrame:
         unsettled = grouped.join(most, "comp").select(F.col("rep").alias("doc_id"), "rep", "comp", "grp", (F.col("grp") != F.col("most")).alias("outside"))
         sets = stored(large_sets(unsettled.join(texts, "doc_id")), "near-large-sets")
         if not sets.isEmpty():
-            found.append(joined_groups(sets, percent))
+            found.append(joined_groups(sets, percent, limits.hot))
 
     # Rows with one id are one document, whatever their texts.
     own = named.select("doc_id", "set_key").join(classes.select("set_key", "rep"), "set_key")
