@@ -57,6 +57,23 @@ def test_license_fuzzy_and_negative(spark):
     assert all(0 <= r["score"] <= 1 for r in rows.collect())
 
 
+def test_license_spans(spark):
+    whole = max(license_scan.MORE, key=len)
+    assert len(whole.split()) > 62
+    texts = ["x creative commons attribution noncommercial y", f"a b {whole} c", f"{' '.join(whole.split()[:40])} or so {' '.join(whole.split()[41:])}", "gnu lesser general public license", "license mit license mit license", None, "q " * 200_000 + "mit license"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("label", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("base", F.lit(2))
+    got = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
+    assert {i: r["labels"] for i, r in got.items()} == {0: "cc-by-nc", 1: "mit", 2: "mit", 3: "gpl,lgpl", 4: "mit", 5: "", 6: "mit"}
+    spans = sorted((r["doc_id"], r["start"], r["end"], r["label"]) for r in license_scan.spans(docs).collect())
+    assert (0, 1, 5, "cc-by-nc") in spans
+    assert (1, 2, 2 + len(whole.split()), "mit") in spans
+    assert (2, 0, 1 + len(whole.split()), "mit") in spans
+    assert [s for s in spans if s[0] == 4] == [(4, 1, 3, "mit"), (4, 3, 5, "mit")]
+    assert (6, 200_000, 200_002, "mit") in spans
+    assert license_scan.scan(docs.limit(0)).count() == 0
+    assert license_scan.spans(docs.limit(0)).count() == 0
+
+
 def test_quality_counts(spark, sf_dir, odd):
     for docs in (odd.drop("n_words"), spark.read.parquet(f"{sf_dir}/documents.parquet")):
         got = quality_rules.measure(docs).select(*quality_rules.COUNTS).collect()
@@ -122,3 +139,39 @@ def test_url_templates_block_what_looks_like_blocked_urls(spark):
     rows = [(i, f"http://a{i % 5}.com/de/{i}") for i in range(200)] + [(1000 + i, f"http://b.net/de/{i}") for i in range(50)] + [(2000 + i, f"http://b.net/fr/{i}") for i in range(50)] + [(3000 + i, f"http://a.com/fr/{i}") for i in range(200)]
     got = {r["page_id"]: r["verdict"] for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert all(got[1000 + i] == "block" and got[2000 + i] == "allow" for i in range(50))
+
+
+def test_url_branches_of_slowly_rising_rates_are_not_one_branch(spark):
+    rows = []
+    for k in range(21):
+        for i in range(200):
+            # A branch's URLs, of which 5k % are listed as blocked.
+            rows.append((k * 1000 + i, f"http://h.com/p/s{'abcdefghijklmnopqrstu'[k]}"))
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("h.com"))
+    cells = pages.select("host", F.array(F.lit("p"), F.substring_index("url", "/", -1)).alias("segments"), (F.col("page_id") % 1000 < 10 * F.floor(F.col("page_id") / 1000)).alias("bad"))
+    counts = cells.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("a"))
+    leaves = url_filters.tree(counts, 0.01, 8).withColumn("p0", F.lit(0.5))
+    got = {r["template"]: r["block_rate"] for r in url_filters.merged(leaves, 2.0, 4.0).collect()}
+    assert len(got) == 21
+    for k in range(21):
+        assert abs(got[f"/p/s{'abcdefghijklmnopqrstu'[k]}"] - k / 20) < 0.1
+    assert got["/p/st"] >= 0.9  # 95 % blocked
+
+
+def test_url_branches_that_differ_far_down(spark):
+    deep = "/a/b/c/d/e"
+    rows = [(i, f"http://x.com/de{deep}/bad/{i}") for i in range(50)] + [(100 + i, f"http://x.com/fr{deep}/good/{i}") for i in range(50)]
+    got = {r["page_id"]: r for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[0]["template"] == f"/de{deep}/bad/<number>"
+    same = [(i, f"http://x.com{deep}/{'bad' if i % 2 else 'good'}/{'u' * (i % 7 + 1)}") for i in range(400)]
+    cells = spark.createDataFrame(same, "page_id long, url string").select(F.lit("x.com").alias("host"), F.filter(F.split(url_filters.parts(F.col("url"))[1], "/"), lambda s: s != "").alias("segments"), (F.col("page_id") % 2 == 1).alias("bad"))
+    counts = cells.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("a"))
+    rates = url_filters.merged(url_filters.tree(counts, 0.01, 8).withColumn("p0", F.lit(0.5)), 2.0, 4.0).collect()
+    assert all((r["block_rate"] > 0.9) == ("/bad/" in r["template"]) for r in rates) and len(rates) == 14
+
+
+def test_many_slugs_and_a_long_url_on_one_host(spark):
+    slugs = spark.range(200_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://busy.net/"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit("/edit")).alias("url"))
+    long = spark.createDataFrame([(-1, "http://busy.net/" + "x/" * 100_000), (-2, None)], "page_id long, url string")
+    got = url_filters.judge(slugs.union(long))
+    assert {r["template"]: r["count"] for r in got.groupBy("template").count().collect()} == {"/*/edit": 200_000, "/*/*/**": 1, "/": 1}

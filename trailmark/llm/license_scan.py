@@ -1,11 +1,14 @@
 """License scans: k-gram diagonals between documents and license phrases.
 
 Every rolling pair of words of a document meets the phrases' pairs by hash. A pair at word i of the text and word j of a
-phrase votes for the diagonal i - j. A diagonal with all of a phrase's pairs is a verbatim place of it. Votes of diagonals
-that lie close together are merged, so that a phrase with inserted or missing words still collects them.
+phrase votes for the diagonal i - j. A diagonal with all of a phrase's pairs is a verbatim place of it. Diagonals that lie
+close together are merged, so that a phrase with inserted or missing words still collects its votes; their words are then
+verified as a span, in the order of the text: a pair counts where it comes later in the phrase than all that counted before.
+A span that lies within the span of another phrase is left to that one, but for base phrases, whose labels always stay.
 
-Cases: a null or empty text has no words, no places, null first and last words and score 0; repeated rows give repeated
-results (rows are told apart by their place in the input, not by doc_id); extra columns aren't read.
+Phrases may be as long as a licence. Cases: a null or empty text has no words, no places, null first and last words and
+score 0; very long texts count whole; repeated rows give repeated results (rows are told apart by their place in the input,
+not by doc_id); of equal spans the first phrase's stays; an empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -34,10 +37,10 @@ MORE = {
     "cc by sa 4 0": "cc-by-sa",
     "cc by nc nd 4 0": "cc-by-nc-nd",
     "dedicated to the public domain": "public-domain",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit",
 }
-#: The words of a phrase have to fit the bits of a long.
-MOST_WORDS = 62
-MOST_PHRASES = 2000
+#: The phrases' pairs go to all tasks.
+MOST_PAIRS = 200_000
 #: Phrases with fewer pairs than this need all of them: shorter ones differ from each other in one word.
 LEAST_FUZZY = 8
 
@@ -51,18 +54,17 @@ def license_words(text: Column) -> Column:
     return F.filter(F.split(plain, WORD_GAP, -1), lambda w: w != "")
 
 
-def scan(docs: DataFrame, base: dict[str, str] = BASE, more: dict[str, str] = MORE, slack: int = 2, coverage: float = 0.75) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row for each row of docs.
-
-    slack: diagonals that far apart, in words, vote together. coverage: the share of a phrase's pairs that its merged
-    diagonals need for its label; base phrases need all pairs on one diagonal. score: the best coverage in the text.
-    """
+def _spans(docs: DataFrame, base: dict[str, str], more: dict[str, str], slack: int, coverage: float) -> DataFrame:
+    """row, doc_id, n_words, and for each diagonal that got votes: phrase, base, label, size, whether it's a place (of a base
+    phrase), share (of the phrase's pairs, verified), start and end of the span if its label is accepted, and whether
+    another span holds it. A document without votes has one row without phrase."""
     spark = docs.sparkSession
     phrases = [(i, said.split(), label, i < len(base)) for i, (said, label) in enumerate([*base.items(), *more.items()])]
-    if len(phrases) > MOST_PHRASES or any(not 2 <= len(words) <= MOST_WORDS for _, words, _, _ in phrases):
-        raise ValueError(f"at most {MOST_PHRASES} phrases of 2 to {MOST_WORDS} words")
-    pairs = spark.createDataFrame([(i, j, 1 << j, f"{w[j]} {w[j + 1]}", len(w) - 1, label, is_base) for i, w, label, is_base in phrases for j in range(len(w) - 1)], "phrase int, j int, bit long, pair string, size int, label string, base boolean")
-    pairs = pairs.withColumn("h", F.xxhash64("pair"))  # bounded by MOST_PHRASES * MOST_WORDS rows
+    rows_of = [(i, j, f"{w[j]} {w[j + 1]}", len(w) - 1, label, is_base) for i, w, label, is_base in phrases for j in range(len(w) - 1)]
+    if len(rows_of) > MOST_PAIRS or any(len(words) < 2 for _, words, _, _ in phrases):
+        raise ValueError(f"phrases of two words or more, with {MOST_PAIRS} pairs at most")
+    pairs = spark.createDataFrame(rows_of, "phrase int, j int, pair string, size int, label string, base boolean")
+    pairs = pairs.withColumn("h", F.xxhash64("pair"))  # bounded by MOST_PAIRS
     firsts = sorted({w for _, words, _, _ in phrases for w in words[:-1]})
     seconds = sorted({w for _, words, _, _ in phrases for w in words[1:]})
 
@@ -77,23 +79,48 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, more: dict[str, str] = MO
     rows = rows.select("row", "doc_id", "n_words", "at.i", "at.seen", F.xxhash64("at.seen").alias("h"))
     met = rows.join(F.broadcast(pairs), "h", "left")
     exact = F.col("pair") == F.col("seen")  # against equal hashes of different pairs
-    met = met.select("row", "doc_id", "n_words", F.when(exact, F.col("phrase")).alias("phrase"), F.when(exact, F.col("i") - F.col("j")).alias("diagonal"), "bit", "size", "label", "base")
+    met = met.select("row", "doc_id", "n_words", *(F.when(exact, F.col(c)).alias(c) for c in ("phrase", "size", "label", "base", "i")), F.when(exact, F.col("i") - F.col("j")).alias("diagonal"))
 
     # From here on all is grouped by row, on one deal of slim rows.
     met = met.repartition("row")
-    votes = met.groupBy("row", "doc_id", "n_words", "phrase", "diagonal").agg(F.bit_or("bit").alias("bits"), F.first("size").alias("size"), F.first("label").alias("label"), F.first("base").alias("base"))
+    votes = met.groupBy("row", "doc_id", "n_words", "phrase", "diagonal").agg(F.collect_set("i").alias("at"), *(F.first(c).alias(c) for c in ("size", "label", "base")))
     near = Window.partitionBy("row", "phrase").orderBy("diagonal").rangeBetween(0, slack)
-    votes = votes.withColumn("merged", F.bit_or("bits").over(near))
-    place = F.col("phrase").isNotNull() & F.col("base") & (F.bit_count("bits") == F.col("size"))
-    share = F.when(F.col("phrase").isNotNull(), F.bit_count("merged") / F.col("size"))
-    label = F.when(F.when(F.col("base"), place).otherwise(share >= F.when(F.col("size") >= LEAST_FUZZY, coverage).otherwise(1.0)), F.col("label"))
+    pairs_of = F.transform("at", lambda i: F.struct(i.alias("i"), (i - F.col("diagonal")).alias("j")))
+    votes = votes.withColumn("seen", F.sort_array(F.flatten(F.collect_list(pairs_of).over(near))))
+    start = F.struct(F.lit(-1).alias("upto"), F.lit(0).alias("n"))
+    in_order = F.aggregate("seen", start, lambda s, p: F.when(p["j"] > s["upto"], F.struct(p["j"].alias("upto"), (s["n"] + 1).alias("n"))).otherwise(s))["n"]
+    place = F.coalesce(F.col("base") & (F.size("at") == F.col("size")), F.lit(False))
+    share = F.when(F.col("phrase").isNotNull(), in_order / F.col("size"))
+    votes = votes.withColumn("place", place).withColumn("share", share)
+    enough = F.when(F.col("size") >= LEAST_FUZZY, coverage).otherwise(1.0)
+    accepted = F.when(F.col("base"), F.col("place")).otherwise(F.coalesce(F.col("share") >= enough, F.lit(False)))
+    first, last = F.array_min("seen")["i"], F.array_max("seen")["i"]
+    votes = votes.withColumn("start", F.when(accepted, F.when(F.col("base"), F.col("diagonal")).otherwise(first)))
+    votes = votes.withColumn("end", F.when(accepted, F.when(F.col("base"), F.col("diagonal") + F.col("size") + 1).otherwise(last + 2)))
+    before = Window.partitionBy("row").orderBy("start", F.desc("end"), "phrase").rowsBetween(Window.unboundedPreceding, -1)
+    return votes.withColumn("within", F.coalesce(F.max("end").over(before) >= F.col("end"), F.lit(False))).drop("at", "seen")
+
+
+def spans(docs: DataFrame, base: dict[str, str] = BASE, more: dict[str, str] = MORE, slack: int = 2, coverage: float = 0.75) -> DataFrame:
+    """doc_id, label, start, end (words from 0, end excluded), share, base: the spans that give a document its labels."""
+    found = _spans(docs, base, more, slack, coverage).where("start is not null and (base or not within)")
+    return found.select("doc_id", "label", "start", "end", "share", "base")
+
+
+def scan(docs: DataFrame, base: dict[str, str] = BASE, more: dict[str, str] = MORE, slack: int = 2, coverage: float = 0.75) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row for each row of docs.
+
+    slack: diagonals that far apart, in words, vote together. coverage: the share of a phrase's pairs that its span needs for
+    its label; base phrases need all pairs on one diagonal. score: the best share in the text.
+    """
+    found = _spans(docs, base, more, slack, coverage)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    found = votes.groupBy("row", "doc_id", "n_words").agg(
-        F.count_if(place).alias("n_base"),
-        F.min(F.when(place, F.col("diagonal"))).cast("long").alias("first_word"),
-        F.max(F.when(place, F.col("diagonal"))).cast("long").alias("last_word"),
-        joined(F.when(place, F.col("label"))).alias("base_labels"),
-        joined(label).alias("labels"),
-        F.coalesce(F.max(share), F.lit(0.0)).alias("score"),
+    out = found.groupBy("row", "doc_id", "n_words").agg(
+        F.count_if("place").alias("n_base"),
+        F.min(F.when(F.col("place"), F.col("diagonal"))).cast("long").alias("first_word"),
+        F.max(F.when(F.col("place"), F.col("diagonal"))).cast("long").alias("last_word"),
+        joined(F.when(F.col("place"), F.col("label"))).alias("base_labels"),
+        joined(F.when(F.col("start").isNotNull() & (F.col("base") | ~F.col("within")), F.col("label"))).alias("labels"),
+        F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
     )
-    return found.drop("row")
+    return out.drop("row")

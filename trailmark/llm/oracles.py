@@ -11,23 +11,30 @@ def license_scan_sql(slack: int = 2, coverage: float = 0.75) -> str:
     rows = []
     for phrase, (said, label) in enumerate([*BASE.items(), *MORE.items()]):
         w = said.split()
-        rows += [f"({phrase}, {j}, cast({1 << j} as bigint), '{w[j]} {w[j + 1]}', {len(w) - 1}, '{label}', {phrase < len(BASE)})" for j in range(len(w) - 1)]
-    place = "base and bit_count(bits) = size"
-    share = "cast(bit_count(merged) as double) / size"
-    label = f"case when case when base then {place} else {share} >= case when size >= {LEAST_FUZZY} then {coverage} else 1.0 end end then label end"
+        rows += [f"({phrase}, {j}, '{w[j]} {w[j + 1]}', {len(w) - 1}, '{label}', {phrase < len(BASE)})" for j in range(len(w) - 1)]
     return f"""
-with pairs(phrase, j, bit, pair, size, label, base) as (values {", ".join(rows)}),
+with pairs(phrase, j, pair, size, label, base) as (values {", ".join(rows)}),
 texts as (
     select row_number() over () as doc_row, doc_id,
         list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') as words
     from documents),
 rolling as (select doc_row, i, words[i + 1] || ' ' || words[i + 2] as seen from (select doc_row, words, unnest(range(len(words) - 1)) as i from texts)),
-votes as (select doc_row, phrase, i - j as diagonal, bit_or(bit) as bits, any_value(size) as size, any_value(label) as label, any_value(base) as base from rolling join pairs on seen = pair group by doc_row, phrase, i - j),
-merged as (select *, bit_or(bits) over (partition by doc_row, phrase order by diagonal range between current row and {slack} following) as merged from votes),
+met as (select doc_row, phrase, size, label, base, i, j, i - j as diagonal from rolling join pairs on seen = pair),
+votes as (select doc_row, phrase, diagonal, count(*) as n, any_value(size) as size, any_value(label) as label, any_value(base) as base from met group by doc_row, phrase, diagonal),
+seen as (
+    select v.doc_row, v.phrase, v.diagonal, m.i, m.j, coalesce(m.j > max(m.j) over (partition by v.doc_row, v.phrase, v.diagonal order by m.i, m.j rows between unbounded preceding and 1 preceding), true) as ahead
+    from votes v join met m on m.doc_row = v.doc_row and m.phrase = v.phrase and m.diagonal between v.diagonal and v.diagonal + {slack}),
+shares as (select doc_row, phrase, diagonal, count(*) filter (where ahead) as k, min(i) as lo, max(i) as hi from seen group by doc_row, phrase, diagonal),
+judged as (
+    select *, base and n = size as place, cast(k as double) / size as share, case when base then base and n = size else cast(k as double) / size >= case when size >= {LEAST_FUZZY} then {coverage} else 1.0 end end as accepted
+    from votes join shares using (doc_row, phrase, diagonal)),
+ends as (select *, case when accepted then case when base then diagonal else lo end end as s, case when accepted then case when base then diagonal + size + 1 else hi + 2 end end as e from judged),
+held as (select *, coalesce(max(e) over (partition by doc_row order by s nulls first, e desc, phrase rows between unbounded preceding and 1 preceding) >= e, false) as within from ends),
 found as (
-    select doc_row, count(*) filter (where {place}) as n_base, min(diagonal) filter (where {place}) as first_word, max(diagonal) filter (where {place}) as last_word,
-        array_to_string(list_sort(list_distinct(list(label) filter (where {place}))), ',') as base_labels, array_to_string(list_sort(list_distinct(list({label}) filter (where {label} is not null))), ',') as labels, max({share}) as score
-    from merged group by doc_row)
+    select doc_row, count(*) filter (where place) as n_base, min(diagonal) filter (where place) as first_word, max(diagonal) filter (where place) as last_word,
+        array_to_string(list_sort(list_distinct(list(label) filter (where place))), ',') as base_labels,
+        array_to_string(list_sort(list_distinct(list(label) filter (where accepted and (base or not within)))), ',') as labels, max(share) as score
+    from held group by doc_row)
 select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0) as score
 from texts left join found using (doc_row)"""
 
@@ -52,37 +59,43 @@ components as (select node, min(root) as component from reach group by node)
 select t.doc_id, coalesce(o.n, 0) as n_shingles, coalesce(component, t.doc_id) as component_id, coalesce(component, t.doc_id) = t.doc_id as kept
 from (select doc_id from documents) t left join own o using (doc_id) left join components on node = o.rep"""
 
-def url_filters_sql(depth: int = 4, min_share: float = 0.01, min_count: int = 8, z: float = 2.0, prior: float = 4.0, threshold: float = 0.7) -> str:
-    cells = [f"s{i}" for i in range(depth + 1)]
-    known = [f"t{i}" for i in range(depth + 1)]
+
+def url_filters_sql(min_share: float = 0.01, min_count: int = 8, z: float = 2.0, prior: float = 4.0, threshold: float = 0.7) -> str:
     name, suffix = "regexp_replace(x, '\\.[A-Za-z]{1,5}$', '')", "regexp_extract(x, '\\.[A-Za-z]{1,5}$')"
     general = f"case when regexp_matches({name}, '^[0-9]+$') then '<number>' || {suffix} when regexp_matches({name}, '^[0-9A-Fa-f-]{{8,}}$') and regexp_matches({name}, '[0-9]') then '<hex>' || {suffix} when regexp_matches({name}, '[0-9]') then '<mixed>' || {suffix} else x end"
     rules = ", ".join(f"('{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{said}')" for r, said in RULES.items())
-    steps, above = [], ["host"]
-    for i in range(depth):
-        own = f"sum(n) over (partition by {', '.join([*above, f's{i}'])})"
-        total = f"sum(n) over (partition by {', '.join(above)})"
-        steps.append(f"tree{i} as (select *, case when s{i} = '' or s{i}[1] = '<' or ({own} >= {min_count} and {own} >= {min_share} * {total}) then s{i} else '*' end as t{i} from {f'tree{i - 1}' if i else 'counts'})")
-        above.append(f"t{i}")
+    pooled = "((m.gb + {p} * m.gp / m.gn) + (x.b + {p} * x.p0)) / (m.gs + x.said + 2 * {p})".replace("{p}", str(prior))
+    alike = f"abs(x.r - (m.gb + {prior} * m.gp / m.gn) / (m.gs + {prior})) <= {z} * sqrt(({pooled}) * (1 - ({pooled})) * (1 / (m.gs + {prior}) + 1 / (x.said + {prior})))"
+    carry = ", ".join(f"case when {alike} then m.{g} else 0 end + x.{c} as {g}" for g, c in (("gb", "b"), ("gs", "said"), ("gp", "pn"), ("gn", "n")))
     return f"""
-with rules(rule, domain, start, said) as (values {rules}),
+with recursive rules(rule, domain, start, said) as (values {rules}),
 parts as (
     select row_number() over () as page_row, page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path
     from (select page_id, coalesce(url, '') as url from pages)),
 fits as (select page_row, max_by(rule, (length(rule), rule)) as rule, max_by(said, (length(rule), rule)) as listed from parts join rules on (host = domain or ends_with(host, '.' || domain)) and starts_with(path, start) group by page_row),
-split_up as (select p.*, f.rule, f.listed, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: {general}) as seg from parts p left join fits f using (page_row)),
-urls as (select *, {", ".join(f"coalesce(seg[{i + 1}], '') as s{i}" for i in range(depth))}, case when len(seg) > {depth} then '<tail>' else '' end as s{depth} from split_up),
-counts as (select host, {", ".join(cells)}, count(*) as n, count(*) filter (where listed = 'block') as b, count(*) filter (where listed = 'allow') as a from urls group by host, {", ".join(cells)}),
-{", ".join(steps)},
-tree as (select *, '/' || array_to_string(list_filter([{", ".join(known[:-1])}, s{depth}], lambda x: x <> ''), '/') as template from tree{depth - 1}),
-leaves as (select host, template, cast(sum(n) as double) as n, cast(sum(b) as double) as b, cast(sum(a) as double) as a from tree group by host, template),
+urls as (select p.*, f.rule, f.listed, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: {general}) as seg from parts p left join fits f using (page_row)),
+counts as (select host, seg, count(*) as n, count(*) filter (where listed = 'block') as b, count(*) filter (where listed = 'allow') as a from urls group by host, seg),
+walk(level, host, seg, n, b, a, above, template, open) as (
+    select 0, host, seg, n, b, a, '', '', len(seg) > 0 from counts
+    union all
+    select level + 1, host, seg, n, b, a, template, template || '/' || step, step <> '**' and len(seg) > level + 1
+    from (
+        select *, case when total < {min_count} then '**' when own >= {min_count} and own >= {min_share} * total then seg[level + 1] else '*' end as step
+        from (select *, sum(n) over (partition by host, template) as total, sum(n) over (partition by host, template, seg[level + 1]) as own from walk where open))),
+cells as (select * from walk where not open),
+leaves as (select host, above, template, cast(sum(n) as double) as n, cast(sum(b) as double) as b, cast(sum(a) as double) as a from cells group by host, above, template),
 everywhere as (select template, (sum(b) + {prior} * ((select sum(b) from leaves) + 1) / ((select sum(b) from leaves) + (select sum(a) from leaves) + 2)) / (sum(b) + sum(a) + {prior}) as p0 from leaves group by template),
-rated as (select l.*, p0, (b + {prior} * p0) / (b + a + {prior}) as r, b + a + {prior} as w from leaves l join everywhere using (template)),
-cuts as (select *, case when r - lag(r) over o > {z} * sqrt(r * (1 - r) / w + lag(r) over o * (1 - lag(r) over o) / lag(w) over o) then 1 else 0 end as cut from rated window o as (partition by host order by r, template)),
-grouped as (select *, sum(cut) over (partition by host order by r, template rows unbounded preceding) as grp from cuts),
-rates as (select host, template, (sum(b) over g + {prior} * sum(p0 * n) over g / sum(n) over g) / (sum(b + a) over g + {prior}) as block_rate from grouped window g as (partition by host, grp))
-select page_id, u.host, u.path, u.rule, coalesce(u.listed, case when block_rate >= {threshold} then 'block' else 'allow' end) as verdict, t.template, round(block_rate, 6) as block_rate
-from urls u join tree t on u.host = t.host and {" and ".join(f"u.{c} = t.{c}" for c in cells)} join rates r on r.host = t.host and r.template = t.template"""
+rated as (select l.*, b + a as said, p0, p0 * n as pn, (b + {prior} * (p0 * n) / n) / (b + a + {prior}) as r from leaves l join everywhere using (template)),
+ranked as (select *, row_number() over (partition by host, above order by r, template) as k from rated),
+merging(host, above, template, k, grp, gb, gs, gp, gn) as (
+    select host, above, template, k, 1, b, said, pn, n from ranked where k = 1
+    union all
+    select x.host, x.above, x.template, x.k, m.grp + case when {alike} then 0 else 1 end, {carry}
+    from merging m join ranked x on x.host = m.host and x.above = m.above and x.k = m.k + 1),
+groups as (select host, above, grp, arg_max((gb + {prior} * gp / gn) / (gs + {prior}), k) as block_rate from merging group by host, above, grp),
+rates as (select host, template, block_rate from merging join groups using (host, above, grp))
+select page_id, u.host, u.path, u.rule, coalesce(u.listed, case when block_rate >= {threshold} then 'block' else 'allow' end) as verdict, case when c.template = '' then '/' else c.template end as template, round(block_rate, 6) as block_rate
+from urls u join cells c on u.host = c.host and u.seg = c.seg join rates r on r.host = c.host and r.template = c.template"""
 
 
 ORACLE_SQL = {"op1_url_filters": url_filters_sql(), "op2_license_scan": license_scan_sql(), "op3_near_duplicates": NEAR_DUPLICATES}
