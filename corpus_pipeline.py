@@ -38,8 +38,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Half of all tokens, dealt evenly over domains, languages and sources; a document may come once for each of two epochs."""
-    return mixing.select(docs, fraction=0.5, epochs=2, keep=COLUMNS).select(*COLUMNS)
+    """Half of all tokens, dealt by weight over domains, languages and sources; a document may come once for each of two epochs."""
+    return mixing.select(docs, fraction=0.5, epochs=2, weights=mixing.MIX, keep=COLUMNS).select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

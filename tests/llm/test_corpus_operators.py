@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
 import re
@@ -209,44 +210,91 @@ def test_folds_agree_in_spark_and_python(spark):
             assert abs(sum(toy[p] for p in named) - best(u)[0]) < 1e-9
 
 
-def test_budgets_fill_siblings_before_ancestors():
-    leaf = lambda n, w=1.0: mixing.Node(most=n, weight=w)
-    tree = mixing.Node(most=1000, children={"a": mixing.Node(most=210, children={"x": leaf(10), "y": leaf(200)}), "b": mixing.Node(most=790, weight=3.0, children={"z": leaf(790)})})
-    assert mixing.budgets(400, tree) == {("a", "x"): 10, ("a", "y"): 90, ("b", "z"): 300}
-    assert mixing.budgets(1000, tree) == {("a", "x"): 10, ("a", "y"): 200, ("b", "z"): 790}
-    assert mixing.budgets(0, tree) == {("a", "x"): 0, ("a", "y"): 0, ("b", "z"): 0}
-    assert sum(mixing.shares(7, {c: leaf(100) for c in "abc"}).values()) == 7
-
-
-def test_mixing_selects_prefixes_within_budgets(spark, docs):
-    got = mixing.select(docs, fraction=0.6, epochs=2).collect()
-    sizes = {r["doc_id"]: len(WORDS.findall(r["text"] or "")) for r in docs.collect()}
-    leaves, all_of, root = defaultdict(list), defaultdict(dict), mixing.Node()
-    for r in docs.withColumn("domain", mixing.domain_of(F.col("source"))).collect():
-        all_of[r["domain"], r["lang"] or "", r["source"] or ""][r["doc_id"]] = sizes[r["doc_id"]]
-    for path, own in all_of.items():
-        node = root
-        for name in path:
-            node = node.children.setdefault(name, mixing.Node())
-            node.most += 2 * sum(own.values())
-    plan = mixing.budgets(int(0.6 * sum(sizes.values())), root)
-    for r in got:
-        assert r["n_tokens"] == sizes[r["doc_id"]]
-        leaves[r["domain"], r["lang"], r["source"]].append((r["doc_id"], r["epoch"]))
-    for path, own in all_of.items():
-        used = sum(sizes[i] for i, _ in leaves[path])
-        assert used <= plan[path]
-        whole = plan[path] // sum(own.values())
-        assert all((i, e) in leaves[path] for i in own for e in range(whole))
-        # What is left of the budget doesn't fit the next document of the order, whichever it is.
-        rest = [n for i, n in own.items() if (i, whole) not in leaves[path]]
-        assert plan[path] - used < max(rest, default=plan[path] + 1)
+def plain_shares(budget, nodes):
+    """nodes: name -> (weight, most). Fills whoever can't use its share until all others can."""
+    given, left = dict.fromkeys(nodes, 0), min(budget, sum(m for w, m in nodes.values() if w > 0))
+    open_ = {k for k, (w, m) in nodes.items() if w > 0 and m > 0}
+    while open_ and left:
+        total = sum(nodes[k][0] for k in open_)
+        full = {k for k in open_ if left * nodes[k][0] / total >= nodes[k][1]}
+        if not full:
+            want = {k: left * nodes[k][0] / total for k in open_}
+            given |= {k: int(x) for k, x in want.items()}
+            for k in sorted(open_, key=lambda k: (int(want[k]) - want[k], k))[: left - sum(given[k] for k in open_)]:
+                given[k] += 1
+            break
+        for k in full:
+            given[k] = nodes[k][1]
+            left -= nodes[k][1]
+        open_ -= full
+    return given
+
+
+def plain_budgets(budget, leaves, weights, epochs, path=()):
+    """leaves: (domain, lang, source) -> tokens."""
+    if len(path) == 3:
+        return {path: budget}
+    below = defaultdict(int)
+    for leaf, n in leaves.items():
+        if leaf[: len(path)] == path:
+            below[leaf[len(path)]] += n * epochs
+    out = {}
+    for name, part in plain_shares(budget, {k: (weights.get(k, 1.0), m) for k, m in below.items()}).items():
+        out |= plain_budgets(part, leaves, weights, epochs, (*path, name))
+    return out
+
+
+def plain_mix(rows, fraction, epochs, weights, seed=17):
+    """rows: (doc_id, leaf, tokens). Which document comes in which epoch."""
+    leaves = defaultdict(int)
+    for _, leaf, n in rows:
+        leaves[leaf] += n
+    out = Counter()
+    for leaf, part in plain_budgets(int(fraction * sum(leaves.values())), leaves, weights, epochs).items():
+        if not part:
+            continue
+        whole, rest = divmod(part, leaves[leaf])
+        own = [(i, n) for i, at, n in rows if at == leaf]
+        out.update((i, e) for i, _ in own for e in range(whole))
+        used = 0
+        for i, n in sorted(own, key=lambda d: (hashlib.md5(f"{seed}:{'' if d[0] is None else d[0]}:{whole}".encode()).hexdigest()[:15], str(d[0]))):
+            used += n
+            if rest and used <= rest:
+                out[i, whole] += 1
+    return out
+
+
+def test_budgets_fill_siblings_before_ancestors(spark):
+    rows = [("a", "x", "1", 10), ("a", "y", "1", 200), ("b", "z", "1", 790)]
+    leaves = spark.createDataFrame(rows, "__domain string, __lang string, __source string, n long")
+
+    def parts(budget, weights):
+        got = {(r["__domain"], r["__lang"]): r["part"] for r in mixing.budgets(leaves, budget / 1000, 1, weights).collect()}
+        assert {(*k, "1"): v for k, v in got.items() if v} == {k: v for k, v in plain_budgets(budget, {r[:3]: r[3] for r in rows}, weights, 1).items() if v}
+        return got
+
+    assert parts(400, {"b": 3.0}) == {("a", "x"): 10, ("a", "y"): 90, ("b", "z"): 300}
+    assert parts(1000, {}) == {("a", "x"): 10, ("a", "y"): 200, ("b", "z"): 790}
+    assert not any(parts(0, {}).values())
+    assert sum(parts(7, {}).values()) == 7
+    assert parts(500, {"b": 0.0}) == {("a", "x"): 10, ("a", "y"): 200}
+
+
+@pytest.mark.parametrize(("fraction", "epochs", "weights"), [(0.6, 2, {}), (0.5, 2, mixing.MIX), (1.3, 3, {"en": 10.0, "src3": 0.0}), (0.01, 1, {"de": 5.0})])
+def test_mixing_selects_exactly_the_seeded_prefixes(spark, docs, fraction, epochs, weights):
+    rows = [(r["doc_id"], (r["domain"], r["lang"] or "", r["source"] or ""), len(WORDS.findall(r["text"] or ""))) for r in docs.withColumn("domain", mixing.domain_of(F.col("source"))).collect()]
+    got = mixing.select(docs, fraction=fraction, epochs=epochs, weights=weights).collect()
+    assert Counter((r["doc_id"], r["epoch"]) for r in got) == plain_mix(rows, fraction, epochs, weights)
 
 
 def test_mixing_edge_cases(spark):
-    rows = [(1, None, None, None, 0), (2, "", "en", "s1", 0), (3, "a b c", "en", "s1", 5), (3, "a b c", "en", "s1", 5), (None, "d e", "en", "s2", 3)]
+    rows = [(1, None, None, None, 0), (2, "", "en", "s1", 0), (3, "a b c", "en", "s1", 5), (3, "a b c", "en", "s1", 5), (None, "d e", "en", "s2", 3), (7, "w " * 100_000, "en", "s3", 1), (8, "x y", "en", "s2", 1)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, domain long")
-    assert mixing.select(table, fraction=1.0, epochs=1).count() == 5 - 1 + 0 or mixing.select(table, fraction=1.0, epochs=1).count() <= 5
+    # Everything once: the leaf without tokens has no share, and the empty text goes with its leaf's whole epoch.
+    assert Counter(r["doc_id"] for r in mixing.select(table, fraction=1.0, epochs=1).collect()) == {2: 1, 3: 2, None: 1, 7: 1, 8: 1}
+    # Rows equal in id and text come together or not at all.
+    for fraction in (0.00003, 0.00005, 0.0001):
+        assert sum(r["doc_id"] == 3 for r in mixing.select(table, fraction=fraction, epochs=1, weights={"s-2": 0.0, "s-3": 0.0}).collect()) in (0, 2)
     assert mixing.select(table.limit(0)).count() == 0
     assert mixing.select(table, fraction=0.0).count() == 0
 

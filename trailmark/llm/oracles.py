@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import LOWER, UPPER
 from .license_scan import BASE, LEAST_FUZZY, MORE
+from .mixing import MIX
 from .url_filters import RULES
 
 
@@ -98,4 +99,38 @@ select page_id, u.host, u.path, u.rule, coalesce(u.listed, case when block_rate
 from urls u join cells c on u.host = c.host and u.seg = c.seg join rates r on r.host = c.host and r.template = c.template"""
 
 
-ORACLE_SQL = {"op1_url_filters": url_filters_sql(), "op2_license_scan": license_scan_sql(), "op3_near_duplicates": NEAR_DUPLICATES}
+def mixing_sql(fraction: float = 0.5, epochs: int = 2, seed: int = 17) -> str:
+    weight = f"case name {' '.join(f"when '{k}' then cast({v} as double)" for k, v in MIX.items())} else cast(1 as double) end"
+    levels, steps = ["domain", "lang", "source"], []
+    for k, name in enumerate(levels):
+        above = levels[:k]
+        by = ", ".join(above) or "1"
+        plan = f"shared{k - 1}" if k else "total"
+        join = f"join {plan} using ({', '.join(above)})" if k else f"cross join {plan}"
+        filling = f"(partition by {by} order by most / w, name"
+        steps.append(f"""
+nodes{k} as (select *, name as {name}, {weight} as w from (select {', '.join([*above, f'{name} as name'])}, sum(n) * {epochs} as most from leaves group by all) {join}),
+capped{k} as (select * replace (least(budget, sum(most) over (partition by {by})) as budget) from nodes{k} where w > 0 and most > 0),
+filled{k} as (select *, (budget - coalesce(sum(most) over {filling} rows between unbounded preceding and 1 preceding), 0)) * w >= most * sum(w) over {filling} rows between current row and unbounded following) as fits,
+    sum(w) over {filling} rows between current row and unbounded following) as open_w from capped{k}),
+full{k} as (select *, min(fits) over {filling} rows between unbounded preceding and current row) as filled from filled{k}),
+rest{k} as (select *, budget - coalesce(sum(most) filter (where filled) over (partition by {by}), 0) as rest, max(open_w) filter (where not filled) over (partition by {by}) as total_w from full{k}),
+want{k} as (select *, case when filled then cast(most as double) else cast(rest as double) * w / total_w end as want from rest{k}),
+whole{k} as (select *, cast(floor(want) as hugeint) as whole from want{k}),
+turn{k} as (select *, rest - sum(whole) filter (where not filled) over (partition by {by}) as over_, row_number() over (partition by {by} order by filled, whole - want, name) as turn from whole{k}),
+shared{k} as (select {', '.join([*above, name])}, whole + case when not filled and turn <= over_ then 1 else 0 end as budget from turn{k}),""")
+    return f"""
+with named as (
+    select doc_id, text, regexp_extract(coalesce(source, ''), '^([^0-9]*)', 1) || '-' || regexp_extract(coalesce(source, ''), '([0-9])$', 1) as domain, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) as n_tokens
+    from documents),
+leaves as (select domain, lang, source, sum(n_tokens) as n from named group by all),
+total as (select cast(floor(sum(n) * cast({fraction} as double)) as hugeint) as budget from leaves),
+{"".join(steps)}
+plan as (select *, budget // n as whole, budget % n as rest from shared2 join leaves using (domain, lang, source) where budget > 0),
+placed as (select d.*, whole, rest, sum(n_tokens) over (partition by domain, lang, source order by substr(md5('{seed}:' || coalesce(cast(doc_id as varchar), '') || ':' || whole), 1, 15), doc_id, text range between unbounded preceding and current row) as upto from named d join plan using (domain, lang, source)),
+times as (select *, whole + case when rest > 0 and upto <= rest then 1 else 0 end as n_times from placed)
+select doc_id, domain, lang, source, cast(n_tokens as bigint) as n_tokens, unnest(range(cast(n_times as bigint))) as epoch from times"""
+
+
+ORACLE_SQL = {"op5_mixing": mixing_sql(), "op1_url_filters": url_filters_sql(), "op2_license_scan": license_scan_sql(), "op3_near_duplicates": NEAR_DUPLICATES}

@@ -32,7 +32,7 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.select(table(spark, sf_dir, "documents"))
+    return mixing.select(table(spark, sf_dir, "documents"), weights=mixing.MIX)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
