@@ -359,12 +359,13 @@ def brute_nearest(vectors, k):
     return out
 
 
-def test_neighbours_recall(spark, sf_dir):
+@pytest.mark.parametrize("settings", [{}, {"leaf": 64}, {"leaf": 1000, "block_bytes": 40_000}])
+def test_neighbours_recall(spark, sf_dir, settings):
     base = sf_dir.rsplit("/", 1)[0] + "/sf0.1"
     table = spark.read.parquet(f"{base}/embeddings.parquet")
     want = brute_nearest({r["vec_id"]: np.array(r["embedding"], float) for r in table.collect()}, 20)
     got = defaultdict(list)
-    for r in neighbours.search(table, F.col("vec_id") % 20 == 0, leaf=64).orderBy("query_id", "rank").collect():
+    for r in neighbours.search(table, F.col("vec_id") % 20 == 0, **settings).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append(r)
     assert set(got) == set(want)
     hits = sum(len({r["vec_id"] for r in got[q]} & {i for _, i in want[q]}) for q in want)
@@ -384,3 +385,19 @@ def test_neighbours_with_copies_and_unusable_vectors(spark):
     few = neighbours.search(table.where("vec_id in (100, 120)"), F.col("vec_id") % 20 == 0).collect()
     assert {(r["query_id"], r["vec_id"], r["score"]) for r in few} == {(100, 120, -1.0), (120, 100, -1.0)}
     assert neighbours.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_queries_with_few_candidates_meet_all_vectors(spark):
+    # Far more vectors than a leaf holds; a forest of one-sided trees has leaves with next to nothing in them.
+    rng = np.random.default_rng(1)
+    vectors = {i: rng.normal(size=3).astype(np.float32).astype(float) for i in range(400)}
+    rows = [(i, v.tolist(), 1.0, "clash", 3, i) for i, v in vectors.items()]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v double, cid string, n int, leaf long")
+    got = defaultdict(list)
+    for r in neighbours.search(table, F.col("vec_id") % 20 == 0, k=150, leaf=4, trees=1).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert len(got) == 20 and all(len(x) == 150 for x in got.values())
+    all_of = defaultdict(list)
+    for r in neighbours.search(table, F.col("vec_id") % 20 == 0, k=399, leaf=4, trees=1).orderBy("query_id", "rank").collect():
+        all_of[r["query_id"]].append(r["vec_id"])
+    assert {q: [i for _, i in w] for q, w in brute_nearest(vectors, 399).items()} == dict(all_of)

@@ -4,7 +4,9 @@ Vectors get one more component that brings them all to the largest norm, so the
 angle. The trees are fitted on a bounded sample and split at its medians along differences of random pairs; every vector
 is put into its leaf of every tree. A query walks all trees through one queue ordered by the distance to the planes it
 would cross, and its first leaves meet their vectors in blocks, where exact inner products in double precision pick the
-best of each leaf; then the best over all leaves are ranked.
+best of each leaf; then the best over all leaves are ranked. A query whose leaves hold fewer than k candidates meets all
+leaves of one tree instead. Blocks are made from the leaves' real sizes, and a leaf too large for a task is dealt in slices
+that its queries all meet, so that no task's memory grows with the corpus or with a lopsided tree.
 
 Equal vectors are one class in the index, with its smallest ids: no leaf grows with the copies of one vector, and no copy
 that could be among the k nearest is lost.
@@ -123,7 +125,7 @@ def usable(vectors: DataFrame, vector: str) -> DataFrame:
     return stored(rows.withColumn("vkey", F.xxhash64("v")).groupBy("vkey", "vec_id").agg(F.first("v").alias("v")), "neighbours-vectors")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 5) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each row of vectors that is_query (over vec_id) names."""
     spark = vectors.sparkSession
     rows = usable(vectors, vector)
@@ -131,7 +133,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "emb
     few = rows.withColumn("n", F.row_number().over(Window.partitionBy("vkey", "v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     classes = stored(few.groupBy("vkey", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("cid", F.get("ids", F.lit(0))), "neighbours-classes")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    n, most = classes.agg(F.count("*"), F.max(norm)).first()
+    n, most_norm = classes.agg(F.count("*"), F.max(norm)).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
         return empty
@@ -139,8 +141,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "emb
     picked = classes.where(F.abs(F.xxhash64("cid") % 1_000_000) < int(share * 1_000_000)).select("v").limit(sample).collect()
 
     def lifted(x: np.ndarray) -> np.ndarray:
-        """With the component that brings all to the norm most, scaled to 1."""
-        x = x / most
+        """With the component that brings all to the largest norm, scaled to 1."""
+        x = x / most_norm
         return np.column_stack((x, np.sqrt(np.clip(1 - (x * x).sum(1), 0, None)))).astype(np.float32)
 
     points = np.array([r["v"] for r in picked], np.float64)
@@ -148,8 +150,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "emb
     while n / 2**depth > leaf and len(points) / 2 ** (depth + 1) >= 4:
         depth += 1
     rng = np.random.default_rng(seed)
-    in_block = 2 ** max(0, int(np.log2(BLOCK_BYTES / (leaf * points.shape[1] * 8))))
-    parts = 1 + rows.where(is_query).count() // BLOCK_QUERIES
     rows_of = lifted(points)
     forest = [plant(rows_of, depth, rng) for _ in range(trees if depth else 1)]
     probes = calibrated(points, rows_of, forest, k, rng)
@@ -158,30 +158,60 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "emb
         flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((len(forest), 2**depth), np.int64)
+        for b in batches:
+            if b.num_rows:
+                x = lifted(matrix(b.column("v")))
+                for t, tree in enumerate(forest):
+                    found[t] += np.bincount(tree.leaves(x), minlength=2**depth)
+        t, at = np.nonzero(found)
+        yield pa.RecordBatch.from_pydict({"tree": pa.array(t), "leaf": pa.array(at), "n": pa.array(found[t, at])})
+
+    # Bounded by the leaves of the forest, which the sample bounds.
+    held = np.zeros((len(forest), 2**depth), np.int64)
+    for r in classes.select("v").mapInArrow(sizes, "tree long, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect():
+        held[r["tree"], r["leaf"]] = r["n"]
+    # Leaves that lie together are one block while it fits a task; a larger leaf is a block of several slices.
+    fits = max(1, block_bytes // (points.shape[1] * 8))
+    block_of, slices = np.zeros((len(forest), 2**depth), np.int64), []
+    for t in range(len(forest)):
+        block, used = -1, fits + 1
+        for at, size in enumerate(held[t].tolist()):
+            if used + size > fits:
+                block, used = len(slices), 0
+                slices.append(1)
+            block_of[t, at], used = block, used + size
+            slices[block] = -(-max(used, 1) // fits)
+    slices = np.array(slices)
+    parts = 1 + rows.where(is_query).count() // BLOCK_QUERIES
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = lifted(matrix(b.column("v")))
+                cid = b.column("cid").to_numpy().astype(np.uint64)
                 for t, tree in enumerate(forest):
                     at = tree.leaves(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(at // in_block), pa.array(at), b.column("cid"), b.column("v")], ["tree", "block", "leaf", "cid", "v"])
+                    block = block_of[t, at]
+                    piece = (cid * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % slices[block]
+                    yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(piece), pa.array(at), b.column("cid"), b.column("v")], ["block", "slice", "leaf", "cid", "v"])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch], most: int, asked_trees: list[Tree]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = matrix(b.column("v")) / most
-                found = [probe(np.append(q, 0.0).astype(np.float32), forest, probes) for q in x]
+                x = matrix(b.column("v")) / most_norm
                 blocks: dict[tuple[int, int, int], list[int]] = {}
-                for i, leaves in enumerate(found):
-                    for t, leaf_no in leaves:
-                        blocks.setdefault((i, t, leaf_no // in_block), []).append(leaf_no)
-                at, t, block = np.array(list(blocks), np.int64).T
+                for i, q in enumerate(x):
+                    for t, leaf_no in probe(np.append(q, 0.0).astype(np.float32), asked_trees, most):
+                        for piece in range(slices[block_of[t, leaf_no]]):
+                            blocks.setdefault((i, int(block_of[t, leaf_no]), piece), []).append(leaf_no)
+                at, block, piece = np.array(list(blocks), np.int64).T
                 at = pa.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(block), pa.array(blocks.values(), pa.list_(pa.int64())), b.column("vec_id").take(at), b.column("v").take(at)], ["tree", "block", "leaves", "query_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(piece), pa.array(blocks.values(), pa.list_(pa.int64())), b.column("vec_id").take(at), b.column("v").take(at)], ["block", "slice", "leaves", "query_id", "v"])
 
     kind = classes.schema["v"].dataType.simpleString()
-    indexed = classes.select("cid", "v").mapInArrow(index, f"tree int, block long, leaf long, cid long, v {kind}")
-    asked = rows.where(is_query).select("vec_id", "v").mapInArrow(ask, f"tree int, block long, leaves array<long>, query_id long, v {kind}")
+    indexed = classes.select("cid", "v").mapInArrow(index, f"block long, slice long, leaf long, cid long, v {kind}")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -190,11 +220,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "emb
             cid = right["cid"].to_numpy()
             by_id = np.argsort(cid, kind="stable")
             v, vl, cid = matrix(right["v"])[by_id], right["leaf"].to_numpy()[by_id], cid[by_id]
-            visits = np.zeros((len(q), in_block), bool)
             own = left["leaves"].combine_chunks()
-            visits[np.repeat(np.arange(len(q)), own.value_lengths().to_numpy()), own.flatten().to_numpy() % in_block] = True
+            base = min(vl.min(), own.flatten().to_numpy().min())
+            visits = np.zeros((len(q), max(vl.max(), own.flatten().to_numpy().max()) - base + 1), bool)
+            visits[np.repeat(np.arange(len(q)), own.value_lengths().to_numpy()), own.flatten().to_numpy() - base] = True
             for part in np.array_split(np.arange(len(q)), 1 + len(q) * len(v) // 4_000_000):
-                near = np.where(visits[part][:, vl % in_block], q[part] @ v.T, -np.inf)
+                near = np.where(visits[part][:, vl - base], q[part] @ v.T, -np.inf)
                 # Ids are in order, so a stable sort breaks ties by id; rounding here is far below what the spare places leave.
                 top = np.argsort(-near, axis=1, kind="stable")[:, : k + 5]
                 met = np.take_along_axis(near, top, 1).ravel() > -np.inf
@@ -204,14 +235,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "emb
         return pa.table({"query_id": a, "cid": c, "score": s})
 
     # Queries are dealt in parts so that no block meets too many at once; each part reads its leaves.
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
     indexed = indexed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
-    key = ("tree", "block", "part")
-    met = asked.groupBy(*key).cogroup(indexed.groupBy(*key)).applyInArrow(meet, "query_id long, cid long, score double")
-    # The same class comes from several trees with the same score.
-    best = met.groupBy("query_id", "cid").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "cid")
-    best = best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-    ids = best.join(classes.select("cid", "ids"), "cid").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
+    key = ("block", "slice", "part")
+
+    def nearest(queries: DataFrame, most: int, asked_trees: list[Tree]) -> DataFrame:
+        """query_id, score, vec_id: the best candidates in the first leaves of each query."""
+        asked = queries.mapInArrow(lambda b: ask(b, most, asked_trees), f"block long, slice long, leaves array<long>, query_id long, v {kind}")
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+        met = asked.groupBy(*key).cogroup(indexed.groupBy(*key)).applyInArrow(meet, "query_id long, cid long, score double")
+        # The same class comes from several trees with the same score.
+        best = met.groupBy("query_id", "cid").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "cid")
+        best = best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+        return best.join(classes.select("cid", "ids"), "cid").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
+
+    queries = rows.where(is_query).select("vec_id", "v")
+    ids = stored(nearest(queries, probes, forest), "neighbours-found")
+    # At least k of all other rows, where there are so many.
+    enough = ids.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, rows.count() - 1)).select(F.col("query_id").alias("vec_id"))
+    few = stored(queries.join(enough, "vec_id", "left_anti"), "neighbours-few")
+    if not few.isEmpty():
+        ids = ids.join(few.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(nearest(few, 2**depth, forest[:1]))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return ids.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
