@@ -1,6 +1,11 @@
 """Documents to training tokens in five stages, each one operator of trailmark.llm applied to all its predecessor kept.
 
-Every stage is written as Parquet to the folder that driver and executors share, and read again by the next.
+Every stage is written as Parquet to the folder that driver and executors share, and read again by the next; what a stage
+wrote besides is deleted then.
+
+Cases, in every stage: extra columns are dropped, whatever their names; rows without id or text, empty and very long texts
+count as the stage's operator says; repeated rows stay until the near-duplicates, which leave one row of an id (rows without
+id stay); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm import mixing, near_duplicates, pieces, quality_model, quality_rules
-from trailmark.llm.common import stored, table
+from trailmark.llm.common import discard, stored, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,14 +60,16 @@ STAGES = [
     ("piece encoding", encoding_stage),
 ]
 
-#: Learned rules, a trained scorer and merges by rank can't be written as SQL; the tests hold each stage against plain Python.
+#: Learned rules, a trained scorer and merges by rank can't be written as SQL; tests/llm/test_pipeline.py holds each stage and run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), set(written)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"pipeline-{name.replace(' ', '-')}")
+            # Only this table is read from here on.
+            discard(spark, [at for at in written[:-1] if at not in before])
     return docs

@@ -97,9 +97,11 @@ def test_quality_rules_on_no_documents(spark, odd):
 
 def test_token_counts_against_a_plain_loop(spark, sf_dir, odd):
     encode = token_counts.encoder(token_counts.VOCABULARY).encode_ordinary
-    for docs in (odd, spark.read.parquet(f"{sf_dir}/documents.parquet")):
+    long = spark.createDataFrame([(1, "a" * 300_000), (2, "é" * 100_000), (3, "\n" * 100_000)], "doc_id long, text string").withColumn("length", F.lit("clash")).withColumn("n", F.lit(1))
+    for docs in (odd, long, spark.read.parquet(f"{sf_dir}/documents.parquet")):
         lengths = [len(encode(r["text"] or "")) for r in docs.select("text").collect()]
-        answers = token_counts.context_table(token_counts.histogram(docs))
+        answers = token_counts.context_table(token_counts.histogram(docs), (1, 77, 4096, 10**7))
+        assert {r["length"] for r in answers.collect()} == {*lengths, 1, 77, 4096, 10**7}
         for r in answers.collect():
             limit = r["length"]
             assert r["n_docs"] == lengths.count(limit)

@@ -56,8 +56,8 @@ class Limits:
     """Units of a chunk's dictionary, and their places in its documents, at which the next chunk begins; and entries of
     dictionaries that one group of a bucket takes. They bound the memory of tasks and change no result."""
 
-    chunk_units: int = 600_000
-    chunk_places: int = 12_000_000
+    chunk_units: int = 400_000
+    chunk_places: int = 8_000_000
     bucket_entries: float = 500_000
 
 

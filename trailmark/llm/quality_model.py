@@ -138,10 +138,8 @@ class Hasher:
 WIDTH = BUCKETS + 32
 
 
-def fit(texts: list[str | None], target: np.ndarray, rounds: int = 120, rate: float = 4.0, decay: float = 1e-4) -> np.ndarray:
-    """Weights (the last one is the constant) of a logistic scorer, by gradient steps over the bounded sample."""
-    hasher = Hasher()
-    each = [hasher.features(t) for t in texts]
+def fit(each: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 120, rate: float = 4.0, decay: float = 1e-4) -> np.ndarray:
+    """Weights (the last one is the constant) of a logistic scorer, by gradient steps over the features of the bounded sample."""
     doc = np.repeat(np.arange(len(each)), [len(a) for a, _ in each])
     at, by = np.concatenate([a for a, _ in each]), np.concatenate([b for _, b in each])
     weights, bias, square, square_bias = np.zeros(WIDTH), 0.0, np.full(WIDTH, 1e-8), 1e-8
@@ -173,16 +171,29 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[dict[str, floa
     if not total:
         return bad, [0.0] * (WIDTH + 1)
 
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            each = [hasher.features(t) for t in texts]
+            columns = [pa.array([a for a, _ in each], pa.list_(pa.int64())), pa.array([b for _, b in each], pa.list_(pa.float64())), pa.array([bad[votes(t)] for t in texts], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), *columns], ["h", "at", "value", "target"])
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [t for batch in batches for t in batch.column(0).to_pylist()]
-        if texts:
-            yield pa.RecordBatch.from_pydict({"w": [fit(texts, np.array([bad[votes(t)] for t in texts])).tolist()]})
+        each, target = [], []
+        for batch in batches:
+            each += [(np.array(a, np.int64), np.array(b)) for a, b in zip(batch.column("at").to_pylist(), batch.column("value").to_pylist(), strict=True)]
+            target += batch.column("target").to_pylist()
+        if each:
+            yield pa.RecordBatch.from_pydict({"w": [fit(each, np.array(target)).tolist()]})
 
     hashed = F.xxhash64("doc_id", "text")
     # A little more than asked for passes the filter on hashes, the limit makes the bound strict.
     share = min(1.0, 1.2 * train_rows / total + 0.001)
-    sample = docs.where(F.abs(hashed % 1_000_000) < int(share * 1_000_000)).select("text", hashed.alias("h")).orderBy("h").limit(train_rows).select("text")
-    weights = sample.repartition(1).mapInArrow(learn, "w array<double>").collect()
+    sample = docs.where(F.abs(hashed % 1_000_000) < int(share * 1_000_000)).select("text", hashed.alias("h")).orderBy("h").limit(train_rows)
+    # Texts are read side by side; one task gets train_rows rows of at most WIDTH features, whatever their lengths.
+    features = sample.repartition(16).mapInArrow(measured, "h long, at array<long>, value array<double>, target double")
+    weights = features.repartition(1).sortWithinPartitions("h", "target").mapInArrow(learn, "w array<double>").collect()
     return bad, list(weights[0]["w"]) if weights else [0.0] * (WIDTH + 1)
 
 

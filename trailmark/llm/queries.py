@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, license_scan, mixing, near_duplicates, neighbours, pieces, quality_model, quality_rules, token_counts, url_filters
-from .common import table
+from .common import stored, table
 from .oracles import ORACLE_SQL
 
 
@@ -36,7 +36,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.context_table(token_counts.histogram(table(spark, sf_dir, "documents")))
+    # Written, as the sums of blocks and the lengths in them both read it.
+    lengths = stored(token_counts.histogram(table(spark, sf_dir, "documents")), "token-lengths")
+    return token_counts.context_table(lengths, token_counts.LIMITS)
 
 
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,15 +3,17 @@
 Documents are encoded in Arrow batches and only (length, documents) leaves the encoding tasks. Suffix sums are taken in
 blocks of lengths: sums of blocks first, then within each block, so no task holds the whole histogram.
 
-Cases: null and empty texts have length 0; repeated rows count as often as they occur; an empty table gives no rows.
-Texts are encoded whole; special tokens' strings are ordinary text. Extra columns aren't read.
+Limits that no document has as its length are answered as well: they join the histogram with no documents of their own.
+
+Cases: null and empty texts have length 0; repeated rows count as often as they occur; an empty table gives no
+rows but for limits asked for. Texts are encoded whole; special tokens' strings are ordinary text. Extra columns aren't read.
 """
 
 from __future__ import annotations
 
 import base64
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 256
+#: Context limits that the query answers besides the lengths that occur.
+LIMITS = tuple(2**k for k in range(7, 21))
 #: Fixed value: how the byte-level vocabulary's public encoder splits a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -45,9 +49,12 @@ def histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return docs.select("text").mapInArrow(count, "length long, n long").groupBy("length").agg(F.sum("n").alias("n_docs"))
 
 
-def context_table(lengths: DataFrame) -> DataFrame:
-    """For each length L that occurs, as a context limit: documents of that length, of at least that length, of more; all
+def context_table(lengths: DataFrame, limits: Iterable[int] = ()) -> DataFrame:
+    """For each length L that occurs and each of limits, as a context limit: documents of that length, of at least that length, of more; all
     tokens; tokens within the limit (every document cut at L); tokens lost to it; documents and tokens of at most L as shares."""
+    if limits := sorted(set(limits)):
+        asked = lengths.sparkSession.createDataFrame([(x, 0) for x in limits], "length long, n_docs long")
+        lengths = lengths.unionByName(asked).groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
     cells = lengths.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("t"), F.floor(F.col("length") / BLOCK).alias("block"))
     blocks = cells.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("t").alias("t"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
@@ -65,7 +72,7 @@ def context_table(lengths: DataFrame) -> DataFrame:
         F.col("all_tokens").alias("total_tokens"),
         cut.alias("tokens_within_limit"),
         (F.col("all_tokens") - cut).alias("tokens_lost"),
-        ((F.col("all_docs") - over) / F.col("all_docs")).alias("docs_quantile"),
+        F.when(F.col("all_docs") > 0, (F.col("all_docs") - over) / F.col("all_docs")).alias("docs_quantile"),
         F.when(F.col("all_tokens") > 0, cut / F.col("all_tokens")).alias("tokens_kept_share"),
     )
 
