@@ -202,14 +202,16 @@ def alike(sigs: np.ndarray, least: int) -> np.ndarray:
 
 
 def block_edges(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Edges from the first to each other class of what is alike in one region."""
+    """Edges from the least to each other class of what is alike in one region: the same ones in every order that finds them."""
     found: list[np.ndarray] = []
     for table in runs(batches, "key"):
         if table.num_rows > 1:
             rep = table["rep"].to_numpy()
             root = alike(matrix(table["sig"].combine_chunks(), np.uint16), least)
-            rest = root != np.arange(len(root))
-            found.append(np.column_stack((rep[root[rest]], rep[rest])))
+            least_of = np.full(len(rep), np.iinfo(np.int64).max)
+            np.minimum.at(least_of, root, rep)
+            rest = least_of[root] != rep
+            found.append(np.column_stack((least_of[root[rest]], rep[rest])))
         if len(found) >= 20_000:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found).T.copy()], ["a", "b"])
             found = []
