@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_point
 from trailmark.sources import files
 from trailmark.sources.adapter import segments, sightings
 
@@ -59,7 +60,19 @@ def test_corpus_round_trip(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, cases.collect()))
 
 
-def test_filters_reach_the_scan(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id = 77").select("event_id", "value")
-    plan = events._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(event_id,77)" in plan and "ReadSchema: struct<event_id:bigint,value:double>" in plan
+def plan_of(name, spark, sf_dir):
+    return entry_point.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_of_registered_queries_reach_the_scan(spark, sf_dir):
+    one = plan_of("sc_get_event", spark, sf_dir)
+    assert "GreaterThanOrEqual(event_id,76), LessThanOrEqual(event_id,76)" in one
+    for name in ("sc_events_on_day", "ag_hourly", "ag_cameras_today", "ag_animals_daily"):
+        plan = plan_of(name, spark, sf_dir)
+        assert "GreaterThanOrEqual(ts,2024-01-14" in plan and "LessThan(ts,2024-01-17" in plan
+    assert "LessThanOrEqual(event_id,8998)" in plan_of("sc_list_newest", spark, sf_dir)
+
+
+def test_queries_without_marks_read_no_marks(spark, sf_dir):
+    for name in ("sc_get_event", "sc_list_newest", "ag_by_label", "ag_by_species", "ag_hourly", "ag_overview"):
+        assert "doc_id" not in plan_of(name, spark, sf_dir)

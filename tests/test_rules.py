@@ -168,3 +168,26 @@ def test_spots_of_the_whole_page_of_marks(spark, sf_dir):
     base = sf_dir.rsplit("/", 1)[0] + "/sf0.01"
     few, page = ({r["id"] for r in __spark_entry__.queries()[name](spark, base).collect()} for name in ("jn_newest_marked_spot", "jn_newest_marked_spot_page"))
     assert few < page
+
+
+def test_assumptions_are_checked(spark):
+    from trailmark.sources.adapter import taxonomy
+
+    known = taxonomy(spark)
+    assert species.resolve_assume({" genus4": "Kind 17"}, known) == {"class0;order1;family2;genus4": "class0;order1;family2;genus4;species17"}
+    for group, name in (("nothing", "kind 17"), ("genus3", "nothing"), ("genus3", "kind 17")):
+        with pytest.raises(ValueError):
+            species.resolve_assume({group: name}, known)
+
+
+def test_password_digest(spark):
+    nonce = F.unbase64(F.lit("LKqI6G/AikKCQrN0zqZFlg=="))
+    row = spark.range(1).select(text.password_digest(nonce, F.lit("2010-09-16T07:50:45Z"), F.lit("userpassword")).alias("d"), text.from_hex(F.lit("abc")).alias("odd")).first()
+    assert row["d"] == "tuOSpGlFlIXsozq4HFNeeGeFLEI=" and row["odd"] is None
+
+
+def test_ranks_of_ties_and_single_values(spark):
+    rows = [("a", float(v)) for v in (1, 1, 1, 1, 9)] + [("b", 3.0), ("c", None)] + [("d", float(i % 37)) for i in range(1000)] + [(None, 2.0)]
+    got = {r["k"]: (r["p"], r["n"]) for r in ordered.nearest_rank(spark.createDataFrame(rows, "k string, v double"), "k", "v", 95).collect()}
+    want = sorted(float(i % 37) for i in range(1000))[950]
+    assert got == {"a": (9.0, 5), "b": (3.0, 1), "d": (want, 1000), None: (2.0, 1)}

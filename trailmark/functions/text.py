@@ -85,3 +85,51 @@ def nice_max(n: Column) -> Column:
     steps = F.transform(F.array(*map(F.lit, (1.0, 2.0, 2.5, 5.0, 10.0))), lambda k: k * power)
     fits = F.filter(steps, lambda s: (s >= n) & (s % 5 == 0))
     return F.when(n <= 5, 5.0).otherwise(F.coalesce(F.array_min(fits), 10 * power)).cast("long")
+
+
+def md5_hex(c: Column) -> Column:
+    return F.md5(c.cast("binary"))
+
+
+def to_hex(c: Column) -> Column:
+    """Bytes as digits in lower case."""
+    return F.lower(F.hex(c.cast("binary")))
+
+
+def from_hex(c: Column) -> Column:
+    """The bytes that an even number of digits stands for, else null."""
+    return F.when(c.rlike("^([0-9A-Fa-f]{2})*$"), F.unhex(c))
+
+
+def clip_path(folder: str, day: Column, name: Column, suffix: str) -> Column:
+    """A path below the data folder: folder, local day, name."""
+    return F.concat_ws("/", F.lit(folder), F.date_format(day, "yyyy-MM-dd"), F.concat(name.cast("string"), F.lit(suffix)))
+
+
+def password_digest(nonce: Column, created: Column, password: Column) -> Column:
+    """SHA-1 over the nonce's bytes, the time as text and the password, in base 64."""
+    return F.base64(F.unhex(F.sha1(F.concat(nonce.cast("binary"), created.cast("binary"), password.cast("binary")))))
+
+
+def snapshot_channel(kind: Column, hub: Column, channel: Column, detect_url: Column) -> Column:
+    """The channel that a hub's pictures of a camera come from: the camera's own, or one less than the two digits after
+    Preview_ in its URL; null for cameras that are not streams (they must not be woken) or have no hub."""
+    digits = F.regexp_extract(detect_url, "Preview_([0-9]{2})", 1).try_cast("int")
+    return F.when((kind == "stream") & hub.isNotNull(), F.coalesce(channel, F.when(digits > 0, digits - 1)))
+
+
+def full_stream_url(kind: Column, live: Column, full: Column) -> Column:
+    """A stream camera's URL of full size, where that differs from the live one: the one given, else the live one's with
+    _main for _sub if it is a Preview_ URL."""
+    derived = F.when(F.endswith(live, F.lit("_sub")) & F.contains(live, F.lit("Preview_")), F.regexp_replace(live, "_sub$", "_main"))
+    url = F.coalesce(full, derived)
+    return F.when((kind == "stream") & (url != live), url)
+
+
+def hub_live_url(kind: Column, hub_url: Column, user: Column, password: Column, channel: Column, main: bool) -> Column:
+    """The stream of a battery camera at its hub: the host of the hub's web address, without scheme, credentials, port and
+    path, and the camera's channel counted from 1."""
+    authority = F.regexp_extract(F.regexp_replace(hub_url, "^.*?://", ""), "^([^/]*)", 1)
+    host = F.regexp_extract(F.regexp_replace(authority, "^.*@", ""), r"^(\[[^\]]*\]|[^:]*)", 1)
+    url = F.concat(F.lit("rtsp://"), host, F.lit(":554/h264Preview_"), F.lpad((channel + 1).cast("string"), 2, "0"), F.lit("_main" if main else "_sub"))
+    return F.when((kind == "hub_clips") & (host != "") & channel.isNotNull(), with_credentials(url, user, password))

@@ -55,15 +55,17 @@ def nearest_start(left: DataFrame, right: DataFrame, slack_seconds: int = 2) ->
 
 def in_marked_spot(events: DataFrame, least: float = 0.5, newest: int | None = None) -> DataFrame:
     """Events whose box overlaps, by IoU, the box of another event of the camera that a reviewer marked as nothing.
-    newest: only so many of each camera's latest marks count. Boxes meet by camera and by cells of a grid: boxes that
-    overlap share the cell of their intersection's corner."""
-    marks = events.where("feedback = 'nothing'").select(F.col("camera_id").alias("m_camera"), F.col("id").alias("m_id"), *Box.of().columns("m_"))
+    newest: only marks among so many of each camera's latest marked events count, whatever these were marked as. Marks with one
+    box are one row. Boxes meet by camera and by cells of a grid: boxes that overlap share the cell of their intersection's
+    corner."""
+    marks = events.where("marked")
     if newest is not None:
-        marks = marks.withColumn("__n", F.row_number().over(Window.partitionBy("m_camera").orderBy(F.desc("m_id")))).where(F.col("__n") <= newest).drop("__n")
+        marks = marks.withColumn("__n", F.row_number().over(Window.partitionBy("camera_id").orderBy(F.desc("id")))).where(F.col("__n") <= newest)
+    marks = marks.where("feedback = 'nothing'").groupBy(F.col("camera_id").alias("m_camera"), *Box.of().columns("m_")).agg(F.min("id").alias("m_id"), F.count("*").alias("m_n"))
     mine, theirs = Box.of(), Box.of("m_")
-    near = lambda b, of: of.withColumn("__gx", F.explode(F.sequence(F.floor(b.x1 * 8), F.floor(b.x2 * 8)))).withColumn("__gy", F.explode(F.sequence(F.floor(b.y1 * 8), F.floor(b.y2 * 8))))
+    near = lambda b, of: of.withColumn("__gx", F.explode(F.sequence(F.floor(b.x1 * 16), F.floor(b.x2 * 16)))).withColumn("__gy", F.explode(F.sequence(F.floor(b.y1 * 16), F.floor(b.y2 * 16))))
     e, m = near(mine, events.select("id", "camera_id", *mine.columns())), near(theirs, marks)
-    meets = (F.col("camera_id") == F.col("m_camera")) & (e["__gx"] == m["__gx"]) & (e["__gy"] == m["__gy"]) & (F.col("id") != F.col("m_id")) & (mine.iou(theirs) >= least)
+    meets = (F.col("camera_id") == F.col("m_camera")) & (e["__gx"] == m["__gx"]) & (e["__gy"] == m["__gy"]) & ((F.col("m_n") > 1) | (F.col("id") != F.col("m_id"))) & (mine.iou(theirs) >= least)
     return e.join(m, meets, "left_semi").select("id", "camera_id").distinct()
 
 

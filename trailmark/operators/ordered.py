@@ -121,13 +121,28 @@ def last_scores(rows: DataFrame, key: str, order: str, score: str, most: int = 1
     return last.groupBy(key).agg(F.median(score).alias("median_score"), F.greatest(F.max(score), F.lit(0.0)).alias("top_score"))
 
 
-def nearest_rank(rows: DataFrame, key: str, value: str, percent: int = 95) -> DataFrame:
-    """Mean and nearest-rank percentile: the value at floor(n * percent / 100), the last at most. Ranks by a window, so a
-    key's values are sorted and spilled by Spark and never gathered into an array."""
-    w = Window.partitionBy(key)
-    ranked = rows.select(key, value, (F.row_number().over(w.orderBy(value)) - 1).alias("__i"), F.count("*").over(w).alias("__n"))
-    at = F.least(F.floor(F.col("__n") * percent / 100), F.col("__n") - 1)
-    return ranked.groupBy(key).agg(F.avg(value).alias("mean"), F.max(F.when(F.col("__i") == at, F.col(value))).alias("p"), F.count("*").alias("n"))
+def nearest_rank(rows: DataFrame, key: str, value: str, percent: int = 95, cells: int = 1024) -> DataFrame:
+    """Mean and nearest-rank percentile: the value at floor(n * percent / 100), the last at most. Null values aren't read.
+
+    A histogram of each key's range shows the cell that holds the rank; only that cell's distinct values are put in order.
+    All of it is partial aggregates, so a key with most of the rows isn't sorted in one task."""
+    rows = rows.select(F.col(key).alias("__key"), F.col(value).alias("__v")).where("__v is not null")
+    sums = rows.groupBy("__key").agg(F.avg("__v").alias("mean"), F.count("*").alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    sums = sums.withColumn("__at", F.least(F.floor(F.col("n") * percent / 100), F.col("n") - 1))
+    share = F.when(F.col("__hi") > F.col("__lo"), (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(0.0)
+    placed = rows.join(sums, rows["__key"].eqNullSafe(sums["__key"])).drop(rows["__key"]).withColumn("__cell", F.floor(share * (cells - 1)))
+
+    def holding(counted: DataFrame, by: str) -> DataFrame:
+        """Of a key's groups in order, the one with the rank __at in it, and how many come before it."""
+        before = Window.partitionBy("__key").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        counted = counted.withColumn("__before", F.col("__start") + F.coalesce(F.sum("__k").over(before), F.lit(0)))
+        return counted.where((F.col("__before") <= F.col("__at")) & (F.col("__at") < F.col("__before") + F.col("__k")))
+
+    of_cells = placed.groupBy("__key", "__at", "__cell").agg(F.count("*").alias("__k")).withColumn("__start", F.lit(0).cast("long"))
+    cell = holding(of_cells, "__cell").select(F.col("__key").alias("__of"), F.col("__cell").alias("__in"), F.col("__before").alias("__start"))
+    inside = placed.join(cell, placed["__key"].eqNullSafe(cell["__of"]) & (F.col("__cell") == F.col("__in")))
+    values = inside.groupBy("__key", "__at", "__start", "mean", "n", "__v").agg(F.count("*").alias("__k"))
+    return holding(values, "__v").select(F.col("__key").alias(key), "mean", F.col("__v").alias("p"), "n")
 
 
 def clip_rows(frames: DataFrame, windows: DataFrame, key: str, slot: str = "day") -> DataFrame:

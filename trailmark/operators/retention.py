@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_path
+
 
 def with_ids(new: DataFrame, existing: DataFrame, *order: str, slots: int = 64) -> DataFrame:
     """new with ids that follow the largest existing one, in an order of its rows. Rows are counted by ranges of the order
     first, so that numbering needs no single task."""
-    ranged = new.repartitionByRange(slots, *order).withColumn("__part", F.spark_partition_id())
+    at = shared_path(new.sparkSession, "ranged")
+    new.repartitionByRange(slots, *order).withColumn("__part", F.spark_partition_id()).write.parquet(at)
+    # Written, so that counting and numbering see the same ranges whatever is computed again.
+    ranged = new.sparkSession.read.parquet(at)
     within = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = within.groupBy("__part").agg(F.max("__n").alias("__size"))  # slots rows at most
     before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -64,12 +69,34 @@ def over_cap(events: DataFrame, cap: int) -> DataFrame:
     """Ready clips to purge until the total is within the cap: oldest local day first, motion first within a day. Marked
     clips count towards the total and stay.
 
-    Running sums are taken in two steps, over (day, kind) cells and then within a cell, so that no task sorts all clips."""
+    Running sums are taken in two steps, over cells of a day, kind and minute and then within a cell, so that no task sorts
+    the clips of a day."""
     ready = events.where("clip_state = 'ready' and clip_path is not null")
     total = ready.agg(F.coalesce(F.sum("clip_bytes"), F.lit(0)).alias("__total"))
-    free = ready.where(~F.col("marked")).withColumn("__object", (F.col("label") != "motion").cast("int"))
-    cells = free.groupBy("local_date", "__object").agg(F.sum("clip_bytes").alias("__bytes"))
-    cells = cells.withColumn("__earlier", F.coalesce(F.sum("__bytes").over(Window.orderBy("local_date", "__object").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__bytes")
-    inside = Window.partitionBy("local_date", "__object").orderBy("started_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = free.join(cells, ["local_date", "__object"]).withColumn("__before", F.col("__earlier") + F.coalesce(F.sum("clip_bytes").over(inside), F.lit(0)))
-    return rows.join(F.broadcast(total), F.lit(True)).where(F.col("__total") - F.col("__before") > cap).drop("__object", "__earlier", "__before", "__total")
+    free = ready.where(~F.col("marked")).withColumn("__object", (F.col("label") != "motion").cast("int")).withColumn("__minute", F.date_trunc("minute", "started_at"))
+    cell = ["local_date", "__object", "__minute"]
+    cells = free.groupBy(*cell).agg(F.sum("clip_bytes").alias("__bytes"))
+    cells = cells.withColumn("__earlier", F.coalesce(F.sum("__bytes").over(Window.orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__bytes")
+    inside = Window.partitionBy(*cell).orderBy("started_at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = free.join(cells, cell).withColumn("__before", F.col("__earlier") + F.coalesce(F.sum("clip_bytes").over(inside), F.lit(0)))
+    return rows.join(F.broadcast(total), F.lit(True)).where(F.col("__total") - F.col("__before") > cap).drop("__object", "__minute", "__earlier", "__before", "__total")
+
+
+def run_once(events: DataFrame, segments: DataFrame, now: Column, before: Column, cap: int, keep_hours: int = 48, pre_seconds: int = 5, dry_run: bool = False) -> DataFrame:
+    """kind, id, bytes: what one retention pass does, as its report: segments to delete, events that lose their media for
+    their age, and clips to purge until the rest is within the cap. A dry run changes nothing between the steps, so the last
+    one still counts what the second would have purged."""
+    cutoff = segment_cutoff(events, now, keep_hours, pre_seconds)
+    gone = expired_segments(segments, cutoff).select(F.lit("segment").alias("kind"), F.col("segment_id").alias("id"), F.col("seg_bytes").alias("bytes"))
+    old = expired_events(events, before)
+    rest = events if dry_run else events.join(old.select("id"), "id", "left_anti")
+    purged = old.select(F.lit("expired").alias("kind"), "id", F.when(F.col("clip_path").isNotNull(), F.col("clip_bytes")).alias("bytes"))
+    return gone.unionByName(purged).unionByName(over_cap(rest, cap).select(F.lit("over cap").alias("kind"), "id", F.col("clip_bytes").alias("bytes")))
+
+
+def became_motion(events: DataFrame, wrong: DataFrame, motion_cameras: list[str]) -> DataFrame:
+    """events after those named in wrong (id) turned out to be nothing but motion: on cameras that report motion they are
+    motion events, on others they are gone."""
+    known = events.join(wrong.select("id", F.lit(True).alias("__wrong")).distinct(), "id", "left").withColumn("__wrong", F.coalesce("__wrong", F.lit(False)))
+    left = known.where(~F.col("__wrong") | F.col("camera_id").isin(motion_cameras))
+    return left.withColumn("label", F.when(F.col("__wrong"), "motion").otherwise(F.col("label"))).drop("__wrong")

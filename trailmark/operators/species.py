@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,9 +85,10 @@ def only_local(taxonomy: DataFrame, kept_out: DataFrame) -> DataFrame:
     return species.join(kept_out, species["species"] == kept_out["taxon"], "left_anti").groupBy("genus").agg(F.count("*").alias("n"), F.min("species").alias("species")).where("n = 1").drop("n")
 
 
-def decide(votes: DataFrame, taxonomy: DataFrame, kept_out: DataFrame, certain: float, least: float) -> DataFrame:
+def decide(votes: DataFrame, taxonomy: DataFrame, kept_out: DataFrame, certain: float, least: float, assume: dict[str, str] | None = None) -> DataFrame:
     """event, taxon, score, how: the top species if it is certain and may be there; else its genus's only local species;
-    else the taxon it rolls up to (narrowed, where a genus has one local species)."""
+    else the taxon it rolls up to (narrowed, where a genus has one local species). assume: as resolve_assume() gives it; the
+    species to report for a group and everything below it, before a genus is narrowed."""
     best = top(votes)
     first = best.where("place = 1").join(F.broadcast(taxonomy), "class").select("event", F.col("p").alias("p1"), "class", taxon(F.lit(0)).alias("own"), taxon(F.lit(1)).alias("genus"))
     out = F.broadcast(kept_out.withColumn("out", F.lit(True)))
@@ -96,5 +98,78 @@ def decide(votes: DataFrame, taxonomy: DataFrame, kept_out: DataFrame, certain:
     sure = (F.col("class") > 2) & F.col("own").isNotNull() & (F.col("p1") > certain)
     both = first.join(up, "event", "left")
     how = F.when(sure & F.col("out").isNull(), "species").when(sure & F.col("local").isNotNull(), "local").when(F.col("taxon").isNotNull(), "group")
-    named = F.when(how == "species", F.col("own")).when(how == "local", F.col("local")).otherwise(F.coalesce("narrow", "taxon"))
+    named = F.when(how == "species", F.col("own")).when(how == "local", F.coalesce(assumed(F.col("own"), assume), "local")).otherwise(F.coalesce(assumed(F.col("taxon"), assume), "narrow", "taxon"))
     return both.select("event", how.alias("how"), named.alias("name"), F.round(F.when(how == "group", F.col("p")).otherwise(F.when(how.isNotNull(), F.col("p1"))), 6).alias("score"))
+
+
+def within(ranks: list[Column], group: list[Column]) -> Column:
+    """Whether a label is a group or one of its members: every rank that the group has is the same."""
+    alike = reduce(lambda a, b: a & b, ((g == "") | (r == g) for r, g in zip(ranks, group, strict=True)))
+    return (group[0] != "") & alike
+
+
+def scientific_name(ranks: list[Column]) -> Column:
+    """Genus and species, or the lowest rank that a label has, with a capital letter. ranks: class, order, family, genus, species."""
+    capital = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1_000))
+    out = F.lit("")
+    for rank in ranks[:4]:
+        out = F.when(rank != "", capital(rank)).otherwise(out)
+    return F.when(ranks[4] != "", F.concat(capital(ranks[3]), F.lit(" "), ranks[4])).otherwise(out)
+
+
+def group_named(taxonomy: DataFrame, name: str) -> DataFrame:
+    """Labels of groups (no species) whose scientific or common name that is, whatever its case."""
+    wanted = name.strip().lower()
+    ranks = [F.col(r) for r in (*RANKS, "t_species")]
+    return taxonomy.where((F.col("t_species") == "") & (F.col("t_class") != "") & ((F.lower(scientific_name(ranks)) == wanted) | (F.col("common") == wanted)))
+
+
+def resolve_assume(assume: dict[str, str], taxonomy: DataFrame) -> dict[str, str]:
+    """Names of groups and of the species to report for them, as taxon keys; unknown names and species outside their group
+    are refused. The map is what a user writes down, so it stays small."""
+    ranks = [F.col(r) for r in (*RANKS, "t_species")]
+    out = {}
+    for group_name, species_name in assume.items():
+        group = group_named(taxonomy, group_name).first()
+        if group is None:
+            raise ValueError(f"{group_name!r} is not a group that the classifier knows")
+        wanted = species_name.strip().lower()
+        one = taxonomy.where((F.col("t_species") != "") & ((F.col("common") == wanted) | (F.lower(scientific_name(ranks)) == wanted)))
+        found = one.select(taxon(F.lit(0)).alias("key"), within(ranks, [F.lit(group[r]) for r in (*RANKS, "t_species")]).alias("inside")).first()
+        if found is None:
+            raise ValueError(f"{species_name!r} is not a species that the classifier knows")
+        if not found["inside"]:
+            raise ValueError(f"{species_name!r} does not belong to {group_name!r}")
+        out[";".join(r for r in (group[r] for r in RANKS) if r)] = found["key"]
+    return out
+
+
+def assumed(key: Column, assume: dict[str, str] | None) -> Column:
+    """The species assumed for a taxon's genus, else its family, order or class; null if there is none."""
+    out = F.lit(None).cast("string")
+    for group, species in sorted((assume or {}).items(), key=lambda g: g[0].count(";")):
+        out = F.when((key == group) | F.startswith(key, F.lit(group + ";")), F.lit(species)).otherwise(out)
+    return out
+
+
+def map_class(index: Column) -> Column:
+    """The label of a detector's class; null for others."""
+    return F.when(index == 0, "animal").when(index == 1, "person").when(index == 2, "vehicle")
+
+
+def settle_still_animal(name: Column, said: Column, moved: Column, enabled: bool = True) -> Column:
+    """What the classifier says instead of an animal (said), where it says nothing at all about a thing that didn't move: motion."""
+    return F.when(name.isNull() & said.isNull() & F.lit(enabled) & ~moved, "motion").otherwise(said)
+
+
+def settle_person(said: Column) -> Column:
+    """A second opinion on a person changes it only to motion."""
+    return F.when(said == "motion", said)
+
+
+def reclassified(name: Column, said: Column, moved: Column, has_crops: Column, still_as_motion: bool = True) -> tuple[Column, Column]:
+    """outcome and the label to store (null for none) of an animal event that is classified again."""
+    settled = settle_still_animal(name, said, moved, still_as_motion)
+    outcome = F.when(~has_crops, "still unnamed" if still_as_motion else "no animal").when(name.isNotNull(), "named")
+    outcome = outcome.when((settled == "motion") & ~moved, "still unnamed").when(settled.isNotNull(), "not an animal").otherwise("unknown")
+    return outcome, F.when(outcome == "still unnamed", "motion").when(outcome == "not an animal", settled)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.adapter import LABELS
@@ -18,6 +18,7 @@ def by_label(events: DataFrame, zero_filled: bool = False) -> DataFrame:
     if not zero_filled:
         return counts
     domain = events.sparkSession.createDataFrame([(i, x) for i, x in enumerate(LABELS)], "place int, label string")
+    counts = F.broadcast(counts.where(F.col("label").isin(*LABELS)))  # a row for each label
     return domain.join(counts, "label", "left").select("place", "label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -26,18 +27,31 @@ def by_species(events: DataFrame) -> DataFrame:
 
     The best is the first event until a later one has a higher score and a ready clip; so it is the highest score among
     ready events above the first's score, the earliest of equals, else the first. Unnamed animals are one group, which
-    goes by the detector's score. One shuffle: both windows and the counts share the group's partitioning.
+    goes by the detector's score. Both steps are partial aggregates, so a name with most of the animals is no hot key; the
+    first step's result, a row for each name, is joined in between.
     """
     score = F.coalesce("species_score", "top_score")
-    group = Window.partitionBy("__key")
-    order = group.orderBy("started_at", "id")
-    e = events.where("label = 'animal'").select("*", F.lower("common_name").alias("__key"), score.alias("__score"))
-    e = e.withColumn("__first", F.first(F.struct("__score", "common_name", "scientific_name")).over(order))
-    better = (F.col("clip_state") == "ready") & (F.col("__score") > F.col("__first.__score"))
+    e = events.where("label = 'animal'").select("id", "started_at", "clip_state", "common_name", "scientific_name", F.lower("common_name").alias("__key"), score.alias("__score"))
+    order = F.struct("started_at", "id")
+    first = F.min_by(F.struct("__score", "common_name", "scientific_name"), order)
+    names = e.groupBy(F.col("__key").alias("__name")).agg(first.alias("f"), F.count("*").alias("n"), F.max("started_at").alias("last_seen"))
+    e = e.join(names, e["__key"].eqNullSafe(names["__name"]))
+    better = (F.col("clip_state") == "ready") & (F.col("__score") > F.col("f.__score"))
     best = F.min_by(F.struct("id", "__score"), F.struct((~better).cast("int"), F.when(better, -F.col("__score")), "started_at", "id"))
-    return e.groupBy("__key").agg(
-        F.first("__first").alias("f"), F.count("*").alias("n"), F.max("started_at").alias("last_seen"), best.alias("b")
-    ).select(F.col("f.common_name").alias("common_name"), F.col("f.scientific_name").alias("scientific_name"), "n", "last_seen", F.col("b.id").alias("best_id"), F.col("b.__score").alias("best_score"))
+    return e.groupBy("__key").agg(F.any_value("f").alias("f"), F.any_value("n").alias("n"), F.any_value("last_seen").alias("last_seen"), best.alias("b")).select(
+        F.col("f.common_name").alias("common_name"), F.col("f.scientific_name").alias("scientific_name"), "n", "last_seen", F.col("b.id").alias("best_id"), F.col("b.__score").alias("best_score")
+    )
+
+
+def overview(events: DataFrame) -> DataFrame:
+    """chart (label, species, hour, camera), name, n: all counts of a start page from one scan. Species are those of animals
+    by lower-cased name, null for the unnamed ones."""
+    rows = events.select("label", "local_hour", "camera_id", F.when(F.col("label") == "animal", F.lower("common_name")).alias("key"), (F.col("label") == "animal").alias("is_animal"))
+    by = [F.col(c) for c in ("label", "local_hour", "camera_id", "key", "is_animal")]
+    counts = rows.groupingSets([by[:1], by[1:2], by[2:3], by[3:]], *by).agg(F.count("*").alias("n"), *(F.grouping(c).alias(f"__{c}") for c in ("label", "local_hour", "camera_id", "is_animal")))
+    counts = counts.where("__is_animal = 1 or is_animal")
+    chart = F.when(F.col("__label") == 0, "label").when(F.col("__local_hour") == 0, "hour").when(F.col("__camera_id") == 0, "camera").otherwise("species")
+    return counts.select(chart.alias("chart"), F.coalesce("label", F.col("local_hour").cast("string"), "camera_id", "key").alias("name"), "n")
 
 
 def hours(spark: SparkSession) -> DataFrame:

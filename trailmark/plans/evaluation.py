@@ -9,18 +9,18 @@ from ..operators import evaluate
 from ..sources.adapter import SIGHTINGS, sightings
 from .registry import query
 
-_FINDINGS = "findings as (select clip as id, label, common_name as name, place from (select id - id % 4 as clip, label, common_name, id % 4 as place from sightings where id % 9 <> 1))"
-_WANT = "want as (select *, case when feedback is null then label when feedback <> 'nothing' then feedback end as want_label, case when coalesce(case when feedback is null then label when feedback <> 'nothing' then feedback end, '') = 'animal' then coalesce(feedback_species, case when feedback is null then common_name end) end as want_species from sightings where id % 4 = 0)"
+_FINDINGS = "findings as (select clip as id, label, common_name as name, place from (select id - id % 4 as clip, label, common_name, id % 4 as place from sightings where top_score >= 0.5))"
+_WANT = "want as (select *, case when feedback is null then label when feedback <> 'nothing' then feedback end as want_label, case when coalesce(case when feedback is null then label when feedback <> 'nothing' then feedback end, '') = 'animal' then coalesce(feedback_species, case when feedback is null then common_name end) end as want_species from sightings)"
 _RUN = "run as (select w.id, w.camera_id, w.marked, w.want_label, w.want_species, case when want_label is null or want_label = 'motion' then count(*) filter (where f.label <> 'motion') = 0 when want_species is null then count(*) filter (where f.label = want_label) > 0 else count(*) filter (where f.label = want_label and f.name is not null and f.name <> '' and (contains(lower(trim(f.name)), lower(trim(want_species))) or contains(lower(trim(want_species)), lower(trim(f.name))))) > 0 end as passed from want w left join findings f on f.id = w.id group by w.id, w.camera_id, w.marked, w.want_label, w.want_species)"
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sightings(spark, sf_dir).where("id % 9 <> 1")
+    s = sightings(spark, sf_dir).where("top_score >= 0.5")
     return s.select((F.col("id") - F.col("id") % 4).alias("id"), "label", F.col("common_name").alias("name"), (F.col("id") % 4).alias("place"))
 
 
 def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.judged(sightings(spark, sf_dir).where("id % 4 = 0"), _findings(spark, sf_dir))
+    return evaluate.judged(sightings(spark, sf_dir), _findings(spark, sf_dir))
 
 
 @query("select id, want_label, want_species, passed from run", SIGHTINGS, _FINDINGS, _WANT, _RUN)
@@ -33,11 +33,11 @@ def ev_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.scorecard(_run(spark, sf_dir))
 
 
-@query("select case when id % 20 = 0 then 'new' when passed and id % 3 = 0 then 'better' when not passed and id % 3 <> 0 then 'worse' else 'alike' end as change, count(*) as n from run group by 1", SIGHTINGS, _FINDINGS, _WANT, _RUN)
+@query("select case when camera_id = 'gate' then 'new' when passed and id % 3 = 0 then 'better' when not passed and id % 3 <> 0 then 'worse' else 'alike' end as change, count(*) as n from run group by 1", SIGHTINGS, _FINDINGS, _WANT, _RUN)
 def ev_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Against a baseline that passed what isn't divisible by 3 and knew nothing of every fifth case."""
+    """Against a baseline that passed what isn't divisible by 3 and knew nothing of one camera."""
     run = _run(spark, sf_dir)
-    return evaluate.compared(run, run.where("id % 20 <> 0").select("id", (F.col("id") % 3 != 0).alias("passed")))
+    return evaluate.compared(run, run.where("camera_id <> 'gate'").select("id", (F.col("id") % 3 != 0).alias("passed")))
 
 
 @query("select id, string_agg(case when n > 1 then concat(text, ' ×', cast(n as varchar)) else text end, ', ' order by first, text) as summary from (select id, coalesce(name, label) as text, count(*) as n, min(place) as first from findings group by id, coalesce(name, label)) group by id", SIGHTINGS, _FINDINGS)

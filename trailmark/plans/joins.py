@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import joins
-from ..sources.adapter import CAMERAS, DETECTIONS, SEGMENTS, SIGHTINGS, detections, segments, sightings
+from ..sources.adapter import CAMERAS, DETECTIONS, SEGMENTS, SIGHTINGS, detections, segments, sightings, unmarked_sightings
 from .registry import query
 
 #: IoU of boxes a and b, as SQL.
@@ -18,25 +18,26 @@ def jn_marked_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.in_marked_spot(sightings(spark, sf_dir))
 
 
-@query(f"select distinct a.id, a.camera_id from sightings a, (select *, row_number() over (partition by camera_id order by id desc) as r from sightings where feedback = 'nothing') b where b.r <= 5 and a.camera_id = b.camera_id and a.id <> b.id and {IOU} >= 0.5", SIGHTINGS)
+@query(f"select distinct a.id, a.camera_id from sightings a, (select *, row_number() over (partition by camera_id order by id desc) as r from sightings where marked) b where b.r <= 5 and b.feedback = 'nothing' and a.camera_id = b.camera_id and a.id <> b.id and {IOU} >= 0.5", SIGHTINGS)
 def jn_newest_marked_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the page of a camera's newest five marked events, those that were marked as nothing."""
     return joins.in_marked_spot(sightings(spark, sf_dir), newest=5)
 
 
-@query(f"select distinct a.id, a.camera_id from sightings a, (select *, row_number() over (partition by camera_id order by id desc) as r from sightings where feedback = 'nothing') b where b.r <= 500 and a.camera_id = b.camera_id and a.id <> b.id and {IOU} >= 0.5", SIGHTINGS)
+@query(f"select distinct a.id, a.camera_id from sightings a, (select *, row_number() over (partition by camera_id order by id desc) as r from sightings where marked) b where b.r <= 500 and b.feedback = 'nothing' and a.camera_id = b.camera_id and a.id <> b.id and {IOU} >= 0.5", SIGHTINGS)
 def jn_newest_marked_spot_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As jn_newest_marked_spot, with the whole page of the newest 500 marks."""
+    """Of the page of a camera's newest 500 marked events, those that were marked as nothing."""
     return joins.in_marked_spot(sightings(spark, sf_dir), newest=500)
 
 
 @query("select id, segment_id from (select e.id, g.segment_id, row_number() over (partition by e.id order by seg_start desc, segment_id desc) as r from sightings e join segments g on e.camera_id = g.camera_id and e.started_at >= seg_start - interval 2 second and e.started_at <= seg_end + interval 2 second) where r = 1", SIGHTINGS, SEGMENTS)
 def jn_recording_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.containing(sightings(spark, sf_dir), segments(spark, sf_dir))
+    return joins.containing(unmarked_sightings(spark, sf_dir), segments(spark, sf_dir))
 
 
 @query("select e.id, g.segment_id, g.seg_bytes from sightings e join segments g on e.camera_id = g.camera_id and seg_end > e.started_at - interval 5 second and seg_start < coalesce(e.ended_at, e.started_at) + interval 10 second and seg_start >= e.started_at - interval 5 second - interval 10 minute", SIGHTINGS, SEGMENTS)
 def jn_segments_of_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = sightings(spark, sf_dir).select("id", "camera_id", F.expr("started_at - interval 5 seconds").alias("from_at"), F.expr("coalesce(ended_at, started_at) + interval 10 seconds").alias("to_at"))
+    w = unmarked_sightings(spark, sf_dir).select("id", "camera_id", F.expr("started_at - interval 5 seconds").alias("from_at"), F.expr("coalesce(ended_at, started_at) + interval 10 seconds").alias("to_at"))
     return joins.overlapping(w, segments(spark, sf_dir)).select("id", "segment_id", "seg_bytes")
 
 
@@ -52,33 +53,33 @@ def sc_segments_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select left_id, right_id, micros_apart from (select l.id as left_id, r.id as right_id, abs(epoch_us(l.started_at) - epoch_us(r.started_at)) as micros_apart, row_number() over (partition by l.id order by abs(epoch_us(l.started_at) - epoch_us(r.started_at)), r.id) as n from sightings l join sightings r on l.camera_id = r.camera_id and abs(epoch_us(l.started_at) - epoch_us(r.started_at)) <= 90000000 where l.label = 'animal' and r.label = 'motion') where n = 1", SIGHTINGS)
 def jn_nearest_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sightings(spark, sf_dir)
+    s = unmarked_sightings(spark, sf_dir)
     side = lambda label, name: s.where(F.col("label") == label).select("camera_id", F.col("id").alias(name), F.col("started_at").alias("start"))
     return joins.nearest_start(side("animal", "left_id"), side("motion", "right_id"), 90)
 
 
 @query("select id, clip_path from sightings a where exists (select 1 from sightings b where b.clip_path = a.clip_path and b.id <> a.id and b.started_at >= a.started_at - interval 1 hour and b.started_at < a.started_at + interval 1 hour)", SIGHTINGS)
 def jn_shared_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.sharing_clip(sightings(spark, sf_dir)).select("id", "clip_path")
+    return joins.sharing_clip(unmarked_sightings(spark, sf_dir)).select("id", "clip_path")
 
 
-@query("select id, camera_id from sightings where id % 3 = 0 and feedback is null and id % 11 = 0", SIGHTINGS)
+@query("select id, camera_id from sightings where clip_path is not null and feedback is null", SIGHTINGS)
 def jn_withdrawn_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sightings(spark, sf_dir)
-    return joins.withdrawn(s.where("id % 3 = 0 and id % 11 = 0").select("id", "camera_id"), s.where("feedback is not null"))
+    return joins.withdrawn(s.where("clip_path is not null").select("id", "camera_id"), s.where("feedback is not null"))
 
 
-@query("select id from sightings a where clip_state = 'ready' and not marked and ended_at is not null and not exists (select 1 from sightings b where b.id = a.id and b.id % 5 = 0)", SIGHTINGS)
+@query("select id from sightings a where clip_state = 'ready' and not marked and ended_at is not null and not exists (select 1 from sightings b where b.id = a.id and b.snapshot_path is null)", SIGHTINGS)
 def jn_new_for_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sightings(spark, sf_dir)
     settled = s.where("clip_state = 'ready' and not marked and ended_at is not null").select("id")
-    return joins.withdrawn(settled, s.where("id % 5 = 0"))
+    return joins.withdrawn(settled, s.where("snapshot_path is null"))
 
 
-@query("select concat('hub', cast(segment_id % 2 as varchar)) as hub, concat(cast(segment_id as varchar), '.mp4') as file, seg_start as file_start from segments where seg_end <= timestamp '2024-01-20 00:00:00' - interval 10 second and segment_id % 3 <> 0", SIGHTINGS, SEGMENTS)
+@query("select concat('hub', cast(segment_id % 2 as varchar)) as hub, concat(cast(segment_id as varchar), '.mp4') as file, seg_start as file_start from segments where seg_end <= timestamp '2024-01-20 00:00:00' - interval 10 second and seg_bytes <= 1000000", SIGHTINGS, SEGMENTS)
 def jn_to_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = segments(spark, sf_dir).select("segment_id", F.concat(F.lit("hub"), F.col("segment_id") % 2).alias("hub"), F.concat("segment_id", F.lit(".mp4")).alias("file"), F.col("seg_start").alias("file_start"), F.col("seg_end").alias("file_end"))
-    ledger = files.where("segment_id % 3 = 0").select("hub", "file")
+    files = segments(spark, sf_dir).select("segment_id", F.concat(F.lit("hub"), F.col("segment_id") % 2).alias("hub"), F.concat("segment_id", F.lit(".mp4")).alias("file"), F.col("seg_start").alias("file_start"), F.col("seg_end").alias("file_end"), "seg_bytes")
+    ledger = files.where("seg_bytes > 1000000").select("hub", "file")
     return joins.to_import(files, ledger, F.expr("timestamp_ntz'2024-01-20 00:00:00'")).select("hub", "file", "file_start")
 
 
@@ -87,7 +88,7 @@ def jn_detector_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A camera's own detector, else its hub's, else the default."""
     cameras = spark.createDataFrame(list(zip(CAMERAS, ("h1", "h1", "h2", "h2"), (None, "spruce", None, None), strict=True)), "camera_id string, hub string, own string")
     hubs = spark.createDataFrame([("h1", None), ("h2", "larch")], "hub string, theirs string")
-    counts = sightings(spark, sf_dir).groupBy("camera_id").agg(F.count("*").alias("n"))
+    counts = unmarked_sightings(spark, sf_dir).groupBy("camera_id").agg(F.count("*").alias("n"))
     return counts.join(cameras, "camera_id", "left").join(hubs, "hub", "left").select("camera_id", "n", F.coalesce("own", "theirs", F.lit("sorrel")).alias("detector"))
 
 

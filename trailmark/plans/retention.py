@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ordered, retention
-from ..sources.adapter import NOW, SEGMENTS, SIGHTINGS, read, segments, sightings
+from ..sources.adapter import NOW, SEGMENTS, SIGHTINGS, read, segments, sightings, unmarked_sightings
 from .registry import query
 
 _READY = "sightings where clip_state = 'ready' and clip_path is not null"
@@ -44,9 +44,9 @@ def sk_patched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.patched(events, moved.union(purged), ["clip_state", "clip_path"])
 
 
-@query("select event_id, 10000000 + row_number() over (order by ts, event_id) as id from events where event_id % 4 = 1")
+@query("select event_id, 10000000 + row_number() over (order by ts, event_id) as id from events where event_type = 'click'")
 def sk_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = read(spark, sf_dir, "events").where("event_id % 4 = 1").select("event_id", "ts")
+    new = read(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", "ts")
     have = spark.range(10_000_000, 10_000_001)
     return retention.with_ids(new, have, "ts", "event_id").select("event_id", F.col("id").cast("long").alias("id"))
 
@@ -76,7 +76,7 @@ def wn_best_per_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select camera_id, run, min(started_at) as run_start, max(started_at) as run_end, count(*) as n from (select camera_id, started_at, cast(sum(new) over (partition by camera_id order by started_at rows unbounded preceding) as bigint) as run from (select *, case when started_at <= lag(started_at) over (partition by camera_id order by started_at) + interval 20 minute then 0 else 1 end as new from sightings)) group by camera_id, run", SIGHTINGS)
 def st_motion_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.sessions(sightings(spark, sf_dir), "camera_id", "started_at", "20 minutes")
+    return ordered.sessions(unmarked_sightings(spark, sf_dir), "camera_id", "started_at", "20 minutes")
 
 
 @query(
@@ -98,7 +98,7 @@ def wn_unwrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select camera_id, median(top_score) as median_score, greatest(max(top_score), 0) as top_score from (select *, row_number() over (partition by camera_id order by id desc) as r from sightings) where r <= 100 group by camera_id", SIGHTINGS)
 def ag_last_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.last_scores(sightings(spark, sf_dir), "camera_id", "id", "top_score")
+    return ordered.last_scores(unmarked_sightings(spark, sf_dir), "camera_id", "id", "top_score")
 
 
 @query("select event_type, round(avg(value), 6) as mean, max(value) filter (where i = least(n * 95 // 100, n - 1)) as p, count(*) as n from (select event_type, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events) group by event_type")
@@ -106,10 +106,10 @@ def ag_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.nearest_rank(read(spark, sf_dir, "events"), "event_type", "value").withColumn("mean", F.round("mean", 6))
 
 
-@query("select user_id, window_id, coalesce(max(ts) filter (where key_frame and ts <= from_at), min(ts) filter (where key_frame)) as first_at, max(ts) filter (where ts <= from_at + interval 2 day) as last_at from (select user_id, ts, event_type = 'view' as key_frame from events) join (select user_id, event_id as window_id, ts as from_at from events where event_id % 50 = 0) using (user_id) group by user_id, window_id")
+@query("select user_id, window_id, coalesce(max(ts) filter (where key_frame and ts <= from_at), min(ts) filter (where key_frame)) as first_at, max(ts) filter (where ts <= from_at + interval 2 day) as last_at from (select user_id, ts, event_type = 'view' as key_frame from events) join (select user_id, event_id as window_id, ts as from_at from events where event_type = 'error') using (user_id) group by user_id, window_id")
 def wn_clip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    return _clip_rows(e, e.where("event_id % 50 = 0"))
+    return _clip_rows(e, e.where("event_type = 'error'"))
 
 
 @query("select user_id, window_id, coalesce((select max(ts) from events f where f.user_id = w.user_id and event_type = 'view' and ts <= from_at), (select min(ts) from events f where f.user_id = w.user_id and event_type = 'view')) as first_at, (select max(ts) from events f where f.user_id = w.user_id and ts <= from_at + interval 2 day) as last_at from (select user_id, event_id as window_id, ts as from_at from events) w")
@@ -127,7 +127,7 @@ def _clip_rows(e: DataFrame, of: DataFrame) -> DataFrame:
 
 @query("select recording, label, min(started_at) as started_at, max(ended_at) as ended_at, max(top_score) as top_score, bool_or(id % 5 = 0) as moved, max_by(id, (top_score, -id)) as best_id from (select *, id // 6 as recording, max(label <> 'motion') over (partition by id // 6) as objects from sightings) where label <> 'motion' or not objects group by recording, label", SIGHTINGS)
 def ag_merged_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.merged_recordings(sightings(spark, sf_dir).withColumn("recording", F.floor(F.col("id") / 6)).withColumn("moved", F.col("id") % 5 == 0))
+    return ordered.merged_recordings(unmarked_sightings(spark, sf_dir).withColumn("recording", F.floor(F.col("id") / 6)).withColumn("moved", F.col("id") % 5 == 0))
 
 
 @query("select user_id, time_bucket(interval 2 hour, ts) as start, count(*) as frames, round(sum(value), 6) as amount from events group by user_id, time_bucket(interval 2 hour, ts)")
@@ -154,3 +154,27 @@ def wn_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.floor(F.col("event_id") / 50)
     packets = e.select(F.concat(F.lit("camera"), F.col("user_id").cast("string")).alias("camera_id"), (n * 100_000 + F.col("event_id") % 977).alias("arrived_us"), (n * 9000).alias("ts90"), (F.col("event_type") == "view").alias("key_frame"), (F.col("event_id") % 5000).alias("size"))
     return ordered.recorded(packets, 2)
+
+
+_BEFORE_20 = "(select least(timestamp '2024-01-20 00:00:00' - interval 48 hour, min(started_at) - interval 5 second) from sightings where clip_state = 'pending' and started_at >= timestamp '2024-01-20 00:00:00' - interval 72 hour)"
+_OLD = "select * from sightings where local_date < date '2024-01-10' and not marked and (clip_state <> 'purged' or clip_path is not null or snapshot_path is not null or thumb_path is not null)"
+
+
+@query(
+    f"""select 'segment' as kind, segment_id as id, seg_bytes as bytes from segments where seg_start < {_BEFORE_20} and seg_end < {_BEFORE_20}
+    union all select 'expired', id, case when clip_path is not null then clip_bytes end from old
+    union all select 'over cap', id, clip_bytes from (select id, clip_bytes, coalesce(sum(clip_bytes) over (order by local_date, label <> 'motion', started_at, id rows between unbounded preceding and 1 preceding), 0) as before from left_over where not marked) where (select sum(clip_bytes) from left_over) - before > 100000000""",
+    SIGHTINGS,
+    SEGMENTS,
+    f"old as ({_OLD})",
+    "left_over as (select * from sightings where clip_state = 'ready' and clip_path is not null and id not in (select id from old))",
+)
+def sk_run_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One retention pass with all its steps."""
+    return retention.run_once(sightings(spark, sf_dir), segments(spark, sf_dir), F.expr("timestamp_ntz'2024-01-20 00:00:00'"), F.lit("2024-01-10").cast("date"), 100_000_000)
+
+
+@query("select id, camera_id, case when clip_state = 'failed' then 'motion' else label end as label from sightings where clip_state <> 'failed' or camera_id in ('yard', 'gate')", SIGHTINGS)
+def sk_became_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = unmarked_sightings(spark, sf_dir).select("id", "camera_id", "label", "clip_state")
+    return retention.became_motion(s, s.where("clip_state = 'failed'"), ["yard", "gate"]).select("id", "camera_id", "label")

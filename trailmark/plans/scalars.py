@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clock, geometry, text
+from ..functions import clock, colour, geometry, text
 from ..functions.geometry import Box
-from ..sources.adapter import DETECTIONS, LABELS, NOW, SIGHTINGS, ZONE, detections, read, sightings
+from ..sources.adapter import DETECTIONS, LABELS, NOW, SIGHTINGS, ZONE, detections, read, unmarked_sightings
 from .registry import query
 
 _W, _H = "greatest(x2 - x1, 0)", "greatest(y2 - y1, 0)"
@@ -61,7 +61,24 @@ def fn_square_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections(spark, sf_dir).select("frame", "det", left.cast("long").alias("l"), top.cast("long").alias("t"), side.cast("long").alias("side"))
 
 
-@query()
+_IN = "{} between 0.01 and 0.99".format
+
+
+def _shift_sql(a: str) -> str:
+    inside = " and ".join(_IN(c) for c in (f"a.{a}1", f"b.{a}1", f"a.{a}2", f"b.{a}2"))
+    d1, d2 = f"(b.{a}1 - a.{a}1)", f"(b.{a}2 - a.{a}2)"
+    return f"case when {inside} and {d1} * {d2} > 0 then least(abs({d1}), abs({d2})) else 0 end"
+
+
+_MOVED = f"""
+pairs as (select a.frame, b.det, {_shift_sql('x')} as dx, {_shift_sql('y')} as dy, greatest(a.x2 - a.x1, 0) as aw, greatest(a.y2 - a.y1, 0) as ah, greatest(b.x2 - b.x1, 0) as bw, greatest(b.y2 - b.y1, 0) as bh, a.x1 - b.x1 as l, b.x2 - a.x2 as r, {' and '.join(_IN(c) for c in ('a.x1', 'b.x1', 'a.x2', 'b.x2'))} as seen from detections a join detections b on a.frame = b.frame and a.det = 1 and b.det > 1)"""
+
+
+@query(
+    "select frame, det, sqrt(dx * dx + dy * dy) > 0.15 * sqrt(aw * aw + ah * ah) or (abs((greatest(bw, 1e-7) / greatest(bh, 1e-7)) / (greatest(aw, 1e-7) / greatest(ah, 1e-7)) - 1) <= 0.25 and not (greatest(bw * bh, 1e-7) / greatest(aw * ah, 1e-7) between 0.55 and 1.8) and seen and l * r > 0 and least(abs(l), abs(r)) >= 0.3 * greatest(abs(l), abs(r))) as moved from pairs",
+    DETECTIONS,
+    _MOVED.strip(),
+)
 def fn_has_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each detection of a frame against the frame's first one."""
     d = detections(spark, sf_dir)
@@ -71,25 +88,31 @@ def fn_has_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select id, local_date, local_hour, strftime(started_at, '%Y-%m-%dT%H:%M:%S.%fZ') as text, epoch_us(started_at) as micros, timezone('UTC', timezone('{ZONE}', cast(local_date as timestamp))) as midnight, datediff('second', timestamp '2024-01-01', coalesce(ended_at, timestamp '{NOW}')) - datediff('second', timestamp '2024-01-01', started_at) as seconds, epoch_us(started_at) + (id % 9000) * 100 // 9 as sample_end from (select * from sightings where ended_at is null or date_trunc('second', started_at) = started_at or true)", SIGHTINGS)
 def fn_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, at = sightings(spark, sf_dir), F.col("started_at")
+    s, at = unmarked_sightings(spark, sf_dir), F.col("started_at")
     whole = lambda c: F.date_trunc("second", c)
     return s.select("id", "local_date", "local_hour", clock.rfc3339(at).alias("text"), clock.micros(at).alias("micros"), clock.local_midnight(F.col("local_date"), ZONE).alias("midnight"), clock.duration_seconds(whole(at), whole(F.col("ended_at")), F.expr(f"timestamp_ntz'{NOW}'")).alias("seconds"), clock.sample_end(clock.micros(at), F.col("id") % 9000).alias("sample_end"))
 
 
-@query(f"select id, year(started_at) = p.year and p.year > 0 as ok from (select id, started_at, {{'year': year(started_at)}} as p from sightings)", SIGHTINGS)
+_LOCAL = f"timezone('{ZONE}', timezone('UTC', date_trunc('second', started_at)))"
+
+
+@query(
+    f"select id, year, mon, day, hour, min, sec, timezone('UTC', timezone('{ZONE}', make_timestamp(year, mon, day, hour, min, cast(sec as double)))) as back, make_timestamp(year, mon, day, hour, min, cast(sec as double)) as own from (select id, cast(date_part('year', l) as integer) as year, cast(date_part('month', l) as integer) as mon, cast(date_part('day', l) as integer) as day, cast(date_part('hour', l) as integer) as hour, cast(date_part('minute', l) as integer) as min, cast(floor(date_part('second', l)) as integer) as sec from (select id, {_LOCAL} as l from sightings))",
+    SIGHTINGS,
+)
 def fn_time_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calendar fields of the local time and back again, and a camera that counts as C does."""
-    s, at = sightings(spark, sf_dir), F.date_trunc("second", "started_at")
+    """Calendar fields of the local time, the time that they stand for, and what a camera shows that counts as C does."""
+    s, at = unmarked_sightings(spark, sf_dir), F.date_trunc("second", "started_at")
     s = s.withColumn("p", clock.fields(clock.local(at, ZONE)))
     p = F.col("p")
     own = clock.camera_time(p["year"] - 1900, p["mon"] - 1, p["day"], p["hour"], p["min"], p["sec"])
-    return s.select("id", ((clock.from_fields(p, ZONE) == at) & (own == clock.local(at, ZONE))).alias("ok"))
+    return s.select("id", "p.*", clock.from_fields(p, ZONE).alias("back"), own.alias("own"))
 
 
 @query(f"select id, i as part, case when i = 0 then started_at else timezone('UTC', timezone('{ZONE}', cast(d0 + cast(i as integer) as timestamp))) end as from_at, least(started_at + interval 30 hour, timezone('UTC', timezone('{ZONE}', cast(d0 + cast(i + 1 as integer) as timestamp))) - interval 1 second) as to_at from (select *, unnest(range(cast(d1 - d0 as bigint) + 1)) as i from (select id, started_at, cast(timezone('{ZONE}', timezone('UTC', started_at)) as date) as d0, cast(timezone('{ZONE}', timezone('UTC', started_at + interval 30 hour)) as date) as d1 from sightings)) x", SIGHTINGS)
 def fn_day_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = clock.day_parts(F.col("started_at"), F.expr("started_at + interval 30 hours"), ZONE)
-    return sightings(spark, sf_dir).select("id", F.posexplode(parts).alias("part", "p")).select("id", F.col("part").cast("long").alias("part"), "p.from_at", "p.to_at")
+    return unmarked_sightings(spark, sf_dir).select("id", F.posexplode(parts).alias("part", "p")).select("id", F.col("part").cast("long").alias("part"), "p.from_at", "p.to_at")
 
 
 @query("select page_id, concat(regexp_extract(url, '^([^?]*)', 1), regexp_replace(regexp_extract(url, '^[^?]*(\\?.*)?$', 1), '([?&])(ref|token)=[^&]*', '\\1\\2=***', 'gi')) as hidden, regexp_replace(url, '^([^:]+://)', '\\1u%20s:p%40%2A~@') as given, url as bare, replace(replace(regexp_extract(url, '://([^/?#]*)', 1), '_sub', '_main'), 'www.', '') as host from pages")
@@ -101,9 +124,9 @@ def fn_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select id, upper(substr(common_name, 1, 1)) || substr(common_name, 2) as shown, nullif(scientific_name, '') as scientific, lower(trim(common_name)) = 'deer' or contains(lower(common_name), 'deer') as deer, regexp_matches(camera_id, '^[a-z0-9_-]+$') as valid, least(pow(2, least(id % 9, 5)), 30)::bigint as backoff, md5(camera_id) as digest, lower(hex(encode(label))) as bytes, concat('clips/', strftime(local_date, '%Y-%m-%d'), '/', cast(id as varchar), '.mp4') as path from sightings", SIGHTINGS)
 def fn_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sightings(spark, sf_dir)
-    path = F.concat_ws("/", F.lit("clips"), F.date_format("local_date", "yyyy-MM-dd"), F.concat("id", F.lit(".mp4")))
-    return s.select("id", text.display_name(F.col("common_name")).alias("shown"), F.nullif("scientific_name", F.lit("")).alias("scientific"), text.same_name(F.col("common_name"), F.lit("deer")).alias("deer"), text.valid_id(F.col("camera_id")).alias("valid"), text.backoff_seconds(F.col("id") % 9).alias("backoff"), F.md5("camera_id").alias("digest"), F.lower(F.hex("label")).alias("bytes"), path.alias("path"))
+    s = unmarked_sightings(spark, sf_dir)
+    path = text.clip_path("clips", F.col("local_date"), F.col("id"), ".mp4")
+    return s.select("id", text.display_name(F.col("common_name")).alias("shown"), F.nullif("scientific_name", F.lit("")).alias("scientific"), text.same_name(F.col("common_name"), F.lit("deer")).alias("deer"), text.valid_id(F.col("camera_id")).alias("valid"), text.backoff_seconds(F.col("id") % 9).alias("backoff"), text.md5_hex(F.col("camera_id")).alias("digest"), text.to_hex(F.col("label")).alias("bytes"), path.alias("path"))
 
 
 _STEPS = "[1.0 * m, 2.0 * m, 2.5 * m, 5.0 * m, 10.0 * m]"
@@ -114,14 +137,48 @@ def fn_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", text.nice_max(F.col("event_id") % 4321).alias("axis"))
 
 
-@query("select event_id, (298 * (y - 16) + 409 * (v - 128) + 128) >> 8 as r, v - u >= 40 or y >= 200 as warm from (select event_id, event_id % 256 as y, (event_id * 7) % 256 as u, (event_id * 13) % 256 as v from events)")
+_BYTE = "greatest(least(({}) >> 8, 255), 0)".format
+_RGB = f"{_BYTE('298 * (y - 16) + 409 * (v - 128) + 128')} as r, {_BYTE('298 * (y - 16) - 100 * (u - 128) - 208 * (v - 128) + 128')} as g, {_BYTE('298 * (y - 16) + 516 * (u - 128) + 128')} as b"
+
+
+@query(f"select *, ((66 * r + 129 * g + 25 * b + 128) >> 8) + 16 as y2, ((112 * b - 38 * r - 74 * g + 128) >> 8) + 128 as u2, ((112 * r - 94 * g - 18 * b + 128) >> 8) + 128 as v2 from (select event_id, {_RGB}, v - u >= 40 or y >= 200 as warm from (select event_id, event_id % 256 as y, (event_id * 7) % 256 as u, (event_id * 13) % 256 as v from events))")
 def fn_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The red part of BT.601 before it is cut to a byte, and whether a pixel is warm."""
+    """Pixels from YUV to RGB and back, and whether they are warm."""
     y, u, v = F.col("event_id") % 256, F.col("event_id") * 7 % 256, F.col("event_id") * 13 % 256
-    return read(spark, sf_dir, "events").select("event_id", F.shiftright(298 * (y - 16) + 409 * (v - 128) + 128, 8).alias("r"), ((v - u >= 40) | (y >= 200)).alias("warm"))
+    pixels = read(spark, sf_dir, "events").select("event_id", *(c.alias(n) for c, n in zip(colour.yuv_to_rgb(y, u, v), "rgb", strict=True)), colour.is_warm(y, u, v).alias("warm"))
+    again = colour.rgb_to_yuv(*map(F.col, "rgb"))
+    return pixels.select("*", *(c.alias(n) for c, n in zip(again, ("y2", "u2", "v2"), strict=True)))
 
 
 @query("select count(*) as n, count(distinct label) as labels from sightings", SIGHTINGS)
 def fn_label_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels outside the enumeration stop the query."""
-    return sightings(spark, sf_dir).select(text.label_or_error(F.col("label"), LABELS).alias("label")).agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"))
+    return unmarked_sightings(spark, sf_dir).select(text.label_or_error(F.col("label"), LABELS).alias("label")).agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"))
+
+
+_CAMERA_URL = "concat('rtsp://10.0.0.', cast(id % 250 as varchar), '/h264Preview_', lpad(cast(id % 12 as varchar), 2, '0'), case when id % 3 = 0 then '_main' else '_sub' end)"
+
+
+@query(
+    f"""select id, base64(unhex(sha1(concat(camera_id, strftime(started_at, '%Y-%m-%dT%H:%M:%SZ'), label)))) as digest, label as back,
+        case when kind = 'stream' then case when id % 4 = 0 then cast(id % 7 as integer) when id % 12 > 0 then cast(id % 12 - 1 as integer) end end as channel,
+        case when kind = 'stream' and id % 3 <> 0 then replace(url, '_sub', '_main') end as full_url,
+        case when kind = 'hub_clips' then concat('rtsp://u:p%40@hub', cast(id % 5 as varchar), ':554/h264Preview_', lpad(cast(id % 7 + 1 as varchar), 2, '0'), '_sub') end as live_url
+    from (select *, case when label = 'person' then 'hub_clips' else 'stream' end as kind, {_CAMERA_URL} as url from sightings)""",
+    SIGHTINGS,
+)
+def fn_camera_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of a login, bytes through digits and back, and the URLs that a camera's settings stand for."""
+    i = F.col("id")
+    url = F.concat(F.lit("rtsp://10.0.0."), (i % 250).cast("string"), F.lit("/h264Preview_"), F.lpad((i % 12).cast("string"), 2, "0"), F.when(i % 3 == 0, "_main").otherwise("_sub"))
+    s = unmarked_sightings(spark, sf_dir).withColumn("kind", F.when(F.col("label") == "person", "hub_clips").otherwise("stream")).withColumn("url", url)
+    hub = F.concat(F.lit("https://admin:x@hub"), (i % 5).cast("string"), F.lit(":8443/web"))
+    none = F.lit(None).cast("string")
+    return s.select(
+        "id",
+        text.password_digest(F.col("camera_id"), F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.col("label")).alias("digest"),
+        text.from_hex(text.to_hex(F.col("label"))).cast("string").alias("back"),
+        text.snapshot_channel(F.col("kind"), F.lit("hub"), F.when(i % 4 == 0, (i % 7).cast("int")), F.col("url")).alias("channel"),
+        text.full_stream_url(F.col("kind"), F.col("url"), none).alias("full_url"),
+        text.hub_live_url(F.col("kind"), hub, F.lit("u"), F.lit("p@"), (i % 7).cast("int"), main=False).alias("live_url"),
+    )

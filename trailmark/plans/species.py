@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import species
-from ..sources.adapter import LOGITS, TAXONOMY, logits, taxonomy
+from ..sources.adapter import LOGITS, TAXONOMY, logits, taxonomy, SIGHTINGS, unmarked_sightings
 from .registry import query
 
 #: A small geofence over the fixture's taxa, as taxon, allow, block.
@@ -17,13 +17,14 @@ RULES = [
     ("class1;order2;family4;genus8", {}, {"US": ["NY", "NJ"]}),
     ("class1;order3", {}, {"CA": []}),
 ]
-_OUT = ("class0;order0;family1;genus2;species10", "class0;order0;family1;genus2;species11", "class1;order2;family4;genus8")
-
 _PROBS = "probs as (select event, weight, generate_subscripts(z, 1) - 1 as class, unnest(list_transform(z, lambda x: exp(x - list_max(z)))) / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))) as p from logits)"
 _VOTES = "votes as (select event, cast(class as integer) as class, sum(p * greatest(weight, 1e-6)) / sum(greatest(weight, 1e-6)) as p from probs group by event, class)"
 _TOP = "best as (select * from (select *, row_number() over (partition by event order by p desc, class) as place from votes) where place <= 5)"
 _KEYS = "keys as (select class, 1 as level, concat_ws(';', t_class, t_order, t_family, t_genus) as taxon from taxonomy where class > 2 union all select class, 2, concat_ws(';', t_class, t_order, t_family) from taxonomy where class > 2 union all select class, 3, concat_ws(';', t_class, t_order) from taxonomy where class > 2 union all select class, 4, t_class from taxonomy where class > 2)"
-_KEPT_OUT = "kept_out as (select * from (values " + ", ".join(f"('{t}')" for t in _OUT) + ") as k(taxon))"
+#: The rules as one row for each place (a null region is all of a country), and what they keep out of New York.
+_PLACES = ", ".join(f"('{taxon}', '{kind}', '{country}', {repr(region) if region else 'null'})" for taxon, allow, block in RULES for kind, places in (("allow", allow), ("block", block)) for country, regions in places.items() for region in (regions or [None]))
+_HERE = "country = 'US' and (region is null or region = 'NY')"
+_KEPT_OUT = f"kept_out as (select taxon from (values {_PLACES}) as k(taxon, kind, country, region) group by taxon having (count(*) filter (where kind = 'allow') > 0 and count(*) filter (where kind = 'allow' and {_HERE}) = 0) or count(*) filter (where kind = 'block' and {_HERE}) > 0)"
 _UP = "up as (select event, level, taxon, p from (select *, row_number() over (partition by event order by level) as m from (select *, row_number() over (partition by event, level order by p desc, taxon) as r from (select event, level, taxon, sum(p) as p from best join keys using (class) where taxon not in (select taxon from kept_out) group by event, level, taxon)) where r = 1 and p > {least}) where m = 1)"
 _VIEWS = (LOGITS, TAXONOMY, _PROBS, _VOTES, _TOP)
 
@@ -60,3 +61,49 @@ def ag_rolled_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sp_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept_out = species.blocked(_rules(spark), "US", "NY")
     return species.decide(species.vote(logits(spark, sf_dir)), taxonomy(spark), kept_out, 0.07, 0.1)
+
+
+@query(
+    "select event, how, case how when 'species' then own when 'local' then coalesce(case when own = 'class0;order1;family2;genus4' or starts_with(own, 'class0;order1;family2;genus4;') then 'class0;order1;family2;genus4;species17' end, local) when 'group' then coalesce(case when taxon = 'class0;order1;family2;genus4' or starts_with(taxon, 'class0;order1;family2;genus4;') then 'class0;order1;family2;genus4;species17' end, narrow, taxon) end as name, round(case when how = 'group' then p when how is not null then p1 end, 6) as score from (select *, case when sure and not is_out then 'species' when sure and local is not null then 'local' when taxon is not null then 'group' end as how from (select f.event, f.p as p1, own, l.species as local, n.species as narrow, up.taxon, up.p, f.class > 2 and own is not null and f.p > 0.07 as sure, own is not null and own in (select taxon from kept_out) as is_out from best f join sp using (class) left join local l on l.genus = sp.genus left join up on up.event = f.event left join local n on up.level = 1 and n.genus = up.taxon where f.place = 1))",
+    *_VIEWS,
+    _KEYS,
+    _KEPT_OUT,
+    _UP.format(least=0.1),
+    "sp as (select class, case when t_species <> '' then concat_ws(';', t_class, t_order, t_family, t_genus, t_species) end as own, case when t_genus <> '' then concat_ws(';', t_class, t_order, t_family, t_genus) end as genus from taxonomy)",
+    "local as (select genus, min(own) as species from sp where own is not null and own not in (select taxon from kept_out) and class > 2 group by genus having count(*) = 1)",
+)
+def sp_decide_assumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As sp_decide, with one species reported for all of a genus."""
+    kept_out = species.blocked(_rules(spark), "US", "NY")
+    assume = species.resolve_assume({"Genus4": "kind 17"}, taxonomy(spark))
+    return species.decide(species.vote(logits(spark, sf_dir)), taxonomy(spark), kept_out, 0.07, 0.1, assume)
+
+
+_CAP = "upper({0}[1]) || {0}[2:]".format
+
+
+@query(
+    f"select event, class, case when t_species <> '' then {_CAP('t_genus')} || ' ' || t_species when t_genus <> '' then {_CAP('t_genus')} else '' end as name, t_class = 'class1' and t_order = 'order2' as in_order, t_species = '' and t_family = 'family1' and t_genus <> '' and lower({_CAP('t_genus')}) = 'genus3' as is_group from best join taxonomy using (class)",
+    *_VIEWS,
+)
+def sp_taxon_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scientific names of an event's best classes, and whether they belong to an order or are a genus by name."""
+    ranks = [F.col(r) for r in (*species.RANKS, "t_species")]
+    order = [F.lit("class1"), F.lit("order2"), F.lit(""), F.lit(""), F.lit("")]
+    genus = F.broadcast(species.group_named(taxonomy(spark), " Genus3").select(F.col("class").alias("of"), F.lit(True).alias("is_group")))
+    best = species.top(species.vote(logits(spark, sf_dir))).join(F.broadcast(taxonomy(spark)), "class").join(genus, F.col("class") == F.col("of"), "left")
+    return best.select("event", "class", species.scientific_name(ranks).alias("name"), species.within(ranks, order).alias("in_order"), F.coalesce("is_group", F.lit(False)).alias("is_group"))
+
+
+@query(
+    "select id, outcome, case outcome when 'still unnamed' then 'motion' when 'not an animal' then said end as new_label, case when said = 'motion' then 'motion' end as second_opinion from (select *, case when clip_path is null then 'still unnamed' when common_name is not null then 'named' when coalesce(said, case when not moved then 'motion' end) = 'motion' and not moved then 'still unnamed' when said is not null then 'not an animal' else 'unknown' end as outcome from (select id, clip_path, common_name, case when clip_state = 'ready' then case cast(floor(top_score * 10) as integer) % 4 when 0 then 'animal' when 1 then 'person' when 2 then 'vehicle' end end as said0, case when said0 = 'person' then 'person' when said0 = 'vehicle' then 'motion' end as said, snapshot_path is not null as moved from sightings where label = 'animal'))",
+    SIGHTINGS,
+)
+def sp_reclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What classifying stored animals again would change."""
+    s = unmarked_sightings(spark, sf_dir).where("label = 'animal'")
+    index = F.when(F.col("clip_state") == "ready", F.floor(F.col("top_score") * 10).cast("int") % 4)
+    label = species.map_class(index)
+    s = s.withColumn("said", F.when(label == "person", "person").when(label == "vehicle", "motion")).withColumn("moved", F.col("snapshot_path").isNotNull())
+    outcome, new = species.reclassified(F.col("common_name"), F.col("said"), F.col("moved"), F.col("clip_path").isNotNull())
+    return s.select("id", outcome.alias("outcome"), new.alias("new_label"), species.settle_person(F.col("said")).alias("second_opinion"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tracking
-from ..sources.adapter import SIGHTINGS, read, sightings
+from ..sources.adapter import SIGHTINGS, read, unmarked_sightings
 from ..streaming import pipeline
 from .registry import query
 
@@ -31,7 +31,7 @@ def st_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select id, label, max(top_score) as top_score, max(ended_at) as ended_at, bool_or(label = 'motion') as demoted, count(*) as n_updates from (select id, label, top_score * k / 3 as top_score, case when k = 3 then ended_at end as ended_at from sightings, (select unnest([1, 2, 3]) as k)) group by id, label", SIGHTINGS)
 def st_update_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Started, updated and ended rows of each event folded into it: scores only rise, the end is the last one told."""
-    s = sightings(spark, sf_dir)
+    s = unmarked_sightings(spark, sf_dir)
     log = s.withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3))))).select("id", "label", (F.col("top_score") * F.col("k") / 3).alias("top_score"), F.when(F.col("k") == 3, F.col("ended_at")).alias("ended_at"))
     return log.groupBy("id", "label").agg(F.max("top_score").alias("top_score"), F.max("ended_at").alias("ended_at"), F.bool_or(F.col("label") == "motion").alias("demoted"), F.count("*").alias("n_updates"))
 

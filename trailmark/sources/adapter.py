@@ -5,7 +5,7 @@ Every query is "adapter view -> operator"; the SQL here is what the oracles star
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ZONE = "America/New_York"
@@ -55,14 +55,46 @@ _SHARED = {
 }
 
 
-def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of four cameras with what a reviewer said about them; times are UTC without a zone."""
-    events = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+#: Columns that a reviewer gave.
+MARKS = ("marked", "feedback", "feedback_species")
+
+
+def id_range(least: int | None = None, most: int | None = None) -> Column:
+    """A filter on the table's own column, which reaches the scan, for ids from least to most."""
+    out = F.lit(True)
+    if least is not None:
+        out = out & (F.col("event_id") >= least - 1)
+    return out if most is None else out & (F.col("event_id") <= most - 1)
+
+
+def around_day(day: str) -> Column:
+    """A filter on the table's own column for a day in any zone; which day it is locally is still to be asked."""
+    start = f"timestamp_ntz'{day} 00:00:00'"
+    return F.expr(f"ts >= {start} - interval 1 day and ts < {start} + interval 2 day")
+
+
+def sightings(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
+    """Events of four cameras with what a reviewer said about them; times are UTC without a zone. only: a filter on the
+    events' own columns."""
     marks = read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    both = events.join(marks, events["event_id"] == marks["doc_id"], "left")
+    events = _events(spark, sf_dir, only)
+    return _shaped(events.join(marks, events["event_id"] == marks["doc_id"], "left"), tuple(_SHARED))
+
+
+def unmarked_sightings(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
+    """sightings() without a reviewer's columns, and without the join that gives them."""
+    return _shaped(_events(spark, sf_dir, only), tuple(c for c in _SHARED if c not in MARKS))
+
+
+def _events(spark: SparkSession, sf_dir: str, only: Column | None) -> DataFrame:
+    events = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return events if only is None else events.where(only)
+
+
+def _shaped(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     local = F.convert_timezone(F.lit("UTC"), F.lit(ZONE), F.col("ts"))
-    return both.select(
-        *(F.expr(sql).alias(name) for name, sql in _SHARED.items()),
+    return rows.select(
+        *(F.expr(_SHARED[name]).alias(name) for name in columns),
         F.to_date(local).alias("local_date"),
         F.hour(local).alias("local_hour"),
         F.when(F.col("event_id") % 97 != 0, F.expr("ts + make_dt_interval(0, 0, 0, 5 + event_id % 90)")).alias("ended_at"),
@@ -98,11 +130,11 @@ DETECTIONS = "detections as (select " + ", ".join(f"{sql} as {name}" for name, s
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten-second recordings that begin a little before every seventh event."""
-    return sightings(spark, sf_dir).where("id % 7 = 0").select("camera_id", F.col("id").alias("segment_id"), F.expr("started_at - interval 3 seconds").alias("seg_start"), F.expr("started_at + make_dt_interval(0, 0, 0, 7 + id % 400)").alias("seg_end"), (F.col("clip_bytes") * 2).alias("seg_bytes"))
+    """Ten-second recordings that begin a little before every motion event."""
+    return unmarked_sightings(spark, sf_dir).where("label = 'motion'").select("camera_id", F.col("id").alias("segment_id"), F.expr("started_at - interval 3 seconds").alias("seg_start"), F.expr("started_at + make_dt_interval(0, 0, 0, 7 + id % 400)").alias("seg_end"), (F.col("clip_bytes") * 2).alias("seg_bytes"))
 
 
-SEGMENTS = "segments as (select camera_id, id as segment_id, started_at - interval 3 second as seg_start, started_at + to_seconds(7 + id % 400) as seg_end, clip_bytes * 2 as seg_bytes from sightings where id % 7 = 0)"
+SEGMENTS = "segments as (select camera_id, id as segment_id, started_at - interval 3 second as seg_start, started_at + to_seconds(7 + id % 400) as seg_end, clip_bytes * 2 as seg_bytes from sightings where label = 'motion')"
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
