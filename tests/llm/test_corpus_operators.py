@@ -401,3 +401,56 @@ def test_queries_with_few_candidates_meet_all_vectors(spark):
     for r in neighbours.search(table, F.col("vec_id") % 20 == 0, k=399, leaf=4, trees=1).orderBy("query_id", "rank").collect():
         all_of[r["query_id"]].append(r["vec_id"])
     assert {q: [i for _, i in w] for q, w in brute_nearest(vectors, 399).items()} == dict(all_of)
+
+
+def test_expectation_maximisation_against_plain_loops():
+    rng = random.Random(2)
+    truth = [rng.random() < 0.3 for _ in range(600)]
+    pattern = lambda bad: "".join(rng.choices([quality_model.GOOD, quality_model.BAD, quality_model.NONE], [1, 6, 3] if bad else [5, 0.02, 5])[0] for _ in quality_model.LABELLERS)
+    docs = [pattern(bad) for bad in truth]
+    got = quality_model.posteriors(dict(Counter(docs)), rounds=3)
+    kinds = quality_model.GOOD + quality_model.BAD + quality_model.NONE
+    p = [0.9 if d.count(quality_model.BAD) > 1 else 0.3 if quality_model.BAD in d else 0.01 for d in docs]
+    for _ in range(3):
+        prior = min(0.9, max(0.01, sum(p) / len(p)))
+        rates = []
+        for weigh in ([1 - x for x in p], p):
+            of_class = []
+            for k in range(len(quality_model.LABELLERS)):
+                sums = {v: 0.5 + sum(w for w, d in zip(weigh, docs, strict=True) if d[k] == v) for v in kinds}
+                rate = {v: x / sum(sums.values()) for v, x in sums.items()}
+                held = min(rate[quality_model.BAD], quality_model.MOST_FALSE) if weigh is not p else max(rate[quality_model.BAD], quality_model.LEAST_TRUE)
+                scale = (1 - held) / (1 - rate[quality_model.BAD])
+                of_class.append({v: held if v == quality_model.BAD else x * scale for v, x in rate.items()})
+            rates.append(of_class)
+        p = []
+        for d in docs:
+            good, bad = 1 - prior, prior
+            for k, v in enumerate(d):
+                good, bad = good * rates[0][k][v], bad * rates[1][k][v]
+            p.append(bad / (good + bad))
+    for d, x in zip(docs, p, strict=True):
+        assert abs(got[d] - x) < 1e-6
+    assert sum((x > 0.5) == t for x, t in zip(p, truth, strict=True)) > 590
+
+
+def test_prototypes_and_predictions_against_plain_sums(spark):
+    rows = [(1, "the cat sat on the mat", "en"), (2, "the dog and the cat", "en"), (3, "die katze sitzt auf der matte", "de"), (4, "der hund und die katze", "de"), (5, None, "de"), (6, "12 34", "en"), (7, "the hund", None)]
+    table = spark.createDataFrame([(*r, "clash", 1.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    whole = {}
+    for _, text, lang in rows:
+        if text and lang:
+            [(_, v)] = language_id.vectors([text])
+            norm = np.sqrt((v[0].astype(float) ** 2).sum())
+            if norm:
+                whole[lang] = whole.get(lang, 0) + np.rint(v[0] / norm * 2**20)
+    prototypes = language_id.learn(table)
+    assert set(prototypes) == set(whole) and all(np.array_equal(np.array(prototypes[k]), whole[k]) for k in whole)
+    for r in language_id.predict(table, prototypes).collect():
+        text = next(t for i, t, _ in rows if i == r["doc_id"])
+        if not text or not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        [(_, v)] = language_id.vectors([text])
+        near = {k: float(v[0] @ w) / (np.linalg.norm(v[0].astype(float)) * np.linalg.norm(w)) for k, w in whole.items()}
+        assert r["lang_pred"] == max(near, key=near.get) and abs(r["score"] - max(0, max(near.values()))) < 1e-9

@@ -58,7 +58,7 @@ def plain_classifier(rows, model):
         return rows
     out = []
     for r in rows:
-        at, by = quality_model.Hasher().features(r[1])
+        at, by = quality_model.Hasher().features(r[1], quality_model.votes_and_freshness(r[1])[1])
         total = weights[-1] + sum(weights[int(i)] * float(x) for i, x in zip(at, by, strict=True))
         if 1 / (1 + math.exp(-max(-30.0, min(30.0, total)))) < 0.5:
             out.append(r)

@@ -39,8 +39,26 @@ def vote(good: bool, bad: bool) -> str:
     return BAD if bad else GOOD if good else NONE
 
 
+class PlainWords(dict):
+    """Whether a word is a plain one; forgets all when full."""
+
+    def __missing__(self, word: bytes) -> bool:
+        if len(self) >= 200_000:
+            self.clear()
+        found = self[word] = PLAIN.fullmatch(word) is not None and not word.endswith(b"!!")
+        return found
+
+
+_plain = PlainWords()
+
+
 def votes(text: str | None) -> str:
     """One letter for each of LABELLERS. Several look at each kind of fault, so that their votes overlap."""
+    return votes_and_freshness(text)[0]
+
+
+def votes_and_freshness(text: str | None) -> tuple[str, float]:
+    """votes(), and the share of word triples that are the first of their kind."""
     raw = (text or "").encode("utf-8", "replace")
     bins = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     words = raw.split()
@@ -49,11 +67,11 @@ def votes(text: str | None) -> str:
     prose = (upper + lower + int(bins[[39, 44, 45, 46, 58, 59]].sum())) / solid
     marks = (bins[33] + bins[63]) / n
     counts = Counter(words)
-    plain = sum(k for w, k in counts.items() if PLAIN.fullmatch(w) and not w.endswith(b"!!")) / n
+    plain = sum(k for w, k in counts.items() if _plain[w]) / n
     fresh = len(set(zip(words, words[1:], words[2:]))) / (len(words) - 2) if len(words) > 2 else 1.0
     lines = [x for x in raw.split(b"\n") if x.strip()]
     again = 1 - len(set(lines)) / max(1, len(lines))
-    return "".join(
+    said = "".join(
         (
             vote(False, bins[SYMBOLS].sum() > 0.03 * solid),
             vote(prose > 0.98, prose < 0.93),
@@ -66,6 +84,7 @@ def votes(text: str | None) -> str:
             vote(n >= 100, len(words) < 3),
         )
     )
+    return said, fresh
 
 
 def posteriors(counts: dict[str, int], rounds: int = 200) -> dict[str, float]:
@@ -119,14 +138,14 @@ class Hasher:
             found = self.known[word] = (bucket(b"w", word.lower()), bucket(b"s", shape(word)))
         return found
 
-    def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets and their values: counts of words and shapes over the square root of the sum of their squares."""
+    def features(self, text: str | None, extra: float) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets and their values: counts of words and shapes over the square root of the sum of their squares, and the
+        share of fresh triples (extra)."""
         counts: Counter[int] = Counter()
         words = (text or "").split()
         for word, k in Counter(words).items():
             for bucket in self.of(word):
                 counts[bucket] += k
-        extra = len(set(zip(words, words[1:], words[2:]))) / (len(words) - 2) if len(words) > 2 else 1.0
         at = np.fromiter(counts.keys(), np.int64, len(counts))
         by = np.fromiter(counts.values(), float, len(counts))
         by /= max(1.0, math.sqrt(float((by * by).sum())))
@@ -175,8 +194,9 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[dict[str, floa
         hasher = Hasher()
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            each = [hasher.features(t) for t in texts]
-            columns = [pa.array([a for a, _ in each], pa.list_(pa.int64())), pa.array([b for _, b in each], pa.list_(pa.float64())), pa.array([bad[votes(t)] for t in texts], pa.float64())]
+            looks = [votes_and_freshness(t) for t in texts]
+            each = [hasher.features(t, fresh) for t, (_, fresh) in zip(texts, looks, strict=True)]
+            columns = [pa.array([a for a, _ in each], pa.list_(pa.int64())), pa.array([b for _, b in each], pa.list_(pa.float64())), pa.array([bad[v] for v, _ in looks], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column("h"), *columns], ["h", "at", "value", "target"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +226,9 @@ def score(docs: DataFrame, model: tuple[dict[str, float], list[float]], keep: tu
         for batch in batches:
             said, p = [], []
             for text in batch.column("__text").to_pylist():
-                at, by = hasher.features(text)
-                said.append(votes(text))
+                own, fresh = votes_and_freshness(text)
+                at, by = hasher.features(text, fresh)
+                said.append(own)
                 p.append(1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[at] @ by) + w[-1])))))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(said, pa.string()), pa.array([posterior.get(v, 0.0) for v in said], pa.float64()), pa.array(p, pa.float64())], [*keep, "votes", "weak_bad", "bad"])
 
