@@ -92,6 +92,33 @@ def test_a_stream_tells_what_a_batch_tells(spark, sf_dir, tmp_path):
     assert all(r["kind"] == "ended" for r in ended)
 
 
+def test_a_long_visit_is_told_in_parts_and_other_labels_are_silent():
+    settings = Settings(longest_seconds=3.0, labels=("person",), parked_seconds=0)
+    frames = [(0.5 * i, [("person", 0.8, 0.1, 0.1, 0.2, 0.4), ("animal", 0.8, 0.6, 0.6, 0.8, 0.9)]) for i in range(17)]
+    camera = Camera(settings)
+    out = [t for at, f in frames for t in camera.frame(at, [x[0] for x in f], [x[1] for x in f], np.array([x[2:] for x in f], float))]
+    out += camera.finish()
+    assert {t[2] for t in out} == {"person"}
+    assert [(t[1], t[3], t[4]) for t in out if t[1] != "updated"] == [("started", 0.0, 1.0), ("ended", 0.0, 3.0), ("started", 3.0, 3.0), ("ended", 3.0, 6.0), ("started", 6.0, 6.0), ("ended", 6.0, 8.0)]
+    assert len({t[0] for t in out}) == 1
+
+
+def test_event_time_ends_the_visits_of_a_silent_camera(spark, tmp_path):
+    def write(camera: str, times: list[float]) -> None:
+        rows = [(camera, 1000 + t, "person", 0.9, 0.1, 0.1, 0.2, 0.4) for t in times]
+        spark.createDataFrame(rows, "camera_id string, at double, label string, score double, x1 double, y1 double, x2 double, y2 double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    write("quiet", [0.2 * i for i in range(10)])
+    write("busy", [0.2 * i for i in range(100)])
+    write("busy", [20 + 0.2 * i for i in range(10)])
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    settings = Settings(parked_seconds=0)
+    rows = pipeline.drained(tracking.visits_stream(stream, settings, "1 second"), "silent").collect()
+    assert [(r["kind"], round(r["at"], 1)) for r in rows if r["camera_id"] == "quiet" and r["kind"] != "updated"] == [("started", 1000.4), ("ended", 1001.8)]
+    assert [r["kind"] for r in rows if r["camera_id"] == "busy" and r["kind"] == "ended"] == []
+
+
 def test_clips_meet_their_segments_in_a_stream(spark, tmp_path):
     at = "timestamp'2024-01-01 00:00:00'"
     events = spark.range(40).selectExpr("concat('c', cast(id % 2 as string)) as camera_id", "id", f"{at} + make_interval(0, 0, 0, 0, cast(id as int)) as from_at", f"{at} + make_interval(0, 0, 0, 0, cast(id as int), 1) as to_at")

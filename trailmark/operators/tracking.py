@@ -36,6 +36,10 @@ class Settings:
     scores_kept: int = 100
     border: float = 0.01
     balanced: float = 0.3
+    #: A visit of this length ends and goes on as another one; None: visits may be of any length.
+    longest_seconds: float | None = None
+    #: The labels whose visits are told; None: all.
+    labels: tuple[str, ...] | None = None
 
 
 @dataclass
@@ -93,14 +97,23 @@ class Camera:
     def tell(self, v: Visit, kind: str, at: float) -> tuple:
         return (v.number, kind, v.label, v.started, at, max([0.0, *v.scores]), float(np.median(v.scores)) if v.scores else 0.0, v.hits, *v.box.tolist())
 
+    def ends(self, v: Visit, at: float) -> list[tuple]:
+        """The end of a visit, if its start was told."""
+        wanted = self.s.labels is None or v.label in self.s.labels
+        return [self.tell(v, "ended", at)] if v.counts and wanted else []
+
     def lapse(self, at: float) -> list[tuple]:
         """Ends visits that nothing was seen of for longer than allowed."""
         gone = [v for v in self.visits if at - v.seen > self.s.missed_seconds]
         self.visits = [v for v in self.visits if at - v.seen <= self.s.missed_seconds]
-        return [self.tell(v, "ended", v.seen) for v in gone if v.counts and not v.parked]
+        return [t for v in gone if not v.parked for t in self.ends(v, v.seen)]
+
+    def due(self) -> float | None:
+        """The time after which the next open visit lapses if nothing more is seen."""
+        return min((v.seen for v in self.visits), default=None)
 
     def finish(self) -> list[tuple]:
-        out = [self.tell(v, "ended", v.seen) for v in self.visits if v.counts and not v.parked]
+        out = [t for v in self.visits if not v.parked for t in self.ends(v, v.seen)]
         self.visits = []
         return out
 
@@ -139,6 +152,7 @@ class Camera:
 
     def observe(self, v: Visit, at: float, score: float, box: np.ndarray) -> list[tuple]:
         s = self.s
+        wanted = s.labels is None or v.label in s.labels
         if v.hits and at > v.seen:
             v.speed = (v.speed + ((box - v.box)[:2] + (box - v.box)[2:]) / 2 / (at - v.seen)) / 2
         if overlaps(v.anchor[None], box[None])[0, 0] < s.still:
@@ -158,18 +172,22 @@ class Camera:
         if v.counts and s.parked_seconds > 0 and at - v.still_since >= s.parked_seconds:
             v.parked = True
             self.places.append([v.label, box, at])
-            return [self.tell(v, "ended", at)]
+            return self.ends(v, at)
         if not v.moved:
             self.watch_movement(v, at, box)
         if not v.counts:
             if v.hits < s.least_hits or np.median(v.scores) < s.least_score or not v.moved:
                 return []
             v.counts, v.told = True, at
-            return [self.tell(v, "started", at)]
-        if at - v.told >= s.update_seconds:
-            v.told = at
+            return [self.tell(v, "started", at)] if wanted else []
+        if at - v.told < s.update_seconds or not wanted:
+            return []
+        v.told = at
+        if s.longest_seconds is None or at - v.started < s.longest_seconds:
             return [self.tell(v, "updated", at)]
-        return []
+        part = self.ends(v, at)
+        v.started = at  # the rest of it is another visit of the same number
+        return [*part, self.tell(v, "started", at)]
 
     def watch_movement(self, v: Visit, at: float, box: np.ndarray) -> None:
         if v.label not in self.s.movers or self.s.least_movement <= 0:
@@ -229,14 +247,29 @@ def visits(detections: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return detections.select("camera_id", "at", "label", "score", *BOX).repartition("camera_id").sortWithinPartitions("camera_id", "at", "label", F.desc("score"), *BOX).mapInPandas(run, OUTPUT)
 
 
-def visits_stream(detections: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The same for a stream whose frames arrive in order; visits that are still open at its end are not told as ended."""
+def visits_stream(detections: DataFrame, settings: Settings = Settings(), late: str | None = None) -> DataFrame:
+    """The same for a stream whose frames arrive in order.
+
+    `late` is how far the stream may lag behind (a watermark, such as "5 seconds"). With it, event time ends the visits of a
+    camera that falls silent as soon as the watermark of all cameras has passed; rows older than the watermark, which starts at
+    1970-01-01, are left out.
+    Without it, a camera's visits stay open until its next frame.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         camera = pickle.loads(state.get[0]) if state.exists else Camera(settings)
-        rows = pd.concat(list(parts)).sort_values(["at", "label", "score", *BOX], ascending=[True, True, False, *[True] * 4])
-        told = [(key[0], *t) for _, *frame in _frames(rows) for t in camera.frame(*frame)]
+        if state.hasTimedOut:
+            told = [(key[0], *t) for t in camera.lapse(state.getCurrentWatermarkMs() / 1000)]
+        else:
+            rows = pd.concat(list(parts)).sort_values(["at", "label", "score", *BOX], ascending=[True, True, False, *[True] * 4])
+            told = [(key[0], *t) for _, *frame in _frames(rows) for t in camera.frame(*frame)]
         state.update((pickle.dumps(camera),))
+        if late is not None and (seen := camera.due()) is not None:
+            ms = int((seen + settings.missed_seconds) * 1000) + 1
+            state.setTimeoutTimestamp(max(ms, state.getCurrentWatermarkMs() + 1))
         yield _rows(told)
 
-    return detections.groupBy("camera_id").applyInPandasWithState(run, OUTPUT, "state binary", "append", "NoTimeout")
+    if late is None:
+        return detections.groupBy("camera_id").applyInPandasWithState(run, OUTPUT, "state binary", "append", "NoTimeout")
+    timed = detections.withColumn("frame_time", F.timestamp_millis((F.col("at") * 1000).cast("long"))).withWatermark("frame_time", late)
+    return timed.groupBy("camera_id").applyInPandasWithState(run, OUTPUT, "state binary", "append", "EventTimeTimeout")
