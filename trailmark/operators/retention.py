@@ -38,6 +38,11 @@ def latest(log: DataFrame, key: list[str], seq: str, deleted: str | None = None)
     return rows if deleted is None else rows.where(~F.col(deleted)).drop(deleted)
 
 
+def ledger(imports: DataFrame, seq: str) -> DataFrame:
+    """What became of each hub's files (hub, file, event_id): the last row counts; -1 stands for a file of which nothing was kept."""
+    return latest(imports.withColumn("event_id", F.coalesce("event_id", F.lit(-1).cast("long"))), ["hub", "file"], seq)
+
+
 def closed(events: DataFrame) -> DataFrame:
     """After a crash: open events end when they began, and clips that were pending have failed."""
     return events.withColumn("ended_at", F.coalesce("ended_at", "started_at")).withColumn("clip_state", F.when(F.col("clip_state") == "pending", "failed").otherwise(F.col("clip_state")))

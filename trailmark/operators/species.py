@@ -173,3 +173,8 @@ def reclassified(name: Column, said: Column, moved: Column, has_crops: Column, s
     outcome = F.when(~has_crops, "still unnamed" if still_as_motion else "no animal").when(name.isNotNull(), "named")
     outcome = outcome.when((settled == "motion") & ~moved, "still unnamed").when(settled.isNotNull(), "not an animal").otherwise("unknown")
     return outcome, F.when(outcome == "still unnamed", "motion").when(outcome == "not an animal", settled)
+
+
+def patch(outcome: Column, name: Column, label: Column) -> Column:
+    """What an outcome of reclassified() stores, as a struct of label and species, each null if it stays; null if nothing changes."""
+    return F.when(outcome.isin("named", "not an animal", "still unnamed"), F.struct(F.when(outcome != "named", label).alias("label"), F.when(outcome == "named", name).alias("species")))

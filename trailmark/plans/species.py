@@ -95,8 +95,11 @@ def sp_taxon_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("event", "class", species.scientific_name(ranks).alias("name"), species.within(ranks, order).alias("in_order"), F.coalesce("is_group", F.lit(False)).alias("is_group"))
 
 
+_RECLASSIFIED = "select id, outcome, case outcome when 'still unnamed' then 'motion' when 'not an animal' then said end as new_label, case when said = 'motion' then 'motion' end as second_opinion from (select *, case when clip_path is null then 'still unnamed' when common_name is not null then 'named' when coalesce(said, case when not moved then 'motion' end) = 'motion' and not moved then 'still unnamed' when said is not null then 'not an animal' else 'unknown' end as outcome from (select id, clip_path, common_name, case when clip_state = 'ready' then case cast(floor(top_score * 10) as integer) % 4 when 0 then 'animal' when 1 then 'person' when 2 then 'vehicle' end end as said0, case when said0 = 'person' then 'person' when said0 = 'vehicle' then 'motion' end as said, snapshot_path is not null as moved from sightings where label = 'animal'))"
+
+
 @query(
-    "select id, outcome, case outcome when 'still unnamed' then 'motion' when 'not an animal' then said end as new_label, case when said = 'motion' then 'motion' end as second_opinion from (select *, case when clip_path is null then 'still unnamed' when common_name is not null then 'named' when coalesce(said, case when not moved then 'motion' end) = 'motion' and not moved then 'still unnamed' when said is not null then 'not an animal' else 'unknown' end as outcome from (select id, clip_path, common_name, case when clip_state = 'ready' then case cast(floor(top_score * 10) as integer) % 4 when 0 then 'animal' when 1 then 'person' when 2 then 'vehicle' end end as said0, case when said0 = 'person' then 'person' when said0 = 'vehicle' then 'motion' end as said, snapshot_path is not null as moved from sightings where label = 'animal'))",
+    _RECLASSIFIED,
     SIGHTINGS,
 )
 def sp_reclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,3 +110,11 @@ def sp_reclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = s.withColumn("said", F.when(label == "person", "person").when(label == "vehicle", "motion")).withColumn("moved", F.col("snapshot_path").isNotNull())
     outcome, new = species.reclassified(F.col("common_name"), F.col("said"), F.col("moved"), F.col("clip_path").isNotNull())
     return s.select("id", outcome.alias("outcome"), new.alias("new_label"), species.settle_person(F.col("said")).alias("second_opinion"))
+
+
+@query(f"select id, new_label as label, case when outcome = 'named' then common_name end as species from ({_RECLASSIFIED}) join (select id, common_name from sightings) using (id) where outcome in ('named', 'not an animal', 'still unnamed')", SIGHTINGS)
+def sp_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of it would be stored."""
+    rows = sp_reclassified(spark, sf_dir).join(unmarked_sightings(spark, sf_dir).where("label = 'animal'").select("id", "common_name"), "id")
+    stored = rows.select("id", species.patch(F.col("outcome"), F.col("common_name"), F.col("new_label")).alias("p")).where("p is not null")
+    return stored.select("id", "p.label", "p.species")
