@@ -61,3 +61,13 @@ def test_crops_patches_and_ledgers(spark):
     assert got == [(None, "fox"), ("person", None), ("motion", None), None, None]
     log = spark.createDataFrame([("h", "a", 7, 1), ("h", "a", None, 2), ("h", "b", None, 1), ("h", "b", 9, 2)], "hub string, file string, event_id long, seq long")
     assert sorted(tuple(r) for r in retention.ledger(log, "seq").select("file", "event_id").collect()) == [("a", -1), ("b", 9)]
+
+
+def test_answers_of_cameras_in_xml(spark):
+    say = lambda body: f'<e:Envelope xmlns:e="e"><e:Body>{body}</e:Body></e:Envelope>'
+    one = say('<x:GetProfilesResponse xmlns:x="m"><x:Profiles token="p"><Name>main</Name><VideoEncoderConfiguration token="q"><Resolution><Width>wide</Width><Height>720</Height></Resolution></VideoEncoderConfiguration></x:Profiles></x:GetProfilesResponse>')
+    sizes = say("<GetVideoEncoderConfigurationOptionsResponse><Options><MPEG4><ResolutionsAvailable><Width>8</Width><Height>6</Height></ResolutionsAvailable><ResolutionsAvailable><Width>8</Width></ResolutionsAvailable></MPEG4><AV1/></Options></GetVideoEncoderConfigurationOptionsResponse>")
+    rows = [(one,), (sizes,), (say(""),), ("no XML",), (None,)]
+    got = spark.createDataFrame(rows, "said string").select(motion.camera_profiles(F.col("said")).alias("p"), motion.allowed_sizes(F.col("said")).alias("s")).collect()
+    assert [[tuple(p) for p in r["p"] or []] for r in got] == [[("p", "main", "", "", 0, 720, None, None, "q")], [], [], [], []]
+    assert [[tuple(s) for s in r["s"]] for r in got] == [[], [("MPEG4", 8, 6)], [], [], []]

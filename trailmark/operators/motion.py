@@ -1,4 +1,4 @@
-"""Motion events of cameras, and what a whole recording says."""
+"""Motion events of cameras, recordings in which nothing was found, and what hubs, cameras and streams say of themselves."""
 
 from __future__ import annotations
 
@@ -114,3 +114,46 @@ def codec_string(codec: Column, config: Column) -> Column:
         F.regexp_replace(F.regexp_replace(constraints, "(..)", ".$1"), r"\.0(.)", ".$1"),
     )
     return F.when(codec == "h264", avc).when((codec == "h265") & (F.octet_length(config) >= 13), hvc)
+
+
+_PROFILE = "_token string, Name string, VideoSourceConfiguration struct<SourceToken string>, VideoEncoderConfiguration struct<_token string, Encoding string, Resolution struct<Width string, Height string>, RateControl struct<FrameRateLimit string, BitrateLimit string>>"
+_SIZES = "struct<ResolutionsAvailable array<struct<Width string, Height string>>>"
+#: Codecs of which a camera tells the sizes that it can encode.
+SIZED = ("JPEG", "MPEG4", "H264")
+
+
+def _xml(said: Column, schema: str) -> Column:
+    return F.from_xml(said, f"Body struct<{schema}>", {"ignoreNamespace": "true"})["Body"]
+
+
+def camera_profiles(said: Column) -> Column:
+    """A camera's answer about its media profiles (SOAP, whatever its prefixes) as an array of token, name, source, encoding,
+    width, height, fps, bitrate_kbps, encoder. Missing texts are empty, missing or odd sizes 0, rates null."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    whole = lambda c: c.try_cast("int")
+
+    def one(p: Column) -> Column:
+        encoder = p["VideoEncoderConfiguration"]
+        size, rate = encoder["Resolution"], encoder["RateControl"]
+        return F.struct(
+            text(p["_token"]).alias("token"),
+            text(p["Name"]).alias("name"),
+            text(p["VideoSourceConfiguration"]["SourceToken"]).alias("source"),
+            text(encoder["Encoding"]).alias("encoding"),
+            F.coalesce(whole(size["Width"]), F.lit(0)).alias("width"),
+            F.coalesce(whole(size["Height"]), F.lit(0)).alias("height"),
+            whole(rate["FrameRateLimit"]).alias("fps"),
+            whole(rate["BitrateLimit"]).alias("bitrate_kbps"),
+            text(encoder["_token"]).alias("encoder"),
+        )
+
+    return F.transform(_xml(said, f"GetProfilesResponse struct<Profiles array<struct<{_PROFILE}>>>")["GetProfilesResponse"]["Profiles"], one)
+
+
+def allowed_sizes(said: Column) -> Column:
+    """A camera's answer about an encoder as an array of codec, width, height; sizes that aren't whole numbers are left out."""
+    each = ", ".join(f"{c} {_SIZES}" for c in SIZED)
+    options = _xml(said, f"GetVideoEncoderConfigurationOptionsResponse struct<Options struct<{each}>>")["GetVideoEncoderConfigurationOptionsResponse"]["Options"]
+    none = F.array().cast("array<struct<codec string, width int, height int>>")
+    sizes = lambda c: F.transform(options[c]["ResolutionsAvailable"], lambda r: F.struct(F.lit(c).alias("codec"), r["Width"].try_cast("int").alias("width"), r["Height"].try_cast("int").alias("height")))
+    return F.filter(F.concat(*(F.coalesce(sizes(c), none) for c in SIZED)), lambda r: r["width"].isNotNull() & r["height"].isNotNull())

@@ -88,3 +88,24 @@ def sk_import_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = unmarked_sightings(spark, sf_dir).where("clip_path is not null")
     imports = s.select(F.col("camera_id").alias("hub"), F.col("clip_path").alias("file"), F.when(F.col("label") != "motion", F.col("id")).alias("event_id"), F.col("id").alias("seq"))
     return retention.ledger(imports, "seq").select("hub", "file", "event_id")
+
+
+@query("select s_nationkey as hub, cast(s_suppkey as varchar) as token, s_name as name, concat('source', s_suppkey % 3) as source, case when s_suppkey % 4 = 0 then '' else 'H264' end as encoding, cast(case when s_suppkey % 4 = 0 then 0 else 640 + s_suppkey % 5 end as integer) as width, cast(case when s_suppkey % 4 = 0 then 0 else 360 end as integer) as height, cast(case when s_suppkey % 4 <> 0 then s_suppkey % 30 end as integer) as fps, cast(null as integer) as bitrate_kbps, case when s_suppkey % 4 = 0 then '' else concat('encoder', s_suppkey) end as encoder from supplier")
+def sc_camera_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as media profiles that a nation's cameras report in XML, 16 a camera at most; a quarter has no encoder."""
+    n = F.col("s_suppkey")
+    encoder = F.format_string('<tt:VideoEncoderConfiguration token="encoder%d"><tt:Encoding>H264</tt:Encoding><tt:Resolution><tt:Width>%d</tt:Width><tt:Height>360</tt:Height></tt:Resolution><tt:RateControl><tt:FrameRateLimit>%d</tt:FrameRateLimit><tt:BitrateLimit>auto</tt:BitrateLimit></tt:RateControl></tt:VideoEncoderConfiguration>', n, 640 + n % 5, n % 30)
+    profile = F.format_string('<trt:Profiles token="%d"><tt:Name>%s</tt:Name><tt:VideoSourceConfiguration><tt:SourceToken>source%d</tt:SourceToken></tt:VideoSourceConfiguration>%s</trt:Profiles>', n, "s_name", n % 3, F.when(n % 4 != 0, encoder).otherwise(""))
+    said = F.concat(F.lit('<s:Envelope xmlns:s="s" xmlns:trt="m" xmlns:tt="t"><s:Body><trt:GetProfilesResponse>'), F.array_join(F.collect_list(profile), ""), F.lit("</trt:GetProfilesResponse></s:Body></s:Envelope>"))
+    cameras = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("hub"), F.floor(n / 16).alias("__of")).agg(said.alias("said"))
+    return cameras.select("hub", F.inline(motion.camera_profiles(F.col("said"))))
+
+
+@query("select p_partkey, codec, cast(width as integer) as width, cast(width / 2 as integer) as height from (select p_partkey, unnest(['JPEG', 'H264']) as codec, p_size * 2 as width from part) where codec = 'H264' or p_partkey % 3 <> 0")
+def sc_allowed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as encoders with their sizes in XML; one size of each is no number."""
+    size, n = F.col("p_size"), F.col("p_partkey")
+    one = F.format_string("<tt:ResolutionsAvailable><tt:Width>%d</tt:Width><tt:Height>%d</tt:Height></tt:ResolutionsAvailable>", size * 2, size)
+    odd = F.lit("<tt:ResolutionsAvailable><tt:Width>any</tt:Width><tt:Height>1</tt:Height></tt:ResolutionsAvailable>")
+    said = F.concat(F.lit('<s:Envelope xmlns:s="s" xmlns:tt="t"><s:Body><GetVideoEncoderConfigurationOptionsResponse><Options>'), F.when(n % 3 != 0, F.concat(F.lit("<tt:JPEG>"), one, F.lit("</tt:JPEG>"))).otherwise(""), F.lit("<tt:H264>"), one, odd, F.lit("</tt:H264></Options></GetVideoEncoderConfigurationOptionsResponse></s:Body></s:Envelope>"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.inline(motion.allowed_sizes(said)))
