@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import LOWER, UPPER
+from .decontamination import WINDOW
 from .license_scan import BASE, LEAST_FUZZY, MORE
 from .mixing import MIX
 from .url_filters import RULES
@@ -133,4 +134,22 @@ times as (select *, whole + case when rest > 0 and upto <= rest then 1 else 0 en
 select doc_id, domain, lang, source, cast(n_tokens as bigint) as n_tokens, unnest(range(cast(n_times as bigint))) as epoch from times"""
 
 
-ORACLE_SQL = {"op5_mixing": mixing_sql(), "op1_url_filters": url_filters_sql(), "op2_license_scan": license_scan_sql(), "op3_near_duplicates": NEAR_DUPLICATES}
+_LEAK_WORDS = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+
+#: Every window of every item looked up at every place of every document.
+DECONTAMINATION = f"""
+with texts as (select row_number() over () as doc_row, doc_id, {_LEAK_WORDS} as words from documents),
+items as (select item_id, {_LEAK_WORDS} as words from benchmark),
+windows as (
+    select distinct item_id, least(len(words), {WINDOW}) as size, array_to_string(words[i + 1:i + {WINDOW}], ' ') as win
+    from (select *, unnest(range(greatest(len(words) - {WINDOW - 1}, 1))) as i from items where len(words) > 0)),
+places as (
+    select doc_row, i, size, array_to_string(words[i + 1:i + size], ' ') as win
+    from (select *, unnest(range(greatest(len(words) - size + 1, 0))) as i from texts, (select distinct size from windows))),
+found as (select distinct doc_row, i, size, item_id from places join windows using (size, win)),
+hits as (select doc_row, count(distinct i + k) as n_hit from (select doc_row, i, unnest(range(size)) as k from found) group by doc_row),
+listed as (select doc_row, count(distinct item_id) as n_items, coalesce(string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)), '') as ids from found group by doc_row)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from texts left join hits using (doc_row) left join listed using (doc_row)"""
+
+ORACLE_SQL = {"op11_decontamination": DECONTAMINATION, "op5_mixing": mixing_sql(), "op1_url_filters": url_filters_sql(), "op2_license_scan": license_scan_sql(), "op3_near_duplicates": NEAR_DUPLICATES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, mixing, near_duplicates, neighbours, pieces, quality_model, quality_rules, token_counts, url_filters
+from . import decontamination, language_id, license_scan, mixing, near_duplicates, neighbours, periodic_runs, pieces, quality_model, quality_rules, token_counts, turn_repair, url_filters
 from .common import stored, table
 from .oracles import ORACLE_SQL
 
@@ -53,6 +53,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scan, op3_near_duplicates, op4_pieces, op5_mixing, op6_token_counts, op7_quality_model, op8_neighbours, op9_quality_rules, op10_language_id)}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.collapse(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_license_scan, op3_near_duplicates, op4_pieces, op5_mixing, op6_token_counts, op7_quality_model, op8_neighbours,
+        op9_quality_rules, op10_language_id, op11_decontamination, op12_periodic_runs, op13_turn_repair,
+    )
+}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
