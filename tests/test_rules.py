@@ -163,10 +163,10 @@ def test_clip_rows_against_brute_force_and_for_every_event(spark, sf_dir):
 
 
 def test_spots_of_the_whole_page_of_marks(spark, sf_dir):
-    import __spark_entry__
+    from trailmark.sources.adapter import sightings
 
-    base = sf_dir.rsplit("/", 1)[0] + "/sf0.01"
-    few, page = ({r["id"] for r in __spark_entry__.queries()[name](spark, base).collect()} for name in ("jn_newest_marked_spot", "jn_newest_marked_spot_page"))
+    events = sightings(spark, sf_dir.rsplit("/", 1)[0] + "/sf0.01")
+    few, page = ({r["id"] for r in joins.in_marked_spot(events, newest=n).collect()} for n in (5, 500))
     assert few < page
 
 

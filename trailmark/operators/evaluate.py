@@ -9,29 +9,37 @@ from ..functions.text import same_name
 
 
 def expected(events: DataFrame) -> DataFrame:
-    """What each event should give: a label, or null for nothing, and the species if one is known. A review counts before
-    what was stored, and "nothing" expects no object at all."""
-    said = F.col("feedback")
-    label = F.when(said.isNull(), F.col("label")).when(said != "nothing", said)
-    species = F.when(label == "animal", F.coalesce("feedback_species", F.when(said.isNull(), F.col("common_name"))))
-    return events.select("*", label.alias("want_label"), species.alias("want_species"))
-
-
-def met(found: Column, label: Column, species: Column) -> Column:
-    """Whether an array of (label, name) meets an expectation: none but motion for nothing or motion, else one of the label,
-    and for a known species one whose name holds it or is held by it."""
-    objects = F.filter(found, lambda x: x["label"] != "motion")
-    named = F.exists(found, lambda x: (x["label"] == label) & same_name(F.coalesce(x["name"], F.lit("")), species))
-    any_of = F.exists(found, lambda x: x["label"] == label)
-    return F.when(label.isNull() | (label == "motion"), F.size(objects) == 0).when(species.isNull(), any_of).otherwise(named)
-
-
-def judged(events: DataFrame, findings: DataFrame) -> DataFrame:
-    """id, camera_id, marked, want_label, want_species, passed: each case against its findings (id, label, name)."""
+    """What each event should give: want_label (null for nothing), want_species if one is known, and what must be gone:
+    not_label, the stored label that a reviewer corrected, and not_species, the stored name of an animal that a reviewer
+    marked as one without giving its name. A review counts before what was stored; "nothing" and motion expect no object."""
+    said, stored = F.col("feedback"), F.col("label")
+    label = F.coalesce(said, stored)
+    label = F.when(~label.isin("nothing", "motion"), label)
+    species = F.when(label == "animal", F.when(said.isNull(), F.col("common_name")).otherwise(F.col("feedback_species")))
+    not_label = F.when(label.isNotNull() & (said != stored) & (stored != "motion"), stored)
+    not_species = F.when((label == "animal") & (said == stored) & F.col("feedback_species").isNull(), F.col("common_name"))
+    return events.select("*", label.alias("want_label"), species.alias("want_species"), not_label.alias("not_label"), not_species.alias("not_species"))
+
+
+def met(found: Column, label: Column, species: Column, not_label: Column, not_species: Column, named: bool = True) -> Column:
+    """Whether an array of (label, name) meets an expectation of expected(): no object for nothing; else one of the label,
+    none of the label that must be gone, and, if names count (named), one of the known name and none of the wrong one. A
+    name is met by one that holds it or is held by it."""
+    of_label = lambda x: x["label"] == label
+    called = lambda name: F.exists(found, lambda x: of_label(x) & same_name(F.coalesce(x["name"], F.lit("")), name))
+    hit = F.exists(found, of_label) & (not_label.isNull() | ~F.exists(found, lambda x: x["label"] == not_label))
+    if named:
+        hit = hit & (species.isNull() | called(species)) & (not_species.isNull() | ~called(not_species))
+    return F.when(label.isNull(), ~F.exists(found, lambda x: x["label"] != "motion")).otherwise(hit)
+
+
+def judged(events: DataFrame, findings: DataFrame, named: bool = True) -> DataFrame:
+    """id, camera_id, marked, what expected() gives, passed: each case against its findings (id, label, name)."""
     per_case = findings.groupBy("id").agg(F.collect_list(F.struct("label", "name")).alias("found"))
     cases = expected(events).join(per_case, "id", "left")
     none = F.array().cast("array<struct<label:string,name:string>>")
-    return cases.select("id", "camera_id", "marked", "want_label", "want_species", met(F.coalesce("found", none), F.col("want_label"), F.col("want_species")).alias("passed"))
+    wants = ("want_label", "want_species", "not_label", "not_species")
+    return cases.select("id", "camera_id", "marked", *wants, met(F.coalesce("found", none), *map(F.col, wants), named=named).alias("passed"))
 
 
 def scorecard(run: DataFrame) -> DataFrame:
@@ -56,6 +64,7 @@ def summary(findings: DataFrame) -> DataFrame:
 
 
 def outcomes(answers: DataFrame) -> DataFrame:
-    """How many events a new look named, relabelled, left unknown or skipped."""
-    kind = F.when(F.col("clip_path").isNull(), "skipped").when(F.col("new_label") != F.col("label"), "relabelled").when(F.col("new_name").isNotNull(), "named").otherwise("unknown")
-    return answers.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"))
+    """The tally of a run of species.reclassified() (column outcome): how many events it named, relabelled (as no animal, or
+    as motion because they stay unnamed), left without a confident answer, or skipped because no animal was found."""
+    kind = F.when(F.col("outcome") == "named", "named").when(F.col("outcome").isin("not an animal", "still unnamed"), "relabelled").when(F.col("outcome") == "unknown", "unknown").otherwise("skipped")
+    return answers.groupBy(kind.alias("tally")).agg(F.count("*").alias("n"))

@@ -167,11 +167,43 @@ def clip_rows(frames: DataFrame, windows: DataFrame, key: str, slot: str = "day"
     return known.groupBy(key, "window_id").agg(first.alias("first_at"), F.max(F.when((F.col("kind") == 2) & F.col("at").isNotNull(), F.coalesce("frame", "__f"))).alias("last_at"))
 
 
-def merged_recordings(updates: DataFrame) -> DataFrame:
-    """Per recording and label one event: earliest start, latest end, highest score, whether any moved, the box of the best;
-    a recording with objects has no motion event."""
-    objects = Window.partitionBy("recording")
-    rows = updates.withColumn("__objects", F.max((F.col("label") != "motion").cast("int")).over(objects))
-    rows = rows.where((F.col("label") != "motion") | (F.col("__objects") == 0))
+def merged_recordings(tracks: DataFrame, most_crops: int = 3) -> DataFrame:
+    """The events of recordings after tidying; tracks: recording, id, label, started_at, ended_at, top_score, median_score,
+    moved, crops (an array of structs with quality and crop).
+
+    A recording with objects has no motion events; one without keeps them as they are. The tracks of one label are one
+    event: the track with the best score (the first of equals) stays, with its own median, from the earliest start to the
+    latest end, with the highest score and the best crops of all of them, moved if any moved. Tracks without an end give
+    nothing to it, and one that stays without an end only gets the start.
+    """
+    is_motion, ended = F.col("label") == "motion", F.col("ended_at").isNotNull()
+    objects = tracks.where(~is_motion)
     best = F.max_by("id", F.struct("top_score", -F.col("id")))
-    return rows.groupBy("recording", "label").agg(F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at"), F.max("top_score").alias("top_score"), F.bool_or("moved").alias("moved"), best.alias("best_id"))
+    of = ("recording", "label")
+    spans = objects.groupBy(*of).agg(
+        best.alias("id"),
+        F.min(F.when(ended, F.col("started_at"))).alias("__start"),
+        F.max("ended_at").alias("__end"),
+        F.max(F.when(ended, F.col("top_score"))).alias("__top"),
+        F.bool_or(F.when(ended, F.col("moved"))).alias("__moved"),
+    )
+    # Only the best crops of a label are brought together.
+    place = F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("quality"), "id", "k"))
+    crops = objects.where(ended).select(*of, "id", F.posexplode("crops").alias("k", "c")).select(*of, "id", "k", "c.quality", "c.crop")
+    crops = crops.withColumn("__place", place).where(F.col("__place") <= max(1, most_crops))
+    crops = crops.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("__place", "crop"))).alias("__crops")).select(*of, F.transform("__crops", lambda c: c["crop"]).alias("__crops"))
+    kept = objects.join(spans, [*of, "id"]).join(crops, [*of], "left")
+    none = F.array().cast("array<long>")
+    own = F.transform("crops", lambda c: c["crop"])
+    merged = kept.select(
+        *of,
+        "id",
+        F.coalesce("__start", "started_at").alias("started_at"),
+        F.when(ended, F.col("__end")).alias("ended_at"),
+        F.when(ended, F.col("__top")).otherwise(F.col("top_score")).alias("top_score"),
+        "median_score",
+        F.when(ended, F.col("__moved")).otherwise(F.col("moved")).alias("moved"),
+        F.when(ended, F.coalesce("__crops", none)).otherwise(own).alias("crops"),
+    )
+    alone = tracks.where(is_motion).join(objects.select("recording").distinct(), "recording", "left_anti")
+    return merged.unionByName(alone.select(*of, "id", "started_at", "ended_at", "top_score", "median_score", "moved", own.alias("crops")))

@@ -64,39 +64,57 @@ def expired_segments(segments: DataFrame, cutoff: DataFrame) -> DataFrame:
     return segments.join(F.broadcast(cutoff), (F.col("seg_start") < F.col("cutoff")) & (F.col("seg_end") < F.col("cutoff"))).drop("cutoff")
 
 
-def expired_events(events: DataFrame, before: Column) -> DataFrame:
-    """Unmarked events from before a local day that still have something to purge."""
-    has = F.col("clip_path").isNotNull() | F.col("snapshot_path").isNotNull() | F.col("thumb_path").isNotNull()
-    return events.where((F.col("local_date") < before) & ~F.col("marked") & ((F.col("clip_state") != "purged") | has))
+#: The files of an event that a retention pass removes.
+MEDIA = ("clip_path", "snapshot_path", "thumb_path", "sharp_path")
 
 
-def over_cap(events: DataFrame, cap: int) -> DataFrame:
-    """Ready clips to purge until the total is within the cap: oldest local day first, motion first within a day. Marked
-    clips count towards the total and stay.
+def expired_events(events: DataFrame, cutoff: Column) -> DataFrame:
+    """Events without a mark that began before an instant and still have something to purge: a file, or a state to set."""
+    has = F.coalesce(*MEDIA).isNotNull()
+    return events.where((F.col("started_at") < cutoff) & F.col("feedback").isNull() & ((F.col("clip_state") != "purged") | has))
+
+
+def sized_clips(events: DataFrame, files: DataFrame | None) -> DataFrame:
+    """events that have a clip, with bytes: the stored size, else the length of its file (files: path, length), else 0."""
+    clips = events.where("clip_path is not null")
+    if files is None:
+        return clips.withColumn("bytes", F.coalesce("clip_bytes", F.lit(0)))
+    known = clips.join(files.select("path", "length"), F.col("clip_bytes").isNull() & (F.col("clip_path") == F.col("path")), "left")
+    return known.withColumn("bytes", F.coalesce("clip_bytes", "length", F.lit(0))).drop("path", "length")
+
+
+def over_cap(events: DataFrame, cap: int, files: DataFrame | None = None) -> DataFrame:
+    """Clips to purge, with their bytes, until the total is within the cap: oldest local day first, motion first within a
+    day. Every event with a clip counts, whatever its state; marked ones stay.
 
     Running sums are taken in two steps, over cells of a day, kind and minute and then within a cell, so that no task sorts
     the clips of a day."""
-    ready = events.where("clip_state = 'ready' and clip_path is not null")
-    total = ready.agg(F.coalesce(F.sum("clip_bytes"), F.lit(0)).alias("__total"))
-    free = ready.where(~F.col("marked")).withColumn("__object", (F.col("label") != "motion").cast("int")).withColumn("__minute", F.date_trunc("minute", "started_at"))
+    clips = sized_clips(events, files)
+    total = clips.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("__total"))
+    free = clips.where(~F.col("marked")).withColumn("__object", (F.col("label") != "motion").cast("int")).withColumn("__minute", F.date_trunc("minute", "started_at"))
     cell = ["local_date", "__object", "__minute"]
-    cells = free.groupBy(*cell).agg(F.sum("clip_bytes").alias("__bytes"))
-    cells = cells.withColumn("__earlier", F.coalesce(F.sum("__bytes").over(Window.orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__bytes")
+    cells = free.groupBy(*cell).agg(F.sum("bytes").alias("__bytes"))
+    # Cells are summed up by day first, so that no task orders the minutes of all days.
+    days = cells.groupBy("local_date").agg(F.sum("__bytes").alias("__day"))
+    days = days.withColumn("__until", F.coalesce(F.sum("__day").over(Window.orderBy("local_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__day")
+    within = Window.partitionBy("local_date").orderBy("__object", "__minute").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("__earlier", F.coalesce(F.sum("__bytes").over(within), F.lit(0))).drop("__bytes").join(days, "local_date")
     inside = Window.partitionBy(*cell).orderBy("started_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = free.join(cells, cell).withColumn("__before", F.col("__earlier") + F.coalesce(F.sum("clip_bytes").over(inside), F.lit(0)))
-    return rows.join(F.broadcast(total), F.lit(True)).where(F.col("__total") - F.col("__before") > cap).drop("__object", "__minute", "__earlier", "__before", "__total")
+    rows = free.join(cells, cell).withColumn("__before", F.col("__until") + F.col("__earlier") + F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
+    return rows.join(F.broadcast(total), F.lit(True)).where(F.col("__total") - F.col("__before") > cap).drop("__object", "__minute", "__earlier", "__until", "__before", "__total")
 
 
-def run_once(events: DataFrame, segments: DataFrame, now: Column, before: Column, cap: int, keep_hours: int = 48, pre_seconds: int = 5, dry_run: bool = False) -> DataFrame:
+def run_once(events: DataFrame, segments: DataFrame, now: Column, cap: int, clips_days: int = 30, keep_hours: int = 48, pre_seconds: int = 5, files: DataFrame | None = None, dry_run: bool = False) -> DataFrame:
     """kind, id, bytes: what one retention pass does, as its report: segments to delete, events that lose their media for
     their age, and clips to purge until the rest is within the cap. A dry run changes nothing between the steps, so the last
     one still counts what the second would have purged."""
     cutoff = segment_cutoff(events, now, keep_hours, pre_seconds)
     gone = expired_segments(segments, cutoff).select(F.lit("segment").alias("kind"), F.col("segment_id").alias("id"), F.col("seg_bytes").alias("bytes"))
-    old = expired_events(events, before)
+    old = expired_events(events, now - F.expr(f"interval {clips_days} days"))
     rest = events if dry_run else events.join(old.select("id"), "id", "left_anti")
-    purged = old.select(F.lit("expired").alias("kind"), "id", F.when(F.col("clip_path").isNotNull(), F.col("clip_bytes")).alias("bytes"))
-    return gone.unionByName(purged).unionByName(over_cap(rest, cap).select(F.lit("over cap").alias("kind"), "id", F.col("clip_bytes").alias("bytes")))
+    sizes = sized_clips(old, files).select("id", "bytes")
+    purged = old.select("id").join(sizes, "id", "left").select(F.lit("expired").alias("kind"), "id", "bytes")
+    return gone.unionByName(purged).unionByName(over_cap(rest, cap, files).select(F.lit("over cap").alias("kind"), "id", "bytes"))
 
 
 def became_motion(events: DataFrame, wrong: DataFrame, motion_cameras: list[str]) -> DataFrame:

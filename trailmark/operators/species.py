@@ -69,37 +69,66 @@ def blocked(rules: DataFrame, country: str | None, region: str | None) -> DataFr
     return rules.where(F.coalesce(outside, F.lit(False)) | F.coalesce(inside, F.lit(False))).select("taxon")
 
 
+def is_animal() -> Column:
+    """Whether a taxonomy row is an animal by its names: not blank, a human, a vehicle, the general animal, or no result."""
+    return (F.col("t_class") != "") & (F.col("common") != "human") & (F.col("t_class") != "no cv result")
+
+
+def _level_best(best: DataFrame, taxonomy: DataFrame, kept_out: DataFrame, levels: tuple[int, ...]) -> DataFrame:
+    """event, level, taxon, p: of each level the best taxon that isn't kept out, over an event's top classes that are animals;
+    of equals the one that comes in last."""
+    rows = best.join(F.broadcast(taxonomy.where(is_animal())), "class").withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("taxon", taxon(F.col("level")))
+    sums = rows.where("taxon is not null").groupBy("event", "level", "taxon").agg(F.sum("p").alias("p"), F.min("place").alias("entered")).join(F.broadcast(kept_out), "taxon", "left_anti")
+    order = Window.partitionBy("event", "level").orderBy(F.desc("p"), F.desc("entered"))
+    return sums.withColumn("r", F.row_number().over(order)).where("r = 1").select("event", "level", "taxon", "p")
+
+
 def rolled_up(best: DataFrame, taxonomy: DataFrame, kept_out: DataFrame, threshold: float, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """event, level, taxon, p: the first level at which the best taxon that isn't kept out sums to more than the threshold,
-    over an event's top classes that are animals."""
-    rows = best.join(F.broadcast(taxonomy.where("class > 2")), "class").withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("taxon", taxon(F.col("level")))
-    sums = rows.where("taxon is not null").groupBy("event", "level", "taxon").agg(F.sum("p").alias("p")).join(F.broadcast(kept_out), "taxon", "left_anti")
-    order = Window.partitionBy("event", "level").orderBy(F.desc("p"), "taxon")
-    level_best = sums.withColumn("r", F.row_number().over(order)).where((F.col("r") == 1) & (F.col("p") > threshold))
-    return level_best.groupBy("event").agg(F.min_by(F.struct("level", "taxon", "p"), "level").alias("m")).select("event", "m.level", "m.taxon", "m.p")
+    """event, level, taxon, p: the first level whose best taxon that isn't kept out sums to more than the threshold."""
+    above = _level_best(best, taxonomy, kept_out, levels).where(F.col("p") > threshold)
+    return above.groupBy("event").agg(F.min_by(F.struct("level", "taxon", "p"), "level").alias("m")).select("event", "m.level", "m.taxon", "m.p")
 
 
 def only_local(taxonomy: DataFrame, kept_out: DataFrame) -> DataFrame:
     """genus and its species, for genera of which exactly one species isn't kept out."""
-    species = taxonomy.where("class > 2").select(taxon(F.lit(1)).alias("genus"), taxon(F.lit(0)).alias("species")).where("species is not null and genus is not null")
+    species = taxonomy.where(is_animal()).select(taxon(F.lit(1)).alias("genus"), taxon(F.lit(0)).alias("species")).where("species is not null and genus is not null")
     return species.join(kept_out, species["species"] == kept_out["taxon"], "left_anti").groupBy("genus").agg(F.count("*").alias("n"), F.min("species").alias("species")).where("n = 1").drop("n")
 
 
-def decide(votes: DataFrame, taxonomy: DataFrame, kept_out: DataFrame, certain: float, least: float, assume: dict[str, str] | None = None) -> DataFrame:
-    """event, taxon, score, how: the top species if it is certain and may be there; else its genus's only local species;
-    else the taxon it rolls up to (narrowed, where a genus has one local species). assume: as resolve_assume() gives it; the
-    species to report for a group and everything below it, before a genus is narrowed."""
+def decide(votes: DataFrame, taxonomy: DataFrame, kept_out: DataFrame, least: float, detector: DataFrame, certain: float = 0.8, agrees: float = 0.2, assume: dict[str, str] | None = None, narrow: bool = True) -> DataFrame:
+    """event, how, name, score of every event with votes; how and name are null where nothing is decided.
+
+    The top class is sure if it is an animal and more probable than certain, or than least where the detector's score
+    (detector: event, detector_score) is above agrees. A sure class that may be there is the answer ("species"; a group is
+    narrowed first). One that is kept out gives way to the species that its genus is narrowed to ("local"), else to the first
+    group from its family up that is as probable ("group"). Without a sure class it is the first group from the genus up that
+    is more probable than least ("group"). Groups are narrowed: to the species assumed for the nearest group above
+    (assume, as resolve_assume() gives it), else, for a genus, to its only species that isn't kept out (narrow; pass False
+    where no country is known).
+    """
     best = top(votes)
-    first = best.where("place = 1").join(F.broadcast(taxonomy), "class").select("event", F.col("p").alias("p1"), "class", taxon(F.lit(0)).alias("own"), taxon(F.lit(1)).alias("genus"))
-    out = F.broadcast(kept_out.withColumn("out", F.lit(True)))
-    local = F.broadcast(only_local(taxonomy, kept_out))
-    first = first.join(out, F.col("own") == F.col("taxon"), "left").drop("taxon").join(local.withColumnRenamed("genus", "g").withColumnRenamed("species", "local"), F.col("genus") == F.col("g"), "left").drop("g")
-    up = rolled_up(best, taxonomy, kept_out, least).join(local.withColumnRenamed("species", "narrow"), (F.col("level") == 1) & (F.col("taxon") == F.col("genus")), "left").drop("genus")
-    sure = (F.col("class") > 2) & F.col("own").isNotNull() & (F.col("p1") > certain)
+    label = F.coalesce(taxon(F.lit(0)), *(taxon(F.lit(k)) for k in LEVELS))
+    first = best.where("place = 1").join(F.broadcast(taxonomy), "class").select("event", F.col("p").alias("p1"), is_animal().alias("animal"), taxon(F.lit(0)).alias("own"), taxon(F.lit(1)).alias("genus"), label.alias("label"))
+    local = only_local(taxonomy, kept_out).where(F.lit(narrow))
+    first = first.join(F.broadcast(kept_out.select(F.col("taxon").alias("label"), F.lit(True).alias("out"))), "label", "left")
+    first = first.join(F.broadcast(local.select("genus", F.col("species").alias("local"))), "genus", "left")
+    first = first.join(detector.select("event", "detector_score"), "event", "left")
+    seems = (F.col("p1") > certain) | ((F.col("p1") > least) & F.coalesce(F.col("detector_score") > agrees, F.lit(False)))
+    first = first.withColumn("sure", F.col("animal") & seems & F.col("label").isNotNull()).withColumn("out", F.coalesce("out", F.lit(False)))
+    of_genus = F.coalesce(assumed(F.col("genus"), assume), F.col("local"))
+    first = first.withColumn("of_genus", of_genus)
+    first = first.withColumn("how", F.when(F.col("sure") & ~F.col("out"), "species").when(F.col("sure") & F.col("of_genus").isNotNull(), "local"))
+    # What is left rolls up: from the family on and to the top class's own score if that class is kept out.
+    left = first.where("how is null").select("event", F.when(F.col("sure"), F.col("p1") - 1e-6).otherwise(least).alias("above"), F.when(F.col("sure"), 2).otherwise(1).alias("from_level"))
+    levels = _level_best(best, taxonomy, kept_out, LEVELS).join(left, "event").where("level >= from_level and p > above")
+    up = levels.groupBy("event").agg(F.min_by(F.struct("level", "taxon", "p"), "level").alias("m")).select("event", "m.level", "m.taxon", "m.p")
+    up = up.join(F.broadcast(local.select(F.col("genus").alias("taxon"), F.col("species").alias("narrowed"))), "taxon", "left")
     both = first.join(up, "event", "left")
-    how = F.when(sure & F.col("out").isNull(), "species").when(sure & F.col("local").isNotNull(), "local").when(F.col("taxon").isNotNull(), "group")
-    named = F.when(how == "species", F.col("own")).when(how == "local", F.coalesce(assumed(F.col("own"), assume), "local")).otherwise(F.coalesce(assumed(F.col("taxon"), assume), "narrow", "taxon"))
-    return both.select("event", how.alias("how"), named.alias("name"), F.round(F.when(how == "group", F.col("p")).otherwise(F.when(how.isNotNull(), F.col("p1"))), 6).alias("score"))
+    how = F.coalesce("how", F.when(F.col("taxon").isNotNull(), "group"))
+    sole = F.when(F.col("label") == F.col("genus"), F.col("local"))
+    named = F.when(how == "species", F.coalesce("own", assumed(F.col("label"), assume), sole, "label")).when(how == "local", F.col("of_genus"))
+    named = named.otherwise(F.coalesce(assumed(F.col("taxon"), assume), "narrowed", "taxon"))
+    return both.select("event", how.alias("how"), named.alias("name"), F.round(F.when(how == "group", F.col("p")).when(how.isNotNull(), F.col("p1")), 6).alias("score"))
 
 
 def within(ranks: list[Column], group: list[Column]) -> Column:

@@ -72,22 +72,23 @@ def cameras_today(events: DataFrame, cameras: tuple[str, ...]) -> DataFrame:
 
 
 def corrected(events: DataFrame) -> DataFrame:
-    """Animals after review: an animal nobody marked otherwise, or anything marked as an animal; a reviewer's species
-    replaces the model's, and a mark without species leaves an animal unnamed only if the model's own label was another."""
+    """Animals after review: an animal that nobody marked, or anything marked as an animal. A mark counts before what the
+    model said: its animal has the species that the reviewer gave, without a scientific name, or no name at all."""
     said = F.col("feedback")
     animal = F.when(said.isNull(), F.col("label") == "animal").otherwise(said == "animal")
-    own = (said.isNull() | (F.col("label") == "animal")) & F.col("feedback_species").isNull()
-    return events.where(animal).select("*", F.when(own, F.col("common_name")).otherwise(F.col("feedback_species")).alias("animal"), F.when(own, F.col("scientific_name")).alias("animal_scientific"))
+    named = F.when(said.isNull(), F.col("common_name")).otherwise(F.col("feedback_species"))
+    scientific = F.when(said.isNull(), F.col("scientific_name")).when(F.col("feedback_species").isNotNull(), "")
+    return events.where(animal).select("*", named.alias("animal"), scientific.alias("animal_scientific"))
 
 
 def tally(events: DataFrame) -> DataFrame:
-    """Corrected animals by lower-cased name: count, the first non-empty scientific name, last time, counts by hour."""
+    """Corrected animals by lower-cased name: count, the first non-empty scientific name (else an empty one), last time, counts by hour."""
     e = corrected(events).where("animal is not null")
     order = F.struct("started_at", "id")
     return e.groupBy(F.lower("animal").alias("key")).agg(
         F.min_by("animal", order).alias("animal"),
         F.count("*").alias("n"),
-        F.min_by("animal_scientific", F.when(F.col("animal_scientific") != "", order)).alias("scientific_name"),
+        F.coalesce(F.min_by("animal_scientific", F.when(F.col("animal_scientific") != "", order)), F.lit("")).alias("scientific_name"),
         F.max("started_at").alias("last_seen"),
         F.array(*(F.count_if(F.col("local_hour") == h) for h in range(24))).alias("by_hour"),
     )

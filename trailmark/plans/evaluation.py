@@ -8,10 +8,23 @@ from pyspark.sql import functions as F
 from ..operators import evaluate
 from ..sources.adapter import SIGHTINGS, sightings
 from .registry import query
+from .species import RECLASSIFIED, RECLASSIFIED_KEPT, reclassified_animals, sp_reclassified
 
 _FINDINGS = "findings as (select clip as id, label, common_name as name, place from (select id - id % 4 as clip, label, common_name, id % 4 as place from sightings where top_score >= 0.5))"
-_WANT = "want as (select *, case when feedback is null then label when feedback <> 'nothing' then feedback end as want_label, case when coalesce(case when feedback is null then label when feedback <> 'nothing' then feedback end, '') = 'animal' then coalesce(feedback_species, case when feedback is null then common_name end) end as want_species from sightings)"
-_RUN = "run as (select w.id, w.camera_id, w.marked, w.want_label, w.want_species, case when want_label is null or want_label = 'motion' then count(*) filter (where f.label <> 'motion') = 0 when want_species is null then count(*) filter (where f.label = want_label) > 0 else count(*) filter (where f.label = want_label and f.name is not null and f.name <> '' and (contains(lower(trim(f.name)), lower(trim(want_species))) or contains(lower(trim(want_species)), lower(trim(f.name))))) > 0 end as passed from want w left join findings f on f.id = w.id group by w.id, w.camera_id, w.marked, w.want_label, w.want_species)"
+_LABEL = "case when coalesce(feedback, label) not in ('nothing', 'motion') then coalesce(feedback, label) end"
+_WANT = f"""want as (
+    select id, camera_id, marked, want_label, case when want_label = 'animal' then case when feedback is null then common_name else feedback_species end end as want_species,
+        case when want_label is not null and feedback <> label and label <> 'motion' then label end as not_label,
+        case when want_label = 'animal' and feedback = label and feedback_species is null then common_name end as not_species
+    from (select *, {_LABEL} as want_label from sightings))"""
+_SAME = "coalesce(f.name <> '' and (contains(lower(trim(f.name)), lower(trim({0}))) or contains(lower(trim({0})), lower(trim(f.name)))), false)".format
+_RUN = f"""run as (
+    select w.id, w.camera_id, w.marked, w.want_label, w.want_species, w.not_label, w.not_species,
+        case when want_label is null then count(*) filter (where f.label <> 'motion') = 0
+            else count(*) filter (where f.label = want_label) > 0 and count(*) filter (where f.label = not_label) = 0
+                and (want_species is null or count(*) filter (where f.label = want_label and {_SAME('want_species')}) > 0)
+                and (not_species is null or count(*) filter (where f.label = want_label and {_SAME('not_species')}) = 0) end as passed
+    from want w left join findings f on f.id = w.id group by w.id, w.camera_id, w.marked, w.want_label, w.want_species, w.not_label, w.not_species)"""
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +36,9 @@ def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.judged(sightings(spark, sf_dir), _findings(spark, sf_dir))
 
 
-@query("select id, want_label, want_species, passed from run", SIGHTINGS, _FINDINGS, _WANT, _RUN)
+@query("select id, want_label, want_species, not_label, not_species, passed from run", SIGHTINGS, _FINDINGS, _WANT, _RUN)
 def ev_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir).select("id", "want_label", "want_species", "passed")
+    return _run(spark, sf_dir).select("id", "want_label", "want_species", "not_label", "not_species", "passed")
 
 
 @query("select camera_id, count(*) filter (where marked and passed) as fixed, count(*) filter (where marked and not passed) as wrong, count(*) filter (where not marked and passed) as same, count(*) filter (where not marked and not passed) as changed from run group by rollup (camera_id)", SIGHTINGS, _FINDINGS, _WANT, _RUN)
@@ -45,8 +58,16 @@ def ev_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.summary(_findings(spark, sf_dir))
 
 
-@query("select case when clip_path is null then 'skipped' when species_score < 0.8 then 'relabelled' when common_name is not null then 'named' else 'unknown' end as outcome, count(*) as n from sightings where label = 'animal' group by 1", SIGHTINGS)
+_TALLY = "select case outcome when 'named' then 'named' when 'not an animal' then 'relabelled' when 'still unnamed' then 'relabelled' when 'unknown' then 'unknown' else 'skipped' end as tally, count(*) as n from ({}) group by 1".format
+
+
+@query(_TALLY(RECLASSIFIED), SIGHTINGS)
 def ev_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Animals looked at again; weak scores turn out to be motion."""
-    s = sightings(spark, sf_dir).where("label = 'animal'")
-    return evaluate.outcomes(s.select("label", "clip_path", F.when(F.coalesce("species_score", F.lit(1.0)) < 0.8, "motion").otherwise("animal").alias("new_label"), F.col("common_name").alias("new_name")))
+    """The tally of classifying all stored animals again."""
+    return evaluate.outcomes(sp_reclassified(spark, sf_dir))
+
+
+@query(_TALLY(RECLASSIFIED_KEPT), SIGHTINGS)
+def ev_outcomes_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tally where animals that stay unnamed stay animals."""
+    return evaluate.outcomes(reclassified_animals(spark, sf_dir, still_as_motion=False))

@@ -18,12 +18,6 @@ def jn_marked_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.in_marked_spot(sightings(spark, sf_dir))
 
 
-@query(f"select distinct a.id, a.camera_id from sightings a, (select *, row_number() over (partition by camera_id order by id desc) as r from sightings where marked) b where b.r <= 5 and b.feedback = 'nothing' and a.camera_id = b.camera_id and a.id <> b.id and {IOU} >= 0.5", SIGHTINGS)
-def jn_newest_marked_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the page of a camera's newest five marked events, those that were marked as nothing."""
-    return joins.in_marked_spot(sightings(spark, sf_dir), newest=5)
-
-
 @query(f"select distinct a.id, a.camera_id from sightings a, (select *, row_number() over (partition by camera_id order by id desc) as r from sightings where marked) b where b.r <= 500 and b.feedback = 'nothing' and a.camera_id = b.camera_id and a.id <> b.id and {IOU} >= 0.5", SIGHTINGS)
 def jn_newest_marked_spot_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the page of a camera's newest 500 marked events, those that were marked as nothing."""
@@ -103,7 +97,7 @@ def jn_best_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"select o.frame, o.det from o join (select frame, max_by(kept, n) as kept from k group by frame) f on o.frame = f.frame where (f.kept >> cast(o.n - 1 as integer)) & 1 = 1",
     "recursive " + DETECTIONS,
-    "o as (select *, row_number() over (partition by frame order by score desc, det) as n from detections)",
+    "o as (select *, row_number() over (partition by frame order by score desc, det, label, x1, y1, x2, y2) as n from detections)",
     f"hit as (select b.frame, b.n, sum(cast(1 as bigint) << cast(a.n - 1 as integer)) as rivals from o a join o b on a.frame = b.frame and a.label = b.label and a.n < b.n and {IOU} > 0.45 group by b.frame, b.n)",
     "oh as (select o.frame, o.n, cast(coalesce(rivals, 0) as bigint) as rivals from o left join hit on o.frame = hit.frame and o.n = hit.n)",
     "k as (select frame, cast(1 as bigint) as n, cast(1 as bigint) as kept from o where n = 1 union all select k.frame, k.n + 1, case when k.kept & oh.rivals = 0 then k.kept | (cast(1 as bigint) << cast(k.n as integer)) else k.kept end from k join oh on oh.frame = k.frame and oh.n = k.n + 1)",

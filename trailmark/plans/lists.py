@@ -97,12 +97,12 @@ def ag_cameras_today(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.cameras_today(unmarked_sightings(spark, sf_dir, around_day("2024-01-15")).where("local_date = date'2024-01-15'"), CAMERAS)
 
 
-_CORRECTED = "corrected as (select *, case when (feedback is null or label = 'animal') and feedback_species is null then common_name else feedback_species end as animal, case when (feedback is null or label = 'animal') and feedback_species is null then scientific_name end as animal_scientific from sightings where case when feedback is null then label = 'animal' else feedback = 'animal' end)"
+_CORRECTED = "corrected as (select *, case when feedback is null then common_name else feedback_species end as animal, case when feedback is null then scientific_name when feedback_species is not null then '' end as animal_scientific from sightings where case when feedback is null then label = 'animal' else feedback = 'animal' end)"
 _BY_HOUR = "[" + ", ".join(f"count(*) filter (where local_hour = {h})" for h in range(24)) + "]"
 
 
 def _tally_sql(where: str) -> str:
-    return f"select lower(animal) as key, min_by(animal, (started_at, id)) as animal, count(*) as n, min_by(animal_scientific, (started_at, id)) filter (where animal_scientific <> '') as scientific_name, max(started_at) as last_seen, {_BY_HOUR} as by_hour from corrected where animal is not null and {where} group by lower(animal)"
+    return f"select lower(animal) as key, min_by(animal, (started_at, id)) as animal, count(*) as n, coalesce(min_by(animal_scientific, (started_at, id)) filter (where animal_scientific <> ''), '') as scientific_name, max(started_at) as last_seen, {_BY_HOUR} as by_hour from corrected where animal is not null and {where} group by lower(animal)"
 
 
 @query(_tally_sql(f"started_at >= timestamp '{NOW}' - interval 30 day"), SIGHTINGS, _CORRECTED)

@@ -9,12 +9,18 @@ from ..operators import ordered, retention
 from ..sources.adapter import NOW, SEGMENTS, SIGHTINGS, read, segments, sightings, unmarked_sightings
 from .registry import query
 
-_READY = "sightings where clip_state = 'ready' and clip_path is not null"
+_SIZED = "sized as (select s.*, coalesce(clip_bytes, file_bytes, 0) as size from sightings s left join (select distinct clip_path as path, 60000 + length(clip_path) * 1000 as file_bytes from sightings where clip_path is not null) on path = clip_path where clip_path is not null)"
 
 
-@query(f"select id, clip_bytes from (select id, clip_bytes, coalesce(sum(clip_bytes) over (order by local_date, label <> 'motion', started_at, id rows between unbounded preceding and 1 preceding), 0) as before from {_READY} and not marked) where (select sum(clip_bytes) from {_READY}) - before > 3000000000", SIGHTINGS)
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of clip files as their folder lists them."""
+    paths = unmarked_sightings(spark, sf_dir).where("clip_path is not null").select("clip_path").distinct()
+    return paths.select(F.col("clip_path").alias("path"), (60_000 + F.length("clip_path") * 1_000).cast("long").alias("length"))
+
+
+@query("select id, size as bytes from (select id, size, coalesce(sum(size) over (order by local_date, label <> 'motion', started_at, id rows between unbounded preceding and 1 preceding), 0) as before from sized where not marked) where (select sum(size) from sized) - before > 3000000000", SIGHTINGS, _SIZED)
 def wn_size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retention.over_cap(sightings(spark, sf_dir), 3_000_000_000).select("id", "clip_bytes")
+    return retention.over_cap(sightings(spark, sf_dir), 3_000_000_000, _files(spark, sf_dir)).select("id", "bytes")
 
 
 @query("select segment_id from segments where seg_start < (select least(timestamp '2024-01-20 00:00:00' - interval 48 hour, min(started_at) - interval 5 second) from sightings where clip_state = 'pending' and started_at >= timestamp '2024-01-20 00:00:00' - interval 72 hour) and seg_end < (select least(timestamp '2024-01-20 00:00:00' - interval 48 hour, min(started_at) - interval 5 second) from sightings where clip_state = 'pending' and started_at >= timestamp '2024-01-20 00:00:00' - interval 72 hour)", SIGHTINGS, SEGMENTS)
@@ -23,9 +29,12 @@ def sk_expired_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.expired_segments(segments(spark, sf_dir), cutoff).select("segment_id")
 
 
-@query("select id, label from sightings where local_date < date '2024-01-10' and not marked and (clip_state <> 'purged' or clip_path is not null or snapshot_path is not null or thumb_path is not null)", SIGHTINGS)
+_OLD = "select * from sightings where started_at < timestamp '2024-01-20 00:00:00' - interval 10 day and feedback is null and (clip_state <> 'purged' or clip_path is not null or snapshot_path is not null or thumb_path is not null or sharp_path is not null)"
+
+
+@query(f"select id, label from ({_OLD})", SIGHTINGS)
 def sk_expired_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retention.expired_events(sightings(spark, sf_dir), F.lit("2024-01-10").cast("date")).select("id", "label")
+    return retention.expired_events(sightings(spark, sf_dir), F.expr("timestamp_ntz'2024-01-20 00:00:00' - interval 10 days")).select("id", "label")
 
 
 @query("select clip_state, count(*) as n, count(*) filter (where ended_at = started_at) as n_closed from (select case when clip_state = 'pending' then 'failed' else clip_state end as clip_state, coalesce(ended_at, started_at) as ended_at, started_at from sightings) group by clip_state", SIGHTINGS)
@@ -125,9 +134,25 @@ def _clip_rows(e: DataFrame, of: DataFrame) -> DataFrame:
     return ordered.clip_rows(frames, windows, "user_id")
 
 
-@query("select recording, label, min(started_at) as started_at, max(ended_at) as ended_at, max(top_score) as top_score, bool_or(id % 5 = 0) as moved, max_by(id, (top_score, -id)) as best_id from (select *, id // 6 as recording, max(label <> 'motion') over (partition by id // 6) as objects from sightings) where label <> 'motion' or not objects group by recording, label", SIGHTINGS)
+_TRACKS = "tracks as (select id // 6 as recording, *, id % 5 = 0 as moved, [{'quality': (id * 7919 % 100) / 100.0, 'crop': id * 10}, {'quality': (id * 104729 % 97) / 100.0, 'crop': id * 10 + 1}] as crops from sightings)"
+
+
+@query(
+    """select t.recording, t.label, t.id, coalesce(s.started, t.started_at) as started_at, case when t.ended_at is not null then s.ended end as ended_at, case when t.ended_at is not null then s.top else t.top_score end as top_score, t.median_score,
+        case when t.ended_at is not null then s.any_moved else t.moved end as moved, case when t.ended_at is not null then coalesce(c.crops, []) else list_transform(t.crops, lambda x: x.crop) end as crops
+    from tracks t join spans s on s.id = t.id left join best c on c.recording = t.recording and c.label = t.label
+    union all select recording, label, id, started_at, ended_at, top_score, median_score, moved, list_transform(crops, lambda x: x.crop) from tracks where label = 'motion' and recording not in (select recording from tracks where label <> 'motion')""",
+    SIGHTINGS,
+    _TRACKS,
+    "spans as (select recording, label, max_by(id, (top_score, -id)) as id, min(started_at) filter (where ended_at is not null) as started, max(ended_at) as ended, max(top_score) filter (where ended_at is not null) as top, bool_or(moved) filter (where ended_at is not null) as any_moved from tracks where label <> 'motion' group by recording, label)",
+    "best as (select recording, label, list(crop order by place) as crops from (select recording, label, c.crop as crop, row_number() over (partition by recording, label order by c.quality desc, id, c.crop) as place from (select recording, label, id, unnest(crops) as c from tracks where label <> 'motion' and ended_at is not null)) where place <= 3 group by recording, label)",
+)
 def ag_merged_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.merged_recordings(unmarked_sightings(spark, sf_dir).withColumn("recording", F.floor(F.col("id") / 6)).withColumn("moved", F.col("id") % 5 == 0))
+    """Six events at a time as the tracks of one recording, with two crops each."""
+    s, i = unmarked_sightings(spark, sf_dir), F.col("id")
+    crop = lambda quality, k: F.struct(quality.alias("quality"), (i * 10 + k).alias("crop"))
+    crops = F.array(crop(i * 7919 % 100 / 100.0, 0), crop(i * 104729 % 97 / 100.0, 1))
+    return ordered.merged_recordings(s.withColumn("recording", F.floor(i / 6)).withColumn("moved", i % 5 == 0).withColumn("crops", crops))
 
 
 @query("select user_id, time_bucket(interval 2 hour, ts) as start, count(*) as frames, round(sum(value), 6) as amount from events group by user_id, time_bucket(interval 2 hour, ts)")
@@ -157,21 +182,19 @@ def wn_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BEFORE_20 = "(select least(timestamp '2024-01-20 00:00:00' - interval 48 hour, min(started_at) - interval 5 second) from sightings where clip_state = 'pending' and started_at >= timestamp '2024-01-20 00:00:00' - interval 72 hour)"
-_OLD = "select * from sightings where local_date < date '2024-01-10' and not marked and (clip_state <> 'purged' or clip_path is not null or snapshot_path is not null or thumb_path is not null)"
-
-
 @query(
     f"""select 'segment' as kind, segment_id as id, seg_bytes as bytes from segments where seg_start < {_BEFORE_20} and seg_end < {_BEFORE_20}
-    union all select 'expired', id, case when clip_path is not null then clip_bytes end from old
-    union all select 'over cap', id, clip_bytes from (select id, clip_bytes, coalesce(sum(clip_bytes) over (order by local_date, label <> 'motion', started_at, id rows between unbounded preceding and 1 preceding), 0) as before from left_over where not marked) where (select sum(clip_bytes) from left_over) - before > 100000000""",
+    union all select 'expired', id, case when clip_path is not null then coalesce(clip_bytes, 60000 + length(clip_path) * 1000) end from old
+    union all select 'over cap', id, size from (select id, size, coalesce(sum(size) over (order by local_date, label <> 'motion', started_at, id rows between unbounded preceding and 1 preceding), 0) as before from left_over where not marked) where (select sum(size) from left_over) - before > 100000000""",
     SIGHTINGS,
     SEGMENTS,
     f"old as ({_OLD})",
-    "left_over as (select * from sightings where clip_state = 'ready' and clip_path is not null and id not in (select id from old))",
+    _SIZED,
+    "left_over as (select * from sized where id not in (select id from old))",
 )
 def sk_run_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One retention pass with all its steps."""
-    return retention.run_once(sightings(spark, sf_dir), segments(spark, sf_dir), F.expr("timestamp_ntz'2024-01-20 00:00:00'"), F.lit("2024-01-10").cast("date"), 100_000_000)
+    return retention.run_once(sightings(spark, sf_dir), segments(spark, sf_dir), F.expr("timestamp_ntz'2024-01-20 00:00:00'"), 100_000_000, clips_days=10, files=_files(spark, sf_dir))
 
 
 @query("select id, camera_id, case when clip_state = 'failed' then 'motion' else label end as label from sightings where clip_state <> 'failed' or camera_id in ('yard', 'gate')", SIGHTINGS)

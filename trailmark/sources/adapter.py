@@ -41,10 +41,12 @@ _SHARED = {
     "scientific_name": f"case when {_COMMON} is not null then {_SCIENTIFIC} end",
     "species_score": f"case when {_COMMON} is not null then 0.7 + 0.29 * value / 500 end",
     "clip_state": "case event_id % 20 when 0 then 'failed' when 1 then 'purged' when 2 then 'pending' else 'ready' end",
-    "clip_bytes": "100000 + (event_id * 7919) % 900000",
-    "clip_path": "case when event_id % 20 not in (0, 1, 2) then concat('clips/', cast(event_id - event_id % 3 as varchar(20)), '.mp4') end",
+    "clip_bytes": "case when event_id % 13 <> 0 then 100000 + (event_id * 7919) % 900000 end",
+    # A few failed, purged and pending events have a clip all the same.
+    "clip_path": "case when event_id % 20 not in (0, 1, 2) or event_id % 60 in (0, 21, 42) then concat('clips/', cast(event_id - event_id % 3 as varchar(20)), '.mp4') end",
     "snapshot_path": "case when event_id % 5 <> 0 then concat('snapshots/', cast(event_id as varchar(20)), '.jpg') end",
     "thumb_path": "case when event_id % 7 <> 0 then concat('thumbs/', cast(event_id as varchar(20)), '.jpg') end",
+    "sharp_path": "case when event_id % 11 = 0 then concat('sharp/', cast(event_id as varchar(20)), '.jpg') end",
     "x1": "cast(event_id % 60 as double) / 100",
     "y1": "cast((event_id * 3) % 55 as double) / 100",
     "x2": "cast(event_id % 60 + 5 + event_id % 31 as double) / 100",
@@ -130,11 +132,11 @@ DETECTIONS = "detections as (select " + ", ".join(f"{sql} as {name}" for name, s
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten-second recordings that begin a little before every motion event."""
-    return unmarked_sightings(spark, sf_dir).where("label = 'motion'").select("camera_id", F.col("id").alias("segment_id"), F.expr("started_at - interval 3 seconds").alias("seg_start"), F.expr("started_at + make_dt_interval(0, 0, 0, 7 + id % 400)").alias("seg_end"), (F.col("clip_bytes") * 2).alias("seg_bytes"))
+    """Recordings of 10 to 409 seconds that begin a little before every motion event."""
+    return unmarked_sightings(spark, sf_dir).where("label = 'motion'").select("camera_id", F.col("id").alias("segment_id"), F.expr("started_at - interval 3 seconds").alias("seg_start"), F.expr("started_at + make_dt_interval(0, 0, 0, 7 + id % 400)").alias("seg_end"), (F.coalesce("clip_bytes", F.lit(70_000)) * 2).alias("seg_bytes"))
 
 
-SEGMENTS = "segments as (select camera_id, id as segment_id, started_at - interval 3 second as seg_start, started_at + to_seconds(7 + id % 400) as seg_end, clip_bytes * 2 as seg_bytes from sightings where label = 'motion')"
+SEGMENTS = "segments as (select camera_id, id as segment_id, started_at - interval 3 second as seg_start, started_at + to_seconds(7 + id % 400) as seg_end, coalesce(clip_bytes, 70000) * 2 as seg_bytes from sightings where label = 'motion')"
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,11 +46,24 @@ def folder_size(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hub_recordings(answers: DataFrame) -> DataFrame:
-    """Recordings from hub answers in JSON (column value): name, size (a number or its text) and calendar fields of start."""
+    """Recordings from hub answers in JSON (column value): name, size (a number or its text) and calendar fields of start, in
+    order of start. A name that comes again right after itself in that order is one recording. Answers are told apart by a
+    column hub, where there is one, and ordered each for itself."""
     shape = "array<struct<name:string,size:string,start:struct<year:int,mon:int,day:int,hour:int,min:int,sec:int>>>"
-    rows = answers.select(F.explode(F.from_json(F.get_json_object("value", "$.files"), shape)).alias("f"))
-    return rows.select("f.name", F.expr("try_cast(f.size as bigint)").alias("size"), "f.start").dropDuplicates(["name"])
-
+    hub = [c for c in ("hub",) if c in answers.columns]
+    rows = answers.select(*hub, F.monotonically_increasing_id().alias("__answer"), F.posexplode(F.from_json(F.get_json_object("value", "$.files"), shape)).alias("__place", "f"))
+    rows = rows.select(*hub, "__answer", "__place", "f.name", F.expr("try_cast(f.size as bigint)").alias("size"), "f.start")
+    # What comes right after itself is found among the rows of a day first; the day before tells its last name.
+    day = F.struct("start.year", "start.mon", "start.day")
+    rows = rows.withColumn("__day", day)
+    order = ("start", "__answer", "__place")
+    before = F.lag("name").over(Window.partitionBy(*hub, "__day").orderBy(*order))
+    last = rows.groupBy(*hub, "__day").agg(F.max_by("name", F.struct(*order)).alias("__name"))
+    last = last.withColumn("__last", F.lag("__name").over(Window.partitionBy(*hub).orderBy("__day"))).select(*(F.col(c).alias(f"__{c}") for c in hub), F.col("__day").alias("__of"), "__last")
+    met = rows.withColumn("__before", before).withColumn("__first", F.row_number().over(Window.partitionBy(*hub, "__day").orderBy(*order)) == 1)
+    on = F.expr(" and ".join(["__day <=> __of", *(f"{c} <=> __{c}" for c in hub)]))
+    met = met.join(last, on, "left").withColumn("__before", F.when(F.col("__first"), F.col("__last")).otherwise(F.col("__before")))
+    return met.where(~F.col("name").eqNullSafe(F.col("__before")) | F.col("__before").isNull()).select(*hub, "name", "size", "start")
 
 
 def write_segments(segments: DataFrame, path: str) -> None:
