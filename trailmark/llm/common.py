@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,11 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         written.remove(at)
 
 
+def each_text(column: pa.Array) -> Iterator[str | None]:
+    """A batch's texts as Python strings, one at a time: a batch of long texts isn't held twice."""
+    return (x.as_py() for x in column)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import each_text, stored
 from .components import components
 
 SHINGLE, DEPTH, TREES = 5, 4, 24
@@ -58,8 +58,8 @@ class Limits:
 
     dense: int = 4_000
     leaders: int = 16
-    block_shingles: int = 6_000_000
-    block_bytes: int = 64_000_000
+    block_shingles: int = 3_000_000
+    block_bytes: int = 32_000_000
     hot: int = 4_000
 
 
@@ -67,7 +67,7 @@ class Words(dict):
     """Hashes of words; forgets all when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -118,7 +118,7 @@ def features(docs: DataFrame) -> DataFrame:
         words = Words()
         for batch in batches:
             n, keys, sigs = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in each_text(batch.column("text")):
                 s = shingles(text, words)
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -301,10 +301,11 @@ def verified(sets: list[np.ndarray], percent: int) -> list[int]:
     # A pair of two components has a member outside the largest one: count what each of those shares with all sets.
     outside = np.flatnonzero(roots != names[sizes.argmax()])
     lengths = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), lengths)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), lengths)
     values = np.concatenate(sets)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
+    del order
     for i in outside:
         lo, hi = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
         width = hi - lo
@@ -364,7 +365,7 @@ def large_sets(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            sets = [shingles(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
+            sets = [shingles(t, words).view(np.int64) for t in each_text(batch.column("text"))]
             some = pa.array([i for i, s in enumerate(sets) if len(s)], pa.int64())
             kept = [batch.column(c).take(some) for c in ("rep", "comp", "grp", "outside")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([s for s in sets if len(s)], pa.list_(pa.int64()))], ["rep", "comp", "grp", "outside", "set"])

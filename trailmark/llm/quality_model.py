@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import each_text
+
 BUCKETS = 1 << 15
 #: The most documents that train the scorer; they are those with the smallest hashes of their id and text.
 TRAIN_ROWS = 8_000
@@ -180,7 +182,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[dict[str, floa
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
         for batch in batches:
-            found.update(votes(t) for t in batch.column(0).to_pylist())
+            found.update(votes(t) for t in each_text(batch.column(0)))
         yield pa.RecordBatch.from_pydict({"votes": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())})
 
     # At most 3 ** len(LABELLERS) rows, whatever the corpus.
@@ -193,9 +195,10 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[dict[str, floa
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            looks = [votes_and_freshness(t) for t in texts]
-            each = [hasher.features(t, fresh) for t, (_, fresh) in zip(texts, looks, strict=True)]
+            looks, each = [], []
+            for t in each_text(batch.column("text")):
+                looks.append(votes_and_freshness(t))
+                each.append(hasher.features(t, looks[-1][1]))
             columns = [pa.array([a for a, _ in each], pa.list_(pa.int64())), pa.array([b for _, b in each], pa.list_(pa.float64())), pa.array([bad[v] for v, _ in looks], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column("h"), *columns], ["h", "at", "value", "target"])
 
@@ -210,9 +213,9 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[dict[str, floa
     hashed = F.xxhash64("doc_id", "text")
     # A little more than asked for passes the filter on hashes, the limit makes the bound strict.
     share = min(1.0, 1.2 * train_rows / total + 0.001)
-    sample = docs.where(F.abs(hashed % 1_000_000) < int(share * 1_000_000)).select("text", hashed.alias("h")).orderBy("h").limit(train_rows)
-    # Texts are read side by side; one task gets train_rows rows of at most WIDTH features, whatever their lengths.
-    features = sample.repartition(16).mapInArrow(measured, "h long, at array<long>, value array<double>, target double")
+    sample = docs.where(F.abs(hashed % 1_000_000) < int(share * 1_000_000)).select("text", hashed.alias("h"))
+    # Texts are read where they lie; one task gets train_rows rows of at most WIDTH features, whatever their lengths.
+    features = sample.mapInArrow(measured, "h long, at array<long>, value array<double>, target double").orderBy("h", "target").limit(train_rows)
     weights = features.repartition(1).sortWithinPartitions("h", "target").mapInArrow(learn, "w array<double>").collect()
     return bad, list(weights[0]["w"]) if weights else [0.0] * (WIDTH + 1)
 
@@ -225,7 +228,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], list[float]], keep: tu
         w, hasher = np.array(weights), Hasher()
         for batch in batches:
             said, p = [], []
-            for text in batch.column("__text").to_pylist():
+            for text in each_text(batch.column("__text")):
                 own, fresh = votes_and_freshness(text)
                 at, by = hasher.features(text, fresh)
                 said.append(own)
