@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmark.functions import clock, geometry, text
-from trailmark.operators import joins, listing, ordered, retention, species, stats
+from trailmark.operators import carried, joins, listing, ordered, retention, species, stats
 
 
 def test_limits_and_windows_are_refused(spark):
@@ -103,7 +103,7 @@ def test_nearest_rank_is_not_interpolated(spark):
 
 def test_clock_wraps(spark):
     rows = spark.createDataFrame([("k", i, v) for i, v in enumerate([2**32 - 10, 5, 2, 2**31])], "k string, i long, c long")
-    assert [r["unwrapped"] for r in ordered.unwrapped(rows, "k", "i", "c").orderBy("i").collect()] == [2**32 - 10, 2**32 + 5, 2**32 + 2, 2**32 + 2**31]
+    assert [r["unwrapped"] for r in carried.unwrapped(rows, "k", "i", "c", F.col("i") % 1 + F.floor(F.col("i") / 2)).orderBy("i").collect()] == [2**32 - 10, 2**32 + 5, 2**32 + 2, 2**32 + 2**31]
 
 
 def test_marks_correct_animals(spark):

@@ -1,4 +1,4 @@
-"""Ordered computations: slots, round robin, sessions, throttles, unwrapped clocks, medians of the last scores."""
+"""Ordered computations: slots, round robin, throttles, segments, medians of the last scores; see carried.py for those over whole histories."""
 
 from __future__ import annotations
 
@@ -21,14 +21,6 @@ def round_robin(rows: DataFrame, buckets: list[str], newest: str, want: int) ->
     return rows.withColumn("turn", turn).where(F.col("turn") <= want).orderBy("turn", *buckets).limit(want)
 
 
-def sessions(rows: DataFrame, key: str, at: str, gap: str) -> DataFrame:
-    """Runs of rows of a key no further apart than the gap: a longer pause starts another."""
-    w = Window.partitionBy(key).orderBy(at)
-    starts = F.coalesce((F.col(at) > F.lag(at).over(w) + F.expr(f"interval {gap}")).cast("int"), F.lit(1))
-    numbered = rows.withColumn("__new", starts).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "run").agg(F.min(at).alias("run_start"), F.max(at).alias("run_end"), F.count("*").alias("n"))
-
-
 def throttled(rows: DataFrame, key: str, every: float, share: float = 0.9, most: int | None = None) -> DataFrame:
     """Rows of a key (id, at in seconds) that come at least a share of the interval after the last row that was kept; most
     of a key at most, if given (as pictures of one event are limited)."""
@@ -108,13 +100,6 @@ def recorded(packets: DataFrame, seconds: int, most_bytes: int = 64 << 20, usual
     return packets.select("camera_id", "arrived_us", "ts90", "key_frame", "size").repartition("camera_id").sortWithinPartitions("camera_id", "ts90", "arrived_us").mapInPandas(run, SEGMENT)
 
 
-def unwrapped(rows: DataFrame, key: str, order: str, clock: str) -> DataFrame:
-    """A clock of 32 bits without its wraps: the first value, then the sum of signed differences."""
-    w = Window.partitionBy(key).orderBy(order)
-    step = F.pmod(F.col(clock) - F.lag(clock).over(w) + 2**31, F.lit(2**32)) - 2**31
-    return rows.withColumn("__step", F.coalesce(step, F.col(clock))).withColumn("unwrapped", F.sum("__step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
-
-
 def last_scores(rows: DataFrame, key: str, order: str, score: str, most: int = 100) -> DataFrame:
     """The exact median and the maximum (0 at least) of a key's last scores."""
     last = rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("__r") <= most)

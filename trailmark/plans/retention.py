@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ordered, retention
+from ..operators import carried, ordered, retention
 from ..sources.adapter import NOW, SEGMENTS, SIGHTINGS, read, segments, sightings, unmarked_sightings
 from .registry import query
 
@@ -85,7 +85,7 @@ def wn_best_per_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select camera_id, run, min(started_at) as run_start, max(started_at) as run_end, count(*) as n from (select camera_id, started_at, cast(sum(new) over (partition by camera_id order by started_at rows unbounded preceding) as bigint) as run from (select *, case when started_at <= lag(started_at) over (partition by camera_id order by started_at) + interval 20 minute then 0 else 1 end as new from sightings)) group by camera_id, run", SIGHTINGS)
 def st_motion_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered.sessions(unmarked_sightings(spark, sf_dir), "camera_id", "started_at", "20 minutes")
+    return carried.sessions(unmarked_sightings(spark, sf_dir), "camera_id", "started_at", "20 minutes")
 
 
 @query(
@@ -102,7 +102,38 @@ def wn_throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select user_id, event_id, cast(sum(step) over (partition by user_id order by event_id rows unbounded preceding) as bigint) as unwrapped from (select user_id, event_id, coalesce(((clock - lag(clock) over (partition by user_id order by event_id) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, clock) as step from (select user_id, event_id, (event_id * 1000000007) % 4294967296 as clock from events))")
 def wn_unwrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") * 1_000_000_007 % 4_294_967_296).alias("clock"))
-    return ordered.unwrapped(e, "user_id", "event_id", "clock").select("user_id", "event_id", "unwrapped")
+    return carried.unwrapped(e, "user_id", "event_id", "clock", F.floor(F.col("event_id") / 4096)).select("user_id", "event_id", "unwrapped")
+
+
+_UNITS = "units as materialized (select 'camera' || user_id % 4 as camera_id, event_id as seq, cast(event_id * 3000 + event_id * event_id % 1777 + case when event_id % 301 = 0 then 900000 else 0 end as bigint) as ts90, event_type = 'view' as key_frame, value as ms from events)"
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, i = read(spark, sf_dir, "events"), F.col("event_id")
+    ts = i * 3000 + i * i % 1777 + F.when(i % 301 == 0, 900_000).otherwise(0)
+    return e.select(F.concat(F.lit("camera"), F.col("user_id") % 4).alias("camera_id"), i.alias("seq"), ts.alias("ts90"), (F.col("event_type") == "view").alias("key_frame"), F.col("value").alias("ms"))
+
+
+@query(
+    "select camera_id, seq, duration, cast(coalesce(sum(duration) over (partition by camera_id order by seq rows between unbounded preceding and 1 preceding), 0) as bigint) as decode_time from (select camera_id, seq, cast(least(greatest(floor(average + 0.5), 1), 45000) as bigint) as duration from walk)",
+    "recursive " + _UNITS,
+    "o as materialized (select *, row_number() over (partition by camera_id order by seq) as n, ts90 - lag(ts90) over (partition by camera_id order by seq) as step from units)",
+    "walk as (select camera_id, seq, n, 3000.0::double as average from o where n = 1 union all select o.camera_id, o.seq, o.n, case when step between 1 and 45000 then average + 0.05::double * (step - average) else average end from walk join o on o.camera_id = walk.camera_id and o.n = walk.n + 1)",
+)
+def wn_frame_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A live stream's frames with durations from a decayed average."""
+    return carried.frame_durations(_units(spark, sf_dir)).select("camera_id", "seq", "duration", "decode_time")
+
+
+@query(
+    "select camera_id, seq, round(mean + 1e-9, 6) as mean_ms from walk",
+    "recursive " + _UNITS,
+    "o as materialized (select *, row_number() over (partition by camera_id order by seq) as n from (select *, min(seq) filter (where key_frame) over (partition by camera_id) as first from units) where seq >= first)",
+    "walk as (select camera_id, seq, n, ms as mean from o where n = 1 union all select o.camera_id, o.seq, o.n, mean * 0.95::double + ms * 0.05::double from walk join o on o.camera_id = walk.camera_id and o.n = walk.n + 1)",
+)
+def wn_decode_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoding times, averaged with decay from each camera's first key frame on."""
+    return carried.decode_means(_units(spark, sf_dir)).select("camera_id", "seq", F.round(F.col("mean_ms") + 1e-9, 6).alias("mean_ms"))
 
 
 @query("select camera_id, median(top_score) as median_score, greatest(max(top_score), 0) as top_score from (select *, row_number() over (partition by camera_id order by id desc) as r from sightings) where r <= 100 group by camera_id", SIGHTINGS)
