@@ -11,8 +11,64 @@ from pyspark.sql import functions as F
 EVENT = "camera_id string, n long, started_ms long, ended_ms long, picture_ms long"
 
 
-def motion_events(frames: DataFrame, start_after: int = 3_000, gap: int = 1_000, quiet: int = 5_000, cooldown: int = 120_000, longest: int | None = None) -> DataFrame:
-    """Events of a camera's frames (camera_id, id, at_ms, moving, area, objects), times in milliseconds.
+class Watch:
+    """The motion of one camera: the run and the event that are open, and what one frame does to them."""
+
+    def __init__(self, start_after: int = 3_000, gap: int = 1_000, quiet: int = 5_000, cooldown: int = 120_000, longest: int | None = None, held: tuple | None = None) -> None:
+        self.limits = (start_after, gap, quiet, cooldown, longest)
+        #: When the run began, its last motion, its most motion and when that was; start, end and picture of the open event;
+        #: the end of the cooldown; events so far.
+        self.since, self.seen, self.area, self.best, self.start, self.last, self.picture, self.until, self.n = held or (*(None,) * 8, 0)
+
+    @property
+    def held(self) -> tuple:
+        return (self.since, self.seen, self.area, self.best, self.start, self.last, self.picture, self.until, self.n)
+
+    def finish(self) -> list[tuple]:
+        """The open event ends at its last motion."""
+        out = [] if self.start is None else [(self.n, self.start, self.last, self.picture)]
+        if out:
+            self.since = self.area = self.best = None
+        self.start = self.last = self.picture = None
+        return out
+
+    def frame(self, at: int, moving: bool, area: float, objects: bool) -> list[tuple]:
+        start_after, gap, quiet, cooldown, longest = self.limits
+        if objects or not moving:
+            if objects:
+                self.since = self.area = self.best = None
+            if self.start is not None and (objects or at - self.last > quiet):
+                self.until = at + cooldown
+                return self.finish()
+            return []
+        if self.seen is not None and at - self.seen > gap:
+            self.since = self.area = self.best = None
+        self.seen, self.since = at, at if self.since is None else self.since
+        if self.area is None or area > self.area:
+            self.area, self.best = area, at
+        if self.start is not None:
+            self.last = at
+            if longest is not None and at - self.start >= longest:
+                out = [(self.n, self.start, self.last, self.picture)]
+                self.n, self.start, self.picture = self.n + 1, at, at
+                return out
+        elif at - self.since >= start_after and (self.until is None or at >= self.until):
+            self.n, self.start, self.last, self.picture = self.n + 1, self.since, at, self.best
+        return []
+
+
+def events_table(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")])
+
+
+def sound_frames(frames: DataFrame) -> DataFrame:
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return frames.select("camera_id", "id", "at_ms", flag("moving"), F.coalesce("area", F.lit(0.0)).alias("area"), flag("objects")).where("camera_id is not null and at_ms is not null")
+
+
+def motion_events(frames: DataFrame, **limits: int | None) -> DataFrame:
+    """Events of a camera's frames (camera_id, id, at_ms, moving, area, objects), times in milliseconds. limits: start_after
+    (3,000), gap (1,000), quiet (5,000), cooldown (120,000) and longest (none).
 
     A run of motion has no pause over gap. It opens an event once it has lasted start_after and the cooldown since the last
     event's end is over; the event begins where the run did, and its picture is the frame with most motion until then. An
@@ -21,46 +77,18 @@ def motion_events(frames: DataFrame, start_after: int = 3_000, gap: int = 1_000,
     last motion. Only a camera's open event is held; null for moving or objects counts as false, for area as 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        camera, since, seen, best, open_, until, n, out = None, None, None, None, None, None, 0, []
-
-        def close() -> None:
-            nonlocal open_, since, best
-            if open_ is not None:
-                out.append((camera, n, *open_))
-                since = best = None
-            open_ = None
-
+        camera, watch = None, Watch(**limits)
         for part in batches:
-            for k, at, moving, area, objects in zip(part["camera_id"], part["at_ms"], part["moving"], part["area"], part["objects"], strict=True):
+            out = []
+            for k, *frame in zip(part["camera_id"], part["at_ms"], part["moving"], part["area"], part["objects"], strict=True):
                 if k != camera:
-                    close()
-                    camera, since, seen, best, until, n = k, None, None, None, None, 0
-                if objects or not moving:
-                    if objects:
-                        since = best = None
-                    if open_ is not None and (objects or at - open_[1] > quiet):
-                        close()
-                        until = at + cooldown
-                    continue
-                if seen is not None and at - seen > gap:
-                    since = best = None
-                seen, since = at, at if since is None else since
-                best = (area, at) if best is None or area > best[0] else best
-                if open_ is not None:
-                    open_ = (open_[0], at, open_[2])
-                    if longest is not None and at - open_[0] >= longest:
-                        out.append((camera, n, *open_))
-                        n, open_ = n + 1, (at, at, at)
-                elif at - since >= start_after and (until is None or at >= until):
-                    n, open_ = n + 1, (since, at, best[1])
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")])
-            out.clear()
-        close()
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")])
+                    out += [(camera, *e) for e in watch.finish()]
+                    camera, watch = k, Watch(**limits)
+                out += [(k, *e) for e in watch.frame(*frame)]
+            yield events_table(out)
+        yield events_table([(camera, *e) for e in watch.finish()])
 
-    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
-    rows = frames.select("camera_id", "id", "at_ms", flag("moving"), F.coalesce("area", F.lit(0.0)).alias("area"), flag("objects")).where("camera_id is not null and at_ms is not null")
-    return rows.repartition("camera_id").sortWithinPartitions("camera_id", "at_ms", "id").mapInPandas(run, EVENT)
+    return sound_frames(frames).repartition("camera_id").sortWithinPartitions("camera_id", "at_ms", "id").mapInPandas(run, EVENT)
 
 
 def silent_recordings(recordings: DataFrame, events: DataFrame) -> DataFrame:

@@ -40,6 +40,8 @@ class Settings:
     longest_seconds: float | None = None
     #: The labels whose visits are told; None: all.
     labels: tuple[str, ...] | None = None
+    #: Before each frame, open visits not seen for so long are told as due for a look, where they are expected; None: none.
+    due_seconds: float | None = None
 
 
 @dataclass
@@ -108,6 +110,14 @@ class Camera:
         self.visits = [v for v in self.visits if at - v.seen <= self.s.missed_seconds]
         return [t for v in gone if not v.parked for t in self.ends(v, v.seen)]
 
+    def to_look_at(self, at: float) -> list[tuple]:
+        """Open visits that are due for a look, with the boxes where they are expected, within the picture."""
+        if self.s.due_seconds is None:
+            return []
+        due = [v for v in self.visits if at - v.seen >= self.s.due_seconds]
+        boxes = [np.clip(v.box + np.tile(v.speed * min(at - v.seen, 2.0), 2), 0.0, 1.0) for v in due]
+        return [(*self.tell(v, "due", at)[:-4], *box.tolist()) for v, box in zip(due, boxes, strict=True)]
+
     def due(self) -> float | None:
         """The time after which the next open visit lapses if nothing more is seen."""
         return min((v.seen for v in self.visits), default=None)
@@ -118,7 +128,7 @@ class Camera:
         return out
 
     def frame(self, at: float, labels: list[str], scores: list[float], boxes: np.ndarray) -> list[tuple]:
-        out = self.lapse(at)
+        out = self.to_look_at(at) + self.lapse(at)
         left = list(range(len(labels)))
         if self.visits and left:
             ahead = np.array([min(at - v.seen, 2.0) for v in self.visits])[:, None]

@@ -1,6 +1,6 @@
 """Registered queries of the sighting engine, each with the SQL that it has to agree with."""
 
-from . import evaluation, joins, lists, motion, pictures, retention, scalars, species, stateful
+from . import analysis, evaluation, joins, lists, motion, pictures, retention, scalars, species, stateful
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "evaluation", "joins", "lists", "motion", "pictures", "retention", "scalars", "species", "stateful"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analysis", "evaluation", "joins", "lists", "motion", "pictures", "retention", "scalars", "species", "stateful"]
