@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import tracking
 from ..sources.adapter import SIGHTINGS, read, unmarked_sightings
-from ..streaming import pipeline
+from ..sources.scratch import shared_path
+from ..streaming import feed, pipeline
 from .registry import query
 
 
@@ -54,3 +55,14 @@ def st_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily rates of the days that are over for certain."""
     out = pipeline.drained(pipeline.rates(_event_stream(spark, sf_dir), "at", "1 day", "1 hour", "event_type"), "rates")
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "frames", F.round("amount", 6).alias("amount"))
+
+
+@query("select user_id as id, seq, kind, value, case kind when 'ended' then 'ended' else 'started' end as replayed from (select user_id, event_id as seq, case event_type when 'view' then 'started' when 'click' then 'updated' when 'error' then 'removed' else 'ended' end as kind, value, row_number() over (partition by user_id order by event_id desc) as r from events) where r = 1 and kind <> 'removed'")
+def st_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a change of its user, written by a stream: each user's last state, and as what it would be replayed."""
+    at = shared_path(spark, "feed")
+    kind = F.when(F.col("event_type") == "view", "started").when(F.col("event_type") == "click", "updated").when(F.col("event_type") == "error", "removed").otherwise("ended")
+    changes = _event_stream(spark, sf_dir).select(F.col("user_id").cast("long").alias("id"), F.col("event_id").alias("seq"), kind.alias("kind"), "value")
+    made = feed.Feed(spark, at, changes.schema)
+    made.write(changes, f"{at}-state", availableNow=True).awaitTermination()
+    return made.table().select("id", "seq", "kind", "value", F.when(F.col("kind") == "ended", "ended").otherwise("started").alias("replayed"))
