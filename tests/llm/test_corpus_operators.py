@@ -454,3 +454,28 @@ def test_prototypes_and_predictions_against_plain_sums(spark):
         [(_, v)] = language_id.vectors([text])
         near = {k: float(v[0] @ w) / (np.linalg.norm(v[0].astype(float)) * np.linalg.norm(w)) for k, w in whole.items()}
         assert r["lang_pred"] == max(near, key=near.get) and abs(r["score"] - max(0, max(near.values()))) < 1e-9
+
+
+def test_neighbours_rows_with_one_id_and_sample_over_all_of_the_table(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)).astype(np.float32))]
+    twice = [(20, (-np.array(rows[20][1])).tolist()), (7, rng.normal(size=8).tolist())]
+    table = spark.createDataFrame([*rows, *twice], "vec_id long, embedding array<float>")
+    kept = {r["vec_id"]: r["v"] for r in neighbours.usable(table, "embedding").collect()}
+    assert len(kept) == 300 and all(any(np.allclose(kept[i], v) for j, v in [*rows, *twice] if j == i) for i in kept)
+    got = neighbours.search(table, F.col("vec_id") % 20 == 0).collect()
+    assert len({(r["query_id"], r["vec_id"]) for r in got}) == len({(r["query_id"], r["rank"]) for r in got}) == len(got) == 15 * 20
+    # A sorted table whose first half is another cloud: trees fitted on its first rows would know nothing of the second.
+    half = rng.normal(size=(2_000, 8)) + 40
+    other = rng.normal(size=(2_000, 8)) - 40
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate((half, other)).astype(np.float32))], "vec_id long, embedding array<float>")
+    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in table.collect()}
+    hits = 0
+    ids, points = np.array(list(vectors)), np.array(list(vectors.values()))
+    found = {}
+    for r in neighbours.search(table, F.col("vec_id") % 200 == 0, k=10, leaf=64, sample=500).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q, near in found.items():
+        best = [i for i in ids[np.argsort(-(points @ vectors[q]))] if i != q][:10]
+        hits += len(near & set(best))
+    assert hits >= 0.9 * 10 * 20

@@ -31,8 +31,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return at
 
 
-#: Paths of the tables written by stored() and not discarded yet.
+#: Paths of the tables written by stored() and not discarded yet, and the names of those of bucketed().
 written: list[str] = []
+_named: dict[str, str] = {}
 
 
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -52,12 +53,15 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> tuple[DataF
     at = f"{scratch_dir(spark)}/{called}"
     df.write.bucketBy(buckets, column).option("path", at).option("compression", "zstd").saveAsTable(called)
     written.append(at)
+    _named[at] = called
     return spark.table(called), spark.read.schema(df.schema).parquet(at)
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Deletes tables of stored() that nothing will read any more."""
     for at in paths:
+        if called := _named.pop(at, None):
+            spark.sql(f"drop table if exists {called}")
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
         written.remove(at)

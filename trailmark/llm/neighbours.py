@@ -12,8 +12,8 @@ Equal vectors are one class in the index, with its smallest ids: no leaf grows w
 that could be among the k nearest is lost.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without id and
-vectors of another length than the usual one; a row repeated with its id and vector counts once; a query's own id is
-never returned; ties go to the smaller id; with fewer candidates than k all are returned; an empty table gives no rows.
+vectors of another length than the usual one; of rows with one id, the one whose vector has the smallest hash counts, once; a
+query's own id is never returned; ties go to the smaller id; with fewer candidates than k all are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -122,7 +122,8 @@ def usable(vectors: DataFrame, vector: str) -> DataFrame:
     rows = rows.where(F.size("v") == (sizes["d"] if sizes else 0))
     # Zeros of either sign are one vector.
     rows = rows.withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0).cast(kind)).otherwise(x)))
-    return stored(rows.withColumn("vkey", F.xxhash64("v")).groupBy("vkey", "vec_id").agg(F.first("v").alias("v")), "neighbours-vectors")
+    one = rows.groupBy("vec_id").agg(F.min(F.struct(F.xxhash64("v").alias("vkey"), "v")).alias("r"))
+    return stored(one.select("r.vkey", "vec_id", "r.v"), "neighbours-vectors")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -137,8 +138,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "emb
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
         return empty
-    share = min(1.0, 1.1 * sample / n + 0.001)
-    picked = classes.where(F.abs(F.xxhash64("cid") % 1_000_000) < int(share * 1_000_000)).select("v").limit(sample).collect()
+    # A fifth more than asked for passes the filter on hashes, from all of the table; the order makes it those with the smallest.
+    order = F.shiftrightunsigned(F.xxhash64("cid"), 11)
+    share = int(min(1.0, 1.2 * sample / n) * 2**53)
+    picked = classes.select("v", "cid", order.alias("h")).where(F.col("h") < share).orderBy("h", "cid").limit(sample).select("v").collect()
 
     def lifted(x: np.ndarray) -> np.ndarray:
         """With the component that brings all to the largest norm, scaled to 1."""

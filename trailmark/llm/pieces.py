@@ -58,6 +58,7 @@ class Limits:
 
     chunk_units: int = 400_000
     chunk_places: int = 8_000_000
+    chunk_rows: int = 500_000
     bucket_entries: float = 500_000
 
 
@@ -242,7 +243,7 @@ def cut(docs: DataFrame, model: Model, keep: tuple[str, ...], limits: Limits) ->
     schema = StructType(list(inner)).add("__chunk", "long").add("__cut", "binary").add("__order", "binary").add("__bucket", "integer").add("__units", "string").add("__n", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, places, used = TaskContext.get().partitionId() << 32, Places(), 0
+        chunk, places, used, rows = TaskContext.get().partitionId() << 32, Places(), 0, 0
         none = lambda n, kind: pa.nulls(n, kind)
 
         def dictionary(kept: pa.Schema) -> pa.RecordBatch:
@@ -268,9 +269,10 @@ def cut(docs: DataFrame, model: Model, keep: tuple[str, ...], limits: Limits) ->
             n = len(cuts)
             rest = [none(n, k) for k in (pa.binary(), pa.int32(), pa.string(), pa.int32())]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([chunk] * n, pa.int64()), pa.array(cuts, pa.binary()), *rest], schema.names)
-            if len(places) >= limits.chunk_units or used >= limits.chunk_places:
+            rows += n
+            if len(places) >= limits.chunk_units or used >= limits.chunk_places or rows >= limits.chunk_rows:
                 yield dictionary(kept)
-                chunk, places, used = chunk + 1, Places(), 0
+                chunk, places, used, rows = chunk + 1, Places(), 0, 0
         if kept is not None:
             yield dictionary(kept)
 
