@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,3 +136,34 @@ def hub_live_url(kind: Column, hub_url: Column, user: Column, password: Column,
     host = F.regexp_extract(F.regexp_replace(authority, "^.*@", ""), r"^(\[[^\]]*\]|[^:]*)", 1)
     url = F.concat(F.lit("rtsp://"), host, F.lit(":554/h264Preview_"), F.lpad((channel + 1).cast("string"), 2, "0"), F.lit("_main" if main else "_sub"))
     return F.when((kind == "hub_clips") & (host != "") & channel.isNotNull(), with_credentials(url, user, password))
+
+
+def _hidden(value: object) -> object:
+    """A JSON value without secrets, at any depth: the name in an object called Token, and whatever is called password."""
+    if isinstance(value, list):
+        return [_hidden(x) for x in value]
+    if not isinstance(value, dict):
+        return value
+    out = {}
+    for key, inner in value.items():
+        if key == "Token":
+            out[key] = {**inner, "name": "REDACTED"} if isinstance(inner, dict) else inner
+        else:
+            out[key] = "REDACTED" if key.lower() == "password" else _hidden(inner)
+    return out
+
+
+def redacted_json(document: Column) -> Column:
+    """A hub's answer as it may be kept: JSON without a token's name and without passwords at any depth, all else as it was and
+    in its order, without blanks between. null for null and for what isn't JSON, which can't be searched for secrets."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(_hidden(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return None
+
+    def hidden(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return F.pandas_udf(hidden, "string")(document)

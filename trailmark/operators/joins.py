@@ -100,7 +100,8 @@ def suppressed(detections: DataFrame, most: float = 0.45) -> DataFrame:
         side = lambda lo, hi: F.greatest(F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]), F.lit(0.0))
         both = side("x1", "x2") * side("y1", "y2")
         own = lambda r: (r["x2"] - r["x1"]) * (r["y2"] - r["y1"])
-        return both / (own(a) + own(b) - both)
+        union = own(a) + own(b) - both
+        return F.when(union > 0, both / union).otherwise(0.0)
 
     kept = F.aggregate(
         F.sort_array(F.collect_list(row)),
