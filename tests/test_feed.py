@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import os
 import random
 
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
+from trailmark.operators import jobs
+from trailmark.sources.ledger import Ledger
 from trailmark.streaming.feed import Feed, versions
 
 SCHEMA = "id long, seq long, kind string, value double"
 
 
-class Breaking(Feed):
+class Breaking(Ledger):
     """Dies after the changes of one batch are written and before the ledger knows of them."""
 
+    dies_at = None
+
     def commit(self, batch: int) -> None:
         if batch == self.dies_at:
             self.dies_at = None
@@ -47,6 +54,7 @@ def source(spark, tmp_path, upto):
         for f in (tmp_path / f"in/{b}").glob("part-*"):
             if not (at := tmp_path / "all" / f"{b}-{f.name}").exists():
                 at.write_bytes(f.read_bytes())
+                os.utime(at, (1_700_000_000 + 10 * b,) * 2)  # files are taken in order of their times
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "all"))
 
 
@@ -59,8 +67,9 @@ def test_a_writer_that_dies_changes_nothing(spark, tmp_path, batches):
     schema = spark.createDataFrame([], SCHEMA).schema
     whole = Feed(spark, f"file://{tmp_path}/whole", schema)
     whole.write(source(spark, tmp_path, 5), str(tmp_path / "whole-state"), availableNow=True).awaitTermination()
-    broken = Breaking(spark, f"file://{tmp_path}/broken", schema)
-    broken.dies_at = 2
+    broken = Feed(spark, f"file://{tmp_path}/broken", schema)
+    broken.ledger = Breaking(spark, broken.folder)
+    broken.ledger.dies_at = 2
     with pytest.raises(StreamingQueryException):
         broken.write(source(spark, tmp_path, 5), str(tmp_path / "broken-state"), availableNow=True).awaitTermination()
     # The third batch's changes lie there, but no reader sees them.
@@ -101,3 +110,53 @@ def test_replay_then_follow_has_all_and_nothing_twice(spark, tmp_path, batches):
     assert plain(made.table()) == states[4]
     last = {r["id"]: r["version"] for r in versions(made.changes()).orderBy("version").collect()}
     assert sum(last.values()) == sum(map(len, log))
+
+
+def test_imports_run_twice_or_broken_off_are_one(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    files = [("h", f"f{i}", "yard", at(i), at(i + 1), f"clips/{i}.mp4", 1_000 + i) for i in range(6)]
+    files = spark.createDataFrame(files, "hub string, file string, camera_id string, file_start timestamp_ntz, file_end timestamp_ntz, clip_path string, bytes long")
+    tracks = [("h", "f0", 1, "animal", 0, 1, 0.8, 0.7, True, [(0.5, 11)]), ("h", "f0", 2, "animal", 0, 1, 0.6, 0.5, False, [(0.9, 21)]), ("h", "f0", 3, "motion", 0, 1, 0.0, 0.0, False, []), ("h", "f2", 4, "motion", 2, 3, 0.0, 0.0, False, []), ("h", "f5", 5, "person", 5, 6, 0.9, 0.9, True, [])]
+    tracks = spark.createDataFrame([(h, f, i, lab, at(s), at(e), *r) for h, f, i, lab, s, e, *r in tracks], "hub string, file string, id long, label string, started_at timestamp_ntz, ended_at timestamp_ntz, top_score double, median_score double, moved boolean, crops array<struct<quality:double,crop:long>>")
+    now = lambda m: F.lit(at(m)).cast("timestamp_ntz")
+
+    def told(folder):
+        made = jobs.Imports(Ledger(spark, folder))
+        return [sorted(map(str, t.collect())) for t in (made.events(), made.outcomes())]
+
+    whole = f"file://{tmp_path}/whole"
+    for keep_motion, minute in ((True, 4), (True, 4), (False, 9)):
+        jobs.Imports(Ledger(spark, whole)).run(files, tracks, now(minute), keep_motion=keep_motion)
+    events = {(r["file"], r["label"]): r for r in jobs.Imports(Ledger(spark, whole)).events().collect()}
+    assert set(events) == {("f0", "animal"), ("f1", "motion"), ("f2", "motion"), ("f5", "person")}
+    assert events["f0", "animal"]["top_score"] == 0.8 and sorted(r["id"] for r in events.values()) == [1, 2, 3, 4]
+    outcomes = {r["file"]: r["event_id"] for r in jobs.Imports(Ledger(spark, whole)).outcomes().collect()}
+    assert outcomes == {"f0": 0, "f1": events["f1", "motion"]["id"], "f2": 0, "f3": -1, "f4": -1, "f5": 0}
+    # The same, but that both runs that do anything break off once before they end.
+    broken = f"file://{tmp_path}/broken"
+    for keep_motion, minute in ((True, 4), (False, 9)):
+        ledger = Breaking(spark, broken)
+        ledger.dies_at = ledger.position() + 1
+        with pytest.raises(RuntimeError):
+            jobs.Imports(ledger).run(files, tracks, now(minute), keep_motion=keep_motion)
+        before = told(broken)
+        jobs.Imports(Ledger(spark, broken)).run(files, tracks, now(minute), keep_motion=keep_motion)
+        assert told(broken) != before
+    assert told(broken) == told(whole)
+
+
+def test_reclassified_once_whatever_breaks_off(spark, tmp_path):
+    rows = [(i, "animal", name, "c", dt.date(2024, 1, 1 + i)) for i, name in enumerate([None, None, None, None, "fox", None])] + [(9, "person", None, "c", dt.date(2024, 1, 3))]
+    events = spark.createDataFrame([(*r, f"clips/{r[0]}", dt.datetime(2024, 1, 1)) for r in rows], "id long, label string, common_name string, camera_id string, local_date date, clip_path string, ended_at timestamp_ntz")
+    answers = spark.createDataFrame([(1, "Deer", None, True, True), (2, None, "person", True, True), (3, None, None, False, True), (4, "wolf", None, True, True), (5, None, None, True, True)], "id long, name string, said string, moved boolean, has_crops boolean")
+    made = jobs.Reclassified(Breaking(spark, f"file://{tmp_path}/r"))
+    made.ledger.dies_at = 0
+    with pytest.raises(RuntimeError):
+        made.run(events, answers, "2024-01-02")
+    assert sorted(map(tuple, made.events(events).select("id", "label", "common_name").collect())) == sorted((i, lab, n) for i, lab, n, *_ in rows)
+    assert {r["tally"]: r["n"] for r in made.run(events, answers, "2024-01-02").collect()} == {"named": 1, "relabelled": 2, "unknown": 1}
+    now = {r["id"]: (r["label"], r["common_name"]) for r in made.events(events).collect()}
+    assert now == {0: ("animal", None), 1: ("animal", "Deer"), 2: ("person", None), 3: ("motion", None), 4: ("animal", "fox"), 5: ("animal", None), 9: ("person", None)}
+    # What is named or no animal any more isn't looked at again.
+    assert {r["tally"]: r["n"] for r in made.run(events, answers, "2024-01-02").collect()} == {"unknown": 1}
+    assert {r["id"]: (r["label"], r["common_name"]) for r in made.events(events).collect()} == now

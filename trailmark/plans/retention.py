@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import carried, ordered, retention
+from ..operators import carried, jobs, ordered, retention
 from ..sources.adapter import NOW, SEGMENTS, SIGHTINGS, read, segments, sightings, unmarked_sightings
+from ..sources.ledger import Ledger
+from ..sources.scratch import shared_path
 from .registry import query
 
 _SIZED = "sized as (select s.*, coalesce(clip_bytes, file_bytes, 0) as size from sightings s left join (select distinct clip_path as path, 60000 + length(clip_path) * 1000 as file_bytes from sightings where clip_path is not null) on path = clip_path where clip_path is not null)"
@@ -232,3 +234,42 @@ def sk_run_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sk_became_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = unmarked_sightings(spark, sf_dir).select("id", "camera_id", "label", "clip_state")
     return retention.became_motion(s, s.where("clip_state = 'failed'"), ["yard", "gate"]).select("id", "camera_id", "label")
+
+
+@query(
+    """select file, case when id_of is not null then 'motion' when n > 0 then 'events' else 'nothing' end as became, n, top_score from (
+        select f.file, case when f.recording % 7 = 0 and f.ended <= timestamp '2024-01-15 00:00:00' - interval 10 second then 1 end as id_of,
+            case when f.recording % 7 <> 0 then case when objects > 0 then labels else total end when f.ended <= timestamp '2024-01-15 00:00:00' - interval 10 second then 1 else 0 end as n,
+            case when f.recording % 7 <> 0 then case when objects > 0 then object_score else motion_score end when f.ended <= timestamp '2024-01-15 00:00:00' - interval 10 second then 0.0 end as top_score
+        from (select id // 6 as recording, concat('file', cast(id // 6 as varchar)) as file, max(coalesce(ended_at, started_at)) as ended, count(*) as total, count(*) filter (where label <> 'motion') as objects, count(distinct label) filter (where label <> 'motion') as labels, max(top_score) filter (where label <> 'motion') as object_score, max(top_score) as motion_score from sightings group by id // 6) f)""",
+    SIGHTINGS,
+)
+def sk_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings imported by two runs, of which the second keeps nothing of those in which nothing was found, and a third that has nothing left to do."""
+    s, i = unmarked_sightings(spark, sf_dir).withColumn("recording", F.floor(F.col("id") / 6)), F.col("id")
+    named = s.withColumn("hub", F.lit("h")).withColumn("file", F.concat(F.lit("file"), "recording"))
+    ended = F.coalesce("ended_at", "started_at")
+    files = named.groupBy("hub", "file").agg(F.min("camera_id").alias("camera_id"), F.min("started_at").alias("file_start"), F.max(ended).alias("file_end"), F.min("clip_path").alias("clip_path"), F.sum("clip_bytes").alias("bytes"))
+    tracks = named.where("recording % 7 <> 0").withColumn("moved", i % 5 == 0).withColumn("ended_at", ended).withColumn("crops", F.array().cast("array<struct<quality:double,crop:long>>"))
+    made = jobs.Imports(Ledger(spark, shared_path(spark, "imports")))
+    for day, keep_motion in (("2024-01-15", True), ("2024-03-15", False), ("2024-03-15", False)):
+        made.run(files, tracks, F.expr(f"timestamp_ntz'{day} 00:00:00'"), keep_motion=keep_motion)
+    of_file = made.events().groupBy("hub", "file").agg(F.count("*").alias("n"), F.max("top_score").alias("top_score"))
+    became = F.when(F.col("event_id") > 0, "motion").when(F.col("event_id") == jobs.ANALYSED, "events").otherwise("nothing")
+    return made.outcomes().join(of_file, ["hub", "file"], "left").select("file", became.alias("became"), F.coalesce("n", F.lit(0)).alias("n"), "top_score")
+
+
+@query(
+    "select id, case when outcome in ('still unnamed') then 'motion' when outcome = 'not an animal' then new_label else 'animal' end as label, common_name from (select id, case when old_name is not null then 'kept' else outcome end as outcome, new_label, coalesce(old_name, case when outcome = 'named' then given end) as common_name from (select s.id, s.common_name as old_name, a.* exclude (id) from sightings s join (select id, case when id % 4 = 0 then 'Elk' end as given, case when clip_path is null or ended_at is null then 'kept' when id % 4 = 0 then 'named' when id % 3 = 0 and id % 5 > 0 then 'not an animal' when id % 5 = 0 and id % 4 > 0 then 'still unnamed' else 'unknown' end as outcome, case when id % 3 = 0 then 'person' end as new_label from sightings) a on a.id = s.id where s.label = 'animal'))",
+    SIGHTINGS,
+)
+def sk_reclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Animals after classifying the unnamed ones again, twice: the second run finds only those without an answer."""
+    stored = unmarked_sightings(spark, sf_dir).where("label = 'animal'").select("id", "label", "common_name", "camera_id", "local_date", "clip_path", "ended_at")
+    i = F.col("id")
+    moved, said = i % 5 > 0, F.when((i % 3 == 0) & (i % 5 > 0), "person")
+    answers = stored.select("id", F.when(i % 4 == 0, "Elk").alias("name"), said.alias("said"), moved.alias("moved"), F.lit(True).alias("has_crops"))
+    made = jobs.Reclassified(Ledger(spark, shared_path(spark, "reclassified")))
+    for _ in range(2):
+        made.run(stored, answers, "2000-01-01")
+    return made.events(stored).select("id", "label", "common_name")

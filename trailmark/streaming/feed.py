@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..sources.ledger import Ledger
+
 KINDS = ("started", "updated", "ended", "removed")
 #: The most rows of one replay, as of one page.
 MOST = 500
@@ -31,9 +33,8 @@ class Feed:
     folder: str
     schema: StructType
 
-    def _there(self, name: str) -> bool:
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    def __post_init__(self) -> None:
+        self.ledger = Ledger(self.spark, self.folder)
 
     # Writing
 
@@ -44,48 +45,28 @@ class Feed:
 
     def put(self, changes: DataFrame, batch: int) -> None:
         """One batch: its changes, then its row in the ledger. A batch in the ledger is left as it is."""
-        if self._there(f"ledger/batch={batch}/_SUCCESS"):
-            return
-        changes.write.mode("overwrite").parquet(f"{self.folder}/changes/batch={batch}")
-        self.commit(batch)
-
-    def commit(self, batch: int) -> None:
-        self.spark.range(1).select(F.current_timestamp().alias("at")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/ledger/batch={batch}")
+        self.ledger.put(batch, {"changes": changes})
 
     def compact(self) -> int:
         """Writes the table as a snapshot, from which it is folded from now on; returns its position. Changes stay for readers."""
         upto = self.position()
-        if upto >= 0 and not self._there(f"snapshots/upto={upto}/_SUCCESS"):
+        if upto >= 0 and not self.ledger.has(f"snapshots/upto={upto}"):
             self._folded(upto).write.mode("overwrite").parquet(f"{self.folder}/snapshots/upto={upto}")
         return upto
 
     # Reading
 
-    def _numbers(self, name: str, column: str) -> list[int]:
-        """Numbers of the whole parts of a folder: one a batch, so few of them, from a listing."""
-        if not self._there(name):
-            return []
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        listing = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
-        parts = [p.getPath().getName() for p in listing]
-        return sorted(int(p.split("=")[1]) for p in parts if p.startswith(f"{column}=") and self._there(f"{name}/{p}/_SUCCESS"))
-
     def position(self) -> int:
         """The last batch in the ledger, -1 for none."""
-        return max(self._numbers("ledger", "batch"), default=-1)
+        return self.ledger.position()
 
     def changes(self, after: int = -1, upto: int | None = None) -> DataFrame:
         """Changes of the batches in the ledger after one and up to another, with batch: what a reader at a position follows."""
-        wanted = [b for b in self._numbers("ledger", "batch") if b > after and (upto is None or b <= upto)]
-        with_batch = StructType(list(self.schema.fields)).add("batch", "long")
-        if not wanted:
-            return self.spark.createDataFrame([], with_batch)
-        paths = [f"{self.folder}/changes/batch={b}" for b in wanted]
-        return self.spark.read.schema(with_batch).option("basePath", f"{self.folder}/changes").parquet(*paths)
+        return self.ledger.table("changes", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.schema.fields), after, upto)
 
     def _folded(self, upto: int) -> DataFrame:
         """The last change of each id, removed ones too, so that a snapshot knows them."""
-        snapshot = max((s for s in self._numbers("snapshots", "upto") if s <= upto), default=-1)
+        snapshot = max((s for s in self.ledger.numbers("snapshots", "upto") if s <= upto), default=-1)
         rows = self.changes(snapshot, upto)
         if snapshot >= 0:
             rows = rows.unionByName(self.spark.read.schema(rows.schema).parquet(f"{self.folder}/snapshots/upto={snapshot}"))
