@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import each_text
 
 BUCKETS = 1 << 15
+#: Characters of texts whose features are taken at once.
+CHARACTERS = 500_000
 #: The most documents that train the scorer; they are those with the smallest hashes of their id and text.
 TRAIN_ROWS = 8_000
 GOOD, BAD, NONE = "g", "b", "-"
@@ -118,42 +122,80 @@ def posteriors(counts: dict[str, int], rounds: int = 200) -> dict[str, float]:
     return dict(zip(patterns, bad.tolist(), strict=True))
 
 
+_KINDS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "X" * 26 + "x" * 26 + "9" * 10)
+_RUNS = re.compile(r"([Xx9])\1+")
+
+
 def shape(word: str) -> str:
     """The kinds of characters in a word, in order: letters of either case, digits, and the others themselves."""
+    if word.isascii():
+        return _RUNS.sub(r"\1", word.translate(_KINDS))[:6]
     for pattern, kind in SHAPES:
         word = pattern.sub(kind, word)
     return word[:6]
 
 
+class _Known(dict):
+    """Numbers of words, in order of appearance, with the buckets of each word and of its shape."""
+
+    def __init__(self) -> None:
+        self.words, self.shapes, self.of_shape = array("q"), array("q"), {}
+
+    def __missing__(self, word: str) -> int:
+        self.words.append(xxhash.xxh3_64_intdigest(b"w" + word.lower().encode("utf-8", "replace")) % BUCKETS)
+        kind = shape(word)
+        bucket = self.of_shape.get(kind)
+        if bucket is None:
+            bucket = self.of_shape[kind] = xxhash.xxh3_64_intdigest(b"s" + kind.encode("utf-8", "replace")) % BUCKETS
+        self.shapes.append(bucket)
+        found = self[word] = len(self)
+        return found
+
+
 class Hasher:
     """Texts to shares of hashed words and shapes. Words are looked up once; the table of those seen is emptied when full."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
-
-    def of(self, word: str) -> tuple[int, int]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= 200_000:
-                self.known.clear()
-            bucket = lambda kind, x: xxhash.xxh3_64_intdigest(kind + x.encode("utf-8", "replace")) % BUCKETS
-            found = self.known[word] = (bucket(b"w", word.lower()), bucket(b"s", shape(word)))
-        return found
+        self.known = _Known()
+
+    def batch(self, texts: list[str | None], extras: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts the text's number, buckets and their values, by text: counts of words and shapes over the square root of
+        the sum of their squares, and the share of fresh triples (extras)."""
+        if len(self.known) > 200_000:
+            self.known = _Known()
+        words = [(t or "").split() for t in texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        start = np.repeat(np.arange(len(texts)) * BUCKETS, sizes)
+        keys = np.concatenate((start + np.frombuffer(self.known.words, np.int64)[at], start + np.frombuffer(self.known.shapes, np.int64)[at])) if len(at) else at
+        keys, counts = np.unique(keys, return_counts=True)
+        doc = keys // BUCKETS
+        norm = np.sqrt(np.bincount(doc, counts.astype(float) ** 2, len(texts)))
+        by = counts / np.maximum(1.0, norm)[doc]
+        # Buckets past the hashed ones: the share of fresh triples, in tenths, and the length as a power of two.
+        tenths = BUCKETS + np.minimum(9, (np.array(extras) * 10).astype(np.int64))
+        powers = BUCKETS + 10 + np.array([min(20, int(n).bit_length()) for n in sizes], np.int64)
+        own = np.arange(len(texts))
+        doc, at, by = np.concatenate((doc, own, own)), np.concatenate((keys % BUCKETS, tenths, powers)), np.concatenate((by, np.full(len(texts), 1.0), np.full(len(texts), 0.2)))
+        order = np.argsort(doc, kind="stable")
+        return doc[order], at[order], by[order]
 
     def features(self, text: str | None, extra: float) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets and their values: counts of words and shapes over the square root of the sum of their squares, and the
-        share of fresh triples (extra)."""
-        counts: Counter[int] = Counter()
-        words = (text or "").split()
-        for word, k in Counter(words).items():
-            for bucket in self.of(word):
-                counts[bucket] += k
-        at = np.fromiter(counts.keys(), np.int64, len(counts))
-        by = np.fromiter(counts.values(), float, len(counts))
-        by /= max(1.0, math.sqrt(float((by * by).sum())))
-        # Buckets past the hashed ones: the share of fresh triples, in tenths, and the length as a power of two.
-        more = [BUCKETS + min(9, int(extra * 10)), BUCKETS + 10 + min(20, len(words).bit_length())]
-        return np.concatenate((at, more)), np.concatenate((by, [1.0, 0.2]))
+        """Buckets and values of one text."""
+        return self.batch([text], [extra])[1:]
+
+
+def _together(texts: Iterator[str | None]) -> Iterator[list[str | None]]:
+    """Texts, as many at a time as have some CHARACTERS or make one."""
+    some, n = [], 0
+    for text in texts:
+        some.append(text)
+        n += len(text or "")
+        if n >= CHARACTERS or len(some) >= 1_000:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
 
 
 WIDTH = BUCKETS + 32
@@ -196,9 +238,12 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[dict[str, floa
         hasher = Hasher()
         for batch in batches:
             looks, each = [], []
-            for t in each_text(batch.column("text")):
-                looks.append(votes_and_freshness(t))
-                each.append(hasher.features(t, looks[-1][1]))
+            for texts in _together(each_text(batch.column("text"))):
+                own = [votes_and_freshness(t) for t in texts]
+                doc, at, by = hasher.batch(texts, [fresh for _, fresh in own])
+                cuts = np.searchsorted(doc, np.arange(1, len(texts)))
+                looks += own
+                each += zip(np.split(at, cuts), np.split(by, cuts), strict=True)
             columns = [pa.array([a for a, _ in each], pa.list_(pa.int64())), pa.array([b for _, b in each], pa.list_(pa.float64())), pa.array([bad[v] for v, _ in looks], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column("h"), *columns], ["h", "at", "value", "target"])
 
@@ -228,11 +273,11 @@ def score(docs: DataFrame, model: tuple[dict[str, float], list[float]], keep: tu
         w, hasher = np.array(weights), Hasher()
         for batch in batches:
             said, p = [], []
-            for text in each_text(batch.column("__text")):
-                own, fresh = votes_and_freshness(text)
-                at, by = hasher.features(text, fresh)
-                said.append(own)
-                p.append(1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[at] @ by) + w[-1])))))
+            for texts in _together(each_text(batch.column("__text"))):
+                own = [votes_and_freshness(t) for t in texts]
+                doc, at, by = hasher.batch(texts, [fresh for _, fresh in own])
+                said += [v for v, _ in own]
+                p += (1 / (1 + np.exp(-np.clip(np.bincount(doc, w[at] * by, len(texts)) + w[-1], -30, 30)))).tolist()
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(said, pa.string()), pa.array([posterior.get(v, 0.0) for v in said], pa.float64()), pa.array(p, pa.float64())], [*keep, "votes", "weak_bad", "bad"])
 
     schema = docs.select(*keep).schema.add("votes", "string").add("weak_bad", "double").add("bad", "double")
