@@ -11,8 +11,11 @@ def local(ts: Column, zone: str) -> Column:
 
 
 def local_midnight(day: Column, zone: str) -> Column:
-    """The UTC time at which a local day begins."""
-    return F.convert_timezone(F.lit(zone), F.lit("UTC"), day.cast("timestamp_ntz"))
+    """The UTC time at which a local day begins, the earlier one if its midnight comes twice; where clocks are put forward at
+    midnight, so that it doesn't come at all, midnight UTC."""
+    given = day.cast("timestamp_ntz")
+    at = F.convert_timezone(F.lit(zone), F.lit("UTC"), given)
+    return F.when(local(at, zone) == given, at).otherwise(given)
 
 
 def rfc3339(ts: Column) -> Column:

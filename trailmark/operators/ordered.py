@@ -106,6 +106,28 @@ def last_scores(rows: DataFrame, key: str, order: str, score: str, most: int = 1
     return last.groupBy(key).agg(F.median(score).alias("median_score"), F.greatest(F.max(score), F.lit(0.0)).alias("top_score"))
 
 
+def last_times(rows: DataFrame, key: str, order: str, value: str, most: int = 200, percent: int = 95) -> DataFrame:
+    """Mean and nearest-rank percentile of a key's last values that aren't null: what a pool of workers says of its jobs."""
+    last = rows.where(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("__r") <= most)
+    held = last.groupBy(key).agg(F.avg(value).alias("mean"), F.sort_array(F.collect_list(value)).alias("__v"))
+    at = F.least(F.floor(F.size("__v") * percent / 100), F.size("__v") - 1).cast("int")
+    return held.select(key, "mean", F.get("__v", at).alias("p"), F.size("__v").cast("long").alias("n"))
+
+
+def measured(rows: DataFrame, key: str, seconds: float = 2.0) -> DataFrame:
+    """Frames a second and kilobits a second of a stream's units (key, id, at in seconds, bytes). A window begins where the one
+    before ended, the first with the first unit, and ends with the first unit that comes seconds after that or later."""
+    cuts = throttled(rows.select(key, "id", "at"), key, seconds, 1.0)
+    w = Window.partitionBy(key).orderBy("at", "id")
+    ends = cuts.withColumn("__from", F.lag("at").over(w))
+    marked = rows.join(ends.select(F.col(key).alias("__k"), F.col("id").alias("__id"), "__from", F.lit(1).alias("__cut")), F.col(key).eqNullSafe(F.col("__k")) & (F.col("id") == F.col("__id")), "left")
+    # A unit belongs to the window that ends with the next cut at or after it.
+    marked = marked.withColumn("__window", F.coalesce(F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sums = marked.groupBy(key, "__window").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.when(F.col("__cut") == 1, F.col("at"))).alias("ended_at"), F.max("__from").alias("__from"))
+    elapsed = F.col("ended_at") - F.col("__from")
+    return sums.where("ended_at is not null and __from is not null").select(key, "ended_at", "n", (F.col("n") / elapsed).alias("fps"), (F.col("bytes") * 8 / 1000 / elapsed).alias("kbps"))
+
+
 def nearest_rank(rows: DataFrame, key: str, value: str, percent: int = 95, cells: int = 1024) -> DataFrame:
     """Mean and nearest-rank percentile: the value at floor(n * percent / 100), the last at most. Null values aren't read.
 
@@ -152,6 +174,23 @@ def clip_rows(frames: DataFrame, windows: DataFrame, key: str, slot: str = "day"
     return known.groupBy(key, "window_id").agg(first.alias("first_at"), F.max(F.when((F.col("kind") == 2) & F.col("at").isNotNull(), F.coalesce("frame", "__f"))).alias("last_at"))
 
 
+def clip_rows_of_one_kind(frames: DataFrame, segments: DataFrame, windows: DataFrame, key: str, slot: str = "day") -> DataFrame:
+    """clip_rows() of frames that all have the same stream parameters. frames have segment; segments: key, segment, info.
+
+    Segments in order with the same info are a stretch. A clip is cut from the first stretch that has a frame at or after its
+    start, else from the last one; what comes before and after a change of parameters isn't mixed. windows: key, window_id,
+    from_at, to_at."""
+    w = Window.partitionBy(key).orderBy("segment")
+    changed = (~F.col("info").eqNullSafe(F.lag("info").over(w)) | F.lag("segment").over(w).isNull()).cast("int")
+    stretches = segments.withColumn("__new", changed).withColumn("stretch", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    of = frames.join(stretches.select(key, "segment", "stretch"), [key, "segment"])
+    ends = of.groupBy(key, "stretch").agg(F.max("at").alias("last"))
+    chosen = windows.join(ends, key).groupBy(key, "window_id", "from_at", "to_at").agg(F.coalesce(F.min(F.when(F.col("last") >= F.col("from_at"), F.col("stretch"))), F.max("stretch")).alias("stretch"))
+    both = F.struct(key, "stretch")
+    out = clip_rows(of.select(both.alias("__of"), "at", "key_frame"), chosen.select(both.alias("__of"), "window_id", "from_at", "to_at"), "__of", slot)
+    return out.select(F.col(f"__of.{key}").alias(key), "window_id", F.col("__of.stretch").alias("stretch"), "first_at", "last_at")
+
+
 def merged_recordings(tracks: DataFrame, most_crops: int = 3) -> DataFrame:
     """The events of recordings after tidying; tracks: recording, id, label, started_at, ended_at, top_score, median_score,
     moved, crops (an array of structs with quality and crop).

@@ -118,6 +118,10 @@ class Camera:
         boxes = [np.clip(v.box + np.tile(v.speed * min(at - v.seen, 2.0), 2), 0.0, 1.0) for v in due]
         return [(*self.tell(v, "due", at)[:-4], *box.tolist()) for v, box in zip(due, boxes, strict=True)]
 
+    def has_confirmed(self) -> bool:
+        """Whether something is there that counts and isn't parked: it explains motion."""
+        return any(v.counts and not v.parked for v in self.visits)
+
     def due(self) -> float | None:
         """The time after which the next open visit lapses if nothing more is seen."""
         return min((v.seen for v in self.visits), default=None)

@@ -78,4 +78,25 @@ def write_corpus(cases: DataFrame, path: str) -> None:
 
 
 def read_corpus(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Cases of a corpus; a folder that isn't there has none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).json(path)
+
+
+#: What this library writes; a newer store is refused.
+STORE_VERSION = 1
+
+
+def open_store(spark: SparkSession, folder: str) -> int:
+    """Opens a store's folder, or begins one: its version, which is kept beside its tables, is returned."""
+    at = f"{folder}/meta"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        spark.range(1).select(F.lit(STORE_VERSION).alias("version")).coalesce(1).write.json(at)
+        return STORE_VERSION
+    version = spark.read.schema("version int").json(at).first()["version"]
+    if version > STORE_VERSION:
+        raise ValueError(f"the store in {folder} has version {version}; this library knows {STORE_VERSION}")
+    return version

@@ -33,6 +33,16 @@ def clips_with_segments(events: DataFrame, segments: DataFrame, lateness: str =
     return e.join(s, meets, "leftOuter")
 
 
+def split(stream: DataFrame, sinks: dict, checkpoint: str, **trigger: object) -> list:
+    """One stream to several sinks: for each name a function of the stream's rows and the folder that its result goes to. Each is
+    a query of its own with its own checkpoint, so that a slow or broken one holds up no other."""
+    started = []
+    for name, (rows_of, path) in sinks.items():
+        writer = rows_of(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{checkpoint}/{name}")
+        started.append((writer.trigger(**trigger) if trigger else writer).queryName(f"{name}-{abs(hash(path))}").start())
+    return started
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote, as a table in the shared folder."""
     spark = stream.sparkSession
