@@ -104,7 +104,7 @@ def told_error(command: Column, answer: Column) -> Column:
 
 def described(outcome: Column, common: Column, scientific: Column, score: Column, label: Column) -> Column:
     """What an outcome of species.reclassified() is in words."""
-    named = F.concat(common, F.lit(" ("), scientific, F.lit(") "), F.format_number(score * 100, "0"), F.lit(" %"))
+    named = F.concat(common, F.lit(" ("), scientific, F.lit(") "), F.format_number(score * 100, 0), F.lit(" %"))
     return (
         F.when(outcome == "named", named)
         .when(outcome == "not an animal", F.concat(F.lit("not an animal, a "), label))
