@@ -84,3 +84,23 @@ def test_live_frames_and_decoding_times(spark):
     means = carried.decode_means(units).orderBy("seq").collect()
     assert [r["seq"] for r in means] == [2, 3, 4, 5, 6]
     assert [r["mean_ms"] for r in means][:2] == [2.0, pytest.approx(2.05)]
+
+
+@pytest.mark.parametrize(("every", "share", "most"), [(1.0, 0.9, None), (0.05, 1.0, None), (3.0, 1.0, 4), (0.0, 1.0, None), (1_000.0, 1.0, None)])
+def test_throttles_like_a_plain_walk(spark, every, share, most):
+    rng = random.Random(5)
+    rows = []
+    for k in ("x", "y", None):
+        at = -3.0
+        for i in range(900):
+            at += rng.choice([0.0, 0.01, 0.1, 0.3, 0.9, 0.45]) if rng.random() < 0.995 else rng.choice([40.0, 130.0])
+            rows.append((k, i, round(at, 2)))
+    table = spark.createDataFrame([*rows, ("x", 5_000, None)], "k string, id long, at double")
+    got = {(r["k"], r["id"]) for r in carried.throttled(table, "k", every, share, most).collect()}
+    want, last, n = set(), {}, {}
+    for k, i, at in sorted(rows, key=lambda r: (str(r[0]), r[2], r[1])):
+        if (k not in last or at - last[k] >= share * every) and (most is None or n.get(k, 0) < most):
+            want.add((k, i))
+            last[k], n[k] = at, n.get(k, 0) + 1
+    assert got == want
+    assert carried.throttled(table.limit(0), "k", every, share, most).isEmpty()

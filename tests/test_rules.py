@@ -93,7 +93,7 @@ def test_overlaps_are_strict_and_come_once(spark):
 
 def test_throttle_compares_with_the_last_kept_frame(spark):
     rows = spark.createDataFrame([("c", i, 0.4 * i) for i in range(10)], "key string, id long, at double")
-    assert [r["id"] for r in ordered.throttled(rows, "key", 1.0).orderBy("id").collect()] == [0, 3, 6, 9]
+    assert [r["id"] for r in carried.throttled(rows, "key", 1.0).orderBy("id").collect()] == [0, 3, 6, 9]
 
 
 def test_nearest_rank_is_not_interpolated(spark):

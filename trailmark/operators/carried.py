@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,6 +96,92 @@ def _walked(rows: DataFrame, of: list[str], order: list[str]) -> DataFrame:
     return rows.repartition(*of).sortWithinPartitions(*of, *order).mapInPandas(run, rows.schema)
 
 
+#: Intervals in a slot of throttled(): one in so many rows may be the first that is kept there.
+SLOT = 64
+
+
+def throttled(rows: DataFrame, key: str, every: float, share: float = 0.9, most: int | None = None) -> DataFrame:
+    """Rows of a key (id, at in seconds) that come at least a share of the interval after the last row that was kept; most
+    of a key at most, if given (as pictures of one event are limited). Rows without a time are left out.
+
+    Which row of a slot is kept first hangs on the slots before, but only rows of its first interval, and the one after, can
+    be it. So each slot tells for each of these where the rows kept from it on end and how many they are; one pass over
+    these few rows a key finds the first one of each slot; and then all slots are walked side by side.
+    """
+    after = share * every
+    slot = F.floor(F.col("at") / (SLOT * after)) if after > 0 else F.lit(0).cast("long")
+    d = rows.where("at is not null").withColumn("__slot", slot)
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, part in _groups(batches, [key, "__slot"]):
+            at = part["at"].to_numpy(float)
+            n = len(at)
+            # The next row that is far enough away; sums may be rounded, so the places are set right by differences.
+            then = np.searchsorted(at, at + after)
+            then -= (then > 0) & (at[np.maximum(then - 1, 0)] - at >= after) & (then - 1 > np.arange(n))
+            then += (then < n) & (at[np.minimum(then, n - 1)] - at < after)
+            then = np.maximum(then, np.arange(n) + 1)
+            last, kept = np.arange(n), np.ones(n, np.int64)
+            for i in range(n - 1, -1, -1):
+                if then[i] < n:
+                    last[i], kept[i] = last[then[i]], kept[then[i]] + 1
+            first = np.searchsorted(at, float(part["__slot"].iloc[0]) * SLOT * after + after, "right") + 1
+            few = part.iloc[:first]
+            yield few[[key, "__slot", "at", "id"]].assign(__last=at[last[: len(few)]], __kept=kept[: len(few)])
+
+    of_slot = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in (key, "__slot", "at", "id"))
+    found = d.select(key, "__slot", "at", "id").repartition(key, "__slot").sortWithinPartitions(key, "__slot", "at", "id").mapInPandas(entries, f"{of_slot}, __last double, __kept long")
+
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, slot_now, last, n = None, None, None, 0
+        for part in batches:
+            hits, before = [], []
+            for k, s, at, end, kept in zip(*(part[c] for c in (key, "__slot", "at", "__last", "__kept")), strict=True):
+                if now is None or k != now[0]:
+                    now, slot_now, last, n = (k,), None, None, 0
+                hit = s != slot_now and (last is None or at - last >= after)
+                hits.append(hit)
+                before.append(n)
+                if hit:
+                    slot_now, last, n = s, end, n + kept
+            yield part.assign(__before=before)[pd.Series(hits, index=part.index, dtype=bool)]
+
+    firsts = found.repartition(key).sortWithinPartitions(key, "__slot", "at", "id").mapInPandas(chosen, f"{of_slot}, __last double, __kept long, __before long")
+    firsts = firsts.select(F.col(key).alias("__key"), F.col("__slot").alias("__of"), F.col("at").alias("__at"), F.col("id").alias("__id"), "__before")
+    met = _of(d, key, firsts)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last, n = None, None, 0
+        for part in batches:
+            kept = []
+            for k, s, at, i, first_at, first_id, before in zip(*(part[c] for c in (key, "__slot", "at", "id", "__at", "__id", "__before")), strict=True):
+                if now != (k, s):
+                    now, last, n = (k, s), None, before
+                hit = (at, i) >= (first_at, first_id) if last is None else at - last >= after
+                last = at if hit else last
+                kept.append(hit and (most is None or n < most))
+                n += hit
+            yield part[pd.Series(kept, index=part.index, dtype=bool)][names]
+
+    names = rows.columns
+    return met.repartition(key, "__slot").sortWithinPartitions(key, "__slot", "at", "id").mapInPandas(keep, rows.schema)
+
+
+def _groups(batches: Iterator[pd.DataFrame], of: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """The groups of sorted rows, each whole, over the borders of batches."""
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        codes = pd.MultiIndex.from_frame(rows[of].astype(object).where(rows[of].notna(), None)).codes
+        cuts = np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0)) + 1
+        bounds = [0, *cuts.tolist()]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            yield tuple(rows.loc[lo, of]), rows.iloc[lo:hi]
+        held = rows.iloc[bounds[-1] :].reset_index(drop=True)
+    if held is not None and len(held):
+        yield tuple(held.loc[0, of]), held
+
+
 def frame_durations(units: DataFrame, usual: float = 3000.0, weight: float = 0.05, longest: int = 45_000) -> DataFrame:
     """units (camera_id, seq, ts90) with duration and decode_time in ticks of 90 kHz: a live stream without gaps. A frame lasts
     the running average of the steps between timestamps, of which resets and pauses (steps under 1 or over longest) are left

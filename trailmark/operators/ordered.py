@@ -1,4 +1,4 @@
-"""Ordered computations: slots, round robin, throttles, segments, medians of the last scores; see carried.py for those over whole histories."""
+"""Ordered computations: slots, round robin, segments, medians of the last scores; see carried.py for those over whole histories."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carried import throttled
+
 
 def best_per_slot(rows: DataFrame, key: str, at: Column, score: str, most: int, tie: str) -> DataFrame:
     """Of each key the best row of each slot, then the best of those slots."""
@@ -21,25 +23,6 @@ def round_robin(rows: DataFrame, buckets: list[str], newest: str, want: int) ->
     return rows.withColumn("turn", turn).where(F.col("turn") <= want).orderBy("turn", *buckets).limit(want)
 
 
-def throttled(rows: DataFrame, key: str, every: float, share: float = 0.9, most: int | None = None) -> DataFrame:
-    """Rows of a key (id, at in seconds) that come at least a share of the interval after the last row that was kept; most
-    of a key at most, if given (as pictures of one event are limited)."""
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Batches are sorted by key and time, so one kept time for the current key is all the state there is.
-        now, last, n = None, 0.0, 0
-        for part in batches:
-            kept = []
-            for k, at in zip(part[key], part["at"], strict=True):
-                n = 0 if k != now else n
-                hit = (n == 0 or at - last >= share * every) and (most is None or n < most)
-                now, last, n = k, at if hit else last, n + hit
-                kept.append(hit)
-            yield part[pd.Series(kept, index=part.index, dtype=bool)]
-
-    return rows.repartition(key).sortWithinPartitions(key, "at", "id").mapInPandas(keep, rows.schema)
-
-
 SEGMENT = "camera_id string, started_us long, ended_us long, n long, bytes long"
 
 

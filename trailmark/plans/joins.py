@@ -106,6 +106,23 @@ def jn_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.suppressed(detections(spark, sf_dir))
 
 
-@query()
+_AREA = "(greatest({0}.x2 - {0}.x1, 0) * greatest({0}.y2 - {0}.y1, 0))".format
+_BOTH = "(greatest(least(q.x2, d.x2) - greatest(q.x1, d.x1), 0) * greatest(least(q.y2, d.y2) - greatest(q.y1, d.y1), 0))"
+#: Whether a kept box q meets the next box d: by IoU, or within one label by the share of the smaller one inside.
+_MEETS = f"case when q.label = d.label then {_BOTH} / nullif({_AREA('q')} + {_AREA('d')} - {_BOTH}, 0) > 0.45 or {_BOTH} / greatest(least({_AREA('q')}, {_AREA('d')}), 1e-7) > 0.6 else coalesce({_BOTH} / nullif({_AREA('q')} + {_AREA('d')} - {_BOTH}, 0) > 0.7, false) end"
+
+
+@query(
+    "select frame, b.det, b.label, b.x1, b.y1, b.x2, b.y2 from (select w.frame, unnest(kept) as b from walk w join (select frame, count(*) as n from detections group by frame) c on c.frame = w.frame and c.n = w.n)",
+    "recursive " + DETECTIONS,
+    "o as materialized (select frame, row_number() over (partition by frame order by score desc, det, label, x1, y1, x2, y2) as n, {'det': det, 'label': label, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} as d from detections)",
+    f"""walk as (
+        select frame, n, [d] as kept from o where n = 1
+        union all
+        select frame, n, case when coalesce(hit, 0) = 0 then list_append(kept, d) when kept[hit].label <> d.label then kept
+            else list_concat(kept[1:hit - 1], [{{'det': kept[hit].det, 'label': d.label, 'x1': least(kept[hit].x1, d.x1), 'y1': least(kept[hit].y1, d.y1), 'x2': greatest(kept[hit].x2, d.x2), 'y2': greatest(kept[hit].y2, d.y2)}}], kept[hit + 1:]) end
+        from (select o.frame, o.n, o.d, w.kept, list_position(list_transform(w.kept, lambda q: {_MEETS.replace('d.', 'o.d.').replace('o.o.d.', 'o.d.')}), true) as hit from walk w join o on o.frame = w.frame and o.n = w.n + 1))""",
+)
 def jn_merged_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of overlapping regions as objects."""
     return joins.merged_regions(detections(spark, sf_dir))

@@ -98,7 +98,7 @@ def st_motion_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def wn_throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")).cast("double") / 1_000_000
-    return ordered.throttled(read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), at.alias("at")), "user_id", 86_400.0)
+    return carried.throttled(read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), at.alias("at")), "user_id", 86_400.0)
 
 
 @query("select user_id, event_id, cast(sum(step) over (partition by user_id order by event_id rows unbounded preceding) as bigint) as unwrapped from (select user_id, event_id, coalesce(((clock - lag(clock) over (partition by user_id order by event_id) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, clock) as step from (select user_id, event_id, (event_id * 1000000007) % 4294967296 as clock from events))")
@@ -202,10 +202,30 @@ def ag_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wn_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three pictures of a user at most, four hours apart."""
     at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")).cast("double") / 1_000_000
-    return ordered.throttled(read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), at.alias("at")), "user_id", 14_400.0, 1.0, 3)
+    return carried.throttled(read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), at.alias("at")), "user_id", 14_400.0, 1.0, 3)
 
 
-@query()
+_WALL = "case when a_at is null or abs(a_at + (b_ts - a_ts) * 100 // 9 - b_at) > 500000 then b_at else a_at + (b_ts - a_ts) * 100 // 9 end"
+_ANEW = "(a_at is null or abs(a_at + (b_ts - a_ts) * 100 // 9 - b_at) > 500000)"
+
+
+@query(
+    """select camera_id, d_start as started_us, d_end as ended_us, d_n as n, d_bytes as bytes from walk where d_n is not null
+    union all select camera_id, coalesce(s_start, t0), t0 + lasts * 100 // 9, coalesce(s_n, 0) + 1, coalesce(s_bytes, 0) + b_size from (select *, coalesce(s_last, 9000) as lasts, """ + _WALL + """ as t0 from (select *, row_number() over (partition by camera_id order by k desc) as r from walk) where r = 1 and b_at is not null)""",
+    "recursive packets as materialized (select 'camera' || user_id as camera_id, (event_id // 50) * 100000 + event_id % 977 as arrived, (event_id // 50) * 9000 as ts, event_type = 'view' as key, event_id % 5000 as size, row_number() over (partition by user_id order by (event_id // 50) * 9000, (event_id // 50) * 100000 + event_id % 977) as k from events)",
+    f"""walk as (
+        select distinct camera_id, 0::bigint as k, null::bigint as b_at, null::bigint as b_ts, null::bigint as b_size, null::bigint as a_at, null::bigint as a_ts, null::bigint as s_start, null::bigint as s_end, null::bigint as s_n, null::bigint as s_bytes, null::bigint as s_last, null::bigint as d_start, null::bigint as d_end, null::bigint as d_n, null::bigint as d_bytes from packets
+        union all
+        select camera_id, k, case when starts then arrived end, case when starts then ts end, case when starts then size end, a_at, a_ts,
+            case when not closes then n_start end, case when not closes then n_end end, case when not closes then n_n end, case when not closes then n_bytes end, case when not closes then n_last end,
+            case when closes then n_start end, case when closes then n_end end, case when closes then n_n end, case when closes then n_bytes end
+        from (select *, key and n_n is not null and b_at is not null and (n_end - n_start >= 2000000 or n_bytes > 67108864) as closes
+            from (select camera_id, k, arrived, ts, key, size, starts, b_at, case when b_at is not null and {_ANEW} then b_at else a_at end as a_at, case when b_at is not null and {_ANEW} then b_ts else a_ts end as a_ts,
+                    case when b_at is null then s_start else coalesce(s_start, t0) end as n_start, case when b_at is null then s_end else t0 + lasts * 100 // 9 end as n_end,
+                    case when b_at is null then s_n else coalesce(s_n, 0) + 1 end as n_n, case when b_at is null then s_bytes else coalesce(s_bytes, 0) + b_size end as n_bytes, case when b_at is null then s_last else lasts end as n_last
+                from (select w.* exclude (k, d_start, d_end, d_n, d_bytes), p.k, p.arrived, p.ts, p.key, p.size, w.b_at is not null or w.s_n is not null or p.key as starts, case when p.ts - w.b_ts between 1 and 450000 then p.ts - w.b_ts else 9000 end as lasts, {_WALL} as t0
+                    from walk w join packets p on p.camera_id = w.camera_id and p.k = w.k + 1))))""",
+)
 def wn_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event of a user as a packet 0.1 s after the one before."""
     e = read(spark, sf_dir, "events")
