@@ -19,7 +19,7 @@ What can be missed: a pair at the threshold t has no common prefix of DEPTH rows
 
 Cases: documents without words or text have no shingles and link with nothing; with fewer words than a shingle has, all
 words are the only shingle; rows with one id are one document, linked by whichever of their texts; rows without id are
-kept and have no component; long texts count whole; an empty table gives no rows. Extra columns aren't read.
+kept and have no component; of alike documents the one with the smallest id stays; long texts count whole; an empty table gives no rows. Extra columns aren't read.
 """
 
 from __future__ import annotations

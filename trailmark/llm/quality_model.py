@@ -7,7 +7,7 @@ and word shapes, which then scores every document.
 
 Cases: null and empty texts are scored like texts without words and get the vote pattern that such texts get; repeated
 rows give repeated results; an empty table gives no rows; if all documents vote alike, nothing tells the classes apart and
-all are kept. Texts are read whole. Extra columns are kept only where keep names them.
+all are kept. A probability of exactly 0.5 is rejected. Texts are read whole, however long. Extra columns are kept only where keep names them.
 """
 
 from __future__ import annotations

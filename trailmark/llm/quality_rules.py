@@ -4,7 +4,9 @@ Documents are reduced to a few counts (`measure`), the counts of labelled docume
 to one small table of (feature, bin, positives, negatives). The driver sees only those tables; texts stay on executors.
 
 Cases: a null or empty text has no words, so all its counts are 0 and it fails the base rule; null ids and labels without
-a document are kept out of the training; repeated rows give repeated results; without labelled documents of both kinds no
+a document are kept out of the training, and of several labels of one document the lowest counts; very long texts are
+measured whole; of conditions that gain about as much the one with the fewest negatives is taken, then the strictest border, then
+the first feature by name, and of rules the first that fires; repeated rows give repeated results; without labelled documents of both kinds no
 rule is learned and the base rule alone decides. Extra columns of the input are not read.
 """
 
