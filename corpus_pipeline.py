@@ -5,7 +5,8 @@ wrote besides is deleted then.
 
 Cases, in every stage: extra columns are dropped, whatever their names; rows without id or text, empty and very long texts
 count as the stage's operator says; repeated rows stay until the near-duplicates, which leave one row of an id (rows without
-id stay); an empty table gives no rows.
+id stay); of documents that tie, the smallest id stays (near-duplicates) and the order of hashes decides (mixing); an empty
+table gives no rows.
 """
 
 from __future__ import annotations
