@@ -56,7 +56,7 @@ def test_leaks_odd(spark, monkeypatch, most):
     rng = random.Random(5)
     word = lambda: rng.choice("abc")
     text = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, text(rng.choice([1, 3, 4, 5, 7, 9, 10, 11, 14]))) for i in range(12, 30)] + [(1, None), (2, ""), (3, "a " * 12), (None, "d e f g h"), (4, "Only. Here!"), (5, "only here"), (5, "d d d d d d"), (1000000, "only here")]
+    items = [(i, text(rng.choice([1, 3, 4, 5, 7, 9, 10, 11, 14]))) for i in range(12, 30)] + [(1, None), (2, ""), (3, "a " * 12), (None, "d e f g h"), (4, "Only. Here!"), (5, "only here"), (5, "d d d d d d"), (1000000, "only here"), (7, "É l m n o ÄP \u0130 K"), (8, "é l m n o")]
     docs = [(i, text(rng.choice([0, 2, 5, 9, 10, 11, 40, 200]))) for i in range(60)] + [(None, "x d e f g h x"), (900, None), (901, ""), (902, "only"), (903, "only, HERE"), (903, "only, HERE"), (904, "z" * 20 + " d" * 9_000), (905, "a " * 15), (906, "only hKere here")]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("words", F.lit(1)).withColumn("row", F.lit(2)).withColumn("win", F.lit(3))
     i = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(9))

@@ -21,19 +21,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
-from .license_scan import license_words
+from .common import ascii_lower, stored
+from .license_scan import WORD_GAP
 
 WINDOW, SHINGLE = 10, 5
 #: Shingles of a benchmark that go to every task, of some 100 bytes each.
 MOST_BROADCAST = 500_000
 
 
+def words_of(text: Column) -> Column:
+    """Runs of letters and digits, with A-Z lower-cased and no other letter; none for null."""
+    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_GAP, -1), lambda w: w != "")
+
+
 def item_windows(items: DataFrame, key: str = "item_id", length: int = WINDOW) -> DataFrame:
     """key and win (words joined by spaces): the windows of each item, once."""
     n = F.size("words")
     first = F.sequence(F.lit(1), F.greatest(n - length, F.lit(0)) + 1)
-    d = items.select(key, license_words(F.col("text")).alias("words")).where(n > 0)
+    d = items.select(key, words_of(F.col("text")).alias("words")).where(n > 0)
     return d.select(key, F.explode(F.transform(first, lambda i: F.array_join(F.slice("words", i, length), " "))).alias("win")).distinct()
 
 
@@ -55,7 +60,7 @@ def seen_shingles(docs: DataFrame, shingles: DataFrame, sizes: list[int], keep:
     """row, keep, n_words, i, shingle: a row with i = -1 for each document, and one for each place of a known shingle.
 
     shingles: column shingle, distinct; sizes: the numbers of words that they have."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), *keep, license_words(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), *keep, words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
     own = F.array(F.struct(F.lit(-1).alias("i"), F.col("row").cast("string").alias("shingle")))  # its row number, so that these rows spread
     rows = rows.select("row", *keep, F.col("n_words").cast("long"), F.explode(F.concat(own, *(_shingles(F.col("words"), F.col("n_words"), k) for k in sizes))).alias("at"))
     rows = rows.select("row", *keep, "n_words", "at.i", "at.shingle")
