@@ -104,3 +104,26 @@ def test_throttles_like_a_plain_walk(spark, every, share, most):
             last[k], n[k] = at, n.get(k, 0) + 1
     assert got == want
     assert carried.throttled(table.limit(0), "k", every, share, most).isEmpty()
+
+
+def test_all_rows_of_a_throttle_hold_what_was_kept_before_them(spark):
+    """Keys without a value and long ones stay as they are; a slot may have rows of which none is kept."""
+    rng = random.Random(7)
+    rows = []
+    for k in (2**60 + 1, 2**60 + 2, None):
+        at = 0.0
+        for i in range(600):
+            at += rng.choice([0.0, 0.3, 0.9]) if rng.random() < 0.9 else rng.choice([60.3, 64.0])
+            rows.append((k, i, round(at, 2)))
+    table = spark.createDataFrame([*rows, (None, 5_000, None)], "k long, id long, at double")
+    got = {(r["k"], r["id"]): (r["__kept"], r["__before"], r["__from"]) for r in carried.passed(table, "k", 1.0).collect()}
+    want, last, n, slots, kept_slots = {}, {}, {}, set(), set()
+    for k, i, at in rows:
+        keeps = k not in last or at - last[k] >= 1.0
+        want[k, i] = (keeps, n.get(k, 0), last.get(k))
+        slots.add((k, at // carried.SLOT))
+        if keeps:
+            last[k], n[k] = at, n.get(k, 0) + 1
+            kept_slots.add((k, at // carried.SLOT))
+    assert got == want and slots - kept_slots
+    assert {(r["k"], r["id"]) for r in carried.throttled(table, "k", 1.0, 1.0).collect()} == {at for at, (keeps, *_) in want.items() if keeps}

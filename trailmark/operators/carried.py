@@ -7,12 +7,14 @@ compose to. These rows are put in order and give each slot the value that it beg
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 
 def _of(rows: DataFrame, key: str, slots: DataFrame) -> DataFrame:
@@ -102,84 +104,116 @@ SLOT = 64
 
 def throttled(rows: DataFrame, key: str, every: float, share: float = 0.9, most: int | None = None) -> DataFrame:
     """Rows of a key (id, at in seconds) that come at least a share of the interval after the last row that was kept; most
-    of a key at most, if given (as pictures of one event are limited). Rows without a time are left out.
+    of a key at most, if given (as pictures of one event are limited). Rows without a time are left out."""
+    kept = passed(rows, key, share * every, kept_only=True)
+    return (kept if most is None else kept.where(F.col("__before") < most)).select(*rows.columns)
+
+
+def passed(rows: DataFrame, key: str, after: float, kept_only: bool = False) -> DataFrame:
+    """rows that have a time with __kept: whether a throttle keeps them, as throttled() says; __before: how many rows of the
+    key it has kept before; __from: the time of the last of these, null for none.
 
     Which row of a slot is kept first hangs on the slots before, but only rows of its first interval, and the one after, can
     be it. So each slot tells for each of these where the rows kept from it on end and how many they are; one pass over
-    these few rows a key finds the first one of each slot; and then all slots are walked side by side.
+    these few rows a key finds the first one of each slot; and then all slots are walked side by side. Slots are many and
+    small, so each is a few lists and only whole batches are tables.
     """
-    after = share * every
     slot = F.floor(F.col("at") / (SLOT * after)) if after > 0 else F.lit(0).cast("long")
     d = rows.where("at is not null").withColumn("__slot", slot)
+    of_slot = f"`{key}` {d.schema[key].dataType.simpleString()}, __slot long"
+    found_schema, first_schema = f"{of_slot}, __place long, at double, __last double, __n long", f"{of_slot}, __first long, __before long, __from double"
 
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, part in _groups(batches, [key, "__slot"]):
-            at = part["at"].to_numpy(float)
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: list[pa.Array] = []
+        group, at, columns = None, [], [[] for _ in range(6)]
+
+        def tell() -> None:
+            """The rows of the group that may be kept first."""
             n = len(at)
-            # The next row that is far enough away; sums may be rounded, so the places are set right by differences.
-            then = np.searchsorted(at, at + after)
-            then -= (then > 0) & (at[np.maximum(then - 1, 0)] - at >= after) & (then - 1 > np.arange(n))
-            then += (then < n) & (at[np.minimum(then, n - 1)] - at < after)
-            then = np.maximum(then, np.arange(n) + 1)
-            last, kept = np.arange(n), np.ones(n, np.int64)
+            last, kept, then = list(range(n)), [1] * n, n
             for i in range(n - 1, -1, -1):
-                if then[i] < n:
-                    last[i], kept[i] = last[then[i]], kept[then[i]] + 1
-            first = np.searchsorted(at, float(part["__slot"].iloc[0]) * SLOT * after + after, "right") + 1
-            few = part.iloc[:first]
-            yield few[[key, "__slot", "at", "id"]].assign(__last=at[last[: len(few)]], __kept=kept[: len(few)])
-
-    of_slot = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in (key, "__slot", "at", "id"))
-    found = d.select(key, "__slot", "at", "id").repartition(key, "__slot").sortWithinPartitions(key, "__slot", "at", "id").mapInPandas(entries, f"{of_slot}, __last double, __kept long")
+                # The next row that is far enough away.
+                while then - 1 > i and at[then - 1] - at[i] >= after:
+                    then -= 1
+                if then < n:
+                    last[i], kept[i] = last[then], kept[then] + 1
+            few = min(bisect_right(at, group[1] * SLOT * after + after) + 1, n)
+            for column, values in zip(columns, ([group[0]] * few, [group[1]] * few, range(few), at[:few], [at[j] for j in last[:few]], kept[:few]), strict=True):
+                column.extend(values)
+
+        def batch() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(c, t) for c, t in zip(columns, [*of, pa.int64(), pa.float64(), pa.float64(), pa.int64()], strict=True)], names=[key, "__slot", "__place", "at", "__last", "__n"])
+            for c in columns:
+                c.clear()
+            return out
 
-    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, slot_now, last, n = None, None, None, 0
         for part in batches:
-            hits, before = [], []
-            for k, s, at, end, kept in zip(*(part[c] for c in (key, "__slot", "at", "__last", "__kept")), strict=True):
+            of = [part.schema.field(c).type for c in (key, "__slot")]
+            for k, s, t in zip(*(part.column(c).to_pylist() for c in (key, "__slot", "at")), strict=True):
+                if group is None or s != group[1] or k != group[0]:
+                    if group is not None:
+                        tell()
+                    group, at = (k, s), []
+                at.append(t)
+            yield batch()
+        if group is not None:
+            tell()
+            yield batch()
+
+    found = d.select(key, "__slot", F.col("at").cast("double").alias("at"), "id").repartition(key, "__slot").sortWithinPartitions(key, "__slot", "at", "id").drop("id").mapInArrow(entries, found_schema)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, slot_now, last, n, hit = None, None, None, 0, False
+        for part in batches:
+            columns: list[list] = [[] for _ in range(5)]
+            for k, s, place, at, end, kept in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if now is None or k != now[0]:
                     now, slot_now, last, n = (k,), None, None, 0
-                hit = s != slot_now and (last is None or at - last >= after)
-                hits.append(hit)
-                before.append(n)
-                if hit:
-                    slot_now, last, n = s, end, n + kept
-            yield part.assign(__before=before)[pd.Series(hits, index=part.index, dtype=bool)]
-
-    firsts = found.repartition(key).sortWithinPartitions(key, "__slot", "at", "id").mapInPandas(chosen, f"{of_slot}, __last double, __kept long, __before long")
-    firsts = firsts.select(F.col(key).alias("__key"), F.col("__slot").alias("__of"), F.col("at").alias("__at"), F.col("id").alias("__id"), "__before")
-    met = _of(d, key, firsts)
+                if s != slot_now:
+                    slot_now, hit = s, False
+                    told = (n, last)
+                # A slot's first row comes even if none is kept: the others belong to what was kept before.
+                first = not hit and (last is None or at - last >= after)
+                if first or place == 0:
+                    for column, value in zip(columns, (k, s, place if first else None, *told), strict=True):
+                        column.append(value)
+                if first:
+                    hit, last, n = True, end, n + kept
+            of = [part.schema.field(c).type for c in (key, "__slot")]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [*of, pa.int64(), pa.int64(), pa.float64()], strict=True)], names=[key, "__slot", "__first", "__before", "__from"])
+
+    firsts = found.repartition(key).sortWithinPartitions(key, "__slot", "__place").mapInArrow(chosen, first_schema)
+    names = rows.columns
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last, n = None, None, 0
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, begins, n, last = -1, None, 0, None
         for part in batches:
-            kept = []
-            for k, s, at, i, first_at, first_id, before in zip(*(part[c] for c in (key, "__slot", "at", "id", "__at", "__id", "__before")), strict=True):
-                if now != (k, s):
-                    now, last, n = (k, s), None, before
-                hit = (at, i) >= (first_at, first_id) if last is None else at - last >= after
-                last = at if hit else last
-                kept.append(hit and (most is None or n < most))
-                n += hit
-            yield part[pd.Series(kept, index=part.index, dtype=bool)][names]
-
-    names = rows.columns
-    return met.repartition(key, "__slot").sortWithinPartitions(key, "__slot", "at", "id").mapInPandas(keep, rows.schema)
-
-
-def _groups(batches: Iterator[pd.DataFrame], of: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """The groups of sorted rows, each whole, over the borders of batches."""
-    held: pd.DataFrame | None = None
-    for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        codes = pd.MultiIndex.from_frame(rows[of].astype(object).where(rows[of].notna(), None)).codes
-        cuts = np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0)) + 1
-        bounds = [0, *cuts.tolist()]
-        for lo, hi in zip(bounds, bounds[1:], strict=False):
-            yield tuple(rows.loc[lo, of]), rows.iloc[lo:hi]
-        held = rows.iloc[bounds[-1] :].reset_index(drop=True)
-    if held is not None and len(held):
-        yield tuple(held.loc[0, of]), held
+            own, kept, before, since = [], [], [], []
+            for is_row, at, first, earlier, end in zip(*(part.column(c).to_pylist() for c in ("__row", "__at", "__first", "__before", "__from")), strict=True):
+                own.append(is_row)
+                if not is_row:  # a slot begins; of two such rows the one with a place counts
+                    if place >= 0:
+                        place, begins = -1, None
+                    n, last, begins = earlier, end, begins if first is None else first
+                    kept.append(False)
+                    before.append(None)
+                    since.append(None)
+                    continue
+                place += 1
+                hit = begins is not None and (place == begins or (place > begins and at - last >= after))
+                kept.append(hit)
+                before.append(n)
+                since.append(last)
+                if hit:
+                    n, last = n + 1, at
+            told = [pa.array(kept, pa.bool_()), pa.array(before, pa.int64()), pa.array(since, pa.float64())]
+            whole = pa.record_batch([*(part.column(c) for c in names), *told], names=[*names, "__kept", "__before", "__from"])
+            yield whole.filter(told[0] if kept_only else pa.array(own, pa.bool_()))
+
+    both = d.withColumn("__row", F.lit(True)).unionByName(firsts.withColumn("__row", F.lit(False)), allowMissingColumns=True)
+    schema = StructType([*rows.schema.fields, StructField("__kept", BooleanType()), StructField("__before", LongType()), StructField("__from", DoubleType())])
+    both = both.withColumn("__at", F.col("at").cast("double"))
+    return both.repartition(key, "__slot").sortWithinPartitions(key, "__slot", "__row", "__at", "id").mapInArrow(walk, schema)
 
 
 def frame_durations(units: DataFrame, usual: float = 3000.0, weight: float = 0.05, longest: int = 45_000) -> DataFrame:

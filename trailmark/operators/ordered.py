@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .carried import throttled
+from .carried import passed
 
 
 def best_per_slot(rows: DataFrame, key: str, at: Column, score: str, most: int, tie: str) -> DataFrame:
@@ -100,13 +100,9 @@ def last_times(rows: DataFrame, key: str, order: str, value: str, most: int = 20
 def measured(rows: DataFrame, key: str, seconds: float = 2.0) -> DataFrame:
     """Frames a second and kilobits a second of a stream's units (key, id, at in seconds, bytes). A window begins where the one
     before ended, the first with the first unit, and ends with the first unit that comes seconds after that or later."""
-    cuts = throttled(rows.select(key, "id", "at"), key, seconds, 1.0)
-    w = Window.partitionBy(key).orderBy("at", "id")
-    ends = cuts.withColumn("__from", F.lag("at").over(w))
-    marked = rows.join(ends.select(F.col(key).alias("__k"), F.col("id").alias("__id"), "__from", F.lit(1).alias("__cut")), F.col(key).eqNullSafe(F.col("__k")) & (F.col("id") == F.col("__id")), "left")
     # A unit belongs to the window that ends with the next cut at or after it.
-    marked = marked.withColumn("__window", F.coalesce(F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sums = marked.groupBy(key, "__window").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.when(F.col("__cut") == 1, F.col("at"))).alias("ended_at"), F.max("__from").alias("__from"))
+    cuts = passed(rows.select(key, "id", "at", "bytes"), key, seconds)
+    sums = cuts.groupBy(key, "__before").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.when(F.col("__kept"), F.col("at"))).alias("ended_at"), F.max("__from").alias("__from"))
     elapsed = F.col("ended_at") - F.col("__from")
     return sums.where("ended_at is not null and __from is not null").select(key, "ended_at", "n", (F.col("n") / elapsed).alias("fps"), (F.col("bytes") * 8 / 1000 / elapsed).alias("kbps"))
 
