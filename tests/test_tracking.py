@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import statistics
+
 import numpy as np
 import pytest
 
@@ -130,3 +133,36 @@ def test_clips_meet_their_segments_in_a_stream(spark, tmp_path):
     got = pipeline.drained(pipeline.clips_with_segments(read("e", events), read("s", segments)), "clips").where("segment_id is not null")
     want = events.join(segments.withColumnRenamed("camera_id", "k")).where("camera_id = k and seg_start < to_at and seg_end > from_at")
     assert sorted((r["id"], r["segment_id"]) for r in got.collect()) == sorted((r["id"], r["segment_id"]) for r in want.collect())
+
+
+def test_frames_make_no_arrays(monkeypatch):
+    """Arrays of a box or two took most of the time of visits and looks; what is told is what plain medians and boxes say."""
+
+    def none(*_, **__):
+        raise AssertionError("an array of a few numbers")
+
+    for name in ("median", "clip", "minimum", "maximum", "tile", "stack"):
+        monkeypatch.setattr(tracking.np, name, none)
+    rng, camera, scores, out = random.Random(1), Camera(Settings(due_seconds=0.5, parked_seconds=0)), [], []
+    for i in range(400):
+        if i % 5 != 3:
+            scores.append(0.3 + rng.random() / 2)
+            box = (0.1 + 0.001 * i, 0.1, 0.3 + 0.001 * i, 0.4)
+            told = camera.frame(0.25 * i, ["person"], scores[-1:], np.array([box]))
+        else:
+            told = camera.frame(0.25 * i, [], [], np.zeros((0, 4)))
+        out += [(t, list(scores[:-1] if i % 5 != 3 else scores)) for t in told if t[1] == "due"]
+        for t in told:
+            if t[1] in ("started", "updated"):
+                assert (t[5], t[6], t[7]) == (max(scores[-100:]), statistics.median(scores[-100:]), len(scores))
+    # A frame with nothing in it comes 0.25 s after the last sight, the next one 0.5 s after it.
+    assert len(out) == 80
+    for t, before in out:
+        assert (t[5], t[6]) == (max(before[-100:]), statistics.median(before[-100:]))
+        x1 = 0.1 + 0.001 * (round(t[4] / 0.25) - 2)
+        assert t[8] == pytest.approx(x1 + 0.002, abs=1e-3)
+
+
+def test_a_score_that_is_none_makes_the_median_none():
+    _, out = told([(0.2 * i, [("person", float("nan") if i == 1 else 0.8, 0.1, 0.1, 0.2, 0.4)]) for i in range(10)])
+    assert kinds(out)[0] == ("started", "person") and np.isnan(out[0][6]) and out[0][5] == 0.8

@@ -2,13 +2,15 @@
 
 One camera's state is small: its open visits and the places where things are parked. The same step runs in a batch, over
 partitions sorted by camera and time with only the current camera's state in memory, and in a stream, where Spark keeps
-each camera's state between micro-batches.
+each camera's state between micro-batches. A frame has a few boxes, so they are plain tuples: arrays of one or two boxes
+cost many times their arithmetic.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,6 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: x1, y1, x2, y2.
+Edges = tuple[float, float, float, float]
+
 OUTPUT = "camera_id string, visit long, kind string, label string, started double, at double, top_score double, median_score double, hits long, x1 double, y1 double, x2 double, y2 double"
 
 
@@ -50,43 +55,78 @@ class Visit:
     label: str
     started: float
     seen: float
-    box: np.ndarray
-    origin: np.ndarray
-    anchor: np.ndarray
+    edges: Edges
+    origin: Edges
+    anchor: Edges
     still_since: float
     parked: bool
-    speed: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    speed: tuple[float, float] = (0.0, 0.0)
     hits: int = 0
     scores: list[float] = field(default_factory=list)
+    #: The scores that are numbers, in order.
+    ranked: list[float] = field(default_factory=list)
     counts: bool = False
     moved: bool = False
     moving_since: float | None = None
     told: float = 0.0
 
+    @property
+    def box(self) -> np.ndarray:
+        return np.array(self.edges)
+
+    def scored(self, score: float, most: int) -> None:
+        """Takes in a score and forgets the oldest of more than so many."""
+        self.scores.append(score)
+        if score == score:
+            insort(self.ranked, score)
+        if 0 < most < len(self.scores):
+            old = self.scores.pop(0)
+            if old == old:
+                del self.ranked[bisect_left(self.ranked, old)]
+
+    def median(self) -> float:
+        """The median of the scores; no number if one of them is none."""
+        n = len(self.scores)
+        if len(self.ranked) < n:
+            return float("nan")
+        return self.ranked[n // 2] if n % 2 else (self.ranked[n // 2 - 1] + self.ranked[n // 2]) / 2
+
+    def ahead(self, seconds: float) -> Edges:
+        """Where the box is expected so much later."""
+        (x1, y1, x2, y2), dx, dy = self.edges, self.speed[0] * seconds, self.speed[1] * seconds
+        return x1 + dx, y1 + dy, x2 + dx, y2 + dy
+
+
+def overlap(a: Sequence[float], b: Sequence[float]) -> float:
+    """IoU of two boxes; 0 if an edge is no number."""
+    (ax1, ay1, ax2, ay2), (bx1, by1, bx2, by2) = a, b
+    area_a = (0.0 if ax2 < ax1 else ax2 - ax1) * (0.0 if ay2 < ay1 else ay2 - ay1)
+    area_b = (0.0 if bx2 < bx1 else bx2 - bx1) * (0.0 if by2 < by1 else by2 - by1)
+    wide = (ax2 if ax2 < bx2 else bx2) - (ax1 if ax1 > bx1 else bx1)
+    high = (ay2 if ay2 < by2 else by2) - (ay1 if ay1 > by1 else by1)
+    both = (0.0 if wide < 0 else wide) * (0.0 if high < 0 else high)
+    union = area_a + area_b - both
+    return both / union if union > 0 else 0.0
+
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """IoU of every box of a with every box of b."""
-    a, b = a[:, None], b[None]
-    side = np.clip(np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2]), 0, None)
-    area = lambda x: np.clip(x[..., 2:] - x[..., :2], 0, None).prod(-1)
-    both = side.prod(-1)
-    union = area(a) + area(b) - both
-    return np.divide(both, union, out=np.zeros(both.shape), where=union > 0)
+    return np.array([[overlap(x, y) for y in b.tolist()] for x in a.tolist()]).reshape(len(a), len(b))
 
 
-def really_moved(origin: np.ndarray, now: np.ndarray, s: Settings) -> bool:
+def really_moved(origin: Sequence[float], now: Sequence[float], s: Settings) -> bool:
     """The rule of functions.geometry.has_moved for two boxes."""
-    seen = ((origin >= s.border) & (origin <= 1 - s.border) & (now >= s.border) & (now <= 1 - s.border)).reshape(2, 2)
-    by = (now - origin).reshape(2, 2)  # low and high edges, of x and y
-    shift = np.where(seen.all(0) & (by.prod(0) > 0), np.abs(by).min(0), 0.0)
-    sides = np.clip(np.stack([origin[2:] - origin[:2], now[2:] - now[:2]]), 0, None)
-    if np.hypot(*shift) > s.least_movement * np.hypot(*sides[0]):
+    seen = [s.border <= o <= 1 - s.border and s.border <= n <= 1 - s.border for o, n in zip(origin, now, strict=True)]
+    left, top, right, low = (n - o for o, n in zip(origin, now, strict=True))
+    dx = min(abs(left), abs(right)) if seen[0] and seen[2] and left * right > 0 else 0.0
+    dy = min(abs(top), abs(low)) if seen[1] and seen[3] and top * low > 0 else 0.0
+    (w0, h0), (w1, h1) = ((0.0 if b[2] < b[0] else b[2] - b[0], 0.0 if b[3] < b[1] else b[3] - b[1]) for b in (origin, now))
+    if np.hypot(dx, dy) > s.least_movement * np.hypot(w0, h0):
         return True
-    floor = np.clip(sides, 1e-7, None)
-    shape = (floor[1, 0] / floor[1, 1]) / (floor[0, 0] / floor[0, 1])
-    ratio = max(sides[1].prod(), 1e-7) / max(sides[0].prod(), 1e-7)
-    out = np.array([-by[0, 0], by[1, 0]])
-    return bool(abs(shape - 1) <= 0.25 and not 0.55 <= ratio <= 1.8 and seen[:, 0].all() and out.prod() > 0 and np.abs(out).min() >= s.balanced * np.abs(out).max())
+    shape = np.divide(max(w1, 1e-7) / max(h1, 1e-7), max(w0, 1e-7) / max(h0, 1e-7))
+    ratio = max(w1 * h1, 1e-7) / max(w0 * h0, 1e-7)
+    grows, least, most = -left * right > 0, min(abs(left), abs(right)), max(abs(left), abs(right))
+    return bool(abs(shape - 1) <= 0.25 and not 0.55 <= ratio <= 1.8 and seen[0] and seen[2] and grows and least >= s.balanced * most)
 
 
 class Camera:
@@ -97,7 +137,7 @@ class Camera:
         #: places: [label, box, last seen] of parked things.
 
     def tell(self, v: Visit, kind: str, at: float) -> tuple:
-        return (v.number, kind, v.label, v.started, at, max([0.0, *v.scores]), float(np.median(v.scores)) if v.scores else 0.0, v.hits, *v.box.tolist())
+        return (v.number, kind, v.label, v.started, at, max(0.0, v.ranked[-1]) if v.ranked else 0.0, v.median() if v.scores else 0.0, v.hits, *v.edges)
 
     def ends(self, v: Visit, at: float) -> list[tuple]:
         """The end of a visit, if its start was told."""
@@ -114,9 +154,9 @@ class Camera:
         """Open visits that are due for a look, with the boxes where they are expected, within the picture."""
         if self.s.due_seconds is None:
             return []
+        inside = lambda x: 1.0 if x > 1.0 else x if x > 0.0 or x != x else 0.0
         due = [v for v in self.visits if at - v.seen >= self.s.due_seconds]
-        boxes = [np.clip(v.box + np.tile(v.speed * min(at - v.seen, 2.0), 2), 0.0, 1.0) for v in due]
-        return [(*self.tell(v, "due", at)[:-4], *box.tolist()) for v, box in zip(due, boxes, strict=True)]
+        return [(*self.tell(v, "due", at)[:-4], *map(inside, v.ahead(min(at - v.seen, 2.0)))) for v in due]
 
     def has_confirmed(self) -> bool:
         """Whether something is there that counts and isn't parked: it explains motion."""
@@ -131,18 +171,22 @@ class Camera:
         self.visits = []
         return out
 
-    def frame(self, at: float, labels: list[str], scores: list[float], boxes: np.ndarray) -> list[tuple]:
+    def frame(self, at: float, labels: list[str], scores: list[float], found: np.ndarray | list[Edges]) -> list[tuple]:
         out = self.to_look_at(at) + self.lapse(at)
+        boxes = [tuple(b) for b in (found.tolist() if isinstance(found, np.ndarray) else found)]
         left = list(range(len(labels)))
         if self.visits and left:
-            ahead = np.array([min(at - v.seen, 2.0) for v in self.visits])[:, None]
-            now = np.stack([v.box for v in self.visits])
-            expected = now + np.tile(np.stack([v.speed for v in self.visits]) * ahead, 2)
-            fit = np.maximum(overlaps(expected, boxes), overlaps(now, boxes))
-            fit[np.array([v.label for v in self.visits])[:, None] != np.array(labels)[None]] = -1
-            pairs = sorted(zip(*np.nonzero(fit >= self.s.match), strict=True), key=lambda p: -fit[p])  # a stable sort: ties go by visit, then detection
+            pairs = []
+            for i, v in enumerate(self.visits):
+                expected = v.ahead(min(at - v.seen, 2.0))
+                for d, box in enumerate(boxes):
+                    if labels[d] == v.label:
+                        fit, now = overlap(expected, box), overlap(v.edges, box)
+                        fit = now if now > fit else fit
+                        if fit >= self.s.match:
+                            pairs.append((-fit, i, d))
             taken: set[int] = set()
-            for i, d in pairs:
+            for _, i, d in sorted(pairs):  # ties go by visit, then detection
                 if i not in taken and d in left:
                     taken.add(i)
                     left.remove(d)
@@ -155,28 +199,30 @@ class Camera:
                 self.visits.append(v)
         return out
 
-    def place_of(self, label: str, box: np.ndarray, at: float) -> list | None:
+    def place_of(self, label: str, box: Edges, at: float) -> list | None:
         """The remembered place that a box of this label is at; it is fresh again."""
         self.places = [p for p in self.places if at - p[2] <= self.s.forget_seconds]
         for p in self.places:
-            if p[0] == label and overlaps(p[1][None], box[None])[0, 0] >= self.s.same_place:
+            if p[0] == label and overlap(p[1], box) >= self.s.same_place:
                 p[2] = at
                 return p
         return None
 
-    def observe(self, v: Visit, at: float, score: float, box: np.ndarray) -> list[tuple]:
+    def observe(self, v: Visit, at: float, score: float, box: Edges) -> list[tuple]:
         s = self.s
         wanted = s.labels is None or v.label in s.labels
         if v.hits and at > v.seen:
-            v.speed = (v.speed + ((box - v.box)[:2] + (box - v.box)[2:]) / 2 / (at - v.seen)) / 2
-        if overlaps(v.anchor[None], box[None])[0, 0] < s.still:
+            x1, y1, x2, y2 = v.edges
+            step = ((box[0] - x1) + (box[2] - x2)) / 2 / (at - v.seen), ((box[1] - y1) + (box[3] - y2)) / 2 / (at - v.seen)
+            v.speed = (v.speed[0] + step[0]) / 2, (v.speed[1] + step[1]) / 2
+        if overlap(v.anchor, box) < s.still:
             if v.parked:  # it leaves: another visit, which has to move away from where it stood
-                v.origin, v.started, v.hits, v.scores = v.anchor, at, 0, []
+                v.origin, v.started, v.hits, v.scores, v.ranked = v.anchor, at, 0, [], []
                 v.parked = v.counts = v.moved = False
                 v.moving_since = None
             v.anchor, v.still_since = box, at
-        v.box, v.seen, v.hits = box, at, v.hits + 1
-        v.scores = [*v.scores, score][-s.scores_kept :]
+        v.edges, v.seen, v.hits = box, at, v.hits + 1
+        v.scored(score, s.scores_kept)
         if v.parked:
             if (place := self.place_of(v.label, box, at)) is None:
                 self.places.append([v.label, box, at])
@@ -190,7 +236,7 @@ class Camera:
         if not v.moved:
             self.watch_movement(v, at, box)
         if not v.counts:
-            if v.hits < s.least_hits or np.median(v.scores) < s.least_score or not v.moved:
+            if v.hits < s.least_hits or v.median() < s.least_score or not v.moved:
                 return []
             v.counts, v.told = True, at
             return [self.tell(v, "started", at)] if wanted else []
@@ -203,7 +249,7 @@ class Camera:
         v.started = at  # the rest of it is another visit of the same number
         return [*part, self.tell(v, "started", at)]
 
-    def watch_movement(self, v: Visit, at: float, box: np.ndarray) -> None:
+    def watch_movement(self, v: Visit, at: float, box: Edges) -> None:
         if v.label not in self.s.movers or self.s.least_movement <= 0:
             v.moved = True
         elif not really_moved(v.origin, box, self.s):
@@ -218,10 +264,10 @@ class Camera:
 BOX = ["x1", "y1", "x2", "y2"]
 
 
-def _frames(rows: pd.DataFrame) -> Iterator[tuple[str, float, list[str], list[float], np.ndarray]]:
+def _frames(rows: pd.DataFrame) -> Iterator[tuple[str, float, list[str], list[float], list[Edges]]]:
     """(camera, at, labels, scores, boxes) of rows sorted by camera and time."""
     camera, at = rows["camera_id"].to_numpy(), rows["at"].to_numpy(float)
-    labels, scores, boxes = rows["label"].tolist(), rows["score"].tolist(), rows[BOX].to_numpy(float)
+    labels, scores, boxes = rows["label"].tolist(), rows["score"].tolist(), list(zip(*(rows[c].to_numpy(float).tolist() for c in BOX), strict=True))
     cuts = [0, *(np.flatnonzero((camera[1:] != camera[:-1]) | (at[1:] != at[:-1])) + 1).tolist(), len(rows)]
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         if hi > lo:
