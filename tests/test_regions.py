@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from trailmark.operators import regions
 
 W, H = 640, 360
@@ -114,3 +116,19 @@ def test_regions_of_many_boxes_like_a_plain_walk(spark):
     frames = [(some(rng.choice([0, 1, 2, 3, 5, 9])), some(rng.choice([0, 0, 1, 2, 4]))) for _ in range(300)]
     for size, most in ((64, 3), (200, 9)):
         assert selected(spark, frames, size, most) == [walked(m, d, size, most) for m, d in frames]
+
+
+def test_a_box_without_an_edge_takes_no_group_away(spark):
+    """A box that can't be placed touches nothing; others stay, wherever it comes."""
+    whole, odd = (0.1, 0.1, 0.2, 0.2), (None, 0.1, 0.2, 0.2)
+    frames = spark.createDataFrame([(1, [whole, odd], []), (2, [odd, whole], []), (3, [whole], [])], f"frame long, motion array<{regions.BOX}>, due array<{regions.BOX}>")
+    groups = {r["frame"]: r["g"] for r in frames.select("frame", regions.cluster(F.col("motion")).alias("g")).collect()}
+    assert [sum(tuple(g) == whole for g in groups[i]) for i in (1, 2, 3)] == [1, 1, 1]
+
+
+def test_expressions_of_regions_do_not_repeat_themselves(spark):
+    """Lambdas are interpreted, so every repeated part is computed again: they were written out five times as long."""
+    c = spark.range(1).select(F.array(F.struct(*(F.rand(i).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))))).alias("b"))
+    squares = F.transform("b", lambda b: regions._square(b, W, H, 96))
+    plan = c.select(regions.merge_overlapping(squares, W, H, 96))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("greatest(") + plan.count("least(") < 300

@@ -102,8 +102,17 @@ def from_letterbox(x: Column, y: Column, fit: tuple[float, float, float]) -> tup
 
 def square_around(box: Box, width: int, height: int, size: int, padding: float) -> tuple[Column, Column, Column]:
     """Left, top and side of a square of pixels about a padded box: the model's size at least, all of a picture it doesn't fit."""
+    return square_of(box, side_around(box, width, height, padding), width, height, size)
+
+
+def side_around(box: Box, width: int, height: int, padding: float) -> Column:
+    """The side in pixels that a square about a padded box wants."""
+    return F.ceil(F.greatest(box.width() * width, box.height() * height) * (1 + padding))
+
+
+def square_of(box: Box, wanted: Column, width: int, height: int, size: int) -> tuple[Column, Column, Column]:
+    """square_around() with the side that it wants, which is used many times."""
     short = min(width, height)
-    wanted = F.ceil(F.greatest(box.width() * width, box.height() * height) * (1 + padding))
     side = F.least(F.greatest(wanted, F.lit(size)), F.lit(short))
     cx, cy = box.center()
     left = F.floor(F.least(F.greatest(cx * width - side / 2, F.lit(0.0)), width - side))

@@ -1,17 +1,16 @@
 """Which parts of a frame to look at: moving boxes grouped, made squares, and squares that overlap brought together.
 
 A frame's boxes are few, so each frame is a row with arrays and all of it is array expressions inside the JVM. Groups and
-merged squares are fixpoints: an ordered fold takes what touches, grows, and looks again as often as there are boxes.
+merged squares are fixpoints: an ordered fold takes what touches, grows, and looks again until nothing more touches. What
+an expression uses more than once is bound by let(): lambdas are interpreted, and nothing finds their common parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Box, square_around
+from ..functions.geometry import Box, side_around, square_of
 from .species import let
 
 #: Boxes closer than this share of their size are one object; squares are padded by PADDING; they are merged if more than
@@ -42,25 +41,33 @@ def _times(n: Column) -> Column:
 def cluster(boxes: Column) -> Column:
     """Bounding boxes of groups of boxes that touch once they are grown; a group grows with what it takes in, and takes in what it then touches."""
 
+    grown = lambda b: _struct(_box(b).expanded(NEAR))
+
     def absorb(s: Column) -> Column:
-        grown = _box(s["own"]).expanded(NEAR)
-        near: Callable[[Column], Column] = lambda g: grown.touches(_box(g).expanded(NEAR))
-        own = F.aggregate(F.filter(s["rest"], near), s["own"], _union)
-        return F.struct(own.alias("own"), F.filter(s["rest"], lambda g: ~near(g)).alias("rest"))
+        near = lambda g: F.coalesce(_box(s["grown"]).touches(_box(g["grown"])), F.lit(False))
+        over = F.struct(s["own"].alias("own"), s["grown"].alias("grown"), s["rest"].alias("rest"), F.lit(True).alias("over"))
+        larger = lambda own: F.struct(own.alias("own"), grown(own).alias("grown"), F.filter(s["rest"], lambda g: ~near(g)).alias("rest"), F.lit(False).alias("over"))
+        joined = lambda taken: let(F.aggregate(taken, s["own"], lambda own, g: _union(own, g["own"])), larger)
+        return let(F.filter(s["rest"], near), lambda taken: F.when(F.size(taken) > 0, joined(taken)).otherwise(over))
 
     def take(groups: Column, b: Column) -> Column:
         # Each turn that changes anything takes in one group at least.
-        start = F.struct(b.alias("own"), groups.alias("rest"))
-        done = F.aggregate(_times(F.size(groups)), start, lambda s, _: absorb(s))
-        return let(done, lambda s: F.concat(s["rest"], F.array(s["own"])))
+        start = F.struct(b["own"].alias("own"), b["grown"].alias("grown"), groups.alias("rest"), (F.size(groups) == 0).alias("over"))
+        done = F.aggregate(_times(F.size(groups)), start, lambda s, _: F.when(s["over"], s).otherwise(absorb(s)))
+        return let(done, lambda s: F.concat(s["rest"], F.array(F.struct(s["own"].alias("own"), s["grown"].alias("grown")))))
+
+    each = F.transform(boxes, lambda b: F.struct(b.alias("own"), grown(b).alias("grown")))
+    none = F.array().cast(f"array<struct<own:{BOX},grown:{BOX}>>")
+    return F.transform(F.aggregate(each, none, take), lambda g: g["own"])
 
-    return F.aggregate(boxes, F.array().cast(f"array<{BOX}>"), take)
 
+def _square(b: Column, width: int, height: int, size: int) -> Column:
+    def placed(wanted: Column) -> Column:
+        left, top, side = square_of(_box(b), wanted, width, height, size)
+        whole = side.isNull()
+        return F.struct(left.cast("long").alias("left"), top.cast("long").alias("top"), F.when(whole, width).otherwise(side).cast("long").alias("wide"), F.when(whole, height).otherwise(side).cast("long").alias("high"))
 
-def _square(b: Box, width: int, height: int, size: int) -> Column:
-    left, top, side = square_around(b, width, height, size, PADDING)
-    whole = side.isNull()
-    return F.struct(left.cast("long").alias("left"), top.cast("long").alias("top"), F.when(whole, width).otherwise(side).cast("long").alias("wide"), F.when(whole, height).otherwise(side).cast("long").alias("high"))
+    return let(side_around(_box(b), width, height, PADDING), placed)
 
 
 def merge_overlapping(squares: Column, width: int, height: int, size: int) -> Column:
@@ -74,7 +81,8 @@ def merge_overlapping(squares: Column, width: int, height: int, size: int) -> Co
         right, low = (F.greatest(a[at] + a[long], b[at] + b[long]) for at, long in (("left", "wide"), ("top", "high")))
         both = Box(F.least(a["left"], b["left"]) / width, F.least(a["top"], b["top"]) / height, right / width, low / height)
         # Their squares are padded already.
-        return _square(both.expanded(-PADDING / (1 + PADDING)), width, height, size)
+        inner = let(_struct(both), lambda c: _struct(_box(c).expanded(-PADDING / (1 + PADDING))))
+        return let(inner, lambda c: _square(c, width, height, size))
 
     def look(s: Column, b: Column) -> Column:
         return F.when(overlap(s["own"], b), F.struct(together(s["own"], b).alias("own"), s["rest"].alias("rest"), F.lit(True).alias("grew"))).otherwise(F.struct(s["own"].alias("own"), F.concat(s["rest"], F.array(b)).alias("rest"), s["grew"].alias("grew")))
@@ -102,7 +110,7 @@ def select_regions(frames: DataFrame, width: int, height: int, size: int, most:
     d = frames.select(*keep, boxes("motion").alias("__motion"), boxes("due").alias("__due")).withColumn("__groups", cluster(F.col("__motion")))
     by_size = F.array_sort(F.transform("__groups", lambda g, i: F.struct((-_box(g).area()).alias("order"), i.alias("i"), g.alias("box"))))
     d = d.withColumn("__all", F.concat(F.transform(by_size, lambda g: g["box"]), F.col("__due")))
-    d = d.withColumn("__squares", F.transform("__all", lambda b: _square(_box(b), width, height, size)))
+    d = d.withColumn("__squares", F.transform("__all", lambda b: _square(b, width, height, size)))
     d = d.withColumn("__regions", merge_overlapping(F.col("__squares"), width, height, size))
     d = d.select(*keep, F.posexplode(F.slice("__regions", 1, most)).alias("__place", "r"))
     return d.select(*keep, (F.col("__place") + 1).alias("place"), "r.left", "r.top", "r.wide", "r.high")
