@@ -71,3 +71,8 @@ def test_answers_of_cameras_in_xml(spark):
     got = spark.createDataFrame(rows, "said string").select(motion.camera_profiles(F.col("said")).alias("p"), motion.allowed_sizes(F.col("said")).alias("s")).collect()
     assert [[tuple(p) for p in r["p"] or []] for r in got] == [[("p", "main", "", "", 0, 720, None, None, "q")], [], [], [], []]
     assert [[tuple(s) for s in r["s"]] for r in got] == [[], [("MPEG4", 8, 6)], [], [], []]
+
+
+def test_an_answer_is_read_once_for_all_codecs(spark):
+    plan = spark.range(1).select(motion.allowed_sizes(F.lit("<a/>")).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("from_xml(") == 1

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .species import let
+
 EVENT = "camera_id string, n long, started_ms long, ended_ms long, picture_ms long"
 
 
@@ -183,5 +185,6 @@ def allowed_sizes(said: Column) -> Column:
     each = ", ".join(f"{c} {_SIZES}" for c in SIZED)
     options = _xml(said, f"GetVideoEncoderConfigurationOptionsResponse struct<Options struct<{each}>>")["GetVideoEncoderConfigurationOptionsResponse"]["Options"]
     none = F.array().cast("array<struct<codec string, width int, height int>>")
-    sizes = lambda c: F.transform(options[c]["ResolutionsAvailable"], lambda r: F.struct(F.lit(c).alias("codec"), r["Width"].try_cast("int").alias("width"), r["Height"].try_cast("int").alias("height")))
-    return F.filter(F.concat(*(F.coalesce(sizes(c), none) for c in SIZED)), lambda r: r["width"].isNotNull() & r["height"].isNotNull())
+    sizes = lambda o, c: F.transform(o[c]["ResolutionsAvailable"], lambda r: F.struct(F.lit(c).alias("codec"), r["Width"].try_cast("int").alias("width"), r["Height"].try_cast("int").alias("height")))
+    # The answer is read once for all codecs.
+    return let(options, lambda o: F.filter(F.concat(*(F.coalesce(sizes(o, c), none) for c in SIZED)), lambda r: r["width"].isNotNull() & r["height"].isNotNull()))

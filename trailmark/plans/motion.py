@@ -108,4 +108,6 @@ def sc_allowed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.format_string("<tt:ResolutionsAvailable><tt:Width>%d</tt:Width><tt:Height>%d</tt:Height></tt:ResolutionsAvailable>", size * 2, size)
     odd = F.lit("<tt:ResolutionsAvailable><tt:Width>any</tt:Width><tt:Height>1</tt:Height></tt:ResolutionsAvailable>")
     said = F.concat(F.lit('<s:Envelope xmlns:s="s" xmlns:tt="t"><s:Body><GetVideoEncoderConfigurationOptionsResponse><Options>'), F.when(n % 3 != 0, F.concat(F.lit("<tt:JPEG>"), one, F.lit("</tt:JPEG>"))).otherwise(""), F.lit("<tt:H264>"), one, odd, F.lit("</tt:H264></Options></GetVideoEncoderConfigurationOptionsResponse></s:Body></s:Envelope>"))
-    return read(spark, sf_dir, "part").select("p_partkey", F.inline(motion.allowed_sizes(said)))
+    # The table is a small file and reading XML takes long, so rows are dealt out first.
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_size").repartition("p_partkey")
+    return parts.select("p_partkey", F.inline(motion.allowed_sizes(said)))
