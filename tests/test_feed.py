@@ -145,6 +145,24 @@ def test_imports_run_twice_or_broken_off_are_one(spark, tmp_path):
     assert told(broken) == told(whole)
 
 
+def test_an_import_reads_its_tracks_once(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    files = spark.createDataFrame([("h", f"f{i}", "yard", start, start, "c", 1) for i in range(6)], "hub string, file string, camera_id string, file_start timestamp_ntz, file_end timestamp_ntz, clip_path string, bytes long")
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(i):
+        read.add(1)
+        return i
+
+    none = F.array().cast("array<struct<quality:double,crop:long>>")
+    tracks = spark.range(40).select(F.lit("h").alias("hub"), F.concat(F.lit("f"), F.col("id") % 4).alias("file"), seen("id").alias("id"), F.lit("animal").alias("label"), F.lit(start).cast("timestamp_ntz").alias("started_at"), F.lit(start).cast("timestamp_ntz").alias("ended_at"), (F.col("id") / 50).alias("top_score"), F.lit(0.5).alias("median_score"), F.lit(True).alias("moved"), none.alias("crops"))
+    made = jobs.Imports(Ledger(spark, f"file://{tmp_path}/once"))
+    made.run(files, tracks, F.lit(dt.datetime(2024, 1, 2)).cast("timestamp_ntz"))
+    assert {(r["file"], r["label"], r["top_score"]) for r in made.events().collect()} == {*((f"f{i}", "animal", (36 + i) / 50) for i in range(4)), ("f4", "motion", 0.0), ("f5", "motion", 0.0)}
+    assert read.value <= 40
+
+
 def test_reclassified_once_whatever_breaks_off(spark, tmp_path):
     rows = [(i, "animal", name, "c", dt.date(2024, 1, 1 + i)) for i, name in enumerate([None, None, None, None, "fox", None])] + [(9, "person", None, "c", dt.date(2024, 1, 3))]
     events = spark.createDataFrame([(*r, f"clips/{r[0]}", dt.datetime(2024, 1, 1)) for r in rows], "id long, label string, common_name string, camera_id string, local_date date, clip_path string, ended_at timestamp_ntz")

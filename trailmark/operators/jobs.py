@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.ledger import Ledger
+from ..sources.scratch import stored
 from . import evaluate, joins, listing, ordered, retention, species
 
 EVENTS = "id long, hub string, file string, camera_id string, label string, started_at timestamp_ntz, ended_at timestamp_ntz, top_score double, median_score double, moved boolean, crops array<long>, clip_path string, clip_bytes long"
@@ -32,18 +33,20 @@ class Imports:
         """Imports the files (hub, file, camera_id, file_start, file_end, clip_path, bytes) that have ended for long enough and
         that no run has imported. tracks: what the analysis found in them (hub, file and what ordered.merged_recordings
         takes). A file without any is a motion event, or nothing is kept of it (keep_motion). Without files to import
-        nothing is written."""
-        todo = joins.to_import(files, self.outcomes().select("hub", "file"), now, settle)
+        nothing is written. What several steps of a run need is stored once."""
+        todo = stored(joins.not_imported(files, self.outcomes().select("hub", "file"), now, settle), "todo")
         if todo.isEmpty():
             return
         name = F.struct("hub", "file")
-        found = tracks.join(todo.select("hub", "file"), ["hub", "file"], "left_semi").withColumn("recording", name)
-        merged = ordered.merged_recordings(found, most_crops).select(F.col("recording.hub").alias("hub"), F.col("recording.file").alias("file"), "label", "started_at", "ended_at", "top_score", "median_score", "moved", "crops")
+        read = tracks.select("hub", "file", "id", "label", "started_at", "ended_at", "top_score", "median_score", "moved", "crops")
+        found = read.join(todo.select("hub", "file"), ["hub", "file"], "left_semi").withColumn("recording", name).drop("hub", "file")
+        merged = ordered.merged_recordings(stored(found, "found"), most_crops).select(F.col("recording.hub").alias("hub"), F.col("recording.file").alias("file"), "label", "started_at", "ended_at", "top_score", "median_score", "moved", "crops")
+        merged = stored(merged, "merged")
         silent = todo.join(merged.select("hub", "file").distinct(), ["hub", "file"], "left_anti")
         none = F.array().cast("array<long>")
         motion = silent.where(F.lit(keep_motion)).select("hub", "file", F.lit("motion").alias("label"), F.col("file_start").alias("started_at"), F.col("file_end").alias("ended_at"), F.lit(0.0).alias("top_score"), F.lit(0.0).alias("median_score"), F.lit(False).alias("moved"), none.alias("crops"))
         new = merged.unionByName(motion).join(todo.select("hub", "file", "camera_id", "clip_path", F.col("bytes").alias("clip_bytes")), ["hub", "file"])
-        events = retention.with_ids(new, self.events(), "started_at", "hub", "file", "label")
+        events = stored(retention.with_ids(new, self.events(), "started_at", "hub", "file", "label"), "events")
         own = events.join(silent.select("hub", "file"), ["hub", "file"], "left_semi").select("hub", "file", F.col("id").alias("event_id"))
         kept = events.select("hub", "file").distinct().withColumn("kept", F.lit(True))
         outcomes = todo.select("hub", "file").join(own, ["hub", "file"], "left").join(kept, ["hub", "file"], "left")

@@ -83,7 +83,12 @@ def withdrawn(existing: DataFrame, marked: DataFrame) -> DataFrame:
 
 def to_import(files: DataFrame, ledger: DataFrame, now: Column, settle: str = "10 seconds") -> DataFrame:
     """Files that no ledger row knows and that ended long enough ago, oldest first."""
-    return files.where(F.col("file_end") <= now - F.expr(f"interval {settle}")).join(ledger, ["hub", "file"], "left_anti").orderBy("file_start", "file")
+    return not_imported(files, ledger, now, settle).orderBy("file_start", "file")
+
+
+def not_imported(files: DataFrame, ledger: DataFrame, now: Column, settle: str = "10 seconds") -> DataFrame:
+    """to_import() in any order."""
+    return files.where(F.col("file_end") <= now - F.expr(f"interval {settle}")).join(ledger, ["hub", "file"], "left_anti")
 
 
 def best_detection(expected: DataFrame, found: DataFrame, on: str) -> DataFrame:

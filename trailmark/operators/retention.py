@@ -16,7 +16,7 @@ def with_ids(new: DataFrame, existing: DataFrame, *order: str, slots: int = 64)
     # Written, so that counting and numbering see the same ranges whatever is computed again.
     ranged = new.sparkSession.read.parquet(at)
     within = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = within.groupBy("__part").agg(F.max("__n").alias("__size"))  # slots rows at most
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__size"))  # slots rows at most
     before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
     return within.join(F.broadcast(before.select("__part", "__before")), "__part").join(F.broadcast(top), F.lit(True)).withColumn("id", F.col("__top") + F.col("__before") + F.col("__n")).drop("__part", "__n", "__before", "__top")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import carried, jobs, ordered, retention
 from ..sources.adapter import NOW, SEGMENTS, SIGHTINGS, read, segments, sightings, unmarked_sightings
 from ..sources.ledger import Ledger
-from ..sources.scratch import shared_path
+from ..sources.scratch import shared_path, stored
 from .registry import query
 
 _SIZED = "sized as (select s.*, coalesce(clip_bytes, file_bytes, 0) as size from sightings s left join (select distinct clip_path as path, 60000 + length(clip_path) * 1000 as file_bytes from sightings where clip_path is not null) on path = clip_path where clip_path is not null)"
@@ -271,7 +271,7 @@ def sk_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     ended = F.coalesce("ended_at", "started_at")
     files = named.groupBy("hub", "file").agg(F.min("camera_id").alias("camera_id"), F.min("started_at").alias("file_start"), F.max(ended).alias("file_end"), F.min("clip_path").alias("clip_path"), F.sum("clip_bytes").alias("bytes"))
     tracks = named.where("recording % 7 <> 0").withColumn("moved", i % 5 == 0).withColumn("ended_at", ended).withColumn("crops", F.array().cast("array<struct<quality:double,crop:long>>"))
-    made = jobs.Imports(Ledger(spark, shared_path(spark, "imports")))
+    files, made = stored(files, "files"), jobs.Imports(Ledger(spark, shared_path(spark, "imports")))
     for day, keep_motion in (("2024-01-15", True), ("2024-03-15", False), ("2024-03-15", False)):
         made.run(files, tracks, F.expr(f"timestamp_ntz'{day} 00:00:00'"), keep_motion=keep_motion)
     of_file = made.events().groupBy("hub", "file").agg(F.count("*").alias("n"), F.max("top_score").alias("top_score"))

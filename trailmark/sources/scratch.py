@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -18,3 +18,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
         at = "file://" + tempfile.mkdtemp(prefix="trailmark-", dir=os.environ.get("TRAILMARK_TMP"))
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows written once to a new path and read back: what uses them many times doesn't compute them again."""
+    at = shared_path(rows.sparkSession, name)
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
