@@ -12,6 +12,7 @@ import pickle
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from math import hypot
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 #: x1, y1, x2, y2.
 Edges = tuple[float, float, float, float]
 
+#: The speed of what stands still.
+STANDS = (0.0, 0.0)
+
 OUTPUT = "camera_id string, visit long, kind string, label string, started double, at double, top_score double, median_score double, hits long, x1 double, y1 double, x2 double, y2 double"
 
 
@@ -60,7 +64,7 @@ class Visit:
     anchor: Edges
     still_since: float
     parked: bool
-    speed: tuple[float, float] = (0.0, 0.0)
+    speed: tuple[float, float] = STANDS
     hits: int = 0
     scores: list[float] = field(default_factory=list)
     #: The scores that are numbers, in order.
@@ -116,17 +120,25 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def really_moved(origin: Sequence[float], now: Sequence[float], s: Settings) -> bool:
     """The rule of functions.geometry.has_moved for two boxes."""
-    seen = [s.border <= o <= 1 - s.border and s.border <= n <= 1 - s.border for o, n in zip(origin, now, strict=True)]
-    left, top, right, low = (n - o for o, n in zip(origin, now, strict=True))
-    dx = min(abs(left), abs(right)) if seen[0] and seen[2] and left * right > 0 else 0.0
-    dy = min(abs(top), abs(low)) if seen[1] and seen[3] and top * low > 0 else 0.0
-    (w0, h0), (w1, h1) = ((0.0 if b[2] < b[0] else b[2] - b[0], 0.0 if b[3] < b[1] else b[3] - b[1]) for b in (origin, now))
-    if np.hypot(dx, dy) > s.least_movement * np.hypot(w0, h0):
+    (ax1, ay1, ax2, ay2), (bx1, by1, bx2, by2) = origin, now
+    left, top, right, low = bx1 - ax1, by1 - ay1, bx2 - ax2, by2 - ay2
+    near, far = s.border, 1 - s.border
+    wide_seen = near <= ax1 <= far and near <= bx1 <= far and near <= ax2 <= far and near <= bx2 <= far
+    dx = dy = 0.0
+    if wide_seen and left * right > 0:
+        dx = min(abs(left), abs(right))
+    if top * low > 0 and near <= ay1 <= far and near <= by1 <= far and near <= ay2 <= far and near <= by2 <= far:
+        dy = min(abs(top), abs(low))
+    w0, h0 = 0.0 if ax2 < ax1 else ax2 - ax1, 0.0 if ay2 < ay1 else ay2 - ay1
+    if hypot(dx, dy) > s.least_movement * hypot(w0, h0):
         return True
-    shape = np.divide(max(w1, 1e-7) / max(h1, 1e-7), max(w0, 1e-7) / max(h0, 1e-7))
+    if not (wide_seen and -left * right > 0 and min(abs(left), abs(right)) >= s.balanced * max(abs(left), abs(right))):
+        return False
+    w1, h1 = 0.0 if bx2 < bx1 else bx2 - bx1, 0.0 if by2 < by1 else by2 - by1
     ratio = max(w1 * h1, 1e-7) / max(w0 * h0, 1e-7)
-    grows, least, most = -left * right > 0, min(abs(left), abs(right)), max(abs(left), abs(right))
-    return bool(abs(shape - 1) <= 0.25 and not 0.55 <= ratio <= 1.8 and seen[0] and seen[2] and grows and least >= s.balanced * most)
+    before = max(w0, 1e-7) / max(h0, 1e-7)
+    # A box of no width beside its height can't be compared in shape.
+    return bool(before and abs(max(w1, 1e-7) / max(h1, 1e-7) / before - 1) <= 0.25 and not 0.55 <= ratio <= 1.8)
 
 
 class Camera:
@@ -146,8 +158,11 @@ class Camera:
 
     def lapse(self, at: float) -> list[tuple]:
         """Ends visits that nothing was seen of for longer than allowed."""
+        kept = [v for v in self.visits if at - v.seen <= self.s.missed_seconds]
+        if len(kept) == len(self.visits):
+            return []
         gone = [v for v in self.visits if at - v.seen > self.s.missed_seconds]
-        self.visits = [v for v in self.visits if at - v.seen <= self.s.missed_seconds]
+        self.visits = kept
         return [t for v in gone if not v.parked for t in self.ends(v, v.seen)]
 
     def to_look_at(self, at: float) -> list[tuple]:
@@ -173,16 +188,19 @@ class Camera:
 
     def frame(self, at: float, labels: list[str], scores: list[float], found: np.ndarray | list[Edges]) -> list[tuple]:
         out = self.to_look_at(at) + self.lapse(at)
-        boxes = [tuple(b) for b in (found.tolist() if isinstance(found, np.ndarray) else found)]
+        boxes = list(map(tuple, found.tolist())) if isinstance(found, np.ndarray) else found
         left = list(range(len(labels)))
         if self.visits and left:
             pairs = []
             for i, v in enumerate(self.visits):
-                expected = v.ahead(min(at - v.seen, 2.0))
+                if v.label not in labels:
+                    continue
+                expected = v.ahead(min(at - v.seen, 2.0)) if v.speed != STANDS else v.edges
                 for d, box in enumerate(boxes):
                     if labels[d] == v.label:
-                        fit, now = overlap(expected, box), overlap(v.edges, box)
-                        fit = now if now > fit else fit
+                        fit = overlap(v.edges, box)
+                        if expected is not v.edges and (then := overlap(expected, box)) >= fit:
+                            fit = then
                         if fit >= self.s.match:
                             pairs.append((-fit, i, d))
             taken: set[int] = set()
@@ -252,7 +270,7 @@ class Camera:
     def watch_movement(self, v: Visit, at: float, box: Edges) -> None:
         if v.label not in self.s.movers or self.s.least_movement <= 0:
             v.moved = True
-        elif not really_moved(v.origin, box, self.s):
+        elif box == v.origin or not really_moved(v.origin, box, self.s):
             v.moving_since = None
         else:
             v.moving_since = at if v.moving_since is None else v.moving_since
@@ -269,9 +287,10 @@ def _frames(rows: pd.DataFrame) -> Iterator[tuple[str, float, list[str], list[fl
     camera, at = rows["camera_id"].to_numpy(), rows["at"].to_numpy(float)
     labels, scores, boxes = rows["label"].tolist(), rows["score"].tolist(), list(zip(*(rows[c].to_numpy(float).tolist() for c in BOX), strict=True))
     cuts = [0, *(np.flatnonzero((camera[1:] != camera[:-1]) | (at[1:] != at[:-1])) + 1).tolist(), len(rows)]
+    camera, at = camera.tolist(), at.tolist()
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         if hi > lo:
-            yield camera[lo], float(at[lo]), labels[lo:hi], scores[lo:hi], boxes[lo:hi]
+            yield camera[lo], at[lo], labels[lo:hi], scores[lo:hi], boxes[lo:hi]
 
 
 def _rows(told: list[tuple]) -> pd.DataFrame:

@@ -14,14 +14,15 @@ from .registry import query
 
 def moving_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two things a user's camera sees for each of the user's events, 200 ms apart: one that drifts and one that stays."""
-    e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
-    n = F.floor(F.col("event_id") / 50)
-    base = e.select(F.concat(F.lit("camera"), F.col("user_id").cast("string")).alias("camera_id"), (n * 0.2).alias("at"), "event_type", "value", n.alias("n"))
-    x = (F.col("n") % 60) / 100.0
-    drift = base.select("camera_id", "at", F.lit("vehicle").alias("label"), (0.4 + F.col("value") / 1000).alias("score"), (x + 0.02).alias("x1"), F.lit(0.2).alias("y1"), (x + 0.32).alias("x2"), F.lit(0.5).alias("y2"))
-    stay = base.where("event_type <> 'error'").select("camera_id", "at", F.lit("animal").alias("label"), (0.35 + F.col("value") / 1000).alias("score"), F.lit(0.6).alias("x1"), F.lit(0.6).alias("y1"), F.lit(0.8).alias("x2"), F.lit(0.9).alias("y2"))
-    both = drift.unionByName(stay)
-    return both.groupBy("camera_id", "at", "label").agg(*(F.max(c).alias(c) for c in ("score", "x1", "y1", "x2", "y2")))
+    e = read(spark, sf_dir, "events").select("user_id", F.floor(F.col("event_id") / 50).alias("n"), "value", (F.col("event_type") != "error").alias("stays"))
+    # A frame is one row until it is dealt out: both things take the best of its events, the one that stays of those it is in.
+    frames = e.groupBy("user_id", "n").agg(F.max("value").alias("value"), F.max(F.when(F.col("stays"), F.col("value"))).alias("staying"), F.max("stays").alias("stays"))
+    x, box = (F.col("n") % 60) / 100.0, ("x1", "y1", "x2", "y2")
+    drift = F.struct(F.lit("vehicle").alias("label"), (0.4 + F.col("value") / 1000).alias("score"), (x + 0.02).alias("x1"), F.lit(0.2).alias("y1"), (x + 0.32).alias("x2"), F.lit(0.5).alias("y2"))
+    stay = F.struct(F.lit("animal").alias("label"), (0.35 + F.col("staying") / 1000).alias("score"), *(F.lit(v).alias(c) for v, c in zip((0.6, 0.6, 0.8, 0.9), box, strict=True)))
+    both = F.when(F.col("stays"), F.array(drift, stay)).otherwise(F.array(drift))
+    camera = F.concat(F.lit("camera"), F.col("user_id").cast("string"))
+    return frames.select(camera.alias("camera_id"), (F.col("n") * 0.2).alias("at"), F.inline(both))
 
 
 @query()
