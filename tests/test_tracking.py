@@ -202,3 +202,10 @@ def test_frames_of_events_come_from_one_pass(spark, tmp_path):
     rows = moving_detections(spark, str(tmp_path))
     assert sorted(map(repr, map(tuple, rows.collect()))) == sorted(repr((k[0], None if k[1] is None else k[1] * 0.2, k[2], best(k, v), *place(k[1], k[2]))) for k, v in want.items())
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_cameras_are_not_merged_into_few_tasks(spark, sf_dir):
+    """By bytes, Spark merged the cameras of a large table into a few more tasks than cores."""
+    from trailmark.plans.stateful import moving_detections
+
+    assert "REPARTITION_BY_NUM" in tracking.visits(moving_detections(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()

@@ -323,7 +323,9 @@ def visits(detections: DataFrame, settings: Settings = Settings()) -> DataFrame:
         if held is not None:
             yield _rows(told(held) + [(key, *t) for t in camera.finish()])
 
-    return detections.select("camera_id", "at", "label", "score", *BOX).repartition("camera_id").sortWithinPartitions("camera_id", "at", "label", F.desc("score"), *BOX).mapInPandas(run, OUTPUT)
+    # A row costs more than its bytes tell: as many tasks as the session has for a shuffle, not few large ones by size.
+    tasks = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return detections.select("camera_id", "at", "label", "score", *BOX).repartition(tasks, "camera_id").sortWithinPartitions("camera_id", "at", "label", F.desc("score"), *BOX).mapInPandas(run, OUTPUT)
 
 
 def visits_stream(detections: DataFrame, settings: Settings = Settings(), late: str | None = None) -> DataFrame:
